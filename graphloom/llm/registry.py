@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from graphloom.llm.quality import op8_quality_rules
 from graphloom.llm.sharding import op4_sharding
 
 SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_sharding,)}
+    return {f.__name__: f for f in (op4_sharding, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
