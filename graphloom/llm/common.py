@@ -144,3 +144,21 @@ def blobs_by_part(batches):
 def by_part(df: DataFrame, n: int) -> DataFrame:
     """Rows (part, blob, ...) dealt by part and sorted by it; a part is one of n shares of a hash, never a key."""
     return df.repartitionById(n, F.col("part")).sortWithinPartitions("part")
+
+
+def tune(spark: SparkSession) -> None:
+    """Smaller Arrow batches, so that a Python worker holds a few MB of text at a time whatever the row sizes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
+def share_bytes(spark: SparkSession, data: bytes, name: str) -> str:
+    """Writes bytes to the shared folder and has Spark hand the file to every executor; SparkFiles.get(result) finds it."""
+    jvm, name = spark.sparkContext._jvm, f"{uuid.uuid4().hex}-{name}"
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files/{name}")
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    for i in range(0, len(data), 1 << 20):
+        stream.write(bytearray(data[i : i + (1 << 20)]))
+    stream.close()
+    spark.sparkContext.addFile(target.toString())
+    return name
