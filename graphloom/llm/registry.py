@@ -7,12 +7,13 @@ from graphloom.llm.jaccard import op2_jaccard_join
 from graphloom.llm.packing import op3_packing
 from graphloom.llm.quality import op8_quality_rules
 from graphloom.llm.sharding import op4_sharding
+from graphloom.llm.suffixes import op9_suffix_dedup
 
 SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_packing, op4_sharding, op7_bpe, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_packing, op4_sharding, op7_bpe, op8_quality_rules, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
