@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.llm.bpe import op7_bpe
 from graphloom.llm.jaccard import op2_jaccard_join
+from graphloom.llm.neighbours import op10_embedding_dedup
 from graphloom.llm.packing import op3_packing
 from graphloom.llm.quality import op8_quality_rules
 from graphloom.llm.sharding import op4_sharding
@@ -13,7 +14,7 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_packing, op4_sharding, op7_bpe, op8_quality_rules, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_packing, op4_sharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
