@@ -7,6 +7,7 @@ from graphloom.llm.jaccard import op2_jaccard_join
 from graphloom.llm.neighbours import op10_embedding_dedup
 from graphloom.llm.pages import op1_html_extraction
 from graphloom.llm.packing import op3_packing
+from graphloom.llm.pii import op6_pii
 from graphloom.llm.quality import op8_quality_rules
 from graphloom.llm.sharding import op4_sharding
 from graphloom.llm.suffixes import op9_suffix_dedup
@@ -15,7 +16,7 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_jaccard_join, op3_packing, op4_sharding, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_jaccard_join, op3_packing, op4_sharding, op6_pii, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
