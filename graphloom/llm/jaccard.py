@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import blobs_by_part, by_part, cut, gather, pack, partitions, scatter, text_bytes, tune
@@ -352,12 +352,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, of which no smaller doc_id is in the same component; repeated rows go once."""
-    from pyspark.sql import Window
-
-    found = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    null_ids = docs.filter(F.col("doc_id").isNull())
-    kept = docs.join(found, docs["doc_id"] == found["kept_doc_id"])
-    once = kept.withColumn("jaccard_rank", F.row_number().over(Window.partitionBy("kept_doc_id", F.xxhash64("text")).orderBy(F.lit(1))))
-    return once.filter("jaccard_rank = 1").select(*own).unionByName(null_ids.select(*own))
+    """The rows of docs, with their own columns, of which no smaller doc_id is in the same component; repeated rows go once.
+
+    Rows without a doc_id stay.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # other columns travel in one struct, so that no name of theirs can clash
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    kept = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
+    once = packed.join(kept, "doc_id").withColumn("rank", rank).filter("rank = 1").drop("rank")
+    rows = once.unionByName(packed.filter("doc_id is null"))
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from graphloom.llm.bpe import op7_bpe
 from graphloom.llm.jaccard import op2_jaccard_join
+from graphloom.llm.licences import op5_licence_scan
 from graphloom.llm.neighbours import op10_embedding_dedup
 from graphloom.llm.pages import op1_html_extraction
 from graphloom.llm.packing import op3_packing
@@ -15,8 +18,24 @@ from graphloom.llm.suffixes import op9_suffix_dedup
 SQL: dict[str, str] = {}
 
 
+def _pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_jaccard_join, op3_packing, op4_sharding, op6_pii, op7_bpe, op8_quality_rules, op9_suffix_dedup, op10_embedding_dedup)}
+    found = (
+        op1_html_extraction,
+        op2_jaccard_join,
+        op3_packing,
+        op4_sharding,
+        op5_licence_scan,
+        op6_pii,
+        op7_bpe,
+        op8_quality_rules,
+        op9_suffix_dedup,
+        op10_embedding_dedup,
+    )
+    return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
