@@ -1,14 +1,15 @@
-"""Named queries of the graph engine and their SQL equivalents."""
+"""Named queries of the graph engine and their SQL equivalents, gathered from the query modules."""
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
+from graphloom.plans import core_queries
+
+MODULES = (core_queries,)
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
