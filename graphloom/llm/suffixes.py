@@ -16,6 +16,7 @@ get the same answer; an empty table gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
+import copy
 import hashlib
 
 import numpy as np
@@ -23,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from graphloom.llm.common import blobs_by_part, by_part, gather, mix64, pack, partitions, scatter, slices, text_bytes, tune, worker_state
 
@@ -135,7 +137,7 @@ def repeated_anchors(found: DataFrame, n_parts: int) -> DataFrame:
     """(order_id, tag, places): each document's anchors that can matter; the high bit marks settled ones."""
 
     def by_gram(batches):
-        unsqueeze = zstandard.ZstdDecompressor()
+        squeeze, unsqueeze = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for _, blobs in blobs_by_part(batches):
             gram, doc, tag, place, settled = gather([unsqueeze.decompress(b) for b in blobs], np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
             order = np.argsort(gram, kind="stable")
@@ -143,13 +145,14 @@ def repeated_anchors(found: DataFrame, n_parts: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
             count = np.diff(np.append(start, len(g)))
             keep = order[np.repeat(count, count) > 1]
+            keep = keep[np.lexsort((place[keep], doc[keep]))]
             part = doc[keep].view(np.uint64) % np.uint64(n_parts)
-            rows = [(p, pack(*x)) for p, x in scatter(part, n_parts, doc[keep], tag[keep], place[keep] | settled[keep].astype(np.uint32) << np.uint32(31))]
+            rows = [(p, squeeze.compress(pack(*x))) for p, x in scatter(part, n_parts, doc[keep], tag[keep], place[keep] | settled[keep].astype(np.uint32) << np.uint32(31))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
     def by_doc(batches):
         for _, blobs in blobs_by_part(batches):
-            doc, tag, place = gather(blobs, np.int64, np.uint32, np.uint32)
+            doc, tag, place = gather(expand(pa.array(blobs, pa.binary())), np.int64, np.uint32, np.uint32)
             yield from _per_document(doc, tag, (place,), "places")
 
     dealt = by_part(found, n_parts).mapInArrow(by_gram, "part int, blob binary")
@@ -190,7 +193,7 @@ class RunWriter:
     """Collects suffixes of a task and turns them into front-coded runs, one for each range."""
 
     def __init__(self, ranges: np.ndarray):
-        self.ranges, self.squeeze = ranges, zstandard.ZstdCompressor(level=3)
+        self.ranges, self.squeeze = ranges, zstandard.ZstdCompressor(level=6)
         self.clear()
 
     def clear(self):
@@ -266,7 +269,7 @@ def sort_runs(texts: DataFrame, ranges: np.ndarray, n_parts: int) -> DataFrame:
             )
 
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(pa.array(expand(batch.column(2)), pa.binary()))
             for k, (doc, tag, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
                 place = np.frombuffer(places, np.uint32)
                 done = (place >> np.uint32(31)) == 1
@@ -400,7 +403,9 @@ def merge_ranges(runs: DataFrame, n_parts: int) -> DataFrame:
     def deal(spans):
         doc, tag, low, high = spans
         part = doc.view(np.uint64) % np.uint64(n_parts)
-        rows = [(p, pack(*x)) for p, x in scatter(part, n_parts, doc, tag, low, high)]
+        order = np.lexsort((low, tag, doc))  # like numbers side by side compress
+        squeeze = zstandard.ZstdCompressor(level=3)
+        rows = [(p, squeeze.compress(pack(*x))) for p, x in scatter(part[order], n_parts, doc[order], tag[order], low[order], high[order])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
     def merge_one(blobs):
@@ -476,7 +481,7 @@ def spans_by_document(spans: DataFrame, n_parts: int) -> DataFrame:
 
     def run(batches):
         for _, blobs in blobs_by_part(batches):
-            doc, tag, low, high = gather(blobs, *SPAN)
+            doc, tag, low, high = gather(expand(pa.array(blobs, pa.binary())), *SPAN)
             if not len(doc):
                 continue
             order = np.lexsort((low, tag, doc))
@@ -493,8 +498,29 @@ def spans_by_document(spans: DataFrame, n_parts: int) -> DataFrame:
     return by_part(spans, n_parts).mapInArrow(run, "order_id long, tag long, spans binary")
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """df with its text column compressed, for the shuffles that carry texts."""
+    schema = copy.deepcopy(df.schema)
+    at = schema.names.index("text")
+    schema[at].dataType = BinaryType()
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=4)
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else squeeze.compress(t) for t in columns[at].cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def expand(column: pa.Array) -> list[bytes | None]:
+    unsqueeze = zstandard.ZstdDecompressor()
+    return [None if t is None else unsqueeze.decompress(t) for t in column.to_pylist()]
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """docs with order_id, tag and spans (packed, null if nothing goes)."""
+    """docs with text compressed, and order_id, tag and spans (packed, null if nothing goes)."""
     spark = docs.sparkSession
     tune(spark)
     n_parts = partitions(spark)
@@ -502,9 +528,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     ranges = choose_ranges(docs, n_parts)
     slim = keyed.filter(F.octet_length("text") >= LENGTH).select("order_id", "tag", "text")
     places = repeated_anchors(find_anchors(slim, n_parts), n_parts)
-    texts = slim.join(places, ["order_id", "tag"]).select("order_id", "tag", "text", "places")
+    texts = squeezed(slim).join(places, ["order_id", "tag"]).select("order_id", "tag", "text", "places")
     spans = spans_by_document(merge_ranges(sort_runs(texts, ranges, n_parts), n_parts), n_parts)
-    return keyed.join(spans, ["order_id", "tag"], "left")
+    return squeezed(keyed).join(spans, ["order_id", "tag"], "left")
 
 
 def _bounds(blob: bytes | None) -> list[tuple[int, int]]:
@@ -530,7 +556,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, blob in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for text, blob in zip(expand(batch.column(1)), batch.column(2).to_pylist()):
                 text, bounds = text or b"", _bounds(blob)
                 rows.append((len(text), sum(e - b for b, e in bounds), len(bounds), hashlib.sha256(_kept(text, bounds)).hexdigest()))
             columns = list(zip(*rows)) or [()] * 4
@@ -543,20 +569,18 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs, columns as they are, with repeated bytes taken out of text; a character cut in part goes whole."""
-    names = docs.columns
-    marked = removed_spans(docs)
-    text_at = names.index("text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # other columns travel in one struct, so that no name of theirs can clash
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    marked = removed_spans(packed).select("doc_id", "text", "others", "spans")
 
     def run(batches):
         for batch in batches:
-            spans = batch.column(len(names)).to_pylist()
-            texts = batch.column(text_at).to_pylist()
-            new = [t if not b or t is None else _kept(t.encode(), _bounds(b)).decode(errors="ignore") for t, b in zip(texts, spans)]
-            columns = list(batch.columns[: len(names)])
-            columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(len(names))]))
-
-    return marked.select(*[docs[n] for n in names], "spans").mapInArrow(run, docs.schema)
+            new = [None if t is None else _kept(t, _bounds(b)).decode(errors="ignore") for t, b in zip(expand(batch.column(1)), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2)], ["doc_id", "text", "others"])
+
+    rows = marked.mapInArrow(run, packed.schema)
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
