@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE = T.StructType.fromDDL(
+NODE = (
     "id string, title string, status string, description string, assigned_to string, tags array<string>, priority short, node_type string, "
     "knowledge struct<findings:map<string,string>,file_cache:map<string,string>,tool_history:array<struct<tool_name:string,timestamp:string,summary:string>>>, "
     "metadata map<string,string>, file_path string, lang string, start_line long, end_line long, signature string, visibility string, doc_comment string, "
     "doc_path string, body_hash string, node_kind string, owner string, source string, repo string, parent_id string, depth int, complexity double, "
     "is_public boolean, body string, created_at string, updated_at string, ord long"
 )
-EDGE = T.StructType.fromDDL(
+EDGE = (
     "src string, dst string, relation string, weight double, confidence double, metadata string, edge_source string, call_count int, in_error_path boolean, ord long"
 )
 STATUSES = ("todo", "in_progress", "done", "blocked", "cancelled", "failed", "needs_resolution")
@@ -45,11 +45,11 @@ class Graph:
         return replace(self, nodes=nodes, edges=edges.select(self.edges.columns))
 
 
-def fill(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """df with the columns of schema that it lacks, as nulls; tags never null, status and relation with their defaults."""
+def fill(df: DataFrame, ddl: str) -> DataFrame:
+    """df with the columns of ddl that it lacks, as nulls; tags never null, status and relation with their defaults."""
     defaults = {"status": F.lit("todo"), "relation": F.lit("depends_on"), "tags": F.array().cast("array<string>"), "call_count": F.lit(1), "in_error_path": F.lit(False)}
     out = []
-    for f in schema:
+    for f in T.StructType.fromDDL(ddl):
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
         if f.name in defaults:
             c = F.coalesce(c, defaults[f.name])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import core_queries
+from graphloom.plans import core_queries, more_queries
 
-MODULES = (core_queries,)
+MODULES = (core_queries, more_queries)
 
 
 def queries() -> dict:
