@@ -65,7 +65,7 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, spill: float
         out.append(
             (
                 root,
-                np.array([x[0] for x in nodes], np.float32).reshape(len(nodes), -1),
+                np.array([x[0] for x in nodes], np.float32).reshape(len(nodes), sample.shape[1]),
                 np.array([x[1] for x in nodes], np.float32),
                 np.array([x[2] for x in nodes], np.float32),
                 np.array([x[3:] for x in nodes], np.int64).reshape(len(nodes), 2),
