@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df, written and read back; the files go when the program ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
