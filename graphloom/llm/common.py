@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: lineage cuts, worker state, byte views of Arrow text."""
+"""What the operators of this subpackage share: worker state, byte views of Arrow text, blobs of arrays."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import sys
 import types
 import uuid
@@ -14,37 +12,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.lineage import cut, shared_folder  # noqa: F401
+
 # Executors need no copy of this package: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules["graphloom.llm"])
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{LOCAL_CHECKPOINTS}/graphloom"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, so that lost executors never recompute beyond it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -55,11 +27,6 @@ def worker_state(name: str) -> types.ModuleType:
     return sys.modules.setdefault(f"graphloom_worker_{name}", types.ModuleType(name))
 
 
-def with_columns_safe(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns, so that extra columns with clashing names cannot interfere."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
