@@ -14,6 +14,7 @@ ignored; special-token strings in a text become special tokens, as in the librar
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import share_bytes, tune, worker_state
+from graphloom.llm.merging import LONGEST, PLAIN, Merger, lower
 
 #: Most frequent words that the lexicon holds: a bound on its size, not on the result.
 LEXICON_WORDS = 65_536
 #: Longer words are left to the library.
 LONGEST_WORD = 48
 #: Words that a worker remembers before it starts afresh.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
 #: Bytes of text handled at a time.
 SLICE = 2 << 20
 
@@ -55,6 +57,41 @@ def merge_words(tokenizer, words: list[bytes]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
 
 
+class WordMerger:
+    """Ids, as little-endian 32-bit numbers, of words that have no white space."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.ends = tokenizer, {b"": b""}
+        self.merger = Merger(tokenizer.to_str())
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in merge_words(self.tokenizer, words)]
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        out: list = [None] * len(words)
+        plain, stems, marks, others = [], [], [], []
+        for i, w in enumerate(words):
+            if len(w) <= LONGEST and w.isalpha():  # the usual cases, without the pattern
+                stem, mark = w.lower(), b""
+            elif len(w) <= LONGEST and w[-1:] in b".," and w[:-1].isalpha():
+                stem, mark = w[:-1].lower(), w[-1:]
+            elif (m := PLAIN.fullmatch(w)) and m.end(1) <= LONGEST:
+                stem, mark = lower(m[1]), m[2]
+            else:
+                others.append(i)
+                continue
+            plain.append(i)
+            stems.append(stem)
+            marks.append(mark)
+        new = [x for x in set(marks) if x not in self.ends]
+        self.ends.update(zip(new, self._library(new)))
+        for i, ids, mark in zip(plain, self.merger.merge(stems), marks):
+            out[i] = ids + self.ends[mark]
+        for i, ids in zip(others, self._library([words[i] for i in others])):
+            out[i] = ids
+        return out
+
+
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """The automaton of the words and their ids, as one file."""
     words = sorted(w for w in entries if 0 < len(w) <= LONGEST_WORD)
@@ -137,8 +174,8 @@ class Lexicon:
             depth += 1
         return found
 
-    def ids_of(self, number: int) -> list[int]:
-        return self.ids[self.ends[number] : self.ends[number + 1]].tolist()
+    def ids_of(self, number: int) -> bytes:
+        return self.ids[self.ends[number] : self.ends[number + 1]].astype("<u4").tobytes()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -169,29 +206,30 @@ def train_lexicon(docs: DataFrame, tokenizer_path: str, n_words: int = LEXICON_W
 
 
 class Encoder:
-    """Word by word encoding in a worker: memo, then lexicon, then the library."""
+    """Word by word encoding in a worker: memo, then lexicon, then merging. form turns ids (bytes) into what is kept."""
 
     def __init__(self, tokenizer_path: str, lexicon_path: str | None, form):
         self.tokenizer = open_tokenizer(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.form, self.memo = form, {}
+        self.merge = WordMerger(self.tokenizer)
 
-    def learn(self, words: set[bytes]) -> dict:
-        """A mapping that has form(ids) for each of the words."""
+    def learn(self, texts: list[list[bytes]]) -> dict:
+        """A mapping that has form(ids) for each word of the texts."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = list(words.difference(self.memo))
+        new = list(set(itertools.filterfalse(self.memo.__contains__, itertools.chain.from_iterable(texts))))
         if new and self.lexicon:
             numbers = self.lexicon.numbers(new)
             for i in np.flatnonzero(numbers >= 0).tolist():
-                self.memo[new[i]] = self.form(self.lexicon.ids_of(int(numbers[i])))
+                ids = self.lexicon.ids_of(int(numbers[i]))
+                self.memo[new[i]] = self.form(ids) if self.form else ids
             new = [new[i] for i in np.flatnonzero(numbers < 0).tolist()]
         if new:
-            for w, ids in zip(new, merge_words(self.tokenizer, new)):
-                self.memo[w] = self.form(ids)
-        if len(self.memo) > 3 * MEMO_WORDS:  # one slice with that many new words
-            memo, self.memo = self.memo, {}
-            return memo
+            if self.form is None:
+                self.memo.update(zip(new, self.merge(new)))
+            else:
+                self.memo.update(zip(new, map(self.form, self.merge(new))))
         return self.memo
 
 
@@ -242,11 +280,13 @@ def _run(docs: DataFrame, tokenizer_path: str, n_words: int, digests: bool) -> D
     def form_for(enc: Encoder):
         names = {}
 
-        def form(ids: list[int]) -> tuple[bytes, bytes]:
-            for i in ids:
+        def form(ids: bytes) -> tuple[bytes, bytes]:
+            numbers = struct.unpack(f"<{len(ids) // 4}I", ids)
+            for i in numbers:
                 if i not in names:
-                    names[i] = enc.tokenizer.id_to_token(i)
-            return b" ".join(b"%d" % i for i in ids), " ".join(names[i] for i in ids).encode()
+                    names[i] = (b"%d" % i, enc.tokenizer.id_to_token(i).encode())
+            pairs = [names[i] for i in numbers]
+            return b" ".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs])
 
         return form
 
@@ -256,7 +296,7 @@ def _run(docs: DataFrame, tokenizer_path: str, n_words: int, digests: bool) -> D
             n_tokens, first, second = [], [], []
             for texts in text_slices(batch.column(1)):
                 split = [t.split() for t in texts]
-                memo = enc.learn(set().union(*split))
+                memo = enc.learn(split)
                 for words in split:
                     # words without a token (white space of other kinds alone) give an empty form and no separator
                     parts = [p for p in map(memo.__getitem__, words) if p[0]]

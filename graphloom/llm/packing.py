@@ -94,18 +94,15 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     spark.sparkContext.addFile(tokenizer_path)
     tokenizer = os.path.basename(tokenizer_path)
 
-    def as_words(_):
-        return lambda ids: np.array(ids, "<u4").tobytes()
-
     def pieces(batches):
-        enc = encoder("ids", SparkFiles.get(tokenizer), None, as_words)
+        enc = encoder("ids", SparkFiles.get(tokenizer), None, lambda _: None)
         src, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             row, piece, length, crc, order = [], [], [], [], []
             at = 0
             for texts in text_slices(batch.column(1)):
                 split = [t.split() for t in texts]
-                memo = enc.learn(set().union(*split))
+                memo = enc.learn(split)
                 for words in split:
                     ids = b"".join(map(memo.__getitem__, words)) + END
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):
