@@ -16,8 +16,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     to the shared folder. Self loops and repeated edges do no harm; an empty frame gives an empty result.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    stars, state = cut(pairs, "pairs"), None
+    stars = cut(pairs, "pairs")
     for _ in range(most_rounds):
+        if settled(stars):
+            break
         # large star: every neighbour above u joins the smallest of u and its neighbours
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,15 +28,19 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         stars = cut(small, "stars")
-        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def settled(stars: DataFrame) -> bool:
+    """Whether every id has one edge down, to an id that has none."""
+    down = stars.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    up = stars.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    ends = down.unionByName(up).groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 class Groups:
     """Union-find over the numbers 0..n-1 within one task."""
 
@@ -54,3 +60,7 @@ class Groups:
             return False
         self.up[max(x, y)] = min(x, y)
         return True
+
+    def stars(self, members) -> list[tuple[int, int]]:
+        """(root, member) for each of the members that is not a root; roots are the smallest numbers."""
+        return [(r, x) for x in members if (r := self.root(x)) != x]

@@ -21,6 +21,8 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -164,7 +166,7 @@ def _list_edges(n: np.ndarray, p: np.ndarray):
 
 
 def candidate_edges(rare: DataFrame, n_parts: int) -> DataFrame:
-    """A spanning forest (a, b) of the sets that may link, for each share of the shingles."""
+    """Stars (a, b) of the sets that may link, for each share of the shingles."""
 
     def run(batches):
         for _, blobs in blobs_by_part(batches):
@@ -185,7 +187,9 @@ def candidate_edges(rare: DataFrame, n_parts: int) -> DataFrame:
                 found.append(np.stack((place[s + i], place[s + j])))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             groups = Groups(len(names))
-            kept = [(x, y) for x, y in pairs.T.tolist() if groups.join(x, y)]
+            for x, y in pairs.T.tolist():
+                groups.join(x, y)
+            kept = groups.stars(np.unique(pairs).tolist())  # names ascend, so roots are the smallest names
             if kept:
                 x, y = np.array(kept).T
                 yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y])], ["a", "b"])
@@ -284,7 +288,8 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = where.groupBy("grp").agg(F.sum(8 * F.col("n")).alias("bytes"))
     where = where.join(group, "grp").withColumn("n_blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
     where = cut(where, "where")
-    texts = docs.join(where.select("doc_id", "sid", "grp", "n_blocks"), "doc_id")
+    # by merge at every size: what is shuffled then follows the input, not a switch to broadcasting
+    texts = docs.join(where.select("doc_id", "sid", "grp", "n_blocks").hint("merge"), "doc_id")
 
     def sets(batches):
         for batch in batches:
@@ -320,7 +325,12 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             forest = resolve(own, blocks)
             if not forest:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array([sids[i] for i, _ in forest], pa.int64()), pa.array([sids[j] for _, j in forest], pa.int64())], ["a", "b"])
+            names = sorted({sids[i] for pair in forest for i in pair})
+            groups = Groups(len(names))
+            for i, j in forest:
+                groups.join(bisect.bisect_left(names, sids[i]), bisect.bisect_left(names, sids[j]))
+            stars = groups.stars(range(len(names)))
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in stars], pa.int64()), pa.array([names[j] for _, j in stars], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for grp, low, high, block_, sid, blob in zip(*(c.to_pylist() for c in batch.columns)):
