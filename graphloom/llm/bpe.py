@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import share_bytes, tune, worker_state
+from graphloom.llm.common import cut, share_bytes, tune, worker_state
 from graphloom.llm.merging import LONGEST, PLAIN, Merger, lower
 
 #: Most frequent words that the lexicon holds: a bound on its size, not on the result.
@@ -199,9 +199,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, n_words: int) -> list[bytes]:
+    """Words counted so often that no more than n_words are counted as often: at most n_words rows reach the driver.
+
+    Counts up to 4096 stand for themselves and higher ones for a 64th of an octave, so there are few different ones.
+    """
+    level = F.when(F.col("n") <= 4096, F.col("n")).otherwise(4096 + F.floor(64 * F.log2(F.col("n") / 4096)) + 1).cast("long")
+    levels = counts.select(level.alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()
+    least, total = None, 0
+    for row in levels:
+        total += row["words"]
+        if total > n_words:
+            break
+        least = row["level"]
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in counts.where(level >= least).select("word").collect())
+
+
 def train_lexicon(docs: DataFrame, tokenizer_path: str, n_words: int = LEXICON_WORDS) -> bytes:
-    frequent = count_words(docs).filter(F.octet_length("word") <= LONGEST_WORD).orderBy(F.desc("n"), "word").limit(n_words).collect()  # n_words rows at most
-    words = [bytes(r["word"]) for r in frequent]
+    counts = cut(count_words(docs).filter(F.octet_length("word").between(1, LONGEST_WORD)), "words")
+    words = frequent_words(counts, n_words)
     return compile_lexicon(dict(zip(words, merge_words(open_tokenizer(tokenizer_path), words))))
 
 
