@@ -157,11 +157,13 @@ def _list_edges(n: np.ndarray, p: np.ndarray):
     inner = np.repeat(head, np.diff(np.append(edges, len(n))))
     i, j = np.triu_indices(len(edges), 1)
     # the best that any two members of blocks i and j could do; blocks that cannot are skipped whole
-    small = np.minimum(high[0][i], high[0][j])
-    large = np.maximum(low[0][i], low[0][j])
-    ok = 100 * small >= LINK_AT * large
-    apart = np.maximum(0, np.maximum(low[1][i] - high[1][j], low[1][j] - high[1][i]))
-    ok &= 100 * (small - apart) >= LINK_AT * large
+    ok = 100 * np.minimum(high[0][i], high[0][j]) >= LINK_AT * np.maximum(low[0][i], low[0][j])
+    best = np.zeros(len(i), np.int64)
+    for a, b in ((i, j), (j, i)):
+        # members of a come first: shingles are missing between the positions in the set of b alone
+        most = np.minimum(high[0][a], high[0][b] - np.maximum(0, low[1][b] - high[1][a]))
+        best = np.maximum(best, np.where(low[1][a] <= high[1][b], most, 0))
+    ok &= (100 + LINK_AT) * best >= LINK_AT * (low[0][i] + low[0][j])
     return np.concatenate((inner, head[i[ok]])), np.concatenate((order, head[j[ok]]))
 
 

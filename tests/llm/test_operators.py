@@ -114,6 +114,24 @@ def test_jaccard_resolve_equals_all_pairs():
         assert components(list(range(25)), lambda i, j: frozenset((i, j)) in forest) == expected
 
 
+def test_jaccard_blocks_of_a_list_lose_no_link():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n, p = [], []
+        for _ in range(20):  # one set that holds 80 to 82 hundredths of another, at any gap of positions
+            large = int(rng.integers(40, 400))
+            small = -(-large * int(rng.integers(80, 83)) // 100)
+            at = int(rng.integers(0, small // 5 + 1))
+            n += [small, large]
+            p += [at, at + int(rng.integers(0, large - small + 1))]
+        order = np.argsort(n, kind="stable")
+        n, p = np.array(n)[order], np.array(p)[order]
+        i, j = np.triu_indices(len(n), 1)
+        ok = jaccard._may_link(n[i], p[i], n[j], p[j])
+        found = components(list(range(len(n))), lambda a, b, e=set(map(frozenset, zip(*map(np.ndarray.tolist, jaccard._list_edges(n, p))))): frozenset((a, b)) in e)
+        assert all(found[a] == found[b] for a, b in zip(i[ok].tolist(), j[ok].tolist()))
+
+
 def test_keep_one_of_each(spark, rows):
     docs = frame(spark, rows)
     kept = jaccard.keep_one_of_each(docs)
