@@ -1,12 +1,11 @@
-"""Main text of web pages: declared structure first, a suffix array over each host's pages for the rest.
+"""Main text of web pages: declared structure first, repeated runs over each host's pages for the rest.
 
 Repetition across pages alone cannot tell an advert that occurs once from the article, nor an article's quotation that
 many pages share from boilerplate. So a page that declares its article (article, main, role or itemprop) is taken at
 its word, less the parts inside that are declared otherwise. Blocks of pages that declare nothing are judged by the
-host: the token streams of all undeclared and all declared non-article blocks of a host's pages are joined, a suffix
-array to MIN_RUN tokens finds the runs that two pages or more have, and a block that such runs cover for the larger
-part is dropped, as is one that consists of links; unique runs stay. A large host is dealt into chunks of about
-CHUNK pages, each with a suffix array of its own, so no host is an unbounded group.
+host: every run of MIN_RUN tokens of all undeclared and all declared non-article blocks is hashed with its host, the
+pages that have it are compared by a shuffle over runs, and a block that runs of two pages or more cover for the larger
+part is dropped, as is one that consists of links; unique runs stay. No task holds a host, so its size changes nothing.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; repeated rows and null
 page_ids are extracted row by row (a page repeated under one page_id does not count as two pages); an empty table
@@ -23,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import partitions, tune
+from graphloom.llm.common import cut, mix64, tune
 
 #: Tokens that a run must have to count as repeated.
 MIN_RUN = 8
-#: Pages of a host that share a suffix array.
-CHUNK = 512
 
 CONTENT, OPEN, CHROME = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,39 +161,21 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
     return out
 
 
-def repeated_runs(streams: list[np.ndarray], pages: list, run: int = MIN_RUN) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run of `run` tokens that another page has too: a suffix array to that depth."""
-    names: dict = {}
-    owner_of = [names.setdefault(p, len(names)) for p in pages]
-    ends = [np.concatenate((s, [-(i + 1)])) for i, s in enumerate(streams)]  # no run crosses pages
-    tokens = np.concatenate(ends) if ends else np.empty(0, np.int64)
-    owner = np.repeat(owner_of, [len(s) for s in ends]) if ends else np.empty(0, np.int64)
-    _, rank = np.unique(tokens, return_inverse=True)
-    depth = 1
-    while depth < run:  # ranks of prefixes of twice the length
-        step = min(depth, run - depth)
-        after = np.concatenate((rank[step:], np.full(step, -1)))
-        order = np.lexsort((after, rank))
-        new = np.concatenate(([False], (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])))
-        fresh = np.empty(len(rank), np.int64)
-        fresh[order] = np.cumsum(new)
-        rank, depth = fresh, depth + step
-    order = np.lexsort((owner, rank))
-    r, o = rank[order], owner[order]
-    start = np.concatenate(([True], r[1:] != r[:-1])) if len(r) else np.empty(0, bool)
-    group = np.cumsum(start) - 1
-    several = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-    several[group[1:][(~start[1:]) & (o[1:] != o[:-1])]] = True
-    hit = np.zeros(len(tokens) + run, np.int64)
-    places = order[several[group]] if len(group) else order
-    np.add.at(hit, places, 1)
-    np.add.at(hit, places + run, -1)
-    covered = np.cumsum(hit)[: len(tokens)] > 0
-    out, at = [], 0
-    for s in streams:
-        out.append(covered[at : at + len(s)])
-        at += len(s) + 1
-    return out
+def run_keys(stream: np.ndarray, host: int, run: int = MIN_RUN) -> np.ndarray:
+    """64-bit hashes of (host, `run` tokens), one for each place of the stream where such a run begins."""
+    n = max(0, len(stream) - run + 1)
+    keys = np.full(n, host & (2**64 - 1), np.uint64)
+    for d in range(run):
+        keys = mix64(keys * np.uint64(31) + stream[d : d + n].astype(np.uint64))
+    return keys
+
+
+def covered(repeated: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
+    """Which tokens lie in a run that is repeated, given whether the run at each place is."""
+    hit = np.zeros(len(repeated) + run, np.int64)
+    hit[: len(repeated)] += repeated
+    hit[run:] -= repeated
+    return np.cumsum(hit)[:-1] > 0
 
 
 def _tokens(text: str) -> list[int]:
@@ -250,50 +229,47 @@ def host_streams(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, _page_schema(pages) + ", stream binary, blocks array<string>, shares array<double>, sizes array<long>")
 
 
+def owners(rows: DataFrame) -> DataFrame:
+    """row, owner: rows of one page_id and url at a host count as one page."""
+    return rows.select("row", F.xxhash64("key", "page_id", "url").alias("owner"))
+
+
 def open_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text of the pages that declare no article but have open blocks."""
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
     streams = host_streams(pages).filter("octet_length(stream) > 0").withColumn("host", host)
-    size = streams.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count("blocks").alias("n_open")).filter("n_open > 0")
-    dealt = streams.join(size, "host").withColumn("chunk", F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
-
-    def solve(rows):
-        covered = repeated_runs([np.frombuffer(r[2], np.int64) for r in rows], [(r[0], r[1]) for r in rows])
-        out = []
-        for row, cover in zip(rows, covered):
-            if row[3] is None or not any(b is not None for b in row[3]):
-                continue
-            at, kept = 0, []
-            for text, share, n in zip(row[3], row[4], row[5]):
-                if text is not None and share <= 0.5 and 2 * cover[at : at + n].sum() <= n:
-                    kept.append(text)
-                at += n
-            out.append((row[0], row[1], " ".join(kept)))
-        return out
+    open_hosts = streams.filter("blocks is not null").select("host").distinct()
+    number = F.monotonically_increasing_id()
+    rows = cut(streams.join(open_hosts, "host", "left_semi").withColumn("key", F.xxhash64("host")).withColumn("row", number), "pages")
+    owned = rows.join(owners(rows), "row")
 
-    def run(batches):
-        now, held = None, []
+    def runs(batches):
+        for batch in batches:
+            owner, host_ = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            found = [np.unique(run_keys(np.frombuffer(x, np.int64), k)).view(np.int64) for x, k in zip(batch.column(2).to_pylist(), host_)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.repeat(owner, list(map(len, found))))], ["run", "owner"])
 
-        def emit():
-            rows = solve(held)
-            columns = list(zip(*rows)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kinds[0]), pa.array(columns[1], kinds[1]), pa.array(columns[2], pa.string())], ["page_id", "url", "text"])
+    # the least and the largest owner of a run say whether two pages have it, and combine before the shuffle
+    repeated = owned.select("owner", "key", "stream").mapInArrow(runs, "run long, owner long").groupBy("run").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("run")
+    held = rows.filter("blocks is not null").select("row", "key", "stream").mapInArrow(runs, "run long, owner long").withColumnRenamed("owner", "row")
+    marked = held.join(repeated, "run", "left_semi").groupBy("row").agg(F.collect_list("run").alias("runs"))
 
-        kinds = None
+    def solve(batches):
         for batch in batches:
-            kinds = [batch.schema.field("page_id").type, batch.schema.field("url").type]
-            for host_, chunk, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (host_, chunk) != now:
-                    if held:
-                        yield emit()
-                    now, held = (host_, chunk), []
-                held.append(rest)
-        if held:
-            yield emit()
-
-    grouped = dealt.select("host", "chunk", "page_id", "url", "stream", "blocks", "shares", "sizes").repartition(partitions(spark), "host", "chunk").sortWithinPartitions("host", "chunk")
-    return grouped.mapInArrow(run, _page_schema(pages) + ", text string")
+            texts = []
+            for key, stream, blocks, shares, sizes, marks in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                cover = covered(np.isin(run_keys(np.frombuffer(stream, np.int64), key).view(np.int64), np.array(marks or [], np.int64)))
+                at, kept = 0, []
+                for text, share, n in zip(blocks, shares, sizes):
+                    if text is not None and share <= 0.5 and 2 * cover[at : at + n].sum() <= n:
+                        kept.append(text)
+                    at += n
+                texts.append(" ".join(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    judged = rows.filter("exists(blocks, b -> b is not null)").join(marked, "row", "left")
+    return judged.select("page_id", "url", "key", "stream", "blocks", "shares", "sizes", "runs").mapInArrow(solve, _page_schema(pages) + ", text string")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -383,6 +383,16 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_pages_of_a_large_host(spark):
+    boiler = " ".join(f"menu{i}" for i in range(12))
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(15))
+    # each pair of pages shares a passage of its own, on a host that no single task would hold
+    rows = [(i, f"http://big.org/{i}", f"<div>{boiler} pair{i % 600} {' '.join(f'p{i % 600}q{k}' for k in range(10))}</div><div>{own(i)}</div>") for i in range(1200)]
+    rows += [(i, f"http://big.org/{i}", f"<div>{' '.join(f'z{i % 40}q{k}' for k in range(12))}</div><div>{own(i)}</div>") for i in range(1200, 1280)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own(i) for i in range(1280)}
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE", 16)
     rng = np.random.default_rng(1)
