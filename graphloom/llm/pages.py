@@ -5,7 +5,8 @@ many pages share from boilerplate. So a page that declares its article (article,
 its word, less the parts inside that are declared otherwise. Blocks of pages that declare nothing are judged by the
 host: every run of MIN_RUN tokens of all undeclared and all declared non-article blocks is hashed with its host, the
 pages that have it are compared by a shuffle over runs, and a block that runs of two pages or more cover for the larger
-part is dropped, as is one that consists of links; unique runs stay. No task holds a host, so its size changes nothing.
+part is dropped, as is one that consists of links; unique runs stay. Copies and near copies of a page at a host (by the
+n-gram Jaccard join over their open blocks) count as one page, so that they do not empty each other. No task holds a host, so its size changes nothing.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; repeated rows and null
 page_ids are extracted row by row (a page repeated under one page_id does not count as two pages); an empty table
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, mix64, tune
+from graphloom.llm.components import connected_components
+from graphloom.llm.jaccard import similar_components
 
 #: Tokens that a run must have to count as repeated.
 MIN_RUN = 8
@@ -230,8 +233,17 @@ def host_streams(pages: DataFrame) -> DataFrame:
 
 
 def owners(rows: DataFrame) -> DataFrame:
-    """row, owner: rows of one page_id and url at a host count as one page."""
-    return rows.select("row", F.xxhash64("key", "page_id", "url").alias("owner"))
+    """row, owner: rows of one page_id and url at a host, and pages whose open blocks are equal or near copies, count as one page."""
+    page = F.xxhash64("key", "page_id", "url")
+    # blocks that consist of links are never kept, so they do not tell copies apart
+    kept = F.filter(F.arrays_zip("blocks", "shares"), lambda x: x["blocks"].isNotNull() & (x["shares"] <= 0.5))
+    texts = rows.filter("blocks is not null").select(F.col("row").alias("doc_id"), F.array_join(F.transform(kept, lambda x: x["blocks"]), " ").alias("text"))
+    sets, linked = similar_components(texts)
+    copies = sets.filter("n > 0").join(linked, "sid", "left").select(F.col("doc_id").alias("row"), F.coalesce("grp", "sid").alias("copy"))
+    pages = rows.select("row", "key", page.alias("page"))
+    edges = pages.join(copies, "row").select(F.col("page").alias("a"), F.xxhash64("key", "copy", F.lit("copy")).alias("b"))
+    found = cut(connected_components(edges), "owners")
+    return pages.join(found, pages["page"] == found["id"], "left").select("row", F.coalesce("component", "page").alias("owner"))
 
 
 def open_texts(pages: DataFrame) -> DataFrame:

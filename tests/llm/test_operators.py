@@ -393,6 +393,16 @@ def test_pages_of_a_large_host(spark):
     assert got == {i: own(i) for i in range(1280)}
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
+    boiler = " ".join(f"menu{i}" for i in range(12))
+    rows = [(i, f"http://c.org/{i}", f"<div>{boiler}</div><div>{own(i)}</div>") for i in range(4)]
+    rows += [(10, "http://c.org/0?print", rows[0][2]), (11, "http://c.org/1b", rows[1][2] + "<div>printed on a day of may</div>")]
+    rows += [(20 + i, f"http://d.org/{i}", f"<div>{own(9)}</div>") for i in range(30)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: own(i) for i in range(4)}, 10: own(0), 11: own(1) + " printed on a day of may", **{20 + i: own(9) for i in range(30)}}
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TILE", 16)
     rng = np.random.default_rng(1)
