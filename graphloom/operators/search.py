@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import let
 from graphloom.graph import Graph
+from graphloom.lineage import cut
+from graphloom.operators.traverse import reach
 
 K1, B = 1.2, 0.75
 WORD_BREAK = "[^a-z0-9]+"
@@ -39,12 +41,52 @@ def search(docs: DataFrame, key: str, phrase: str, *columns: str) -> DataFrame:
     return per_doc.where("hits > 0").join(F.broadcast(whole)).select("key", F.col("hits").cast("long").alias("hits"), score.alias("score"))
 
 
-def relevant_nodes(g: Graph, words: list[str], most: int = 20) -> DataFrame:
-    """Nodes by how many of the words their title or id contains, then nodes of the same files, by inserted order."""
-    text = F.lower(F.concat_ws(" ", "id", "title"))
-    score = sum((text.contains(w.lower()).cast("int") for w in words), F.lit(0))
-    scored = g.nodes.withColumn("score", score)
-    top = scored.where("score > 0").orderBy(F.desc("score"), "ord").limit(most)
-    files = top.select("file_path").where("file_path is not null").distinct()
-    near = scored.where("score = 0").join(F.broadcast(files), "file_path", "left_semi").select(scored.columns)
-    return top.select("id", "score", F.lit("match").alias("why")).unionByName(near.select("id", "score", F.lit("same_file").alias("why")))
+def relevant_nodes(g: Graph, words: list[str]) -> DataFrame:
+    """(id, score, why) of all nodes by how many of the words their id, title or path has, then of the nodes these lead to.
+
+    why is match, same_file, inheritance (ten first parents up and the children of classes, with the nodes of their files)
+    or import (files that a found file imports and that hold a name like a word, with their nodes). Order is by score.
+    """
+    title, path = (F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "file_path"))
+    words = [w.lower() for w in words]
+    # read many times below
+    nodes = cut(g.nodes.select("id", "title", "file_path", "node_type", "node_kind"), "nodes")
+    edges = cut(g.edges.where("relation in ('inherits', 'imports')").select("src", "dst", "relation", "ord"), "edges")
+
+    def has(w: str) -> Column:
+        turned = (F.length(title) >= 5) & F.lit(w).contains(F.regexp_replace(title, "^_+", ""))
+        return F.lower("id").contains(w) | title.contains(w) | path.contains(w) | turned
+
+    def of_kind(kind: str) -> Column:
+        return F.coalesce(F.lower("node_kind") == kind, F.lit(False)) | F.coalesce(F.col("node_type") == kind, F.lit(False))
+
+    def in_files(ids: DataFrame) -> DataFrame:
+        files = nodes.join(ids, "id", "left_semi").where("file_path is not null").select("file_path").distinct()
+        return nodes.join(files, "file_path", "left_semi").select("id")
+
+    def grown(found: DataFrame, ids: DataFrame, why: str) -> DataFrame:
+        new = ids.distinct().join(found, "id", "left_anti").join(nodes, "id", "left_semi")
+        return cut(found.unionByName(new.select("id", F.lit(0).alias("score"), F.lit(why).alias("why"))), why)
+
+    score = sum((has(w).cast("int") for w in words), F.lit(0))
+    found = cut(nodes.select("id", score.alias("score"), F.lit("match").alias("why")).where("score > 0"), "match")
+    found = grown(found, in_files(found.select("id")), "same_file")
+
+    kin = edges.where("relation = 'inherits'").select("src", "dst", "ord")
+    classes = nodes.where(of_kind("class")).join(found, "id", "left_semi").select("id").distinct()
+    parents = kin.groupBy(F.col("src").alias("at")).agg(F.min_by("dst", "ord").alias("to"), F.lit("inherits").alias("via"), F.min("ord").alias("ord"))
+    seeds = classes.join(parents, classes["id"] == parents["at"], "left_semi").select(F.col("id").alias("seed"))
+    above = reach(parents, seeds, 10).select("id")
+    below = kin.join(classes, kin["dst"] == classes["id"], "left_semi").select(F.col("src").alias("id"))
+    kin_ids = above.unionByName(below).distinct().join(found, "id", "left_anti")
+    found = grown(found, kin_ids.unionByName(in_files(kin_ids)), "inheritance")
+
+    files = nodes.where(of_kind("file")).select("id", "file_path")
+    near = files.join(found, "id", "left_semi").select(F.col("id").alias("src")).distinct()
+    imported = edges.where("relation = 'imports'").join(near, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    like = F.lit(False)
+    for w in words:
+        like = like | title.contains(w) | F.lit(w).contains(title)
+    named = nodes.where(~of_kind("file") & like).select("file_path").distinct()
+    new = files.join(imported, "id", "left_semi").join(found, "id", "left_anti").join(named, "file_path", "left_semi").select("id")
+    return grown(found, new.unionByName(in_files(new)), "import")

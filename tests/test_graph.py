@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.graph import EDGE, NODE, Graph, fill
-from graphloom.operators import advise, aggregates, community, context, extract, integrity, mutate, projection, scans, schedule, setops, traverse
+from graphloom.operators import advise, aggregates, community, context, extract, integrity, mutate, projection, scans, schedule, search, setops, traverse
 from graphloom.sources import io
 
 
@@ -160,3 +160,14 @@ def test_sources_and_extract(spark, tmp_path):
 def test_dead_code(spark):
     g = graph(spark, [(x, {"node_type": "function"}) for x in ("main", "used", "unused", "test_a")], [("main", "used", "calls")])
     assert ids(advise.dead_code(g)) == {"unused"}
+
+
+def test_relevant_nodes(spark):
+    node = lambda i, kind, path=None: (i, {"node_type": kind, "file_path": path})
+    nodes = [f"hit{i}" for i in range(30)]
+    nodes += [node("hit_class", "class", "a"), node("beside", "file", "a"), node("parent", "class", "b"), node("by_parent", "function", "b"), node("second", "class"), node("child", "class"), node("far", "task", "z")]
+    nodes += [node("imported", "file", "c"), node("hi", "function", "c"), node("other", "file", "d"), node("unlike", "function", "d")]
+    edges = [("hit_class", "parent", "inherits"), ("hit_class", "second", "inherits"), ("child", "hit_class", "inherits"), ("beside", "imported", "imports"), ("beside", "other", "imports")]
+    got = {r.id: (r.score, r.why) for r in search.relevant_nodes(graph(spark, nodes, edges), ["HIT", "none"]).collect()}
+    expected = {f"hit{i}": (1, "match") for i in range(30)} | {"hit_class": (1, "match"), "beside": (0, "same_file")}
+    assert got == expected | {k: (0, "inheritance") for k in ("parent", "by_parent", "child")} | {k: (0, "import") for k in ("imported", "hi")}
