@@ -58,16 +58,16 @@ def sized(a, b):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size) and sid (name of the set) of every row."""
+    """doc_id, mark (checksum of the text), n (set size) and sid (name of the set) of every row of docs(doc_id, text, mark)."""
 
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(*text_bytes(batch.column(1))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets))], ["doc_id", "n", "sid"]
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets))], ["doc_id", "mark", "n", "sid"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, sid long")
 
 
 def _blob_rows(parts):
@@ -279,27 +279,35 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sid) of every row and (sid, grp) of every set that links with another, grp naming its component."""
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     n_parts = partitions(spark)
     rows = cut(describe(docs), "sets")
     index = index_prefixes(docs, n_parts)
     edges = candidate_edges(rare_postings(shared_postings(index, n_parts), n_parts), n_parts)
     candidates = cut(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("grp")), "candidates")
-    # one row for each candidate set says where its text is
-    where = rows.join(candidates, "sid").groupBy("sid", "grp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    # one (doc_id, checksum) for each candidate set says where its text is; a set that only rows without a doc_id hold has one too
+    where = rows.join(candidates, "sid").groupBy("sid", "grp").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.max("n").alias("n"))
+    where = where.select("sid", "grp", "at.doc_id", "at.mark", "n")
     group = where.groupBy("grp").agg(F.sum(8 * F.col("n")).alias("bytes"))
     where = where.join(group, "grp").withColumn("n_blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
     where = cut(where, "where")
     # by merge at every size: what is shuffled then follows the input, not a switch to broadcasting
-    texts = docs.join(where.select("doc_id", "sid", "grp", "n_blocks").hint("merge"), "doc_id")
+    at = where.select(F.col("doc_id").alias("at_id"), F.col("mark").alias("at_mark"), "sid", "grp", "n_blocks").hint("merge")
+    texts = docs.join(at, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark")))
 
     def sets(batches):
+        sent = set()  # repeated rows of one doc_id and text meet here, and go once
         for batch in batches:
             if not batch.num_rows:
                 continue
             found = list(shingle_sets(*text_bytes(batch.column(1))))
-            keep = np.flatnonzero(set_ids(found) == batch.column(2).to_numpy())  # rows of one doc_id may differ in text
-            taken = pa.array(keep)
+            sids = batch.column(2).to_numpy()
+            first = np.zeros(len(sids), bool)
+            first[np.unique(sids, return_index=True)[1]] = True
+            # the checksum in the join is no proof: the set is
+            keep = [i for i in np.flatnonzero(first & (set_ids(found) == sids)).tolist() if sids[i] not in sent]
+            sent.update(sids[keep].tolist())
+            taken = pa.array(keep, pa.int64())
             blobs = pa.array([found[i].tobytes() for i in keep], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(i).take(taken) for i in (2, 3, 4)] + [blobs], ["sid", "grp", "n_blocks", "blob"])
 

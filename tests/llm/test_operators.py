@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit as spark_lit
 
 from graphloom.llm import bpe, jaccard, licences, neighbours, packing, pages, pii, quality, sharding, suffixes
 
@@ -92,6 +93,24 @@ def test_jaccard(spark, rows):
     assert got == expected
 
 
+def test_jaccard_links_through_rows_without_an_id(spark):
+    rng = random.Random(9)
+    words_ = [f"w{rng.randrange(10**6)}" for _ in range(130)]
+    swap = lambda at, by: " ".join([*words_[:at], by, *words_[at + 1 :]])
+    far = words_.copy()
+    far[10], far[100] = "left", "right"
+    # 1 is linked with a set that only rows without an id hold; 5 and 8 are linked through one alone
+    other = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    left, right = other.copy(), other.copy()
+    left[8], right[50] = "l", "r"
+    rows_ = [(None, " ".join(words_)), (None, " ".join(words_)), (1, swap(60, "x")), (9, " ".join(far)), (5, " ".join(left)), (None, " ".join(other)), (8, " ".join(right)), (None, "alone and without any id or link")]
+    sets = [shingles(t) for _, t in rows_]
+    comps = components([d for d, _ in rows_], lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert comps == [1, 1, 1, 1, 5, 5, 5, None]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows_)).collect())
+    assert got == Counter((d, c) for (d, _), c in zip(rows_, comps))
+
+
 def test_jaccard_blocks(spark, rows, monkeypatch):
     whole = Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows)).collect()))
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
@@ -213,6 +232,14 @@ def test_quality(spark, rows):
     assert kept.count() == sum(r.kept for r in quality.score(frame(spark, rows)).collect())
 
 
+def test_quality_keeps_columns_of_any_name(spark, rows):
+    docs = frame(spark, rows).withColumnsRenamed({"part": "n_words", "blob": "packed_stats", "n": "vote_length", "kept": "failed"}).withColumn("a.b", spark_lit(7))
+    kept = quality.filter_documents(docs)
+    assert kept.dtypes == docs.dtypes
+    assert {tuple(r)[2:] for r in kept.collect()} == {(1, "x", 2, True, 7)}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.score(frame(spark, rows)).collect() if r.kept)
+
+
 def test_quality_model_separates():
     rng = random.Random(1)
     truth, patterns = [], Counter()
