@@ -1,34 +1,56 @@
-"""Main text of web pages: declared structure first, repeated runs over each host's pages for the rest.
-
-Repetition across pages alone cannot tell an advert that occurs once from the article, nor an article's quotation that
-many pages share from boilerplate. So a page that declares its article (article, main, role or itemprop) is taken at
-its word, less the parts inside that are declared otherwise. Blocks of pages that declare nothing are judged by the
-host: every run of MIN_RUN tokens of all undeclared and all declared non-article blocks is hashed with its host, the
-pages that have it are compared by a shuffle over runs, and a block that runs of two pages or more cover for the larger
-part is dropped, as is one that consists of links; unique runs stay. Copies and near copies of a page at a host (by the
-n-gram Jaccard join over their open blocks) count as one page, so that they do not empty each other. No task holds a host, so its size changes nothing.
-
-Defined results: a null or empty html gives an empty text; a null url is a host of its own; repeated rows and null
-page_ids are extracted row by row (a page repeated under one page_id does not count as two pages); an empty table
-gives an empty result; extra columns are ignored; broken markup is read as far as it goes.
+"""Main text of web pages: runs of tokens that repeat across a host's pages, with the markup's declarations as evidence.
+
+Each page is parsed once into blocks, written to the shared folder; a host's token streams are compared by runs, and
+covered runs go while unique ones stay. What a block declares (article, nav, an advert's class name) sets how much
+repetition it takes:
+
+- blocks that declare something else than an article go: an advert that occurs once repeats nowhere;
+- of a block that a covered run holds in part, only pieces of a run's length go;
+- open blocks, on pages that declare no article, lose every token in a run of MIN_RUN tokens that two pages have, be it
+  in open blocks or in blocks declared as something else; blocks that consist of links go. Copies and near copies of a
+  page at a host (by the n-gram Jaccard join over open blocks) count as one page, so that they do not empty each other;
+- declared articles lose every token in a run of ARTICLE_RUN tokens that at least half of the host's articles have, if
+  these are MIN_PAGES or more: a share line or a notice without a mark. A passage that fewer pages share is a quotation
+  and stays. An article that such runs cover for the larger part is a copy of the others and keeps all.
+
+Of the suffix array only the answer is built: which strings of so many tokens occur on which number of pages, counted
+by a shuffle over hashed runs. For articles only anchors are sent at first (the smallest of each window of grams, which
+content alone decides, so pages that share a string share its anchors), then the runs around frequent anchors. No task
+holds a host, and the size of a host changes nothing.
+
+Defined results: a null or empty html gives an empty text; a page with a null url, or one without a host, is judged by
+itself; repeated rows and null page_ids are extracted row by row (a page repeated under one page_id and url does not
+count as two pages for open blocks); an empty table gives an empty result; extra columns are ignored; broken markup is
+read as far as it goes; very long pages are read whole. White space is what Unicode calls so, no-break spaces included.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, mix64, tune
+from graphloom.llm.common import cut, mix64, text_bytes, tune
 from graphloom.llm.components import connected_components
 from graphloom.llm.jaccard import similar_components
+from graphloom.llm.shingles import word_hashes
+from graphloom.llm.suffixes import anchors
 
-#: Tokens that a run must have to count as repeated.
+#: Tokens that a run must have to count as repeated, in open blocks and in declared articles.
 MIN_RUN = 8
+ARTICLE_RUN = 10
+#: Tokens of the grams among which anchors are chosen, and the places of a gram in a run.
+GRAM = 4
+PLACES = ARTICLE_RUN - GRAM + 1
+#: Articles that a host must have before half of them can make a run a notice.
+MIN_PAGES = 3
+#: Bytes of frequent runs of all hosts up to which they are sent to every task; beyond, pages are joined with them by host.
+SENT_BYTES = 4 << 20
 
 CONTENT, OPEN, CHROME = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,37 +60,49 @@ OUTSIDE = frozenset("nav footer aside form menu button select option label field
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-#: Names (parts of class, id and role) that declare something else than an article, whole or as beginnings.
-NAMES = frozenset("ad ads adv nav toc cta dfp gdpr tags meta".split())
-BEGINNINGS = (
-    "advert", "adsense", "adslot", "adbox", "banner", "breadcrumb", "comment", "consent", "contentinfo", "cookie", "complementary", "dialog", "discuss", "disqus", "footer",
-    "masthead", "menu", "modal", "navbar", "navi", "newsletter", "notice", "outbrain", "overlay", "pagination", "paywall", "popup", "promo", "recommend", "related",
-    "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "subscribe", "taboola", "toolbar", "widget", "alert", "search",
-)
+#: Words of class names, ids and roles that declare something else than an article.
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary "
+    "consent contentinfo cookie cookies cta dfp dialog discussion disqus footer gdpr masthead menu menus meta modal nav navbar navi navigation newsletter notice notices outbrain overlay "
+    "pager pagination paywall popup promo promos promoted promotion recommendation recommendations recommended related replies reply respond search share sharebar sharing sidebar sidenav "
+    "signup social sponsor sponsored sponsors subscribe subscription taboola tags toc toolbar widget widgets".split()
+)
+#: Words that may stand beside them in one name; with any other word ("share-prices") a name declares nothing.
+BESIDE = frozenset(
+    "a an and area article articles bar block body bottom box btn button buttons by center col column container content count desktop email entries entry feed field fixed floating for form "
+    "global group head header heading holder icon icons id in inner input item items js label large latest left link links list local main me media middle mobile module more now number of on "
+    "outer page panel popular post posts primary recent right row secondary section site slot small sticky stories story strip text the title to top unit us wide with wrap wrapper your zone".split()
+)
+#: Elements in which a header belongs to what they hold, not to the site.
+HOLDERS = frozenset("article main section".split())
 #: Elements that close an open element of the same set when they begin.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_THAT_END_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MARK = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-PART = re.compile(r"[a-z0-9]+")
+PART = re.compile(r"[A-Za-z]+|[0-9]+")
+
 
+def _names_chrome(name: str) -> bool:
+    """Whether a class name or id says that its element is no part of an article."""
+    parts = [p.lower() for p in PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+    return any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE or p.isdigit() for p in parts)
 
-def _declared(tag: str, attributes: str) -> int | None:
-    """CONTENT or CHROME if the element declares what it holds, else None."""
+
+def _declared(tag: str, attributes: str, held: bool) -> int | None:
+    """CONTENT or CHROME if the element declares what it holds, else None. held: whether it stands in one of HOLDERS."""
     found = {}
     if attributes.strip(" /\t\n\r\f"):
         for k, v in ATTRIBUTE.findall(attributes):
-            found[k.lower()] = html_lib.unescape(v.strip("\"'")).lower() if v else ""
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+            found.setdefault(k.lower(), html_lib.unescape(v.strip("\"'")) if v else "")
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return CHROME
+    role = found.get("role", "").lower()
+    if tag in OUTSIDE or (tag == "header" and not held) or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form"):
         return CHROME
-    role = found.get("role", "")
-    if tag in OUTSIDE or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form"):
+    if tag not in ("html", "body", "main") and any(map(_names_chrome, (found.get("class", "") + " " + found.get("id", "")).split())):
         return CHROME
-    if tag not in ("html", "body"):
-        for part in PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", ""))):
-            if part in NAMES or (part.startswith(BEGINNINGS) and tag not in ("main",)):
-                return CHROME
-    if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articlebody":
+    if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
         return CONTENT
     return None
 
@@ -78,8 +112,9 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
     out: list[tuple[str, int, float]] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
-    linked = total = links = 0
+    linked = total = links = holders = 0
     kind = OPEN
+    opened: Counter = Counter()  # elements of each name on the stack
 
     def flush():
         nonlocal linked, total
@@ -107,8 +142,11 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
             kind = now
 
     def pop_to(i: int):
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[i:])
+        nonlocal links, holders
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+            links -= t == "a"
+            holders -= t in HOLDERS
         del stack[i:]
         turn()
 
@@ -132,10 +170,8 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
         if m[3]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            if opened[tag]:
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag not in INLINE:
             flush()
@@ -145,7 +181,7 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
             continue
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS_THAT_END_P else set())
         if closes:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
+            for k in range(len(stack) - 1, -1, -1):  # up to the nearest block that is not closed by this one
                 if stack[k][0] in closes:
                     pop_to(k)
                     break
@@ -155,10 +191,12 @@ def blocks_of(html: str) -> list[tuple[str, int, float]]:
             continue
         own = stack[-1][1] if stack else OPEN
         if own != CHROME:
-            said = _declared(tag, m[5])
+            said = _declared(tag, m[5], holders > 0)
             own = own if said is None else said
         stack.append((tag, own))
+        opened[tag] += 1
         links += tag == "a"
+        holders += tag in HOLDERS
         turn()
     flush()
     return out
@@ -169,7 +207,7 @@ def run_keys(stream: np.ndarray, host: int, run: int = MIN_RUN) -> np.ndarray:
     n = max(0, len(stream) - run + 1)
     keys = np.full(n, host & (2**64 - 1), np.uint64)
     for d in range(run):
-        keys = mix64(keys * np.uint64(31) + stream[d : d + n].astype(np.uint64))
+        keys = mix64(keys * np.uint64(31) + stream[d : d + n])
     return keys
 
 
@@ -181,63 +219,144 @@ def covered(repeated: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
     return np.cumsum(hit)[:-1] > 0
 
 
-def _tokens(text: str) -> list[int]:
-    import zlib
+def within_blocks(cover: np.ndarray, counts: np.ndarray, run: int) -> np.ndarray:
+    """cover, less the pieces that hold a part of a block only and fewer than `run` tokens of it: the first words of an
+    article are not boilerplate because they follow some."""
+    if not cover.any():
+        return cover
+    ends = np.cumsum(counts)
+    first = np.zeros(len(cover), bool)
+    first[(ends - counts)[counts > 0]] = True
+    starts = np.flatnonzero(cover & (first | ~np.concatenate(([False], cover[:-1]))))
+    lengths = np.add.reduceat(cover.astype(np.int64), starts)  # a piece ends at the next one, or where the cover does
+    block = np.searchsorted(ends, starts, "right")
+    keep = np.repeat((lengths >= run) | (lengths == counts[block]), lengths)
+    out = np.zeros(len(cover), bool)
+    out[np.flatnonzero(cover)[keep]] = True
+    return out
 
-    return [zlib.crc32(w.encode()) for w in text.lower().split()]
 
+def own_anchors(stream: np.ndarray, host: int, _) -> np.ndarray:
+    """Hashes of the anchors of a stream."""
+    grams = run_keys(stream, host, GRAM)
+    return np.unique(grams[anchors(grams, PLACES)])
 
-def _page_schema(pages: DataFrame) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return f"page_id {kinds['page_id']}, url {kinds['url']}"
 
+def near_anchors(stream: np.ndarray, host: int, wanted: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ARTICLE_RUN tokens that hold an anchor of `wanted`."""
+    grams = run_keys(stream, host, GRAM)
+    at = anchors(grams, PLACES)
+    at = at[np.isin(grams[at].view(np.int64), wanted)]
+    starts = np.unique((at[:, None] - np.arange(PLACES)).ravel())
+    keys = run_keys(stream, host, ARTICLE_RUN)
+    return np.unique(keys[starts[(starts >= 0) & (starts < len(keys))]])
 
-def declared_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of pages that declare their article or have no text at all; nothing is shuffled."""
+
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, number of tokens of each text); A-Z and a-z are one."""
+    return word_hashes(*text_bytes(pa.array(texts, pa.string())))
+
+
+def without_runs(texts: list[str], cover: np.ndarray) -> list[str]:
+    """The texts without the tokens that are covered; texts of which nothing is left go."""
+    if not cover.any():
+        return texts
+    out, at = [], 0
+    for text in texts:
+        words = text.split(" ")
+        kept = [w for w, c in zip(words, cover[at : at + len(words)].tolist()) if not c]
+        at += len(words)
+        if kept:
+            out.append(" ".join(kept))
+    return out
+
+
+BLOCKS = "texts array<string>, kinds array<int>, shares array<double>"
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """page_id, url, texts, kinds and shares (of links) of the blocks of every row; nothing is shuffled."""
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def run(batches):
         for batch in batches:
-            keep, texts = [], []
-            for i, html in enumerate(batch.column(2).to_pylist()):
-                blocks = blocks_of(html or "")
-                if any(k == CONTENT for _, k, _ in blocks) or not any(k == OPEN for _, k, _ in blocks):
-                    keep.append(i)
-                    texts.append(" ".join(t for t, k, _ in blocks if k == CONTENT))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            found = [blocks_of(html or "") for html in batch.column(2).to_pylist()]
+            columns = [pa.array([[b[i] for b in blocks] for blocks in found], pa.list_(t)) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "texts", "kinds", "shares"])
 
-    return pages.mapInArrow(run, _page_schema(pages) + ", text string")
+    return pages.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, {BLOCKS}")
 
 
-def host_streams(pages: DataFrame) -> DataFrame:
-    """page_id, url, tokens of the blocks outside any declared article, and the blocks of pages that declare none."""
+def _of_kind(kind: int):
+    """Texts of the blocks of a kind, as an array."""
+    return F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda b: b["kinds"] == kind), lambda b: b["texts"])
 
-    def run(batches):
+
+def _hashes(batches, make, name: str):
+    """(key, name) for each hash that make(stream, key, wanted) gives for the rows (key, texts, wanted)."""
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        found = [make(tokens_of(t)[0], int(k), np.array(w or [], np.int64)).view(np.int64) for k, t, w in zip(key, batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, list(map(len, found)))), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["key", name])
+
+
+def frequent_runs(articles: DataFrame) -> DataFrame | None:
+    """(key, runs): the runs of ARTICLE_RUN tokens that at least half of a host's articles have; None if there are none.
+
+    A host has at most twice as many of them as its articles have tokens on average, however many articles it has.
+    """
+    hosts = articles.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+
+    def frequent(found: DataFrame, name: str) -> DataFrame:
+        counted = found.groupBy("key", name).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(hosts, "key")
+        return counted.filter(F.col("n") * 2 >= F.col("pages")).groupBy("key").agg(F.collect_list(name).alias("wanted"))
+
+    nothing = F.lit(None).cast("array<long>").alias("wanted")
+    sent = articles.select("key", "texts", nothing).mapInArrow(lambda b: _hashes(b, own_anchors, "anchor"), "key long, anchor long")
+    likely = cut(frequent(sent, "anchor"), "anchors")
+    if likely.isEmpty():
+        return None
+    around = with_runs(articles.select("key", "texts"), likely, "inner").mapInArrow(lambda b: _hashes(b, near_anchors, "run"), "key long, run long")
+    runs = cut(frequent(around, "run"), "runs")
+    return None if runs.isEmpty() else runs
+
+
+def with_runs(rows: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """rows with the runs of their host, which go to every task only if they are few."""
+    size = runs.agg(F.sum(8 * F.size("wanted") + 16)).first()[0] or 0
+    return rows.join(F.broadcast(runs) if size <= SENT_BYTES else runs, "key", how)
+
+
+def declared_texts(rows: DataFrame) -> DataFrame:
+    """page_id, url, text of the pages that declare an article, less the runs that half of the host's articles have."""
+    articles = rows.filter(F.exists("kinds", lambda k: k == CONTENT)).select("page_id", "url", "key", _of_kind(CONTENT).alias("texts"))
+    runs = frequent_runs(articles.filter("key is not null"))
+    whole = F.array_join("texts", " ").alias("text")
+    if runs is None:
+        return articles.select("page_id", "url", whole)
+    joined = with_runs(articles, runs, "left")
+
+    def solve(batches):
         for batch in batches:
-            streams, blocks_, shares, sizes = [], [], [], []
-            for html in batch.column(2).to_pylist():
-                blocks = blocks_of(html or "")
-                open_page = not any(k == CONTENT for _, k, _ in blocks)
-                outside = [b for b in blocks if b[1] != CONTENT]
-                tokens = [_tokens(t) for t, _, _ in outside]
-                streams.append(np.array([x for t in tokens for x in t], np.int64).tobytes())
-                blocks_.append([t if open_page and k == OPEN else None for t, k, _ in outside] if open_page else None)
-                shares.append([s for _, _, s in outside] if open_page else None)
-                sizes.append([len(t) for t in tokens] if open_page else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(streams, pa.binary()), pa.array(blocks_, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.int64()))],
-                ["page_id", "url", "stream", "blocks", "shares", "sizes"],
-            )
-
-    return pages.mapInArrow(run, _page_schema(pages) + ", stream binary, blocks array<string>, shares array<double>, sizes array<long>")
+            out = []
+            for key, texts, wanted in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                stream, counts = tokens_of(texts)
+                cover = covered(np.isin(run_keys(stream, key, ARTICLE_RUN).view(np.int64), np.array(wanted, np.int64)), ARTICLE_RUN)[: len(stream)]
+                cover = within_blocks(cover, counts, ARTICLE_RUN)
+                out.append(" ".join(texts if 2 * cover.sum() > len(stream) else without_runs(texts, cover)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    judged = joined.filter("wanted is not null").select("page_id", "url", "key", "texts", "wanted").mapInArrow(solve, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return judged.unionByName(joined.filter("wanted is null").select("page_id", "url", whole))
 
 
 def owners(rows: DataFrame) -> DataFrame:
     """row, owner: rows of one page_id and url at a host, and pages whose open blocks are equal or near copies, count as one page."""
     page = F.xxhash64("key", "page_id", "url")
     # blocks that consist of links are never kept, so they do not tell copies apart
-    kept = F.filter(F.arrays_zip("blocks", "shares"), lambda x: x["blocks"].isNotNull() & (x["shares"] <= 0.5))
-    texts = rows.filter("blocks is not null").select(F.col("row").alias("doc_id"), F.array_join(F.transform(kept, lambda x: x["blocks"]), " ").alias("text"))
+    kept = F.filter(F.arrays_zip("texts", "kinds", "shares"), lambda x: (x["kinds"] == OPEN) & (x["shares"] <= 0.5))
+    texts = rows.filter("open").select(F.col("row").alias("doc_id"), F.array_join(F.transform(kept, lambda x: x["texts"]), " ").alias("text"))
     sets, linked = similar_components(texts)
     copies = sets.filter("n > 0").join(linked, "sid", "left").select(F.col("doc_id").alias("row"), F.coalesce("grp", "sid").alias("copy"))
     pages = rows.select("row", "key", page.alias("page"))
@@ -246,49 +365,57 @@ def owners(rows: DataFrame) -> DataFrame:
     return pages.join(found, pages["page"] == found["id"], "left").select("row", F.coalesce("component", "page").alias("owner"))
 
 
-def open_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of the pages that declare no article but have open blocks."""
-    spark = pages.sparkSession
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    streams = host_streams(pages).filter("octet_length(stream) > 0").withColumn("host", host)
-    open_hosts = streams.filter("blocks is not null").select("host").distinct()
-    number = F.monotonically_increasing_id()
-    rows = cut(streams.join(open_hosts, "host", "left_semi").withColumn("key", F.xxhash64("host")).withColumn("row", number), "pages")
-    owned = rows.join(owners(rows), "row")
-
-    def runs(batches):
-        for batch in batches:
-            owner, host_ = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            found = [np.unique(run_keys(np.frombuffer(x, np.int64), k)).view(np.int64) for x, k in zip(batch.column(2).to_pylist(), host_)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.repeat(owner, list(map(len, found))))], ["run", "owner"])
-
-    # the least and the largest owner of a run say whether two pages have it, and combine before the shuffle
-    repeated = owned.select("owner", "key", "stream").mapInArrow(runs, "run long, owner long").groupBy("run").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("run")
-    held = rows.filter("blocks is not null").select("row", "key", "stream").mapInArrow(runs, "run long, owner long").withColumnRenamed("owner", "row")
-    marked = held.join(repeated, "run", "left_semi").groupBy("row").agg(F.collect_list("run").alias("runs"))
+def open_texts(rows: DataFrame) -> DataFrame:
+    """page_id, url, text of the pages that declare no article: their open blocks less what two pages of the host have."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    declared = F.exists("kinds", lambda k: k == CONTENT)
+    rows = rows.withColumn("open", ~declared & F.exists("kinds", lambda k: k == OPEN))
+    alone = rows.filter(~declared & (~F.col("open") | F.col("key").isNull())).withColumn("runs", F.lit(None).cast("array<long>"))
+    if rows.filter("open and key is not null").isEmpty():
+        marked = alone
+    else:
+        hosts = rows.filter("open and key is not null").select("key").distinct()
+        outside = F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda b: b["kinds"] != CONTENT), lambda b: b["texts"])
+        held = cut(rows.join(hosts, "key", "left_semi").withColumn("outside", outside), "open")
+        owned = held.join(owners(held), "row")
+
+        def runs(batches):
+            for batch in batches:
+                owner, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                found = [np.unique(run_keys(tokens_of(t)[0], k)).view(np.int64) for t, k in zip(batch.column(2).to_pylist(), keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(np.repeat(owner, list(map(len, found))))], ["run", "owner"])
+
+        # the least and the largest owner of a run say whether two pages have it, and combine before the shuffle
+        seen = owned.select("owner", "key", "outside").mapInArrow(runs, "run long, owner long").groupBy("run").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
+        own = held.filter("open").select("row", "key", "outside").mapInArrow(runs, "run long, owner long").withColumnRenamed("owner", "row")
+        found = own.join(seen.filter("low <> high").select("run"), "run", "left_semi").groupBy("row").agg(F.collect_list("run").alias("runs"))
+        marked = held.filter("open").drop("outside").join(found, "row", "left").unionByName(alone)
 
     def solve(batches):
         for batch in batches:
-            texts = []
-            for key, stream, blocks, shares, sizes, marks in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                cover = covered(np.isin(run_keys(np.frombuffer(stream, np.int64), key).view(np.int64), np.array(marks or [], np.int64)))
-                at, kept = 0, []
-                for text, share, n in zip(blocks, shares, sizes):
-                    if text is not None and share <= 0.5 and 2 * cover[at : at + n].sum() <= n:
-                        kept.append(text)
-                    at += n
-                texts.append(" ".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    judged = rows.filter("exists(blocks, b -> b is not null)").join(marked, "row", "left")
-    return judged.select("page_id", "url", "key", "stream", "blocks", "shares", "sizes", "runs").mapInArrow(solve, _page_schema(pages) + ", text string")
+            out = []
+            for key, texts, kinds_, shares, marks in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                stream, counts = tokens_of(texts)
+                cover = np.zeros(len(stream), bool)
+                if marks:
+                    cover = covered(np.isin(run_keys(stream, key).view(np.int64), np.array(marks, np.int64)))[: len(stream)]
+                    cover = within_blocks(cover, counts, MIN_RUN)
+                keep = [i for i, (k, s) in enumerate(zip(kinds_, shares)) if k == OPEN and s <= 0.5]
+                at = np.cumsum(counts) - counts
+                taken = np.concatenate([np.empty(0, bool), *(cover[at[i] : at[i] + counts[i]] for i in keep)])
+                out.append(" ".join(without_runs([texts[i] for i in keep], taken)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return marked.select("page_id", "url", "key", "texts", "kinds", "shares", "runs").mapInArrow(solve, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
     tune(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html")
-    both = declared_texts(pages).unionByName(open_texts(pages))
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
+    parsed = parse(pages.select("page_id", "url", "html")).withColumn("key", F.when(host != "", F.xxhash64(host))).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(parsed, "blocks")
+    both = declared_texts(rows).unionByName(open_texts(rows))
     return both.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -80,13 +80,13 @@ def _extreme(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def anchors(grams: np.ndarray) -> np.ndarray:
-    """Places of the smallest gram of each PLACES neighbours, all of equal ones."""
-    if len(grams) < PLACES:
+def anchors(grams: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """Places of the smallest gram of each `places` neighbours, all of equal ones."""
+    if len(grams) < places:
         return np.empty(0, np.int64)
-    low = _extreme(grams, PLACES, np.minimum)
-    pad = np.zeros(PLACES - 1, np.uint64)
-    return np.flatnonzero(_extreme(np.concatenate((pad, low, pad)), PLACES, np.maximum) == grams)
+    low = _extreme(grams, places, np.minimum)
+    pad = np.zeros(places - 1, np.uint64)
+    return np.flatnonzero(_extreme(np.concatenate((pad, low, pad)), places, np.maximum) == grams)
 
 
 def find_anchors(docs: DataFrame, n_parts: int) -> DataFrame:
