@@ -35,7 +35,7 @@ from graphloom.llm.shingles import set_ids, shingle_sets
 #: Similarity in hundredths.
 LINK_AT = 80
 #: Bytes of sets of one candidate group that a task holds at once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 POSTING = (np.uint64, np.int64, np.uint32, np.uint32)
 
 
@@ -286,7 +286,7 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = candidate_edges(rare_postings(shared_postings(index, n_parts), n_parts), n_parts)
     candidates = cut(connected_components(edges).select(F.col("id").alias("sid"), F.col("component").alias("grp")), "candidates")
     # one (doc_id, checksum) for each candidate set says where its text is; a set that only rows without a doc_id hold has one too
-    where = rows.join(candidates, "sid").groupBy("sid", "grp").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.max("n").alias("n"))
+    where = rows.join(candidates, "sid").groupBy("sid", "grp").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "mark")).alias("at"), F.max("n").alias("n"))
     where = where.select("sid", "grp", "at.doc_id", "at.mark", "n")
     group = where.groupBy("grp").agg(F.sum(8 * F.col("n")).alias("bytes"))
     where = where.join(group, "grp").withColumn("n_blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
