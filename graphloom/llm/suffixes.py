@@ -36,9 +36,8 @@ LEFT = LENGTH - GRAM
 SLICE = 1 << 20
 #: Bytes of suffixes that a task sorts into one run.
 RUN_BYTES = 24 << 20
-#: Texts looked at, and suffix heads taken, to choose the ranges: they decide the balance and nothing else.
-SPLIT_TEXTS = 400
-SPLIT_HEADS = 65_536
+#: Anchors looked at for each range to choose where it ends: they decide the balance and nothing else.
+HEADS_A_RANGE = 64
 #: Suffixes of whole groups that are compared at once.
 GROUP_BATCH = 16_384
 _BASE = 0x9E3779B97F4A7C15
@@ -100,7 +99,7 @@ def find_anchors(docs: DataFrame, n_parts: int) -> DataFrame:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
             data, offsets = text_bytes(batch.column(2))
-            held = []
+            held, base = [], []
             for i, j in slices(offsets, SLICE):
                 body, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 grams = rolling(body, GRAM)
@@ -114,6 +113,7 @@ def find_anchors(docs: DataFrame, n_parts: int) -> DataFrame:
                     full = (at >= LEFT) & (at + LENGTH <= e - b)
                     around[full] = wide[b + at[full] - LEFT]
                     held.append((grams[b + at], np.full(len(at), ids[i + k]), np.full(len(at), tags[i + k]), at.astype(np.uint32), around))
+                    base.append(offsets[i + k] + at)
             if not held:
                 continue
             gram, doc, tag, place, around = (np.concatenate(x) for x in zip(*held))
@@ -124,6 +124,14 @@ def find_anchors(docs: DataFrame, n_parts: int) -> DataFrame:
             later = ~fresh & (a != 0)
             lead = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
             is_lead = (doc[order] == doc[order][lead]) & (tag[order] == tag[order][lead]) & (place[order] == place[order][lead])
+            # equal hashes are a hint: only bytes that are equal settle anything
+            found = np.flatnonzero(later & ~is_lead)
+            where = np.concatenate(base)[order] - LEFT
+            for k in range(0, len(found), 16_384):
+                some = found[k : k + 16_384]
+                span = np.arange(LEFT + LENGTH)
+                same = (data[where[some][:, None] + span] == data[where[lead[some]][:, None] + span]).all(axis=1)
+                later[some[~same]] = False
             settled = np.zeros(len(a), np.uint8)
             settled[order] = later & ~is_lead
             part = (gram & np.uint64(0x7FFFFFFF)) % np.uint64(n_parts)
@@ -176,17 +184,36 @@ def _per_document(doc: np.ndarray, tag: np.ndarray, arrays, name: str):
 
 
 def choose_ranges(docs: DataFrame, n_parts: int) -> np.ndarray:
-    """Sorted 8-byte heads, as big-endian numbers, that cut the suffixes into ranges of like size."""
-    heads = []
-    for row in docs.select("text").filter("text is not null").limit(SPLIT_TEXTS).collect():
-        data = np.frombuffer(row["text"].encode()[: 1 << 16], np.uint8)
-        if len(data) >= LENGTH:
-            step = max(1, len(data) * SPLIT_TEXTS // SPLIT_HEADS)
-            at = np.arange(0, len(data) - 8, step)
-            heads.append(np.ascontiguousarray(data[at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64))
-    heads = np.sort(np.concatenate(heads)) if heads else np.empty(0, np.uint64)
-    n = min(n_parts, max(1, len(heads) // 16))
-    return np.unique(heads[(np.arange(1, n) * len(heads)) // n]) if n > 1 else np.empty(0, np.uint64)
+    """Sorted heads of GRAM bytes that cut the suffixes of docs(order_id, tag, text) into n_parts ranges of like size.
+
+    They come from anchors of rows all over the table, HEADS_A_RANGE for each range at any size of it. All suffixes with
+    one gram are in one range, so a gram is as far as a range can be cut.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = n_parts * HEADS_A_RANGE
+    share = min(1.0, wanted * (PLACES + 1) / 2 / max(1, total))  # one anchor in (PLACES + 1) / 2 bytes
+    rows = min(1.0, 16 * share)  # of each row some anchors, so that a long text weighs what it holds
+    least = int(share / rows * (2**64 - 1))
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            heads = []
+            for i, j in slices(offsets, SLICE):
+                body, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                grams = rolling(body, GRAM)
+                for b, e in zip(own[:-1].tolist(), own[1:].tolist()):
+                    if e - b >= LENGTH:
+                        at = b + anchors(grams[b : e - GRAM + 1])
+                        at = at[mix64(grams[at]) <= np.uint64(least)]
+                        heads += [body[k : k + GRAM].tobytes() for k in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary())], ["head"])
+
+    some = docs.where(F.pmod(F.xxhash64("order_id", "tag", F.lit(1)), F.lit(1 << 30)) < int(rows * (1 << 30))).select("text")
+    heads = sorted(bytes(r["head"]) for r in some.mapInArrow(run, "head binary").collect())  # about HEADS_A_RANGE * GRAM bytes a range
+    if n_parts < 2 or not heads:
+        return np.empty(0, f"S{GRAM}")
+    return np.unique(np.array([heads[k * len(heads) // n_parts] for k in range(1, n_parts)], f"S{GRAM}"))
 
 
 class RunWriter:
@@ -226,7 +253,7 @@ class RunWriter:
         settled = (doc[gone], tag[gone], place[gone] - LEFT, place[gone] + LENGTH)
         stay = ~same
         body, doc, tag, place, left, right = (x[stay] for x in (body, doc, tag, place, left, right))
-        head = np.ascontiguousarray(body[:, LEFT : LEFT + 8]).view(">u8").ravel().astype(np.uint64)
+        head = np.ascontiguousarray(body[:, LEFT : LEFT + GRAM]).view(f"S{GRAM}").ravel()
         part = np.searchsorted(self.ranges, head, "right")
         differs = body[1:, LEFT:] != body[:-1, LEFT:]
         lcp = np.concatenate(([0], np.where(differs.any(axis=1), differs.argmax(axis=1), LENGTH))) if len(body) else np.empty(0, np.int64)
@@ -389,7 +416,15 @@ def repeated_spans(groups: np.ndarray, body: np.ndarray, left: np.ndarray, right
         rows = np.flatnonzero(valid[:, x])
         if len(rows) > 1:
             _, lead, back = np.unique(strings[rows, x], return_index=True, return_inverse=True)
-            again[rows, x] = lead[back] != np.arange(len(rows))
+            hits = np.flatnonzero(lead[back] != np.arange(len(rows)))
+            if not len(hits):
+                continue
+            # equal hashes are a hint: should the bytes differ, the bytes themselves are compared
+            if (body[rows[hits], x : x + LENGTH] != body[rows[lead[back[hits]]], x : x + LENGTH]).any():
+                whole = np.ascontiguousarray(body[rows, x : x + LENGTH]).view(f"V{LENGTH}").ravel()
+                _, lead, back = np.unique(whole, return_index=True, return_inverse=True)
+                hits = np.flatnonzero(lead[back] != np.arange(len(rows)))
+            again[rows[hits], x] = True
     hit = again.any(axis=1)
     low = again[hit].argmax(axis=1)
     high = PLACES - 1 - again[hit][:, ::-1].argmax(axis=1)
@@ -525,8 +560,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     tune(spark)
     n_parts = partitions(spark)
     keyed = docs.withColumn("order_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("tag", F.crc32(F.coalesce("text", F.lit(""))).cast("long"))
-    ranges = choose_ranges(docs, n_parts)
     slim = keyed.filter(F.octet_length("text") >= LENGTH).select("order_id", "tag", "text")
+    ranges = choose_ranges(slim, n_parts)
     places = repeated_anchors(find_anchors(slim, n_parts), n_parts)
     texts = squeezed(slim).join(places, ["order_id", "tag"]).select("order_id", "tag", "text", "places")
     spans = spans_by_document(merge_ranges(sort_runs(texts, ranges, n_parts), n_parts), n_parts)
