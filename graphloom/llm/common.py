@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import types
 import uuid
@@ -12,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.lineage import cut, shared_folder  # noqa: F401
+from graphloom.lineage import cut, forget, shared_folder  # noqa: F401
 
 # Executors need no copy of this package: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules["graphloom.llm"])
@@ -114,7 +115,10 @@ def by_part(df: DataFrame, n: int) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches, so that a Python worker holds a few MB of text at a time whatever the row sizes."""
+    """Smaller Arrow batches, so that a Python worker holds a few MB of text at a time whatever the row sizes.
+
+    Plans read this setting when they run, which is after the operator has returned them, so it stays for the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
 
@@ -128,4 +132,5 @@ def share_bytes(spark: SparkSession, data: bytes, name: str) -> str:
         stream.write(bytearray(data[i : i + (1 << 20)]))
     stream.close()
     spark.sparkContext.addFile(target.toString())
+    atexit.register(forget, spark, target.toString())
     return name

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from graphloom.llm.bpe import op7_bpe
 from graphloom.llm.jaccard import op2_jaccard_join
 from graphloom.llm.licences import op5_licence_scan
@@ -19,6 +17,8 @@ SQL: dict[str, str] = {}
 
 
 def _pipeline(spark, sf_dir):
+    import corpus_pipeline  # it imports this subpackage
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql.functions import lit as spark_lit
 
+from graphloom.llm.common import mix64 as common_mix64
 from graphloom.llm import bpe, jaccard, licences, neighbours, packing, pages, pii, quality, sharding, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -184,12 +185,35 @@ def test_suffix_dedup(spark, rows, monkeypatch, run_bytes):
     assert Counter(map(tuple, suffixes.dedup_digests(frame(spark, rows)).collect())) == want
 
 
+def test_suffix_dedup_trusts_no_hash(spark, monkeypatch):
+    # hashes of a few values only: bytes decide, and all is as before
+    real = suffixes.rolling
+    monkeypatch.setattr(suffixes, "rolling", lambda data, length: real(data, length) % np.uint64(7) if length == suffixes.LEFT + suffixes.LENGTH else real(data, length))
+    monkeypatch.setattr(suffixes, "mix64", lambda h: h % np.uint64(5) if h.ndim == 2 else common_mix64(h))
+    some = [r for r in texts(4, 40) if r[0] != 600]
+    expected = brute_suffixes(some)
+    want = Counter((d, *expected[(-(1 << 63) if d is None else d, zlib.crc32((t or "").encode()))]) for d, t in some)
+    assert Counter(map(tuple, suffixes.dedup_digests(frame(spark, some)).collect())) == want
+
+
+def test_suffix_ranges(spark):
+    rng = random.Random(6)
+    rows_ = [(i, "Chapter " + "".join(rng.choice("abcdefgh ") for _ in range(1500))) for i in range(120)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in rows_], "order_id long, tag long, text string")
+    ranges = suffixes.choose_ranges(docs, 40)
+    assert len(ranges) >= 38 and (np.sort(ranges) == ranges).all()
+    heads = np.sort(np.array([t[i : i + 32] for _, t in rows_ for i in range(0, len(t) - 32, 3)], "S32"))
+    sizes = np.diff(np.concatenate(([0], np.searchsorted(heads, ranges), [len(heads)])))
+    assert sizes.max() < 4 * sizes.mean()
+    assert (suffixes.choose_ranges(docs.repartition(5), 40) == ranges).all()
+
+
 def test_loser_tree_order():
     rng = random.Random(2)
     docs = ["".join(rng.choice("ab") for _ in range(400)).encode() for _ in range(5)]
     runs, expected = [], []
     for d in docs:
-        w = suffixes.RunWriter(np.empty(0, np.uint64))
+        w = suffixes.RunWriter(np.empty(0, "S32"))
         w.add(np.frombuffer(d, np.uint8), 1, 2, np.arange(0, 400, 3))
         ((_, blob),), _ = w.runs()
         import zstandard
@@ -392,13 +416,13 @@ def test_sharding(spark, rows):
 
 
 def test_licences(spark):
-    rows = [(1, "Text here.\nReleased under the MIT License.\nmore"), (2, "RELEASED!! UNDER!! THE!! MIT!! LICENSE!!"), (3, "The license of prose is long and free of any template words at all"), (4, None), (5, ""), (6, licences.TEMPLATES[3][1]), (7, "licensed under cc by-nc 4.0 and more words that go on for quite a while in one long line"), (8, "This work is licensed under the GNU General Public License, version 3."), (9, "x " * 50000)]
+    rows = [(1, "Text here.\nReleased under the MIT License.\nmore"), (2, "RELEASED!! UNDER!! THE!! MIT!! LICENSE!!"), (3, "The license of prose is long and free of any template words at all"), (4, None), (5, ""), (6, licences.TEMPLATES[3][1]), (7, "licensed under cc by-nc 4.0 and more words that go on for quite a while in one long line"), (8, "This work is licensed under the GNU General Public License, version 3."), (9, "x " * 50000), (10, "Copyright (c) 2020 Some One\n\n" + re.sub(r"([:.]) ", r"\1\n\n", dict(licences.TEMPLATES[-7:])["MIT"])), (11, "2.0 " + licences.TEMPLATES[-2][1].upper())]
     got = {r.doc_id: r.hits for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     made = [(n, set(licences.bigrams_of(t))) for n, t in licences.TEMPLATES]
     for d, t in rows:
         t = t or ""
         lines = t.split("\n")
-        segments = {s.strip(" ") for s in lines + [x for line in lines for x in re.split(r"(?<=[.;!?])\s+", line)] + re.split(r"\n\s*\n", t)}
+        segments = {s.strip(" ") for s in lines + [x for line in lines for x in re.split(r"(?<=[.;!?])\s+", line)] + re.split(r"\n\s*\n", t) + [t]}
         expected = set()
         for s in segments:
             g = set(licences.bigrams_of(s))
@@ -407,6 +431,7 @@ def test_licences(spark):
                 expected.add((max(dice)[2], round(max(dice)[0], 9), s))
         assert {(h.licence, round(h.dice, 9), h.segment) for h in got[d]} == expected
     assert got[1] and not got[3] and got[6] and got[8]
+    assert any(h.licence == "MIT" and len(h.segment) > 900 for h in got[10]) and any(h.licence == "Apache-2.0" and len(h.segment) > 400 for h in got[11])
 
 
 def test_pages(spark):
@@ -549,6 +574,30 @@ def test_vectors(spark, monkeypatch):
     assert got == sorted(zip([r[0] for r in rows], n_links, comps), key=str)
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_vectors_in_trees_that_split(spark, monkeypatch, n):
+    # a sample far smaller than the table: the leaves below it are split on the executors
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "TILE", 64)
+    monkeypatch.setattr(neighbours, "SAMPLE_BYTES", 8 * 32 * 200)
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((n, 32)))
+    noise = rng.standard_normal((n, 32))
+    near = unit(base + 0.32 * unit(noise - (noise * base).sum(axis=1, keepdims=True) * base))[: n // 3]  # cosines of about 0.952
+    dense = unit(base[:1] + 0.03 * rng.standard_normal((300, 32)))
+    every = np.concatenate([base, near, dense])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(every)]
+    got = {r.vec_id: r for r in neighbours.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near_ = every @ every.T >= 0.95
+    np.fill_diagonal(near_, False)
+    expected = near_.sum(axis=1)
+    assert all(got[i].n_links <= expected[i] for i in range(len(every)))  # none below the cosine
+    assert sum(r.n_links for r in got.values()) >= 0.97 * expected.sum()
+    pairs = [i for i in range(n // 3) if expected[i] == 1 and i]
+    assert sum(got[i].n_links for i in pairs) >= 0.95 * len(pairs) and len(pairs) > n // 5
+
+
 @pytest.mark.parametrize("kind", ["docs", "pages", "vectors"])
 def test_empty_tables(spark, kind):
     docs = spark.createDataFrame([], SCHEMA)
