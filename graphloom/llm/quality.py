@@ -63,8 +63,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(grams, covered))
 
 
-def with_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with COLUMNS, each under prefix + its name."""
+def with_stats(docs: DataFrame) -> DataFrame:
+    """docs with COLUMNS; columns of these names, or of their helpers', must not be there before."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = words_of(text)
 
@@ -76,36 +76,36 @@ def with_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
         return F.struct(F.size(lines).alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    packed, by_line = f"{prefix}packed_stats", f"{prefix}line_stats"
+    packed, by_line = "packed_stats", "line_stats"
     out = docs.withColumns(
         {
             packed: let(words, all_of),
             by_line: let(lines, of_lines),
-            f"{prefix}word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-            f"{prefix}n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-            f"{prefix}n_shouts": (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long"),
-            f"{prefix}n_bars": (F.length(text) - F.length(F.translate(text, "|", ""))).cast("long"),
+            "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "n_shouts": (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long"),
+            "n_bars": (F.length(text) - F.length(F.translate(text, "|", ""))).cast("long"),
         }
     )
     return out.withColumns(
         {
-            f"{prefix}n_words": F.col(packed)["n_words"].cast("long"),
-            f"{prefix}n_repeat_words": F.col(packed)["n_repeat_words"].cast("long"),
-            f"{prefix}n_lettered": F.col(packed)["n_lettered"].cast("long"),
-            f"{prefix}n_lines": F.col(by_line)["n_lines"].cast("long"),
-            f"{prefix}n_dup_lines": F.col(by_line)["n_dup_lines"].cast("long"),
+            "n_words": F.col(packed)["n_words"].cast("long"),
+            "n_repeat_words": F.col(packed)["n_repeat_words"].cast("long"),
+            "n_lettered": F.col(packed)["n_lettered"].cast("long"),
+            "n_lines": F.col(by_line)["n_lines"].cast("long"),
+            "n_dup_lines": F.col(by_line)["n_dup_lines"].cast("long"),
         }
     ).drop(packed, by_line)
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed() -> Column:
+    n, r = F.col("n_words"), F.col("n_repeat_words")
     return (n < 10) | (100 * r > 20 * n)
 
 
-def votes(prefix: str = "") -> dict[str, Column]:
+def votes() -> dict[str, Column]:
     """Each rule's vote: 1 for good, -1 for bad, 0 where it abstains."""
-    c = {k: F.col(prefix + k) for k in COLUMNS}
+    c = {k: F.col(k) for k in COLUMNS}
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
@@ -163,24 +163,24 @@ def posterior(pattern: tuple[int, ...], good: list[float], bad: list[float], pri
     return 1 / (1 + math.exp(-s))
 
 
-def fit_on(voted: DataFrame, prefix: str = "") -> dict:
+def fit_on(voted: DataFrame) -> dict:
     """The model for all rows of a frame with a column of votes for each rule."""
-    names = [f"{prefix}vote_{r}" for r in RULES]
+    names = [f"vote_{r}" for r in RULES]
     counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows")).collect()  # at most 3 ** len(RULES) rows
     return fit([(tuple(row[x] for x in names), row["n_rows"]) for row in counted])
 
 
-def probability(model: dict, prefix: str = "") -> Column:
+def probability(model: dict) -> Column:
     """The posterior as an expression over the vote columns."""
     s = F.lit(math.log(model["prior"] / (1 - model["prior"])))
     for r, g, b in zip(RULES, model["good"], model["bad"]):
-        v = F.col(f"{prefix}vote_{r}")
+        v = F.col(f"vote_{r}")
         s = s + F.when(v > 0, F.lit(math.log(g / (1 - b)))).when(v < 0, F.lit(math.log((1 - g) / b))).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-s))
 
 
-def with_votes(df: DataFrame, prefix: str = "") -> DataFrame:
-    return df.withColumns({f"{prefix}vote_{r}": v for r, v in votes(prefix).items()})
+def with_votes(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"vote_{r}": v for r, v in votes().items()})
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -191,11 +191,17 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their own columns and no others; nothing is shuffled but vote counts."""
-    prefix = "quality_rule_"
-    voted = with_votes(with_stats(docs, prefix), prefix)
-    model = fit_on(voted, prefix)
-    return voted.filter(~base_failed(prefix) & (probability(model, prefix) >= KEEP_AT)).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs that are kept, with their own columns and no others; nothing is shuffled but vote counts.
+
+    Rows are written once with their votes, so that statistics are worked out once, not for the model and again for the
+    verdict. Other columns travel in one struct, so that no name of theirs can clash.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    scored = with_votes(with_stats(packed))
+    voted = cut(scored.select("text", "others", base_failed().alias("failed"), *[f"vote_{r}" for r in RULES]), "votes")
+    kept = voted.filter(~F.col("failed") & (probability(fit_on(voted)) >= KEEP_AT))
+    return kept.select(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
