@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, packing, pii, quality, suffixes
-from graphloom.llm.common import cut
+from graphloom.lineage import cut, forget, paths_made
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -51,9 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, f"stage-{k}")
-    return docs
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with paths_made() as made:
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{k}")
+        for path in held + made[:-1]:  # what the stage read and what it wrote on its way have served
+            forget(spark, path)
+        held = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,28 +6,76 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own machine; a cluster,
+    whose machines share none, gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints/graphloom"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder if it is there."""
     with contextlib.suppress(Exception):
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def paths_made():
+    """A list that takes the paths of all cuts made meanwhile, in order, for whoever can tell when they have served."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    for made in _open:
+        made.append(path)
+    atexit.register(forget, spark, path)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written and read back; the files go when the program ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
+    _note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Rows that grow round by round: each round is written beside those before, and all are read as one frame."""
+
+    def __init__(self, spark: SparkSession, ddl: str):
+        self.spark, self.ddl = spark, ddl
+        self.path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+        _note(spark, self.path)
+
+    def add(self, df: DataFrame) -> int:
+        """Writes one round and says how many rows it has."""
+        seen, path = Observation(), f"{self.path}/round-{len(self.paths)}"
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return seen.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.ddl).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.ddl).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.ddl)
