@@ -72,3 +72,12 @@ def related(relations) -> Column:
 
 def layer_of(source: Column) -> Column:
     return F.when(source == "extract", "code").when(source.isNull() | source.isin("project", "manual"), "project").when(source == "infer", "inferred").otherwise("other")
+
+
+def metadata_of(nodes: DataFrame, key: str) -> Column:
+    """A scalar of the nodes' metadata: a map of JSON values, or one JSON object."""
+    if "metadata" not in nodes.columns:
+        return F.lit(None).cast("string")
+    if isinstance(nodes.schema["metadata"].dataType, T.MapType):
+        return F.get_json_object(F.concat(F.lit('{"v":'), F.col("metadata")[key], F.lit("}")), "$.v")
+    return F.get_json_object("metadata", f"$.{key}")

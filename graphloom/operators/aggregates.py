@@ -33,14 +33,19 @@ def summary_text(g: Graph) -> DataFrame:
 
 
 def health(g: Graph) -> DataFrame:
-    """0.4 progress + 0.3 flow + 0.1 density + 0.2 (1 - blocked); 0 for no nodes, NaN for nodes none of which is a project node."""
-    s = summary(g).join(F.broadcast(g.nodes.agg(F.count(F.lit(1)).alias("all_nodes"))))
-    n = F.col("total_nodes").cast("double")
-    waiting = F.col("todo").cast("double")
+    """0.4 progress + 0.3 flow + 0.1 density + 0.2 (1 - blocked), within 0 and 1.
+
+    Flow is the share of ready tasks among those to do and in progress: 1 if there are none, 0 if some are to do and none is
+    ready. Density is the share of edges among all that n nodes of any layer could have; a single node has 1. 0 for no
+    nodes, NaN for nodes none of which is a project node.
+    """
+    s = summary(g).join(F.broadcast(g.nodes.agg(F.count(F.lit(1)).alias("all_nodes"))))  # frames of one row
+    n, every = F.col("total_nodes").cast("double"), F.col("all_nodes").cast("double")
+    remaining = (F.col("todo") + F.col("in_progress")).cast("double")
     progress, blocked = F.col("done") / n, F.col("blocked") / n
-    flow = F.when(waiting > 0, F.least(F.lit(1.0), F.col("ready") / waiting)).otherwise(F.lit(1.0))
-    density = F.least(F.lit(1.0), F.col("total_edges") / n)
-    score = 0.4 * progress + 0.3 * flow + 0.1 * density + 0.2 * (1 - blocked)
+    flow = F.when(remaining == 0, F.lit(1.0)).when((F.col("ready") == 0) & (F.col("todo") > 0), F.lit(0.0)).otherwise(F.col("ready") / remaining)
+    density = F.when(every > 1, F.least(F.lit(1.0), F.col("total_edges") / (every * (every - 1)))).otherwise(F.lit(1.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * progress + 0.3 * flow + 0.1 * density + 0.2 * (1 - blocked)))
     return s.select(F.when(F.col("all_nodes") == 0, F.lit(0.0)).when(F.col("total_nodes") == 0, F.lit(float("nan"))).otherwise(score).alias("health"))
 
 
@@ -96,16 +101,19 @@ def touch_summary(g: Graph, nodes: DataFrame, top: int = 10, hub: int = 10) -> D
     return whole.join(F.broadcast(best)).withColumn("risk", risk_level(F.coalesce("total_callers", F.lit(0))))
 
 
-def complexity(g: Graph, nodes: DataFrame) -> DataFrame:
-    """Counts over a relevance set and the class simple, medium or complex."""
+def complexity(g: Graph, nodes: DataFrame, tests: int = 0) -> DataFrame:
+    """Counts over a relevance set and the class simple, medium or complex; edges count that touch the set with either end."""
     ids = nodes.select("id").distinct()
     n = g.nodes.join(ids, "id", "left_semi").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.countDistinct("file_path").alias("n_files"), F.count_if(F.col("node_kind") == "Class").alias("n_classes")
     )
-    e = g.induced(g.nodes.join(ids, "id", "left_semi")).edges.agg(*[F.count_if(F.col("relation") == r).alias(c) for r, c in (("inherits", "n_inherits"), ("imports", "n_imports"), ("tests_for", "n_tests"))])
+    marked = ids.withColumn("in_set", F.lit(True))
+    e = g.edges.where("relation in ('inherits', 'imports')").select("src", "dst", "relation")
+    e = e.join(marked.withColumnsRenamed({"id": "src", "in_set": "a"}), "src", "left").join(marked.withColumnsRenamed({"id": "dst", "in_set": "b"}), "dst", "left").where("a or b")
+    e = e.agg(F.count_if(F.col("relation") == "inherits").alias("n_inherits"), F.count_if(F.col("relation") == "imports").alias("n_imports"), F.lit(tests).cast("long").alias("n_tests"))
     simple = (F.col("n_nodes") <= 2) & (F.col("n_files") <= 1) & (F.col("n_classes") == 0) & (F.col("n_tests") <= 1)
     hard = (F.col("n_nodes") >= 6) | (F.col("n_files") >= 3) | (F.col("n_inherits") >= 2) | (F.col("n_imports") >= 4) | (F.col("n_tests") > 3)
-    return n.join(F.broadcast(e)).withColumn("complexity", F.when(simple, "simple").when(hard, "complex").otherwise("medium"))
+    return n.join(F.broadcast(e)).withColumn("complexity", F.when(simple, "simple").when(hard, "complex").otherwise("medium"))  # frames of one row
 
 
 def feature_dependencies(edges: DataFrame, members: DataFrame, least: int = 2) -> DataFrame:
@@ -117,10 +125,12 @@ def feature_dependencies(edges: DataFrame, members: DataFrame, least: int = 2) -
 
 
 def edge_classes(g: Graph) -> DataFrame:
-    """Numbers of code, task and cross edges by the layers of their ends."""
-    side = g.nodes.select("id", (layer_of(F.col("source")) == "code").alias("code")).groupBy("id").agg(F.bool_or("code").alias("code"))
-    e = g.edges.join(side.select(F.col("id").alias("src"), F.col("code").alias("a")), "src").join(side.select(F.col("id").alias("dst"), F.col("code").alias("b")), "dst")
-    return e.agg(F.count_if(F.col("a") & F.col("b")).alias("code_edges"), F.count_if(~F.col("a") & ~F.col("b")).alias("task_edges"), F.count_if(F.col("a") != F.col("b")).alias("cross_edges"))
+    """Numbers of code, task and cross edges by their ends: code nodes have an id code:... or are files, classes or functions."""
+    is_code = F.col("id").startswith("code:") | F.coalesce(F.col("node_type").isin("file", "class", "function"), F.lit(False))
+    side = g.nodes.where(is_code).select("id").distinct().withColumn("code", F.lit(True))
+    e = g.edges.select("src", "dst").join(side.withColumnsRenamed({"id": "src", "code": "a"}), "src", "left").join(side.withColumnsRenamed({"id": "dst", "code": "b"}), "dst", "left")
+    a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
+    return e.agg(F.count_if(a & b).alias("code_edges"), F.count_if(~a & ~b).alias("task_edges"), F.count_if(a != b).alias("cross_edges"))
 
 
 def schema_report(g: Graph) -> DataFrame:
@@ -128,20 +138,24 @@ def schema_report(g: Graph) -> DataFrame:
     return n.unionByName(g.edges.groupBy(F.lit("relation").alias("what"), F.col("relation").alias("name")).agg(F.count(F.lit(1)).alias("n")))
 
 
-# Path parts that name an architectural layer, first match wins.
+# Directories, and ends of paths, that name an architectural layer; the first layer that matches wins.
 LAYER_RULES = (
-    ("interface", ("ui", "views", "view", "controllers", "api", "routes", "handlers", "cli", "web")),
-    ("application", ("services", "service", "usecases", "application", "app")),
-    ("domain", ("domain", "models", "model", "entities", "core")),
-    ("infrastructure", ("infra", "infrastructure", "db", "database", "storage", "repositories", "adapters")),
+    ("interface", "commands cmd api routes controllers handlers web ui views pages components", ""),
+    ("application", "services usecases use_cases orchestrators workflows ai llm", ""),
+    ("domain", "core domain entities models types lib", "types.ts types.rs"),
+    ("infrastructure", "infrastructure db database repositories adapters clients extractors parsers config", ""),
 )
 
 
-def heuristic_layer(name: Column) -> Column:
-    parts = F.split(F.lower(name), r"[/\\:]")
+def heuristic_layer(path: Column) -> Column:
+    """The layer that a directory within a path names; null for none."""
+    low = F.lower(path)
     out = F.lit(None).cast("string")
-    for layer, words in reversed(LAYER_RULES):
-        out = F.when(F.arrays_overlap(parts, F.array(*map(F.lit, words))), layer).otherwise(out)
+    for layer, folders, ends in reversed(LAYER_RULES):
+        found = low.rlike(f"/({'|'.join(folders.split())})/")
+        for end in ends.split():
+            found = found | low.endswith(end)
+        out = F.when(found, layer).otherwise(out)
     return out
 
 

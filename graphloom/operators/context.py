@@ -10,7 +10,10 @@ from graphloom.graph import Graph
 from graphloom.operators.traverse import reach, seed_frame, steps_of
 
 # How relevant what is reached over a relation is, and the order of categories.
-RELATION_SCORES = {"implements": 1.0, "defined_in": 1.0, "calls": 0.8, "depends_on": 0.8, "imports": 0.6, "uses": 0.6, "inherits": 0.6, "tests_for": 0.4, "contains": 0.4, "belongs_to": 0.4}
+RELATION_SCORES = {
+    "calls": 1.0, "imports": 1.0, "type_reference": 0.8, "inherits": 0.8, "implements": 0.8, "uses": 0.8, "contains": 0.6, "defined_in": 0.6,
+    "depends_on": 0.4, "part_of": 0.4, "blocks": 0.4, "tests_for": 0.4,
+}
 CATEGORIES = ("target", "direct", "caller", "test", "transitive")
 SMALLEST = 32
 
@@ -54,20 +57,30 @@ def candidates(g: Graph, targets: list[str], depth: int = 2) -> DataFrame:
 
 
 def fit_budget(found: DataFrame, budget: int = 8000) -> DataFrame:
-    """(id, category, tokens, state) in order of category, hop and score: what fits is included; the first that does not is
-    cut to what is left if that is SMALLEST tokens at least; smaller ones after it may still fit. One query's candidates are few."""
+    """(id, category, tokens, state) by category, hop, score and order: targets are always included; of the rest what fits is
+    included, what does not is cut to what is left if that is SMALLEST tokens at least, and smaller ones after it may still fit.
+
+    Every item costs a token at least, so beyond the first `budget` items nothing is left: only those are gathered, however
+    many callers a hub has; the others are dropped where they are.
+    """
     rank = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
-    items = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "hop", (-F.col("score")).alias("s"), "ord", "id", "category", "tokens")))
+    ranked = found.select(rank.cast("int").alias("rank"), F.col("hop").cast("int").alias("hop"), (-F.col("score")).alias("s"), "ord", "id", "category", F.greatest(F.lit(1), F.col("tokens")).cast("int").alias("tokens"))
+    order = ["rank", "hop", "s", "ord", "id"]
+    first = ranked.orderBy(*order).limit(budget + 1)
+    items = F.array_sort(F.collect_list(F.struct(*order, "category", "tokens")))
     start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<id:string,category:string,tokens:int,state:string>>").alias("out"))
 
     def step(acc, x):
-        fits, cut = x["tokens"] <= acc["left"], acc["left"] >= SMALLEST
-        used = F.when(fits, x["tokens"]).when(cut, acc["left"]).otherwise(0)
-        state = F.when(fits, "included").when(cut, "truncated").otherwise("dropped")
+        target, fits, cut = x["rank"] == 1, x["tokens"] <= acc["left"], acc["left"] >= SMALLEST
+        used = F.when(target | fits, x["tokens"]).when(cut, acc["left"]).otherwise(0)
+        state = F.when(target | fits, "included").when(cut, "truncated").otherwise("dropped")
         one = F.struct(x["id"].alias("id"), x["category"].alias("category"), used.cast("int").alias("tokens"), state.alias("state"))
-        return F.struct((acc["left"] - used).cast("int").alias("left"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(F.greatest(F.lit(0), acc["left"] - used).cast("int").alias("left"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return found.agg(items.alias("items")).select(F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("x")).select("x.*")
+    kept = first.agg(items.alias("items")).select(F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("x")).select("x.*")
+    rest = ranked.join(F.broadcast(kept.select("id", "category")), ["id", "category"], "left_anti")  # budget + 1 rows at most
+    rest = rest.select("id", "category", F.when(F.col("rank") == 1, F.col("tokens")).otherwise(0).cast("int").alias("tokens"), F.when(F.col("rank") == 1, "included").otherwise("dropped").alias("state"))
+    return kept.unionByName(rest)
 
 
 def assemble_context(g: Graph, targets: list[str], budget: int = 8000, depth: int = 2) -> DataFrame:

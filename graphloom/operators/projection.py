@@ -24,17 +24,50 @@ def file_network(edges: DataFrame, owners: DataFrame, overrides: dict | None = N
     return e.where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("weight"))
 
 
-def co_citation(edges: DataFrame, weight: float = 0.4, least: int = 2, minimum: float = 0.7, direct: float = 0.9) -> DataFrame:
-    """(a, b, citers, weight) for pairs cited by the same sources, unless one already depends directly on the other.
+# Relations by which one file cites another, and those that couple two files directly.
+CITING = ("imports", "calls", "uses", "type_reference", "depends_on")
+COUPLING = ("calls", "imports", "uses", "type_reference")
 
-    A source that cites many is a hub; its pairs are made by a join on the source, which adaptive execution splits.
+
+def on_files(edges: DataFrame, owners: DataFrame | None) -> DataFrame:
+    """(a, b, relation, c) of edges between owners, with their confidence within 0 and 1; without owners between the ends."""
+    e = edges.select("src", "dst", "relation", F.least(F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("c"))
+    if owners is None:
+        return e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation", "c").where("a <> b")
+    own = owners.select("id", "file")
+    e = e.join(own.withColumnsRenamed({"id": "src", "file": "a"}), "src").join(own.withColumnsRenamed({"id": "dst", "file": "b"}), "dst")
+    return e.where("a <> b").select("a", "b", "relation", "c")
+
+
+def co_citation(edges: DataFrame, owners: DataFrame | None = None, weight: float = 0.4, least: int = 2, most: float = 2.0, minimum: float = 0.7, direct: float = 0.9) -> DataFrame:
+    """(a, b, citers, weight) with a < b for files that the same files cite, unless one is surely coupled with the other.
+
+    Both directions get the weight. A file that cites many is a hub: its pairs are made block of cited files by block, so
+    that no task makes all pairs of a hub. owners: (id, file) of the ends; without, the ends themselves are the files.
     """
-    cited = edges.select(F.col("src").alias("citer"), F.col("dst").alias("to"), F.coalesce("confidence", F.lit(1.0)).alias("c")).where((F.col("c") >= minimum) & (F.col("citer") != F.col("to")))
-    cited = cited.groupBy("citer", "to").agg(F.max("c").alias("c"))
+    between = on_files(edges, owners)
+    cited = between.where(F.col("relation").isin(*CITING) & (F.col("c") >= minimum)).groupBy(F.col("a").alias("citer"), F.col("b").alias("to")).agg(F.max("c").alias("c"))
     a, b = cited.select("citer", F.col("to").alias("a"), F.col("c").alias("ca")), cited.select("citer", F.col("to").alias("b"), F.col("c").alias("cb"))
-    pairs = a.join(b, "citer").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("citers"), F.avg(F.sqrt(F.col("ca") * F.col("cb"))).alias("trust")).where(F.col("citers") >= least)
-    coupled = edges.where(F.coalesce("confidence", F.lit(1.0)) >= direct).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return pairs.join(coupled, ["a", "b"], "left_anti").select("a", "b", "citers", F.least(F.lit(2.0), weight * F.col("citers") * F.col("trust")).alias("weight"))
+    pairs = in_blocks(a, b, "citer", "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("citers"), F.avg(F.sqrt(F.col("ca") * F.col("cb"))).alias("trust")).where(F.col("citers") >= least)
+    coupled = between.where(F.col("relation").isin(*COUPLING) & (F.col("c") >= direct)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(coupled, ["a", "b"], "left_anti").select("a", "b", "citers", F.least(F.lit(most), weight * F.col("citers") * F.col("trust")).alias("weight"))
+
+
+#: Members of a group that meet in one task.
+BLOCK = 2000
+
+
+def in_blocks(left: DataFrame, right: DataFrame, key: str, a: str, b: str, block: int = BLOCK) -> DataFrame:
+    """The pairs a < b of left and right, two views of one frame, within each key, made block by block.
+
+    A group is cut into ceil(n / block) blocks by hash, each block of the left goes to every block of the right, and the
+    join is on (key, left block, right block): the pairs of a large group are made in many tasks.
+    """
+    sizes = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    lefts = left.join(sizes, key).withColumn("_i", F.pmod(F.xxhash64(a), F.col("blocks"))).withColumn("_j", F.explode(every.cast("array<long>"))).drop("blocks")
+    rights = right.join(sizes, key).withColumn("_j", F.pmod(F.xxhash64(b), F.col("blocks"))).withColumn("_i", F.explode(every.cast("array<long>"))).drop("blocks")
+    return lefts.join(rights, [key, "_i", "_j"]).where(F.col(a) < F.col(b)).drop("_i", "_j")
 
 
 def token_similarity(names: DataFrame, weight: float = 0.5, least: int = 2, jaccard: float = 0.15, common: int = 200) -> DataFrame:
@@ -56,7 +89,7 @@ def co_location(files: DataFrame, network: DataFrame, weight: float = 0.3) -> Da
     linked = network.select(F.col("a").alias("file")).union(network.select(F.col("b").alias("file"))).distinct()
     alone = files.select("file").distinct().join(linked, "file", "left_anti").withColumn("dir", parent_dir(F.col("file")))
     a, b = alone.select("dir", F.col("file").alias("a")), alone.select("dir", F.col("file").alias("b"))
-    return a.join(b, "dir").where("a < b").select("a", "b", F.lit(weight).alias("weight"))
+    return in_blocks(a, b, "dir", "a", "b").select("a", "b", F.lit(weight).alias("weight"))
 
 
 def hubs(edges: DataFrame, owners: DataFrame, share: float = 0.05, least: int = 10) -> DataFrame:

@@ -8,20 +8,42 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import infer_doc_path, parse_status
 from graphloom.graph import Graph
 
-CATEGORY_ORDER = ("orphan_artifact", "missing_file", "status_mismatch")
-
-
-def drift(nodes: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(category, severity, node_id, path) in order of category: artifacts without a node (warning), nodes whose document is
-    missing (error), documents that state another status than their node (warning). artifacts: path, status."""
-    linked = nodes.where("doc_path is not null").select(F.col("id").alias("node_id"), F.col("doc_path").alias("path"), F.col("status").alias("node_status"))
-    orphan = artifacts.join(linked, "path", "left_anti").select(F.lit("orphan_artifact").alias("category"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("node_id"), "path")
-    missing = linked.join(artifacts, "path", "left_anti").select(F.lit("missing_file").alias("category"), F.lit("error").alias("severity"), "node_id", "path")
+# The categories of findings in their order.
+CATEGORY_ORDER = ("missing_node", "dangling_doc_pointer", "status_drift")
+
+
+def canonical_paths(nodes: DataFrame) -> DataFrame:
+    """(node_id, path, node_status): the document of each node, as stated or as its type and id say."""
+    stated = F.regexp_replace("doc_path", "\\\\", "/")
+    path = F.coalesce(stated, infer_doc_path(F.col("id"), F.col("node_type")))
+    return nodes.select(F.col("id").alias("node_id"), path.alias("path"), F.col("status").alias("node_status"), "ord").where("path is not null")
+
+
+def drift(nodes: DataFrame, artifacts: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(category, severity, node_id, path, auto_fixable): documents that no node points to (warning), nodes whose document is
+    missing (error), documents that state another status than their node, or one that is unknown (warning; only the first
+    kind can be mended by itself). artifacts: path, status. Of nodes with one path the last inserted counts for the status."""
+    linked = canonical_paths(nodes)
+    wanted = linked.where(~F.col("node_id").isin(*ignore)) if ignore else linked
+    parent = F.element_at(F.split("path", "/"), -2)
+    orphan = artifacts.join(linked, "path", "left_anti")
+    orphan = orphan.where(~F.coalesce(parent.isin(*ignore), F.lit(False))) if ignore else orphan
+    orphan = orphan.select(F.lit("missing_node").alias("category"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("node_id"), "path", F.lit(False).alias("auto_fixable"))
+    missing = wanted.join(artifacts, "path", "left_anti").select(F.lit("dangling_doc_pointer").alias("category"), F.lit("error").alias("severity"), "node_id", "path", F.lit(False).alias("auto_fixable"))
+    last = linked.groupBy("path").agg(F.max_by(F.struct("node_id", "node_status"), "ord").alias("n")).select("path", "n.*")
+    last = last.where(~F.col("node_id").isin(*ignore)) if ignore else last
     stated = parse_status(F.col("status"))
-    differing = linked.join(artifacts.where("status is not null"), "path").where(stated != F.col("node_status")).select(F.lit("status_mismatch").alias("category"), F.lit("warning").alias("severity"), "node_id", "path")
+    differing = last.join(artifacts.where("status is not null"), "path").where(stated.isNull() | (stated != F.col("node_status")))
+    differing = differing.select(F.lit("status_drift").alias("category"), F.lit("warning").alias("severity"), "node_id", "path", stated.isNotNull().alias("auto_fixable"))
     return orphan.unionByName(missing).unionByName(differing)
 
 
+def drift_order(found: DataFrame) -> DataFrame:
+    """Findings by category, errors first, then node and path, nulls first."""
+    rank = F.array_position(F.array(*map(F.lit, CATEGORY_ORDER)), F.col("category"))
+    return found.orderBy(rank, F.col("severity") != "error", F.asc_nulls_first("node_id"), "path")
+
+
 def drift_summary(found: DataFrame) -> DataFrame:
     """(category, severity, n, any_error)."""
     counts = found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
@@ -53,8 +75,8 @@ def touched(log: DataFrame) -> DataFrame:
 
 
 def replan(count: Column, limit: int, blocker: Column, retries: Column, most_retries: int = 2) -> Column:
-    """stop at the limit, else new_tasks for a blocker, else retry while retries are left, else escalate."""
-    return F.when(count >= limit, "stop").when(blocker, "new_tasks").when(retries < most_retries, "retry").otherwise("escalate")
+    """escalate at the limit of plans and for a blocker; else retry while retries are left, with or without output; else escalate."""
+    return F.when((count >= limit) | blocker, "escalate").when(retries < most_retries, "retry").otherwise("escalate")
 
 
 def unique_ids(df: DataFrame) -> DataFrame:
@@ -77,9 +99,18 @@ def snippets(sources: DataFrame, nodes: DataFrame, most: int = 40) -> DataFrame:
 
 
 def key_traceback(text: Column, most: int = 600) -> Column:
-    """The traceback of a text, else its end."""
-    at = F.instr(text, "Traceback")
-    return F.when(at > 0, F.substring(text, at, F.lit(most))).otherwise(F.substring(text, F.greatest(F.length(text) - most + 1, F.lit(1)), F.lit(most)))
+    """The traceback of a text up to an empty line, a ruler or a verdict; else the surroundings of a verdict; else the text's end."""
+    found = F.instr(text, "Traceback (most recent call last)")
+    chunk = F.substring(text, found, F.length(text))
+    end = F.lit(None).cast("int")
+    for mark in ("\nFAILED", "\n=====", "\n\n"):
+        end = F.when(F.instr(chunk, mark) > 0, F.instr(chunk, mark) - 1).otherwise(end)
+    out = F.substring(text, F.greatest(F.length(text) - most + 1, F.lit(1)), F.lit(most))
+    for mark in ("FAILED ", "ERROR:", "FAIL:"):
+        at = F.instr(text, mark)
+        start = F.greatest(at - 1 - 200, F.lit(0))
+        out = F.when(at > 0, F.substring(text, start + 1, F.least(at - 1 + most, F.length(text)) - start)).otherwise(out)
+    return F.when(found > 0, F.substring(chunk, F.lit(1), F.least(F.coalesce(end, F.length(chunk)), F.lit(most)))).otherwise(out)
 
 
 def tool_history(g: Graph, node: str) -> DataFrame:

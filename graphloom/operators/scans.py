@@ -65,7 +65,14 @@ ID_PREFIXES = {
     "file": "file", "fn": "function", "func": "function", "struct": "class", "class": "class", "mod": "module", "module": "module", "method": "method",
     "trait": "trait", "interface": "trait", "enum": "enum", "const": "constant", "static": "constant", "test": "test", "impl": "impl",
 }
-KNOWN_RELATIONS = ("depends_on", "blocks", "implements", "contains", "tests_for", "calls", "imports", "defined_in", "belongs_to", "inherits", "overrides", "uses", "part_of", "relates_to")
+# The relations and types that a graph file may hold.
+KNOWN_RELATIONS = (
+    "depends_on", "blocks", "subtask_of", "relates_to", "implements", "contains", "tests_for", "calls", "imports", "defined_in",
+    "belongs_to", "maps_to", "overrides", "inherits", "documents", "extends", "specifies", "used_by",
+)
+KNOWN_NODE_TYPES = (
+    "task", "file", "component", "feature", "layer", "code", "module", "class", "function", "method", "trait", "enum", "struct", "interface", "test", "config", "doc", "legacy",
+)
 
 
 def infer_node_type(node_id: Column) -> Column:
@@ -78,28 +85,37 @@ def known_relation(relation: Column, known=KNOWN_RELATIONS) -> Column:
 
 
 def resolve_node(g: Graph, ref: str) -> DataFrame:
-    """Nodes of the first tier that matches at all: id; title; segments of id or title; path, title, id containing it."""
+    """Nodes of the first tier that matches at all: id (its first row); title; all segments of ref between : - / in those of
+    the id or of the title; the same between underscores; path, title, id containing ref. All but the first ignore case."""
     low = ref.lower()
 
-    def segments(c: Column, pattern: str) -> Column:
-        return F.array_remove(F.split(F.lower(c), pattern), "")
-
     def has_all(c: Column, pattern: str) -> Column:
         want = F.array_remove(F.split(F.lit(low), pattern), "")
-        return (F.size(want) > 0) & (F.size(F.array_except(want, segments(c, pattern))) == 0)
+        return (F.size(want) > 0) & (F.size(F.array_except(want, F.split(F.lower(c), pattern))) == 0)
 
-    wide, narrow = r"[:\-/ ]", r"[:\-/_ ]"
+    structure, words = "[:/-]", "_"
     tier = (
         F.when(F.col("id") == ref, 1)
         .when(F.lower("title") == low, 2)
-        .when(has_all(F.col("id"), wide) | has_all(F.col("title"), wide), 3)
-        .when(has_all(F.col("id"), narrow) | has_all(F.col("title"), narrow), 4)
-        .when(F.lower("file_path").contains(low), 5)
-        .when(F.lower("title").contains(low), 6)
-        .when(F.lower("id").contains(low), 7)
+        .when(has_all(F.col("id"), structure) | has_all(F.col("title"), structure), 3)
+        .when(has_all(F.col("id"), words) | has_all(F.col("title"), words), 4)
+        .when(F.contains(F.lower("file_path"), F.lit(low)), 5)
+        .when(F.contains(F.lower("title"), F.lit(low)), 6)
+        .when(F.contains(F.lower("id"), F.lit(low)), 7)
     )
     found = g.nodes.withColumn("tier", tier).where("tier is not null")
-    return found.join(F.broadcast(found.agg(F.min("tier").alias("tier"))), "tier").select(*g.nodes.columns, "tier")
+    best = found.agg(F.min(F.struct("tier", F.when(F.col("tier") == 1, F.col("ord")).alias("ord"))).alias("best"))  # one row
+    found = found.join(F.broadcast(best)).where((F.col("tier") == F.col("best.tier")) & ((F.col("tier") > 1) | (F.col("ord") == F.col("best.ord"))))
+    return found.select(*g.nodes.columns, "tier")
+
+
+def has_node(g: Graph, path: str, name: str) -> bool:
+    return not find_node(g, path, name).isEmpty()
+
+
+def find_node(g: Graph, path: str, name: str) -> DataFrame:
+    """The first node of a name in a file."""
+    return g.nodes.where((F.col("file_path") == path) & (F.col("title") == name)).orderBy("ord").limit(1)
 
 
 def first_by_order(df: DataFrame, keys: list[str], last: bool = False) -> DataFrame:

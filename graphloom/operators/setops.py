@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, layer_of
+from graphloom.graph import EDGE, NODE, Graph, fill, layer_of, metadata_of
 from graphloom.operators.scans import first_by_order
 
 
@@ -80,16 +80,40 @@ def rollback_batch(g: Graph, batch: str) -> Graph:
     return Graph(g.nodes.where(~F.coalesce(F.col("infer_batch") == batch, F.lit(False))), rest, g.project)
 
 
+# Parts of a path that name nothing.
+PLAIN_FOLDERS, PLAIN_STEMS = ("src", "lib", "mod.rs", "index.ts", "index.js"), ("", "main", "mod", "index")
+
+
 def bridge_edges(g: Graph) -> DataFrame:
-    """(src, dst, confidence): project nodes to code nodes, first by exact path, else by a path segment in the project id."""
-    code = g.nodes.where("source = 'extract' and file_path is not null").select(F.col("id").alias("dst"), "file_path")
+    """(src, dst, confidence): project nodes to code nodes. A path among the code_paths of a project node gives 1.0; code nodes
+    without such a match meet, with 0.8, the project nodes whose id contains a segment of theirs.
+
+    Containment is no equality, so the distinct segments, which are few beside the nodes, meet the ids of a project by
+    their first three letters first; shorter segments by what they are.
+    """
+    code = g.nodes.where("source = 'extract'").select(F.col("id").alias("dst"), "file_path").distinct()
     project = g.nodes.where(layer_of(F.col("source")) == "project")
-    exact = project.where("code_paths is not null").select(F.col("id").alias("src"), F.explode("code_paths").alias("file_path")).join(code, "file_path").select("src", "dst", F.lit(1.0).alias("confidence")) if "code_paths" in project.columns else None
-    rest = code if exact is None else code.join(exact.select("dst"), "dst", "left_anti")
-    words = project.select(F.col("id").alias("src"), F.explode(F.array_distinct(F.split(F.lower("id"), "[^a-z0-9]+"))).alias("part"))
-    parts = rest.select("dst", F.explode(F.array_distinct(F.split(F.lower("file_path"), "[^a-z0-9]+"))).alias("part")).where("length(part) >= 3")
-    loose = parts.join(words, "part").select("src", "dst", F.lit(0.8).alias("confidence")).distinct()
-    return loose if exact is None else exact.unionByName(loose)
+    paths = F.col("code_paths") if "code_paths" in project.columns else F.from_json(_array_of(project, "code_paths"), "array<string>")
+    exact = project.select(F.col("id").alias("src"), F.explode(paths).alias("file_path")).join(code, "file_path").select("src", "dst", F.lit(1.0).alias("confidence")).distinct()
+    rest = code.join(exact.select("dst"), "dst", "left_anti")
+    own = F.when(F.instr("dst", ":") > 0, F.get(F.split("dst", ":"), F.lit(1))).otherwise(F.col("dst"))
+    named = F.filter(F.split(own, "/"), lambda x: ~x.isin(*PLAIN_FOLDERS))
+    stems = F.filter(F.transform(named, lambda x: F.substring_index(x, ".", 1)), lambda x: ~x.isin(*PLAIN_STEMS))
+    parts = rest.select("dst", F.explode(F.array_distinct(F.transform(stems, F.lower))).alias("part"))
+    segments = parts.select("part").distinct().withColumn("gram", F.substring("part", 1, 3))
+    low = F.lower("id")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(F.substring(low, i, F.lit(1)), F.substring(low, i, F.lit(2)), F.substring(low, i, F.lit(3)))))
+    ids = project.select("id").distinct().select(F.col("id").alias("src"), low.alias("low"), F.explode(F.array_distinct(grams)).alias("gram"))
+    met = segments.join(ids, "gram").where(F.contains("low", "part")).select("src", "part").distinct()
+    loose = parts.join(met, "part").select("src", "dst", F.lit(0.8).alias("confidence")).distinct()
+    return exact.unionByName(loose)
+
+
+def _array_of(nodes: DataFrame, key: str):
+    """A JSON array of the nodes' metadata, as text."""
+    if "metadata" not in nodes.columns:
+        return F.lit(None).cast("string")
+    return F.col("metadata")[key] if dict(nodes.dtypes)["metadata"].startswith("map") else F.get_json_object("metadata", f"$.{key}")
 
 
 def merge_lists(a, b):
@@ -102,3 +126,47 @@ def union_graphs(a: Graph, b: Graph) -> Graph:
     n = first_by_order(a.nodes.withColumn("_side", F.lit(0)).unionByName(b.nodes.withColumn("_side", F.lit(1))).withColumn("ord", F.col("_side") * F.lit(1 << 60) + F.col("ord")), ["id"])
     e = first_by_order(a.edges.withColumn("_side", F.lit(0)).unionByName(b.edges.withColumn("_side", F.lit(1))).withColumn("ord", F.col("_side") * F.lit(1 << 60) + F.col("ord")), ["src", "dst", "relation"])
     return Graph(n.drop("_side"), e.drop("_side"), a.project)
+
+
+# Kinds and relations of code graphs; kinds as reports fold them.
+CODE_KINDS = ("File", "Class", "Function", "Module", "Constant", "Interface", "Enum", "TypeAlias", "Trait")
+CODE_RELATIONS = ("imports", "inherits", "defined_in", "calls", "tests_for", "overrides", "implements", "belongs_to", "type_reference")
+FOLDED_KINDS = {"File": "file", "Class": "class", "Interface": "class", "Enum": "class", "TypeAlias": "class", "Trait": "class", "Function": "function", "Constant": "function", "Method": "function", "Module": "module"}
+
+
+def fold_kind(kind):
+    """The kind of a node as reports show it."""
+    table = F.create_map(*[F.lit(x) for kv in FOLDED_KINDS.items() for x in kv])
+    return F.coalesce(table[kind], F.lit("unknown"))
+
+
+def code_to_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
+    """The layer of extracted code as graph rows. nodes: id, name, kind, file_path, and what else a code node has; edges: src,
+    dst, relation, weight, confidence, call_count, in_error_path. Every node is done and of type code; what has no column of
+    its own goes into the metadata, as JSON."""
+    have = lambda c, t="string": F.col(c).cast(t) if c in nodes.columns else F.lit(None).cast(t)
+    meta = F.map_filter(
+        F.create_map(
+            F.lit("is_test"), F.when(have("is_test", "boolean"), "true"),
+            F.lit("line_count"), F.when(have("line_count", "long") > 0, have("line_count", "long").cast("string")),
+            F.lit("decorators"), F.when(F.size(have("decorators", "array<string>")) > 0, F.to_json(have("decorators", "array<string>"))),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    made = nodes.select(
+        "id", F.col("name").alias("title"), F.lit("done").alias("status"), F.lit("code").alias("node_type"), F.col("kind").alias("node_kind"), F.lit("extract").alias("source"), "file_path",
+        have("line", "long").alias("start_line"), have("end_line", "long").alias("end_line"), have("signature").alias("signature"), have("docstring").alias("doc_comment"), have("visibility").alias("visibility"),
+        have("lang").alias("lang"), have("body_hash").alias("body_hash"), have("visibility").isin("pub", "export").alias("is_public"), meta.alias("metadata"), have("ord", "long").alias("ord"),
+    )
+    parts = F.concat_ws(",", F.lit('"source":"extract"'), F.when(F.col("call_count") > 1, F.concat(F.lit('"call_count":'), F.col("call_count").cast("string"))), F.when(F.col("in_error_path"), '"in_error_path":true'))
+    return Graph(fill(made, NODE), fill(edges.withColumn("metadata", F.concat(F.lit("{"), parts, F.lit("}"))).withColumn("edge_source", F.lit("extract")), EDGE))
+
+
+def graph_to_code(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name, kind, file_path, is_test) and edges of the layer of extracted code: methods are functions, unknown
+    kinds files; edges of other relations go; a weight that is missing is 0.5, a confidence 1."""
+    kind = F.when(F.col("node_kind") == "Method", "Function").when(F.col("node_kind").isin(*CODE_KINDS), F.col("node_kind")).otherwise("File")
+    is_test = F.coalesce(metadata_of(g.nodes, "is_test"), F.lit("false")) == "true"
+    nodes = g.nodes.where("source = 'extract'").select("id", F.col("title").alias("name"), kind.alias("kind"), F.coalesce("file_path", F.lit("")).alias("file_path"), is_test.alias("is_test"), "ord")
+    edges = g.edges.where((F.col("edge_source") == "extract") & F.col("relation").isin(*CODE_RELATIONS))
+    return nodes, edges.select("src", "dst", "relation", F.coalesce("weight", F.lit(0.5)).alias("weight"), F.coalesce("call_count", F.lit(1)).alias("call_count"), F.coalesce("in_error_path", F.lit(False)).alias("in_error_path"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "ord")
