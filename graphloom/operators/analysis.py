@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, metadata_of, related, trusted
 from graphloom.lineage import cut
-from graphloom.operators.traverse import bounded_path, impact_of_many
+from graphloom.operators.aggregates import caller_counts, risk_level
+from graphloom.operators.traverse import bounded_path, impact_of_many, reach, steps_of
 
 FORWARD = ("calls", "inherits", "imports", "overrides", "tests_for")
 BACKWARD = ("calls", "imports", "overrides")
@@ -84,3 +88,125 @@ def closest_node(nodes: DataFrame, sites: DataFrame, tolerance: int = 3) -> Data
     """(site, id): the node of the same file whose start line is nearest to a site's line, within a tolerance."""
     met = sites.join(nodes.select("id", "file_path", "start_line"), "file_path").withColumn("far", F.abs(F.col("start_line") - F.col("line"))).where(F.col("far") <= tolerance)
     return met.groupBy("site").agg(F.min_by("id", F.struct("far", "id")).alias("id"))
+
+
+def code_layer(g: Graph) -> Graph:
+    """Extracted nodes and edges alone."""
+    return Graph(g.nodes.where("source = 'extract'"), g.edges.where("edge_source = 'extract'"), g.project)
+
+
+def low_risk_alternatives(g: Graph, failed_files: list[str], most_callers: int, most: int = 5) -> DataFrame:
+    """(id, callers, callees): functions in or below the directories of files that failed, but in other files, with few
+    callers; the fewest first, then in order. Tests are left out."""
+    folders = sorted({f.rpartition("/")[0] for f in failed_files if "/" in f})
+    path, near = F.coalesce("file_path", F.lit("")), F.lit(False)
+    for folder in folders:
+        near = near | path.startswith(folder)
+    code = code_layer(g)
+    wanted = code.nodes.where((F.col("node_kind") == "Function") & near & ~path.isin(failed_files) & (F.coalesce(metadata_of(g.nodes, "is_test"), F.lit("false")) != "true"))
+    found = caller_counts(code).join(wanted.select("id", "ord"), ["id", "ord"], "left_semi").where(F.col("callers") <= most_callers)
+    return found.orderBy("callers", "ord").limit(most).select("id", "callers", "callees")
+
+
+def file_impact(g: Graph, files: list[str], relations=None, minimum: float | None = None) -> DataFrame:
+    """(id, part, risk, hidden): code that leads to what is in some files, itself included where it is on a cycle; test or
+    source; how risky the change is by the most callers of what the files hold; and how many edges below the confidence the
+    walks from each of the files' nodes passed by, counted for each of them."""
+    code = code_layer(g)
+    eligible = code.edges.where(related(relations) & trusted(minimum))
+    changed = code.nodes.where(F.col("file_path").isin(files))
+    met = cut(reach(steps_of(eligible, "in"), changed.select(F.col("id").alias("seed")).distinct()).select("seed", "id"), "met")
+    up = eligible.join(met.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    is_test = F.coalesce(metadata_of(g.nodes, "is_test"), F.lit("false")) == "true"
+    found = g.nodes.join(up, "id", "left_semi").select("id", F.when(is_test, "test").otherwise("source").alias("part")).distinct()
+    low = code.edges.where(related(relations) & ~trusted(minimum)).select("src", F.col("dst").alias("id"))
+    hidden = met.join(low, "id").agg(F.count(F.lit(1)).alias("hidden"))
+    counts = caller_counts(code).join(changed.where(F.col("node_kind").isin("Function", "Method", "Class") & ~is_test).select("id").distinct(), "id", "left_semi")
+    risk = counts.agg(risk_level(F.coalesce(F.max("callers"), F.lit(0))).alias("risk"))
+    return found.join(F.broadcast(risk)).join(F.broadcast(hidden))  # frames of one row
+
+
+def resolve_tests(g: Graph, tests: list[str]) -> DataFrame:
+    """(test, id, rule): the node that a test name file::...::name means, by the first rule that any node meets, the first
+    node of that rule: name in the file; end of a name in the file; name; end of a name; any test node of the file."""
+    parts = [(t, t.split("::")[0] if "::" in t else "", t.rpartition("::")[2]) for t in tests]
+    wanted = F.broadcast(g.nodes.sparkSession.createDataFrame(parts, "test string, file string, name string"))  # the names asked for
+    title, path = F.col("title"), F.coalesce("file_path", F.lit(""))
+    here = (F.col("file") != "") & F.endswith(path, F.col("file"))
+    is_test = F.coalesce(metadata_of(g.nodes, "is_test"), F.lit("false")) == "true"
+    rule = (
+        F.when((title == F.col("name")) & here, 1)
+        .when(F.endswith(title, F.col("name")) & here, 2)
+        .when(title == F.col("name"), 3)
+        .when(F.endswith(title, F.col("name")), 4)
+        .when(is_test & here, 5)
+    )
+    met = g.nodes.join(wanted, rule.isNotNull()).withColumn("rule", rule)
+    return met.groupBy("test").agg(F.min(F.struct("rule", "ord", "id")).alias("x")).select("test", F.col("x.id").alias("id"), F.col("x.rule").alias("rule"))
+
+
+def _short_name(test: str) -> str:
+    return test.rpartition("::")[2] if "::" in test else test.split(" (")[0].strip()
+
+
+def _test_names(text: str) -> list[str]:
+    """Test names of a JSON list, else one a line."""
+    try:
+        found = json.loads(text)
+        if isinstance(found, list) and all(isinstance(x, str) for x in found):
+            return found
+    except ValueError:
+        pass
+    return [x.strip() for x in text.splitlines() if x.strip()]
+
+
+def symptom_nodes(g: Graph, problem: str, tests: str) -> DataFrame:
+    """(id, why): code that a problem names: its tests; functions after ", in " of a traceback; quoted names; names in camel
+    case of classes. Without any, code whose names hold two words of a test's name (or its only one), and what the file of
+    the test's class tests."""
+    names = _test_names(tests)
+    title, path = F.col("title"), F.coalesce("file_path", F.lit(""))
+    beside_tests = F.contains(path, F.lit("/tests/")) | F.contains(path, F.lit("/test_"))
+    function, class_ = F.col("node_kind") == "Function", F.col("node_kind") == "Class"
+    ident = re.compile(r"\w+\Z")
+    framed, quoted, camel = set(), set(), set()
+    for line in map(str.strip, problem.splitlines()):
+        if ", in " in line:
+            name = line.rpartition(", in ")[2].strip().lstrip("<").rstrip(">")
+            framed |= {name} if len(name) >= 3 and ident.match(name) else set()
+        for mark in "'\"`":
+            quoted |= {w for x in line.split(mark)[1::2] if 3 <= len(w := x.strip()) <= 60 and ident.match(w)}
+    for word in re.split(r"[\s,()'\"`]", problem):
+        word = word.strip(".:;")
+        if len(word) >= 4 and ident.match(word) and sum(c.isupper() for c in word) >= 2 and any(c.islower() for c in word):
+            camel.add(word)
+    is_test = F.lit(False)
+    for name in {_short_name(t) for t in names}:
+        is_test = is_test | F.endswith(title, F.lit(name))
+    why = (
+        F.when(function & is_test & (beside_tests | title.startswith("test_")), "test")
+        .when(function & title.isin(sorted(framed)), "traceback")
+        .when((function | class_) & title.isin(sorted(quoted)), "quoted")
+        .when(class_ & title.isin(sorted(camel)), "class")
+    )
+    found = g.nodes.select("id", why.alias("why")).where("why is not null").distinct()
+    if not found.isEmpty():
+        return found
+    hit, low = F.lit(False), F.lower("title")
+    for t in names:
+        words = [w.lower() for w in _short_name(t).split("_") if len(w) >= 3 and w not in ("test", "tests")]
+        if words:
+            n = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+            hit = hit | (n >= (1 if len(words) == 1 else 2))
+    by_word = g.nodes.where(hit & ~beside_tests).select("id", F.lit("keyword").alias("why"))
+    classes = sorted({t.split(" (")[1].rstrip(")").rpartition(".")[2] for t in names if " (" in t})
+    tested = g.nodes.where(class_ & title.isin(classes)).select(F.concat(F.lit("file:"), path).alias("src")).distinct()
+    to = g.edges.where("relation = 'tests_for'").join(tested, "src", "left_semi").select("dst").distinct()
+    held = g.nodes.where("node_kind <> 'File'").withColumn("dst", F.explode(F.array("id", F.concat(F.lit("file:"), path)))).join(to, "dst", "left_semi").select("id", F.lit("tested").alias("why"))
+    return by_word.unionByName(held.join(by_word, "id", "left_anti")).distinct()
+
+
+def shares_import(g: Graph, test: str, changed: list[str]) -> bool:
+    """Whether a test imports a changed node or its file."""
+    ends = g.nodes.where(F.col("id").isin(changed)).select(F.explode(F.array("id", F.concat(F.lit("file:"), F.coalesce("file_path", F.lit(""))))).alias("dst"))
+    return not g.edges.where((F.col("src") == test) & (F.col("relation") == "imports")).join(ends, "dst", "left_semi").isEmpty()

@@ -7,30 +7,39 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import language_of
+
+# Executors need no copy of this package: the parsers travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FACT = "path string, kind string, name string, scope string, line int, end_line int, target string, in_error_path boolean, signature string, doc string"
-#: How many candidates an unresolved call may fan out to.
-FAN_OUT = 3
 RUST = (
-    ("function", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)")),
+    ("function", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+(\w+)")),
     ("class", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)")),
     ("enum", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)")),
-    ("trait", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)")),
+    ("trait", re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)")),
+    ("impl", re.compile(r"^\s*(?:unsafe\s+)?impl(?:\s*<[^{]*?>)?\s+(?:([\w:]+)(?:<[^{]*?>)?\s+for\s+)?(?:[\w]+::)*(\w+)")),
     ("module", re.compile(r"^\s*(?:pub\s+)?mod\s+(\w+)\s*[{;]")),
 )
 TYPESCRIPT = (
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)")),
+    ("function", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")),
     ("function", re.compile(r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>")),
-    ("class", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)")),
-    ("interface", re.compile(r"^\s*(?:export\s+)?interface\s+(\w+)")),
+    ("class", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.]+))?")),
+    ("interface", re.compile(r"^\s*(?:export\s+)?interface\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.]+))?")),
     ("enum", re.compile(r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)")),
 )
-CALL = re.compile(r"(?<![\w.])(?:\w+(?:\.|::))?(\w+)\s*\(")
+MEMBER = re.compile(r"^\s*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+)*(\w+)\s*(?:<[^(]*>)?\([^)]*\)\s*(?::[^{;]+)?\{")
+CALL = re.compile(r"(?<![\w.])((?:\w+(?:\.|::))*)(\w+)\s*\(")
+STRINGS = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|`[^`]*`")
 KEYWORDS = frozenset("if for while match return fn let function switch catch class new await async loop else super typeof instanceof".split())
+CONTAINERS = ("class", "trait", "interface", "impl", "enum")
 
 
 def python_facts(path: str, text: str) -> list[tuple]:
@@ -88,26 +97,56 @@ def python_facts(path: str, text: str) -> list[tuple]:
 
 
 def pattern_facts(path: str, text: str, rules) -> list[tuple]:
-    """Definitions, imports and calls of a Rust or TypeScript file, line by line."""
-    out, scope = [], ""
+    """Definitions, imports, bases and calls of a Rust or TypeScript file, line by line; braces tell what holds what."""
+    out: list[list] = []
+    held: list[tuple[str, str, int, list | None]] = []  # (kind, name, depth of its body, fact)
+    depth, rust = 0, rules is RUST
+
+    def fact(kind, name, scope, line, target=None, error=False, signature=None):
+        out.append([path, kind, name, scope, line, line, target, error, signature, None])
+        return out[-1]
+
     for i, line in enumerate(text.split("\n"), 1):
-        code = line.split("//")[0]
-        for kind, rule in rules:
-            m = rule.match(code)
-            if m:
-                out.append((path, kind, m[1], m[1], i, i, None, False, code.strip().rstrip("{").strip(), None))
-                scope = m[1] if kind == "function" else scope
-                if kind == "function":  # a body on the same line
-                    out += [(path, "call", c, scope, i, i, c, "Err(" in code, None, None) for c in CALL.findall(code.partition("{")[2]) if c not in KEYWORDS]
-                break
+        code = STRINGS.sub('""', line.split("//")[0])
+        scope = next((f[3] for k, _, _, f in reversed(held) if k in ("function", "method")), "")
+        owner = next((n for k, n, _, _ in reversed(held) if k in CONTAINERS), None)
+        opened, body = None, code
+        found = next(((k, m) for k, rule in rules if (m := rule.match(code))), None)
+        member = MEMBER.match(code) if not rust and found is None and owner and not scope else None
+        if found or (member and member[1] not in KEYWORDS):
+            kind, m = found or ("function", member)
+            name = m[2] if kind == "impl" else m[1]
+            signature = line.split("//")[0].strip().rstrip("{").strip()
+            if kind == "impl":
+                if m[1]:
+                    fact("inherits", re.split("::", m[1])[-1], name, i, m[1])
+                opened = (kind, name, depth, None)
+            else:
+                method = kind == "function" and owner is not None and not scope
+                own = f"{owner}.{name}" if method else name
+                opened = ("method" if method else kind, name, depth, fact("method" if method else kind, name, own, i, owner if method else None, False, signature))
+                if kind in ("class", "interface") and m.re.groups > 1 and m[2]:
+                    fact("inherits", m[2].split(".")[-1], own, i, m[2])
+                scope = own if kind == "function" else scope
+                body = code.partition("{")[2] if kind == "function" else ""
         else:
-            m = re.match(r"\s*(?:use\s+([\w:]+)|import\s+.*?from\s+['\"]([^'\"]+))", code)
+            m = re.match(r"\s*(?:pub\s+)?use\s+([\w:]+)(?:::\{([^}]*)\})?", code) if rust else re.match(r"\s*import\s+(.*?)\s*from\s+['\"]([^'\"]+)", line)
             if m:
-                target = m[1] or m[2]
-                out.append((path, "import", re.split(r"::|/", target)[-1], "", i, i, target, False, None, None))
-            elif scope:
-                out += [(path, "call", c, scope, i, i, c, "Err(" in code or "catch" in code, None, None) for c in CALL.findall(code) if c not in KEYWORDS]
-    return out
+                target = m[1] if rust else m[2]
+                names = (m[2] or re.split("::", m[1])[-1]) if rust else m[1]
+                for n in re.findall(r"\w+", re.sub(r"\w+\s+as\s+", "", names)):
+                    fact("import", n, "", i, target)
+                body = ""
+        if scope and body:
+            out += [[path, "call", c, scope, i, i, q + c, "Err(" in code or "catch" in code or "throw" in code, None, None] for q, c in CALL.findall(body) if c not in KEYWORDS]
+        if opened and "{" in code:
+            held.append(opened)
+        depth += code.count("{") - code.count("}")
+        while held and depth <= held[-1][2]:
+            done = held.pop()
+            if done[3]:
+                done[3][5] = i
+    return [tuple(f) for f in out]
 
 
 def facts(sources: DataFrame) -> DataFrame:
@@ -142,31 +181,126 @@ def definitions(found: DataFrame) -> DataFrame:
     return files.unionByName(own).dropDuplicates(["id"])
 
 
-def call_edges(found: DataFrame, defs: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """(src, dst, relation, confidence, in_error_path, line): calls to definitions of that name, by the best tier that has any:
-    same file 0.8, imported 0.75, same directory 0.7, anywhere 0.5 if the candidates are few."""
-    callers = defs.where("node_type in ('function', 'method')").select(F.col("id").alias("src"), F.col("file_path").alias("path"), "scope")
-    calls = found.where("kind = 'call'").join(callers, ["path", "scope"]).select("src", "path", "name", "line", "in_error_path", F.monotonically_increasing_id().alias("site"))
-    targets = defs.where("node_type in ('function', 'method', 'class')").select(F.col("id").alias("dst"), F.col("title").alias("name"), F.col("file_path").alias("target_path"))
-    imported = found.where("kind = 'import'").select("path", "name").distinct().withColumn("imported", F.lit(True))
-    dir_of = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
-    met = calls.join(targets, "name").join(imported, ["path", "name"], "left")
-    tier = F.when(F.col("path") == F.col("target_path"), 1).when(F.col("imported"), 2).when(dir_of(F.col("path")) == dir_of(F.col("target_path")), 3).otherwise(4)
+# How sure a call is by what decided, and to how many definitions of a name anywhere it may lead, by language:
+# same file, imported, same package, anywhere; most candidates for plain names and for members.
+CALL_TIERS = {"python": (0.8, 0.75, 0.7, 0.5), "rust": (0.9, 0.8, 0.7, 0.5), "typescript": (0.9, 0.8, 0.7, 0.5)}
+CALL_LIMITS = {"python": (3, 20), "rust": (3, 10), "typescript": (3, 15)}
+CONSTRUCTOR_TIERS = (0.8, 0.7, 0.6, 0.5)
+PYTHON_MEMBER, OWN_METHOD, OWN_FILE, TYPED_RECEIVER = 0.3, 0.9, 0.6, 0.95
+
+
+def _of_language(values: dict, k: int):
+    return F.when(F.col("lang") == "rust", values["rust"][k]).when(F.col("lang") == "typescript", values["typescript"][k]).otherwise(values["python"][k])
+
+
+def call_sites(found: DataFrame, defs: DataFrame) -> DataFrame:
+    """(site, src, path, dir, lang, class, name, receiver, member, in_error_path, line) of the calls within known functions."""
+    callers = defs.where("node_type in ('function', 'method')").select(F.col("id").alias("src"), "node_type", F.col("file_path").alias("path"), "scope")
+    calls = found.where("kind = 'call'").select("path", "scope", "name", "target", "line", "in_error_path").join(callers, ["path", "scope"])
+    receiver = F.regexp_extract("target", r"(\w+)(?:\.|::)\w+$", 1)
+    class_ = F.when(F.col("node_type") == "method", F.regexp_replace("scope", "\\.[^.]*$", ""))
+    site = F.xxhash64("path", "scope", "line", "target", F.row_number().over(Window.partitionBy("path", "scope", "line", "target").orderBy("name")))
+    return calls.select(
+        site.alias("site"), "src", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), language_of(F.col("path")).alias("lang"), class_.alias("class"), "name",
+        F.when(receiver != "", receiver).alias("receiver"), (receiver != "").alias("member"), "in_error_path", "line",
+    )
+
+
+def _best(met: DataFrame) -> DataFrame:
+    """Of candidates with a tier, those of each site's best one."""
     w = Window.partitionBy("site")
-    met = met.withColumn("tier", tier).withColumn("best", F.min("tier").over(w)).where("tier = best").withColumn("n", F.count(F.lit(1)).over(w))
-    met = met.where((F.col("tier") < 4) | (F.col("n") <= fan_out)).where("src <> dst")
-    confidence = F.when(F.col("tier") == 1, 0.8).when(F.col("tier") == 2, 0.75).when(F.col("tier") == 3, 0.7).otherwise(0.5)
-    return met.select("src", "dst", F.lit("calls").alias("relation"), confidence.alias("confidence"), "in_error_path", "line")
+    return met.withColumn("best", F.min("tier").over(w)).where("tier = best").withColumn("n", F.count(F.lit(1)).over(w))
+
+
+def call_edges(found: DataFrame, defs: DataFrame) -> DataFrame:
+    """(src, dst, relation, confidence, in_error_path, line): calls to functions and methods of that name.
+
+    A member of self resolves within the own class and its direct bases, where there are any; a member of a named type to
+    that type's methods; all else by the best tier that has any definition: same file, imported, same package, anywhere if
+    there are few. A capitalised name that no function has is a constructor.
+    """
+    calls = call_sites(found, defs)
+    targets = defs.where("node_type in ('function', 'method')").select(
+        F.col("id").alias("dst"), F.col("title").alias("name"), F.col("file_path").alias("there"), F.when(F.col("node_type") == "method", F.regexp_replace("scope", "\\.[^.]*$", "")).alias("owner")
+    )
+    known = targets.groupBy("name").agg(F.count(F.lit(1)).alias("every"))
+    imported = found.where("kind = 'import'").select("path", "name").distinct().withColumn("imported", F.lit(True))
+    calls = calls.join(imported, ["path", "name"], "left").join(known, "name", "left")
+    own = F.coalesce(F.col("receiver").isin("self", "this", "cls", "Self"), F.lit(False))
+    same_file, same_dir = F.col("path") == F.col("there"), F.col("dir") == F.regexp_replace("there", "/?[^/]*$", "")
+    met = calls.where("every is not null").join(targets, "name")
+
+    bases = found.where("kind = 'inherits'").select("path", F.col("scope").alias("class"), F.col("name").alias("owner")).distinct().withColumn("base", F.lit(True))
+    mine = met.where(own).join(bases, ["path", "class", "owner"], "left")
+    inside = (same_file & (F.col("owner") == F.col("class"))) | F.coalesce("base", F.lit(False))
+    mine = mine.withColumn("tier", F.when(F.col("class").isNull(), F.when(same_file, 4)).when(F.coalesce(inside, F.lit(False)), 1).when(F.col("every") <= 3, 2).when(same_file, 3))
+    selves = _best(mine.where("tier is not null")).withColumn("confidence", F.when(F.col("tier") == 4, OWN_FILE).otherwise(OWN_METHOD))
+
+    others = met.where(~own)
+    typed = F.coalesce((F.col("lang") == "rust") & (F.col("receiver") == F.col("owner")), F.lit(False))
+    tier = F.when(typed, 0).when(same_file, 1).when(F.col("imported"), 2).when(same_dir, 3).when(F.col("every") <= F.when(F.col("member") & ~F.col("name").rlike("^__.*__$"), _of_language(CALL_LIMITS, 1)).otherwise(_of_language(CALL_LIMITS, 0)), 4)
+    chosen = _best(others.withColumn("tier", tier).where("tier is not null"))
+    sure = F.when(F.col("tier") == 0, TYPED_RECEIVER).when((F.col("tier") == 4) & (F.col("lang") == "python") & F.col("member"), PYTHON_MEMBER)
+    for k in range(4):
+        sure = sure.when(F.col("tier") == k + 1, _of_language(CALL_TIERS, k))
+    plain = chosen.withColumn("confidence", sure)
+
+    makers = defs.where("node_type = 'method' and title = '__init__'").select(F.col("id").alias("dst"), F.element_at(F.split("scope", "\\."), -2).alias("name"), F.col("file_path").alias("there"))
+    counts = makers.groupBy("name").agg(F.count(F.lit(1)).alias("makers"))
+    made = calls.where((F.col("lang") == "python") & F.col("every").isNull() & F.col("name").rlike("^\\p{Lu}")).join(makers, "name").join(counts, "name")
+    made = made.withColumn("tier", F.when(same_file, 1).when(F.col("imported"), 2).when(same_dir, 3).when(F.col("makers") <= 3, 4))
+    made = _best(made.where("tier is not null")).withColumn("confidence", F.element_at(F.array(*map(F.lit, CONSTRUCTOR_TIERS)), F.col("tier")))
+
+    columns = ["src", "dst", F.lit("calls").alias("relation"), F.col("confidence").cast("double").alias("confidence"), "in_error_path", "line"]
+    return plain.select(columns).unionByName(selves.select(columns)).unionByName(made.select(columns)).where("src <> dst")
+
+
+def remove_phantoms(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without file nodes whose path is not there; only if there are such, edges without an end go too."""
+    gone = nodes.where("node_type = 'file'").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_anti").select("id")
+    kept = nodes.join(gone, "id", "left_anti").select(nodes.columns)
+    ids = kept.select("id").distinct().withColumn("there", F.lit(True))
+    some = gone.agg((F.count(F.lit(1)) > 0).alias("some"))  # one row
+    e = edges.join(ids.withColumnsRenamed({"id": "src", "there": "a"}), "src", "left").join(ids.withColumnsRenamed({"id": "dst", "there": "b"}), "dst", "left").join(F.broadcast(some))
+    return kept, e.where("not some or (a and b)").select(edges.columns)
+
+
+def resolve_references(edges: DataFrame, defs: DataFrame, modules: DataFrame) -> DataFrame:
+    """edges with class_ref:, module_ref: and func_ref: ends replaced by what they name; those that name nothing go.
+
+    Of classes of one name the last inserted counts, of functions the first; modules: (module, id).
+    """
+    kind, name = F.regexp_extract("dst", "^(class|module|func)_ref:", 1), F.regexp_replace("dst", "^(class|module|func)_ref:", "")
+    classes = defs.where("node_type = 'class'").groupBy(F.col("title").alias("ref")).agg(F.max_by("id", "ord").alias("found")).withColumn("kind", F.lit("class"))
+    functions = defs.where("node_type in ('function', 'method')").groupBy(F.col("title").alias("ref")).agg(F.min_by("id", "ord").alias("found")).withColumn("kind", F.lit("func"))
+    table = classes.unionByName(functions).unionByName(modules.select(F.col("module").alias("ref"), F.col("id").alias("found"), F.lit("module").alias("kind")))
+    e = edges.withColumn("kind", kind).withColumn("ref", name).join(table, ["kind", "ref"], "left")
+    return e.where("kind = '' or found is not null").withColumn("dst", F.coalesce("found", "dst")).select(edges.columns)
+
+
+def remap_impls(edges: DataFrame, defs: DataFrame) -> DataFrame:
+    """edges whose defined_in leads to a class that is not there led to the first class of that short name, if there is one."""
+    classes = defs.where("node_type = 'class'").select("id", "ord", F.element_at(F.split("id", ":"), -1).alias("short"))
+    first = classes.groupBy("short").agg(F.min_by("id", "ord").alias("real"))
+    there = defs.select(F.col("id").alias("dst")).distinct().withColumn("there", F.lit(True))
+    lost = (F.col("relation") == "defined_in") & F.col("dst").startswith("class:") & F.col("there").isNull()
+    e = edges.join(there, "dst", "left").withColumn("short", F.when(lost, F.element_at(F.split("dst", ":"), -1))).join(first, "short", "left")
+    return e.withColumn("dst", F.coalesce("real", "dst")).select(edges.columns)
 
 
 def structure_edges(found: DataFrame, defs: DataFrame) -> DataFrame:
     """(src, dst, relation, confidence): defined_in, inherits, imports, overrides; names that resolve to nothing are dropped."""
     inside = defs.where("node_type <> 'file'").select(F.col("id").alias("src"), "file_path", F.regexp_replace("scope", "\\.?[^.]*$", "").alias("outer"))
     scopes = defs.where("node_type <> 'file'").select(F.col("id").alias("parent"), "file_path", F.col("scope").alias("outer"))
-    placed = inside.join(scopes, ["file_path", "outer"], "left").select("src", F.coalesce("parent", F.concat(F.lit("file:"), "file_path")).alias("dst"), F.lit("defined_in").alias("relation"), F.lit(1.0).alias("confidence"))
+    # members of a type that another file defines belong to the first type of that name
+    elsewhere = defs.where("node_type = 'class'").groupBy(F.col("title").alias("outer")).agg(F.min("id").alias("far"))
+    up = inside.join(scopes, ["file_path", "outer"], "left").join(elsewhere, "outer", "left")
+    placed = up.select("src", F.coalesce("parent", "far", F.concat(F.lit("file:"), "file_path")).alias("dst"), F.lit("defined_in").alias("relation"), F.lit(1.0).alias("confidence"))
     classes = defs.where("node_type in ('class', 'interface', 'trait')").select(F.col("id").alias("dst"), F.col("title").alias("name"), F.col("file_path").alias("there"))
-    own = defs.where("node_type = 'class'").select(F.col("id").alias("src"), F.col("file_path").alias("path"), "scope")
-    bases = found.where("kind = 'inherits'").join(own, ["path", "scope"]).join(classes, "name")
+    kinds = ("class", "interface", "enum")
+    own = defs.where(F.col("node_type").isin(*kinds)).select(F.col("id").alias("own"), F.col("file_path").alias("path"), "scope")
+    far = defs.where(F.col("node_type").isin(*kinds)).groupBy("scope").agg(F.min("id").alias("far"))
+    bases = found.where("kind = 'inherits'").join(own, ["path", "scope"], "left").join(far, "scope", "left").withColumn("src", F.coalesce("own", "far")).where("src is not null").join(classes, "name")
     near = bases.withColumn("rank", F.row_number().over(Window.partitionBy("src", "name").orderBy((F.col("path") != F.col("there")), "dst"))).where("rank = 1")
     inherits = near.where("src <> dst").select("src", "dst", F.lit("inherits").alias("relation"), F.lit(0.9).alias("confidence"))
     stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), "\\.[a-z]+$", "")
@@ -174,8 +308,9 @@ def structure_edges(found: DataFrame, defs: DataFrame) -> DataFrame:
     imports = found.where("kind = 'import'").select(F.concat(F.lit("file:"), "path").alias("src"), F.explode(F.array_distinct(F.array(F.element_at(F.split(F.regexp_replace("target", "^\\.+", ""), "[./:]+"), -1), F.col("name")))).alias("stem"))
     imports = imports.join(files, "stem").where("src <> dst").select("src", "dst", F.lit("imports").alias("relation"), F.lit(0.9).alias("confidence")).distinct()
     method = defs.where("node_type = 'method'").select("id", "title", "file_path", F.regexp_replace("scope", "\\.[^.]*$", "").alias("scope"))
-    class_ = defs.where("node_type = 'class'").select(F.col("id").alias("class"), "file_path", "scope")
-    members = method.join(class_, ["file_path", "scope"]).select("id", "title", "class")
+    class_ = defs.where("node_type in ('class', 'trait', 'interface')").select(F.col("id").alias("class"), "file_path", "scope")
+    by_name = defs.where("node_type = 'class'").groupBy("scope").agg(F.min("id").alias("far"))
+    members = method.join(class_, ["file_path", "scope"], "left").join(by_name, "scope", "left").select("id", "title", F.coalesce("class", "far").alias("class")).where("class is not null")
     sub = members.select(F.col("id").alias("dst"), "title", F.col("class").alias("sub"))
     base = members.select(F.col("id").alias("src"), "title", F.col("class").alias("base"))
     overrides = inherits.select(F.col("src").alias("sub"), F.col("dst").alias("base")).join(sub, "sub").join(base, ["base", "title"]).select("src", "dst", F.lit("overrides").alias("relation"), F.lit(0.6).alias("confidence"))

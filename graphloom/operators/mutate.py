@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import slugify
 from graphloom.graph import Graph
 from graphloom.operators.scans import first_by_order, infer_node_type
 
@@ -107,3 +108,42 @@ def apply_edits(g: Graph, edits: list[dict]) -> Graph:
         op, rest = e["op"], {k: v for k, v in e.items() if k != "op"}
         g = {"add_node": add_node, "add_edge": add_edge, "remove_node": remove_node, "update_status": update_status}[op](g, **rest)
     return g
+
+
+def add_feature(g: Graph, name: str, tasks: list[dict]) -> Graph:
+    """A feature and its tasks: ids by slug, made unique; each task implements the feature and depends on those of its
+    `deps` that are titles among the tasks; others are skipped. tasks: title, and status, tags, deps if wanted."""
+    spark = g.nodes.sparkSession
+    slug_of = {r["t"]: r["s"] for r in spark.createDataFrame([(x,) for x in {name, *(t["title"] for t in tasks)}], "t string").select("t", slugify(F.col("t")).alias("s")).collect()}
+    slug = slug_of[name]
+    bases = [f"feat-{slug}", *(f"task-{slug}-{slug_of[t['title']]}" for t in tasks)]
+    like = g.nodes.where(F.regexp_replace("id", "-([2-9]|[1-9][0-9]{1,2})$", "").isin(bases) | F.col("id").isin(bases)).select("id").distinct()
+    used = {r["id"] for r in like.collect()}  # a thousand at most for each new node
+
+    def unique(base: str) -> str:
+        free = next((x for x in (base, *(f"{base}-{k}" for k in range(2, 1000))) if x not in used), f"{base}-overflow")
+        used.add(free)
+        return free
+
+    last = max(g.nodes.agg(F.max("ord")).first()[0] or 0, g.edges.agg(F.max("ord")).first()[0] or 0)
+    feature = unique(bases[0])
+    nodes = [{"id": feature, "title": name, "node_type": "feature", "status": "todo", "ord": last + 1}]
+    edges, by_title = [], {}
+    for k, (t, base) in enumerate(zip(tasks, bases[1:])):
+        own = unique(base)
+        nodes.append({"id": own, "title": t["title"], "node_type": "task", "status": t.get("status", "todo"), "tags": t.get("tags", []), "ord": last + 2 + k})
+        edges.append((own, feature, "implements"))
+        by_title[t["title"]] = own
+    for t in tasks:
+        edges += [(by_title[t["title"]], by_title[d], "depends_on") for d in t.get("deps", []) if d in by_title]
+    new_nodes = _rows(g.nodes, nodes)
+    new_edges = _rows(g.edges, [{"src": a, "dst": b, "relation": r, "call_count": 1, "in_error_path": False, "ord": last + 1 + i} for i, (a, b, r) in enumerate(dict.fromkeys(edges))])
+    return Graph(g.nodes.unionByName(new_nodes), g.edges.unionByName(new_edges), g.project)
+
+
+def _rows(df: DataFrame, rows: list[dict]) -> DataFrame:
+    """Rows in the shape of df."""
+    out = df.limit(0)
+    for values in rows:
+        out = out.unionByName(df.sparkSession.range(1).select(*[(F.array(*map(F.lit, v)) if isinstance(v := values.get(f.name), list) else F.lit(v)).cast(f.dataType).alias(f.name) for f in df.schema]))
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, layer_of
-from graphloom.lineage import cut
+from graphloom.lineage import Rounds, cut
 
 DONE = ("done", "cancelled")
 
@@ -31,19 +31,24 @@ def newly_ready(g: Graph, completed: str) -> DataFrame:
 def topological_ranks(g: Graph) -> DataFrame:
     """(id, rank) by depends_on, dependencies first; rank null where a cycle, a self-loop or a missing end keeps a node back."""
     edges = cut(depends_on(g).select("src", "dst"), "edges")
-    left = cut(g.nodes.select("id").distinct(), "left")
-    ranked, rank = None, 0
+    nodes = cut(g.nodes.select("id").distinct(), "nodes")
+    return _ranked(nodes, edges, edges, "rank")
+
+
+def _ranked(nodes: DataFrame, first: DataFrame, later: DataFrame, name: str) -> DataFrame:
+    """(id, name): round by round the nodes none of whose edges (src, dst) leads to one that has no round yet; `first` are the
+    edges that count in the first round, `later` in all others. A round is one write, and only ids are carried on."""
+    found, k = Rounds(nodes.sparkSession, f"id string, {name} int"), 0
     while True:
-        held = edges.select(F.col("src").alias("id")).distinct()
-        free = cut(left.join(held, "id", "left_anti").withColumn("rank", F.lit(rank)), f"rank-{rank}")
-        if free.isEmpty():
+        placed = found.all().select("id")
+        edges = first if k == 0 else later
+        held = edges.join(placed.withColumnRenamed("id", "dst"), "dst", "left_anti") if k else edges
+        free = nodes.join(placed, "id", "left_anti") if k else nodes
+        free = free.join(held.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+        if not found.add(free.select("id", F.lit(k).alias(name))):
             break
-        ranked = free if ranked is None else ranked.unionByName(free)
-        left = cut(left.join(free, "id", "left_anti"), "left")
-        edges = cut(edges.join(free.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
-        rank += 1
-    rest = left.withColumn("rank", F.lit(None).cast("int"))
-    return rest if ranked is None else ranked.unionByName(rest)
+        k += 1
+    return nodes.join(found.all(), "id", "left").select("id", name)
 
 
 def open_tasks(g: Graph) -> DataFrame:
@@ -61,35 +66,17 @@ def execution_layers(g: Graph, strict: bool = False) -> DataFrame:
     inside = cut(deps.join(tasks.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "inside")
     unfinished = g.nodes.where("status <> 'done'").select(F.col("id").alias("dst")).distinct()
     strictly = inside if strict else cut(deps.join(unfinished, "dst", "left_semi").select("src", "dst"), "waiting")
-    left, placed, layer, waiting = tasks, None, 0, inside
-    while True:
-        free = cut(left.join(waiting.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(layer)), f"layer-{layer}")
-        if free.isEmpty():
-            break
-        placed = free if placed is None else placed.unionByName(free)
-        left = cut(left.join(free, "id", "left_anti"), "left")
-        done = placed.select(F.col("id").alias("dst"))
-        waiting = strictly.join(done, "dst", "left_anti")
-        layer += 1
-    rest = left.withColumn("layer", F.lit(None).cast("int"))
-    return rest if placed is None else placed.unionByName(rest)
+    return _ranked(tasks, inside, strictly, "layer")
 
 
 def chain_depths(g: Graph) -> DataFrame:
     """(id, depth): the longest chain of depends_on edges below each node; null for nodes that lead into a cycle."""
+    nodes = cut(g.nodes.select("id").distinct(), "nodes")
     edges = cut(depends_on(g).where("src <> dst").select("src", "dst").distinct(), "edges")
-    depth = cut(g.nodes.select("id").distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0)), "depth")
-    ends = edges.select(F.col("dst").alias("id")).join(g.nodes.select("id"), "id", "left_anti").distinct().withColumn("depth", F.lit(0))
-    known = depth.unionByName(ends)
-    left = cut(edges, "left")
-    while True:
-        solved = edges.join(left.join(known.select(F.col("id").alias("dst")), "dst", "left_anti").select("src").distinct(), "src", "left_anti").join(known.select(F.col("id").alias("src")), "src", "left_anti")
-        new = cut(solved.join(known.select(F.col("id").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("depth") + 1).alias("depth")), "new")
-        if new.isEmpty():
-            break
-        known = cut(known.unionByName(new), "known")
-        left = cut(left.join(known.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "left")
-    return g.nodes.select("id").distinct().join(known, "id", "left")
+    ends = edges.select(F.col("dst").alias("id")).join(nodes, "id", "left_anti")
+    every = cut(nodes.unionByName(ends.distinct()), "every")
+    # in the round in which the last of a node's dependencies is placed, the longest chain below it has that many edges
+    return nodes.join(_ranked(every, edges, edges, "depth"), "id", "left").select("id", "depth")
 
 
 def critical_path(g: Graph) -> DataFrame:
@@ -97,16 +84,17 @@ def critical_path(g: Graph) -> DataFrame:
     tasks = open_tasks(g)
     sub = Graph(tasks, depends_on(g).withColumn("relation", F.lit("depends_on")).join(tasks.select(F.col("id").alias("src")), "src", "left_semi").join(tasks.select(F.col("id").alias("dst")), "dst", "left_semi"))
     depth = cut(chain_depths(sub).where("depth is not null"), "depth")
-    top = depth.orderBy(F.desc("depth"), "id").first()
     spark = g.nodes.sparkSession
+    top = depth.orderBy(F.desc("depth"), "id").first()
     if top is None:
         return spark.createDataFrame([], "position int, id string")
-    rows, at, d = [(top["depth"], top["id"])], top["id"], top["depth"]
-    while d > 0:
-        at = sub.edges.where(F.col("src") == at).join(depth.where(F.col("depth") == d - 1).select(F.col("id").alias("dst")), "dst").agg(F.min("dst")).first()[0]
-        d -= 1
-        rows.append((d, at))
-    return spark.createDataFrame(sorted(rows), "position int, id string")
+    steps = cut(sub.edges.select("src", "dst").distinct().join(depth.select(F.col("id").alias("dst"), "depth"), "dst"), "steps")
+    rows = Rounds(spark, "position int, id string")
+    rows.add(spark.createDataFrame([(top["depth"], top["id"])], "position int, id string"))
+    for d in range(top["depth"] - 1, -1, -1):
+        at = rows.last().select(F.col("id").alias("src"))  # one row
+        rows.add(steps.where(F.col("depth") == d).join(F.broadcast(at), "src").agg(F.min("dst").alias("id")).select(F.lit(d).alias("position"), "id"))
+    return rows.all()
 
 
 def orphan_tasks(g: Graph) -> DataFrame:

@@ -10,27 +10,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import DEFAULT_CONFIDENCE, Graph, related, trusted
-from graphloom.lineage import cut
+from graphloom.lineage import Rounds, cut
+
+REACHED = "seed string, id string, hop int, parent string, via string"
 
 
 def reach(steps: DataFrame, seeds: DataFrame, most: int | None = None, stop_at: str | None = None) -> DataFrame:
     """(seed, id, hop, parent, via) of everything that steps(at, to, via, ord) lead to, seeds included with hop 0.
 
     Each id has the hop at which it is first met, and the parent and relation of the first edge (by ord) that led there.
+    The steps are written once, filters and all; a level is then one join of the last level with them and one write.
     """
-    seen = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")).distinct(), "seen")
-    frontier, hop = seen, 0
+    spark, steps = steps.sparkSession, cut(steps.select("at", "to", "via", "ord"), "steps")
+    found, nothing = Rounds(spark, REACHED), F.lit(None).cast("string")
+    found.add(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop"), nothing.alias("parent"), nothing.alias("via")).distinct())
+    hop = 0
     while most is None or hop < most:
         hop += 1
-        met = frontier.select("seed", F.col("id").alias("at")).join(steps, "at").groupBy("seed", F.col("to").alias("id")).agg(F.min(F.struct("ord", "at", "via")).alias("x"))
-        met = met.join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
-        frontier = cut(met.select("seed", "id", F.lit(hop).alias("hop"), F.col("x.at").alias("parent"), F.col("x.via").alias("via")), f"hop-{hop}")
-        if frontier.isEmpty():
+        met = found.last().select("seed", F.col("id").alias("at")).join(steps, "at").groupBy("seed", F.col("to").alias("id")).agg(F.min(F.struct("ord", "at", "via")).alias("x"))
+        new = met.join(found.all().select("seed", "id"), ["seed", "id"], "left_anti")
+        if not found.add(new.select("seed", "id", F.lit(hop).alias("hop"), F.col("x.at").alias("parent"), F.col("x.via").alias("via"))):
             break
-        seen = seen.unionByName(frontier)
-        if stop_at is not None and not frontier.where(F.col("id") == stop_at).isEmpty():
+        if stop_at is not None and not found.last().where(F.col("id") == stop_at).isEmpty():
             break
-    return seen
+    return found.all()
+
+
+def walk_back(met: DataFrame, end: str) -> DataFrame:
+    """(position, id) from the seed of what reach() found to end; empty if end was not reached. One join for each hop, on the
+    driver's side of it nothing but the hop of end."""
+    spark = met.sparkSession
+    top = met.where(F.col("id") == end).agg(F.min("hop")).first()[0]
+    rows = Rounds(spark, "position int, id string, parent string")
+    if top is None:
+        return spark.createDataFrame([], "position int, id string")
+    rows.add(met.where((F.col("id") == end) & (F.col("hop") == top)).select(F.col("hop").alias("position"), "id", "parent"))
+    for hop in range(top - 1, -1, -1):
+        up = rows.last().select(F.col("parent").alias("id"))
+        rows.add(met.where(F.col("hop") == hop).join(F.broadcast(up), "id", "left_semi").select(F.col("hop").alias("position"), "id", "parent"))  # up has one row
+    return rows.all().select("position", "id")
 
 
 def steps_of(edges: DataFrame, direction: str) -> DataFrame:
@@ -76,15 +94,7 @@ def path(g: Graph, start: str, end: str) -> DataFrame:
     spark = g.nodes.sparkSession
     if start == end:
         return spark.createDataFrame([(0, start)], "position int, id string")
-    met = cut(reach(steps_of(g.edges, "both"), seed_frame(g, start), stop_at=end), "met")
-    rows, at = [], end
-    while at is not None:  # one lookup for each node of the path
-        row = met.where(F.col("id") == at).select("hop", "parent").first()
-        if row is None:
-            return spark.createDataFrame([], "position int, id string")
-        rows.append((row["hop"], at))
-        at = row["parent"]
-    return spark.createDataFrame(sorted(rows), "position int, id string")
+    return walk_back(reach(steps_of(g.edges, "both"), seed_frame(g, start), stop_at=end), end)
 
 
 def would_create_cycle(g: Graph, start: str, end: str) -> bool:
@@ -126,15 +136,7 @@ def impact_of_many(g: Graph, seeds: DataFrame, relations=None, minimum: float |
 
 def bounded_path(g: Graph, start: str, end: str, most: int) -> DataFrame:
     """(position, id) of a directed path of at most `most` edges."""
-    met = cut(reach(steps_of(g.edges, "out"), seed_frame(g, start), most=most, stop_at=end), "met")
-    rows, at = [], end
-    while at is not None:
-        row = met.where(F.col("id") == at).select("hop", "parent").first()
-        if row is None:
-            return g.nodes.sparkSession.createDataFrame([], "position int, id string")
-        rows.append((row["hop"], at))
-        at = row["parent"]
-    return g.nodes.sparkSession.createDataFrame(sorted(rows), "position int, id string")
+    return walk_back(reach(steps_of(g.edges, "out"), seed_frame(g, start), most=most, stop_at=end), end)
 
 
 def upstream_findings(g: Graph, node: str) -> DataFrame:
@@ -146,12 +148,12 @@ def upstream_findings(g: Graph, node: str) -> DataFrame:
 
 def inheritance_chain(g: Graph, node: str, most: int = 10) -> DataFrame:
     """(position, id): the first inherits edge of each, followed at most `most` times."""
-    first = g.edges.where("relation = 'inherits'").groupBy("src").agg(F.min_by("dst", "ord").alias("dst"))
-    at, rows = node, []
+    first = g.edges.where("relation = 'inherits'").groupBy(F.col("src").alias("at")).agg(F.min_by("dst", "ord").alias("id"))
+    first = cut(first, "inherits")
+    rows = Rounds(g.nodes.sparkSession, "position int, id string")
+    rows.add(seed_frame(g, node).select(F.lit(0).alias("position"), F.col("seed").alias("id")))
     for k in range(most):
-        row = first.where(F.col("src") == at).first()
-        if row is None:
+        last = rows.last().select(F.col("id").alias("at"))
+        if not rows.add(first.join(F.broadcast(last), "at").select(F.lit(k + 1).alias("position"), "id")):  # one row
             break
-        at = row["dst"]
-        rows.append((k + 1, at))
-    return g.nodes.sparkSession.createDataFrame(rows, "position int, id string")
+    return rows.all().where("position > 0")
