@@ -49,10 +49,26 @@ query("p04_confidence_gate", "SELECT relation, count(*) AS n FROM e WHERE confid
 query("p05_relation_filter", "SELECT relation, count(*) AS n FROM e WHERE relation IN ('calls', 'uses') GROUP BY relation")(lambda g: g.edges.where(G.related("calls, uses")).groupBy("relation").agg(F.count(F.lit(1)).alias("n")))
 query("p07_tasks_by_status", "SELECT status, count(*) AS n FROM n WHERE node_type = 'task' GROUP BY status")(lambda g: g.nodes.where("node_type = 'task'").groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 query("p10_infer_node_type", "SELECT id, CASE split_part(id, ':', 1) WHEN 'file' THEN 'file' END AS inferred FROM n WHERE node_type = 'component'")(lambda g: g.nodes.where("node_type = 'component'").select("id", S.infer_node_type(F.col("id")).alias("inferred")))
-query("p15_known_relation", "SELECT relation, relation IN ('depends_on','blocks','implements','contains','tests_for','calls','imports','defined_in','belongs_to','inherits','overrides','uses','part_of','relates_to') AS known, count(*) AS n FROM e GROUP BY 1, 2")(
+query("p15_known_relation", "SELECT relation, relation IN ('depends_on','blocks','subtask_of','relates_to','implements','contains','tests_for','calls','imports','defined_in','belongs_to','maps_to','overrides','inherits','documents','extends','specifies','used_by') AS known, count(*) AS n FROM e GROUP BY 1, 2")(
     lambda g: g.edges.groupBy("relation", S.known_relation(F.col("relation")).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 )
-query("p09_resolve_node", "SELECT id, 2 AS tier FROM n WHERE lower(title) = 'order 12'")(lambda g: S.resolve_node(g, "ORDER 12").select("id", "tier"))
+query(
+    "p09_resolve_node",
+    "SELECT 'ORDER 12' AS ref, id, 2 AS tier FROM n WHERE lower(title) = 'order 12' UNION ALL SELECT 'comp:alone', id, 1 FROM n WHERE id = 'comp:alone' AND ord = (SELECT min(ord) FROM n WHERE id = 'comp:alone') "
+    "UNION ALL SELECT 'main.rs', id, 2 FROM n WHERE lower(title) = 'main.rs' UNION ALL SELECT 'Auth', id, 3 FROM n WHERE list_contains(regexp_split_to_array(lower(id), '[:/-]'), 'auth') OR list_contains(regexp_split_to_array(lower(title), '[:/-]'), 'auth') "
+    "UNION ALL SELECT 'port', id, 4 FROM n WHERE list_contains(string_split(lower(id), '_'), 'port') OR list_contains(string_split(lower(title), '_'), 'port') UNION ALL SELECT 'DB/Poo', id, 5 FROM n WHERE contains(lower(file_path), 'db/poo') "
+    "UNION ALL SELECT 'ation feat', id, 6 FROM n WHERE contains(lower(title), 'ation feat') UNION ALL SELECT 'ASK:LOG', id, 7 FROM n WHERE contains(lower(id), 'ask:log')",
+)(lambda g: _resolved(g, "ORDER 12", "comp:alone", "main.rs", "Auth", "port", "DB/Poo", "ation feat", "ASK:LOG"))
+
+
+
+def _resolved(g, *refs):
+    out = None
+    for ref in refs:
+        found = S.resolve_node(g, ref).select(F.lit(ref).alias("ref"), "id", "tier")
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
 _REACH = "SELECT DISTINCT id, title, status, node_type FROM n WHERE id IN (SELECT id FROM r)"
 query("g01_impact_filtered", f", r AS (SELECT 'supp:7' AS id UNION SELECT e.src FROM r JOIN e ON e.dst = r.id WHERE e.relation IN ('calls', 'belongs_to') AND (e.confidence IS NULL OR e.confidence >= 0.8)) {_REACH} AND id <> 'supp:7'")(
@@ -102,21 +118,39 @@ query("m08_repair_plan", "SELECT 'duplicate_node' AS kind, count(*) AS n FROM (S
 
 _READY = f"SELECT * FROM n WHERE status = 'todo' AND {_LAYER} = 'project' AND id NOT IN (SELECT e.src FROM e JOIN n m ON m.id = e.dst WHERE e.relation = 'depends_on' AND m.status <> 'done')"
 query("g26_ready_tasks", f"SELECT id, title, status, node_type FROM ({_READY}) WHERE node_type = 'task'")(lambda g: H.ready_tasks(g).where("node_type = 'task'").select(ID))
-query("u12_newly_ready", ", nxt AS (SELECT e.src AS id FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE e.relation = 'depends_on' AND e.dst = 'order:2' AND a.status = 'todo' AND b.status <> 'done' AND a.id NOT IN (SELECT f.src FROM e f JOIN n m ON m.id = f.dst WHERE f.relation = 'depends_on' AND m.status <> 'done' AND m.id <> 'order:2')) SELECT id FROM nxt")(
-    lambda g: H.newly_ready(g, "order:2").select("id")
+query("u12_newly_ready", ", nxt AS (SELECT e.src AS id FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE e.relation = 'depends_on' AND e.dst = 'task:y1' AND a.status = 'todo' AND b.status <> 'done' AND a.id NOT IN (SELECT f.src FROM e f JOIN n m ON m.id = f.dst WHERE f.relation = 'depends_on' AND m.status <> 'done' AND m.id <> 'task:y1')) SELECT id FROM nxt")(
+    lambda g: H.newly_ready(g, "task:y1").select("id")
 )
 query("g25_orphan_tasks", "SELECT id, title, status, node_type FROM n WHERE node_type = 'task' AND id NOT IN (SELECT src FROM e WHERE relation IN ('depends_on', 'implements') UNION SELECT dst FROM e WHERE relation = 'depends_on')")(lambda g: H.orphan_tasks(g).select(ID))
 _CHAIN = ", d AS (SELECT src, dst FROM e WHERE relation = 'depends_on' AND src LIKE 'order:%'), r(id, depth) AS (SELECT id, 0 FROM n WHERE id LIKE 'order:%' AND id NOT IN (SELECT src FROM d) UNION ALL SELECT 'order:ghost', 0 UNION ALL SELECT d.src, r.depth + 1 FROM r JOIN d ON d.dst = r.id)"
 query("g27_chain_depths", f"{_CHAIN} SELECT id, CAST(max(depth) AS INT) AS depth FROM r WHERE id <> 'order:ghost' GROUP BY id")(lambda g: H.chain_depths(g).where("id LIKE 'order:%'").select("id", F.col("depth").cast("int").alias("depth")))
-query("g04_topological_ranks")(H.topological_ranks)
-query("g22_execution_layers")(H.execution_layers)
+_CLOSED = "cy(a, b) AS (SELECT src, dst FROM d UNION SELECT cy.a, d.dst FROM cy JOIN d ON d.src = cy.b)"
+query(
+    "g04_topological_ranks",
+    f", d AS (SELECT DISTINCT src, dst FROM e WHERE relation = 'depends_on'), {_CLOSED}, bad(id) AS (SELECT a FROM cy WHERE a = b UNION SELECT src FROM d WHERE dst NOT IN (SELECT id FROM n) UNION SELECT d.src FROM bad JOIN d ON d.dst = bad.id), "
+    "r(id, k) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT src FROM d) UNION SELECT d.src, r.k + 1 FROM r JOIN d ON d.dst = r.id WHERE d.src NOT IN (SELECT id FROM bad)) "
+    "SELECT n.id, CAST(max(r.k) AS INT) AS rank FROM (SELECT DISTINCT id FROM n) n LEFT JOIN r ON r.id = n.id AND n.id NOT IN (SELECT id FROM bad) GROUP BY n.id",
+)(H.topological_ranks)
+query(
+    "g22_execution_layers",
+    ", t AS (SELECT DISTINCT id FROM n WHERE node_type = 'task' AND status NOT IN ('done', 'cancelled')), x AS (SELECT DISTINCT src, dst FROM e WHERE relation = 'depends_on' AND src IN (SELECT id FROM t)), "
+    "z AS (SELECT id FROM t WHERE id NOT IN (SELECT src FROM x WHERE dst IN (SELECT id FROM t))), "
+    f"d AS (SELECT src, dst FROM x WHERE src NOT IN (SELECT id FROM z) AND dst IN (SELECT id FROM n WHERE status <> 'done')), {_CLOSED}, "
+    "bad(id) AS (SELECT a FROM cy WHERE a = b UNION SELECT src FROM d WHERE dst NOT IN (SELECT id FROM t) UNION SELECT d.src FROM bad JOIN d ON d.dst = bad.id), "
+    "r(id, k) AS (SELECT id, 0 FROM z UNION SELECT d.src, r.k + 1 FROM r JOIN d ON d.dst = r.id WHERE d.src NOT IN (SELECT id FROM bad)) SELECT t.id, CAST(max(r.k) AS INT) AS layer FROM t LEFT JOIN r ON r.id = t.id GROUP BY t.id",
+)(H.execution_layers)
 query("g23_critical_path")(H.critical_path)
 
 query("a01_summary", f"SELECT (SELECT count(*) FROM n WHERE {_LAYER} = 'project') AS total_nodes, " + ", ".join(f"(SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = '{s}') AS {s}" for s in A.STATUS_COLUMNS) + f", (SELECT count(*) FROM e) AS total_edges, (SELECT count(*) FROM ({_READY})) AS ready")(A.summary)
-query("a02_health", f", s AS (SELECT CAST((SELECT count(*) FROM n WHERE {_LAYER} = 'project') AS DOUBLE) AS t, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'done') AS d, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'todo') AS o, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'blocked') AS b, (SELECT count(*) FROM e) AS m, (SELECT count(*) FROM ({_READY})) AS k) SELECT round(0.4 * d / t + 0.3 * least(1.0, CAST(k AS DOUBLE) / o) + 0.1 * least(1.0, m / t) + 0.2 * (1 - b / t), 6) AS health FROM s")(
-    lambda g: A.health(g).select(F.round("health", 6).alias("health"))
-)
-query("d36_summary_text")(A.summary_text)
+query("a02_health", f", s AS (SELECT CAST((SELECT count(*) FROM n) AS DOUBLE) AS a, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'in_progress') AS i, CAST((SELECT count(*) FROM n WHERE {_LAYER} = 'project') AS DOUBLE) AS t, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'done') AS d, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'todo') AS o, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'blocked') AS b, (SELECT count(*) FROM e) AS m, (SELECT count(*) FROM ({_READY})) AS k) SELECT round(0.4 * d / t + 0.3 * CASE WHEN o + i = 0 THEN 1.0 WHEN k = 0 AND o > 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / (o + i) END + 0.1 * least(1.0, m / (a * (a - 1))) + 0.2 * (1 - b / t), 9) AS health FROM s")(
+    lambda g: A.health(g).select(F.round("health", 9).alias("health"))
+)
+query(
+    "d36_summary_text",
+    f"SELECT concat_ws(', ', (SELECT count(*) FROM n WHERE {_LAYER} = 'project') || ' nodes', (SELECT count(*) FROM e) || ' edges', "
+    + ", ".join(f"(SELECT CASE WHEN count(*) > 0 THEN count(*) || ' {s}' END FROM n WHERE {_LAYER} = 'project' AND status = '{s}')" for s in A.STATUS_COLUMNS)
+    + f", (SELECT CASE WHEN count(*) > 0 THEN count(*) || ' ready' END FROM ({_READY}))) AS text",
+)(A.summary_text)
 query("a03_fan_metrics", "SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT dst AS id, 1 AS i, 0 AS o FROM e WHERE relation = 'depends_on' UNION ALL SELECT src, 0, 1 FROM e WHERE relation = 'depends_on') GROUP BY id")(A.fan_metrics)
 query("a06_fold_call_edges", "SELECT src, dst, CAST(sum(call_count) AS INT) AS call_count, max(confidence) AS confidence, bool_or(in_error_path) AS in_error_path, round(0.4 * least(CAST(sum(call_count) AS DOUBLE) / 10.0, 1.0) + 0.3 * CASE WHEN bool_or(in_error_path) THEN 0.8 ELSE 0.5 END + 0.3 * coalesce(max(confidence), 1.0), 6) AS weight FROM e WHERE relation = 'calls' GROUP BY src, dst")(
     lambda g: A.fold_call_edges(g.edges).where("relation = 'calls'").select("src", "dst", "call_count", "confidence", "in_error_path", F.round("weight", 6).alias("weight"))
@@ -124,7 +158,7 @@ query("a06_fold_call_edges", "SELECT src, dst, CAST(sum(call_count) AS INT) AS c
 query("a07_edge_weight", "SELECT relation, count(*) AS n, round(sum(CASE WHEN relation = 'calls' THEN 0.4 * least(call_count / 10.0, 1.0) + 0.3 * CASE WHEN in_error_path THEN 0.8 ELSE 0.5 END + 0.3 * coalesce(confidence, 1.0) ELSE 0.7 END), 3) AS total FROM e GROUP BY relation")(
     lambda g: g.edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(A.edge_weight(F.col("relation"), F.col("call_count"), F.col("in_error_path"), F.coalesce("confidence", F.lit(1.0)))), 3).alias("total"))
 )
-query("a09_relation_weights", "SELECT relation, CASE relation WHEN 'calls' THEN 1.0 WHEN 'uses' THEN 0.5 WHEN 'belongs_to' THEN 0.2 WHEN 'depends_on' THEN 0.4 END::DOUBLE AS w, count(*) AS n FROM e GROUP BY 1, 2")(
+query("a09_relation_weights", "SELECT relation, CASE WHEN relation = 'calls' THEN 1.0 WHEN relation = 'imports' THEN 0.8 WHEN relation IN ('type_reference', 'inherits', 'implements', 'uses', 'overrides') THEN 0.5 WHEN relation IN ('defined_in', 'contains', 'belongs_to') THEN 0.2 WHEN relation = 'depends_on' THEN 0.4 WHEN relation = 'tests_for' THEN 0.3 ELSE 0.0 END::DOUBLE AS w, count(*) AS n FROM e GROUP BY 1, 2")(
     lambda g: g.edges.groupBy("relation", A.relation_weight(F.col("relation")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 )
 query("a17_caller_counts", "SELECT n.id, n.ord, (SELECT count(*) FROM e WHERE e.dst = n.id AND relation = 'calls') AS callers, (SELECT count(*) FROM e WHERE e.src = n.id AND relation = 'calls') AS callees FROM n WHERE node_kind IN ('Class', 'Function')")(
@@ -140,11 +174,30 @@ query("a20_risk_level", f", c AS ({_CALLERS}) SELECT CASE WHEN callers <= 5 THEN
 query("a21_high_risk_change", f", c AS ({_CALLERS}) SELECT sum(callers) > 10 OR max(callers) > 5 AS high_risk FROM c WHERE id IN ('supp:1', 'supp:2')")(
     lambda g: A.caller_counts(g).where("id IN ('supp:1', 'supp:2')").agg(A.high_risk_change(F.sum("callers"), F.max("callers")).alias("high_risk"))
 )
-query("a19_complexity", "SELECT count(*) AS n_nodes, count(DISTINCT file_path) AS n_files, CAST(0 AS BIGINT) AS n_classes, CAST(0 AS BIGINT) AS n_inherits, CAST(0 AS BIGINT) AS n_imports, CAST(0 AS BIGINT) AS n_tests, 'complex' AS complexity FROM n WHERE id IN (SELECT 'part:' || k FROM range(1, 8) t(k))")(
-    lambda g: A.complexity(g, g.nodes.where("id IN ('part:1','part:2','part:3','part:4','part:5','part:6','part:7')"))
-)
+_SETS = {"simple": ("region:1",), "medium": ("class:src/db/pool.rs:Pool", "task:login"), "files": ("file:src/main.rs", "file:src/auth/login.rs"), "parts": tuple(f"part:{k}" for k in range(1, 8))}
+_QUOTED = {k: ", ".join(f"'{i}'" for i in ids) for k, ids in _SETS.items()}
+query(
+    "a19_complexity",
+    ", c AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{k}' AS set_name, (SELECT count(*) FROM n WHERE id IN ({i})) AS n_nodes, (SELECT count(DISTINCT file_path) FROM n WHERE id IN ({i})) AS n_files, (SELECT count(*) FROM n WHERE id IN ({i}) AND node_kind = 'Class') AS n_classes, "
+        f"(SELECT count(*) FROM e WHERE relation = 'inherits' AND (src IN ({i}) OR dst IN ({i}))) AS n_inherits, (SELECT count(*) FROM e WHERE relation = 'imports' AND (src IN ({i}) OR dst IN ({i}))) AS n_imports, {t}::BIGINT AS n_tests"
+        for (k, i), t in zip(_QUOTED.items(), (1, 2, 0, 0))
+    )
+    + ") SELECT *, CASE WHEN n_nodes <= 2 AND n_files <= 1 AND n_classes = 0 AND n_tests <= 1 THEN 'simple' WHEN n_nodes >= 6 OR n_files >= 3 OR n_inherits >= 2 OR n_imports >= 4 OR n_tests > 3 THEN 'complex' ELSE 'medium' END AS complexity FROM c",
+)(lambda g: _complexities(g, (1, 2, 0, 0)))
+
+
+def _complexities(g, tests):
+    out = None
+    for (name, ids), t in zip(_SETS.items(), tests):
+        found = A.complexity(g, g.nodes.where(F.col("id").isin(*ids)), t).withColumn("set_name", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 query("a22_feature_dependencies", ", m AS (SELECT id, CASE WHEN id LIKE 'order:%' THEN 'orders' WHEN id LIKE 'part:%' THEN 'parts' WHEN id LIKE 'supp:%' THEN 'suppliers' END AS feature FROM n WHERE id LIKE 'order:%' OR id LIKE 'part:%' OR id LIKE 'supp:%') SELECT a.feature, b.feature AS needs, count(*) AS weight FROM e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE a.feature <> b.feature GROUP BY 1, 2 HAVING count(*) >= 2")(
     lambda g: A.feature_dependencies(g.edges, g.nodes.select("id", F.when(F.col("id").like("order:%"), "orders").when(F.col("id").like("part:%"), "parts").when(F.col("id").like("supp:%"), "suppliers").alias("feature")).where("feature is not null"))
 )
-query("a23_edge_classes", ", s AS (SELECT id, bool_or(coalesce(source = 'extract', false)) AS code FROM n GROUP BY id) SELECT count(*) FILTER (a.code AND b.code) AS code_edges, count(*) FILTER (NOT a.code AND NOT b.code) AS task_edges, count(*) FILTER (a.code <> b.code) AS cross_edges FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst")(A.edge_classes)
+query("a23_edge_classes", ", s AS (SELECT DISTINCT id FROM n WHERE id LIKE 'code:%' OR node_type IN ('file', 'class', 'function')), k AS (SELECT src IN (SELECT id FROM s) AS a, dst IN (SELECT id FROM s) AS b FROM e) SELECT count(*) FILTER (a AND b) AS code_edges, count(*) FILTER (NOT a AND NOT b) AS task_edges, count(*) FILTER (a <> b) AS cross_edges FROM k")(A.edge_classes)
 query("a26_next_sequence", "SELECT 'order:' || lpad(CAST(max(CAST(regexp_extract(id, '^order:([0-9]+)$', 1) AS INT)) + 1 AS VARCHAR), 8, '0') AS next_id FROM n WHERE regexp_matches(id, '^order:[0-9]+$')")(lambda g: A.next_sequence(g.nodes, "order:", 8))

@@ -11,6 +11,7 @@ from graphloom.operators import mutate as M
 from graphloom.operators import projection as P
 from graphloom.operators import scans as S
 from graphloom.operators import search as R
+from graphloom.operators.reports import key_traceback
 from graphloom.operators import setops as U
 from graphloom.operators import traverse as G
 from graphloom.sources.graph_view import CTE, build_graph
@@ -70,7 +71,14 @@ query("u10_merge_inference", "SELECT 'b1' AS infer_batch, 1::BIGINT AS n UNION A
 query("u11_rollback_batch", "SELECT count(*) AS n FROM n WHERE source IS DISTINCT FROM 'infer'")(
     lambda g: U.rollback_batch(U.merge_inference(g, g.nodes.where("id = 'region:1'").withColumn("id", F.lit("infer:1")), g.edges.limit(0), "b1"), "b1").nodes.agg(F.count(F.lit(1)).alias("n"))
 )
-query("j12_bridge_edges", ", c AS (SELECT id AS dst, unnest(list_distinct(string_split_regex(lower(file_path), '[^a-z0-9]+'))) AS part FROM n WHERE source = 'extract' AND file_path IS NOT NULL), p AS (SELECT id AS src, unnest(list_distinct(string_split_regex(lower(id), '[^a-z0-9]+'))) AS part FROM n WHERE source IS NULL) SELECT DISTINCT src, dst, 0.8::DOUBLE AS confidence FROM c JOIN p USING (part) WHERE length(part) >= 3")(U.bridge_edges)
+query(
+    "j12_bridge_edges",
+    ", x AS (SELECT DISTINCT p.id AS src, c.id AS dst FROM n p JOIN n c ON c.source = 'extract' AND list_contains(CAST(json_extract(p.metadata, '$.code_paths') AS VARCHAR[]), c.file_path) WHERE p.source IS NULL), "
+    "s AS (SELECT DISTINCT dst, lower(split_part(part, '.', 1)) AS seg FROM (SELECT id AS dst, unnest(string_split(CASE WHEN contains(id, ':') THEN split_part(id, ':', 2) ELSE id END, '/')) AS part FROM n WHERE source = 'extract' AND id NOT IN (SELECT dst FROM x)) "
+    "WHERE part NOT IN ('src', 'lib', 'mod.rs', 'index.ts', 'index.js') AND split_part(part, '.', 1) NOT IN ('', 'main', 'mod', 'index')), "
+    "u AS (SELECT DISTINCT seg FROM s), m AS (SELECT u.seg, p.id AS src FROM u JOIN (SELECT DISTINCT id FROM n WHERE source IS NULL) p ON contains(lower(p.id), u.seg)), "
+    "b AS (SELECT src, dst, 1.0::DOUBLE AS confidence FROM x UNION SELECT DISTINCT m.src, s.dst, 0.8 FROM s JOIN m USING (seg)) SELECT dst, confidence, count(*) AS n, min(src) AS first_src, max(src) AS last_src FROM b GROUP BY dst, confidence",
+)(lambda g: U.bridge_edges(g).groupBy("dst", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first_src"), F.max("src").alias("last_src")))
 
 _E3 = ["src", "dst", "relation"]
 query("m02_remove_node", "SELECT (SELECT count(*) FROM n WHERE id <> 'nation:2') AS n_nodes, (SELECT count(*) FROM e WHERE src <> 'nation:2' AND dst <> 'nation:2') AS n_edges")(
@@ -108,18 +116,23 @@ query("j04_entity_files", "SELECT DISTINCT id, 'file:' || file_path AS file FROM
 query("a08_file_network", f", {_OWN} SELECT a.file AS a, b.file AS b, round(sum(CASE relation WHEN 'calls' THEN 1.0 WHEN 'belongs_to' THEN 0.2 WHEN 'uses' THEN 0.5 ELSE 0.4 END * least(greatest(coalesce(confidence, 1.0), 0.0), 1.0)), 6) AS weight FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file GROUP BY 1, 2")(
     lambda g: P.file_network(g.edges, _owners(g)).select("a", "b", F.round("weight", 6).alias("weight"))
 )
-query("a10_co_citation", ", c AS (SELECT src AS citer, dst, max(coalesce(confidence, 1.0)) AS c FROM e WHERE relation = 'calls' AND coalesce(confidence, 1.0) >= 0.7 AND src <> dst GROUP BY 1, 2), p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS citers, avg(sqrt(x.c * y.c)) AS t FROM c x JOIN c y ON x.citer = y.citer AND x.dst < y.dst GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, citers, round(least(2.0, 0.4 * citers * t), 6) AS weight FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE relation = 'calls' AND coalesce(confidence, 1.0) >= 0.9 AND least(src, dst) = a AND greatest(src, dst) = b)")(
-    lambda g: P.co_citation(g.edges.where("relation = 'calls'")).select("a", "b", "citers", F.round("weight", 6).alias("weight"))
+query("a10_co_citation", f""", {_OWN}, f AS (SELECT a.file AS a, b.file AS b, relation, least(greatest(coalesce(confidence, 1.0), 0.0), 1.0) AS c FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file),
+c AS (SELECT a AS citer, b AS dst, max(c) AS c FROM f WHERE relation IN ('imports', 'calls', 'uses', 'type_reference', 'depends_on') AND c >= 0.7 GROUP BY 1, 2),
+p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS citers, avg(sqrt(x.c * y.c)) AS t FROM c x JOIN c y ON x.citer = y.citer AND x.dst < y.dst GROUP BY 1, 2 HAVING count(*) >= 2),
+k AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM f WHERE relation IN ('calls', 'imports', 'uses', 'type_reference') AND c >= 0.9)
+SELECT a, b, citers, round(least(2.0, 0.4 * citers * t), 6) AS weight FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.a = p.a AND k.b = p.b)""")(
+    lambda g: P.co_citation(g.edges, _owners(g)).select("a", "b", "citers", F.round("weight", 6).alias("weight"))
 )
 query("a13_hubs", f", {_OWN}, d AS (SELECT b.file, count(*) AS degree FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file GROUP BY 1) SELECT file, degree FROM d WHERE degree > greatest(ceil((SELECT count(DISTINCT file) FROM w) * 0.05), 10)")(lambda g: P.hubs(g.edges, _owners(g)))
-query("i03_hub_removal", f", {_OWN}, d AS (SELECT b.file, count(*) AS degree FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file GROUP BY 1), h AS (SELECT file FROM d WHERE degree > greatest(ceil((SELECT count(DISTINCT file) FROM w) * 0.05), 10)) SELECT DISTINCT a.file AS a, b.file AS b FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file AND a.file NOT IN (SELECT file FROM h) AND b.file NOT IN (SELECT file FROM h)")(
-    lambda g: P.without(P.file_network(g.edges, _owners(g)), P.hubs(g.edges, _owners(g))).select("a", "b")
+query("i03_hub_removal", f", {_OWN}, d AS (SELECT b.file, count(*) AS degree FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file GROUP BY 1), h AS (SELECT file FROM d WHERE degree > greatest(ceil((SELECT count(DISTINCT file) FROM w) * 3.0), 10)) SELECT DISTINCT a.file AS a, b.file AS b FROM e JOIN w a ON a.id = e.src JOIN w b ON b.id = e.dst WHERE a.file <> b.file AND a.file NOT IN (SELECT file FROM h) AND b.file NOT IN (SELECT file FROM h)")(
+    lambda g: P.without(P.file_network(g.edges, _owners(g)), P.hubs(g.edges, _owners(g), share=3.0)).select("a", "b")
 )
-query("a12_co_location", ", f AS (SELECT DISTINCT 'file:' || file_path AS file, regexp_replace(file_path, '/[^/]*$', '') AS dir FROM n WHERE file_path IS NOT NULL) SELECT a.file AS a, b.file AS b, 0.3::DOUBLE AS weight FROM f a JOIN f b ON a.dir = b.dir AND a.file < b.file")(
-    lambda g: P.co_location(P.entity_files(g), g.nodes.sparkSession.createDataFrame([], "a string, b string"))
+_BY_PATH = "f AS (SELECT DISTINCT id, 'file:' || file_path AS file FROM n WHERE file_path IS NOT NULL), net AS (SELECT DISTINCT a.file AS a, b.file AS b FROM e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst WHERE a.file <> b.file)"
+query("a12_co_location", f", {_BY_PATH}, g AS (SELECT DISTINCT file, regexp_replace(substr(file, 6), '/[^/]*$', '') AS dir FROM f WHERE file NOT IN (SELECT a FROM net UNION SELECT b FROM net)) SELECT a.file AS a, b.file AS b, 0.3::DOUBLE AS weight FROM g a JOIN g b ON a.dir = b.dir AND a.file < b.file")(
+    lambda g: P.co_location(P.entity_files(g), P.file_network(g.edges, P.entity_files(g)))
 )
-on("part", "a11_token_similarity", "WITH t AS (SELECT p_brand || p_size AS owner, list_sort(list_distinct(list_filter(flatten(list(string_split_regex(lower(p_name), '[^a-z0-9]+'))), lambda x: length(x) >= 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")))) AS tokens FROM part GROUP BY 1), k AS (SELECT owner, len(tokens) AS n, unnest(tokens) AS token FROM t), r AS (SELECT token FROM k GROUP BY token HAVING count(*) <= 200), p AS (SELECT a.owner AS a, b.owner AS b, count(*) AS shared FROM k a JOIN k b ON a.token = b.token AND a.owner < b.owner WHERE a.token IN (SELECT token FROM r) GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, shared, round(0.5 * shared / len(list_distinct(list_concat(x.tokens, y.tokens))), 6) AS weight FROM p JOIN t x ON x.owner = a JOIN t y ON y.owner = b WHERE shared / len(list_distinct(list_concat(x.tokens, y.tokens))) >= 0.15")(
-    lambda d: P.token_similarity(d.select(F.concat("p_brand", F.col("p_size").cast("string")).alias("owner"), F.lower("p_name").alias("name"))).select("a", "b", "shared", F.round("weight", 6).alias("weight"))
+on("part", "a11_token_similarity", "WITH k AS (SELECT p_partkey::VARCHAR AS owner, unnest(list_distinct(list_filter(string_split('part' || (p_partkey // 7) || '_kind' || (p_partkey // 11) || '_' || replace(p_name, ' ', '_') || '_get_new_request', '_'), lambda x: x NOT IN ('get', 'new', 'request')))) AS token FROM part), t AS (SELECT owner, count(*) AS n FROM k GROUP BY owner), r AS (SELECT token FROM k GROUP BY token HAVING count(*) <= 200), p AS (SELECT a.owner AS a, b.owner AS b, count(*) AS shared FROM k a JOIN k b ON a.token = b.token AND a.owner < b.owner WHERE a.token IN (SELECT token FROM r) GROUP BY 1, 2 HAVING count(*) >= 2), u AS (SELECT a.owner AS a, b.owner AS b, count(*) AS every FROM k a JOIN k b ON a.token = b.token AND a.owner < b.owner GROUP BY 1, 2) SELECT p.a, p.b, shared, round(0.5 * shared / (x.n + y.n - every), 6) AS weight FROM p JOIN u ON u.a = p.a AND u.b = p.b JOIN t x ON x.owner = p.a JOIN t y ON y.owner = p.b WHERE shared / (x.n + y.n - every) >= 0.15")(
+    lambda d: P.token_similarity(d.select(F.col("p_partkey").cast("string").alias("owner"), F.concat(F.lit("part"), F.floor(F.col("p_partkey") / 7).cast("string"), F.lit("_kind"), F.floor(F.col("p_partkey") / 11).cast("string"), F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_getNewRequest")).alias("name"))).select("a", "b", "shared", F.round("weight", 6).alias("weight"))
 )
 
 on("documents", "r01_search", "WITH w AS (SELECT doc_id AS key, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents), h AS (SELECT key, len(w) AS length, len(list_filter(range(1, len(w)), lambda i: w[i] = 'and' AND w[i + 1] = 'the')) AS hits FROM w), s AS (SELECT count(*) AS n_docs, avg(length) AS mean, count(*) FILTER (hits > 0) AS df FROM h) SELECT key, hits, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * length / mean)), 4) AS score FROM h, s WHERE hits > 0")(
@@ -137,17 +150,28 @@ on("events", "f11_snake_case", "SELECT event_type, 'event_type_' || event_type A
 on("documents", "f20_hashes", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")(lambda d: d.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md")))
 on("events", "f21_dates", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")(lambda d: d.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n")))
 on("events", "f22_json_metadata", "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1")(lambda d: d.groupBy(X.metadata_value(F.col("props"), "k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")))
+on("documents", "t08_keywords", "SELECT doc_id, 'AuthManager,auth_token,x.y,Zürich' || doc_id || ',a_b,c_d,a_b' AS words FROM documents")(
+    lambda d: d.select("doc_id", F.array_join(X.keywords(F.concat(F.lit("the bug in AuthManager: auth_token auth_token of x.y and Fix Issue Zürich"), F.col("doc_id").cast("string"), F.lit(" (a_b, c_d) zz Ab a_b"))), ",").alias("words"))
+)
+on("documents", "f05_key_traceback", "SELECT doc_id % 4 AS k, count(*) AS n, CASE doc_id % 4 WHEN 0 THEN 'Traceback (most recent call last):' || chr(10) || '  a' WHEN 1 THEN 'x ERROR: bad' WHEN 2 THEN 'tail' ELSE 'Traceback (most recent call last) b' END AS text FROM documents GROUP BY 1, 3")(
+    lambda d: d.groupBy((F.col("doc_id") % 4).alias("k"), key_traceback(F.element_at(F.array(F.lit("start Traceback (most recent call last):\n  a\n\nmore"), F.lit("x ERROR: bad"), F.lit("tail"), F.lit("Traceback (most recent call last) b\nFAILED c")), (F.col("doc_id") % 4 + 1).cast("int"))).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+)
 on("documents", "r04_estimate_tokens", "SELECT doc_id, greatest(1, (strlen(coalesce(text, '')) + 30) // 4)::INT AS tokens FROM documents")(lambda d: d.select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens")))
 on("pages", "f17_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS h FROM pages")(lambda d: d.select("page_id", F.md5(X.escape_html(F.col("html"))).alias("h")))
-on("documents", "f04_classify_error", "SELECT doc_id, CASE WHEN text LIKE '%Timeout%' OR text LIKE '%timed out%' OR text LIKE '%deadline%' THEN 'timeout' WHEN text LIKE '%assert %' THEN 'assertion' ELSE 'unknown' END AS class FROM documents")(lambda d: d.select("doc_id", X.classify_error(F.col("text")).alias("class")))
-on("customer", "f09_parse_status", "SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'done' END AS status FROM customer")(
-    lambda d: d.select("c_custkey", X.parse_status(F.element_at(F.array(F.lit(" WIP "), F.lit("Closed"), F.lit("?")), (F.col("c_nationkey") % 3 + 1).cast("int"))).alias("status"))
+on("documents", "f04_classify_error", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'syntax' WHEN 1 THEN 'import' WHEN 2 THEN 'attribute' WHEN 3 THEN 'assertion' WHEN 4 THEN 'type' WHEN 5 THEN 'timeout' ELSE 'unknown' END AS class FROM documents")(
+    lambda d: d.select("doc_id", X.classify_error(F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("doc_id") % 7 + 1).cast("int"))).alias("class"))
+)
+on("customer", "f09_parse_status", "SELECT c_custkey, CASE c_nationkey % 7 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'done' WHEN 3 THEN 'in_progress' WHEN 5 THEN 'cancelled' END AS status FROM customer")(
+    lambda d: d.select("c_custkey", X.parse_status(F.element_at(F.array(F.lit(" WIP "), F.lit("Closed"), F.lit("?"), F.lit("doing"), F.lit("in progress"), F.lit("canceled"), F.lit("new")), (F.col("c_nationkey") % 7 + 1).cast("int"))).alias("status"))
 )
 on("pages", "f10_normalize_relative", "SELECT page_id, 'a/' || page_id || '/c.md' AS path FROM pages")(lambda d: d.select("page_id", X.normalize_relative(F.concat(F.lit("./a/b/../"), F.col("page_id").cast("string"), F.lit("//c.md"))).alias("path")))
 on("pages", "f12_markdown_links", "SELECT page_id, 'notes/' || page_id || '.md' AS link FROM pages")(lambda d: d.select("page_id", F.explode(X.markdown_links(F.concat(F.lit("see [a](notes/"), F.col("page_id").cast("string"), F.lit(".md) and [b](http://x.org/y.md) [c](z.txt)")))).alias("link")))
 on("documents", "s11_ignore_rules", "SELECT doc_id % 4 AS k, count(*) AS n FROM documents WHERE doc_id % 4 IN (0, 3) GROUP BY 1")(
     lambda d: d.select((F.col("doc_id") % 4).alias("k")).withColumn("path", F.element_at(F.array(F.lit("src/a.py"), F.lit("target/x.rs"), F.lit("a/b.log"), F.lit("keep.log")), (F.col("k") + 1).cast("int"))).where(~X.ignored(F.col("path"), ["*.log", "target/", "!keep.log"])).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 )
+_ERRORS = (
+    "TypeError: a\nTypeError: b\nSyntaxError: c", "ModuleNotFoundError: x\nE assert 1", "AttributeError: x has no y\nTypeError: z", "assert a == b\nAssertionError: no\nTypeError: z", "TypeError: a\nNameError: b\nTypeError: c", "it timed out, TIMEOUT", "import error, timeout and AttributeError",
+)
 _LOG = "l AS (SELECT CASE event_type WHEN 'purchase' THEN 'task_done' WHEN 'error' THEN 'task_failed' ELSE event_type END AS event, event_id % 7 + 1 AS turns, CAST(floor(value) AS BIGINT) AS tokens, event_id % 60 AS d FROM events)"
 on("events", "a14_telemetry", f"WITH {_LOG}, t AS (SELECT count(*) FILTER (event = 'task_done') AS completed, count(*) FILTER (event = 'task_failed') AS failed, CAST(coalesce(sum(turns) FILTER (event IN ('task_done', 'task_failed')), 0) AS BIGINT) AS turns, CAST(coalesce(sum(turns) FILTER (event = 'task_done'), 0) AS BIGINT) AS done_turns, CAST(coalesce(sum(tokens) FILTER (event = 'task_done'), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(d) FILTER (event = 'task_done'), 0) AS BIGINT) AS duration_s, CAST(NULL AS BIGINT) AS total_tasks FROM l) SELECT *, CASE WHEN completed + failed > 0 THEN round(100.0 * completed / (completed + failed), 2) ELSE 0.0 END AS success_rate, CASE WHEN completed > 0 THEN round(done_turns / completed, 2) ELSE 0.0 END AS turns_per_task FROM t")(
     lambda d: A.telemetry(A.events_as_log(d))

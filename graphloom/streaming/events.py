@@ -29,10 +29,18 @@ def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes",
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), F.col(user).alias("user")).agg(F.count(F.lit(1)).alias("n")).select("user", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there, writes each batch as Parquet under target and returns the result: in complete mode the
+    last batch, which holds all, else all batches. A batch that is run again after a failure replaces its own folder."""
+    spark, schema, batches = stream.sparkSession, stream.schema, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        batches.append(number)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(schema).parquet(*[f"{target}/batch-{k}" for k in wanted]) if wanted else spark.createDataFrame([], schema)
 
 
 def sync(stream: DataFrame, apply, checkpoint: str):
