@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.graph import EDGE, NODE, Graph, fill
-from graphloom.operators import advise, aggregates, community, context, extract, integrity, mutate, projection, scans, schedule, search, setops, traverse
+from graphloom.operators import advise, aggregates, community, components, context, extract, integrity, mutate, projection, scans, schedule, search, setops, traverse
 from graphloom.sources import io
 
 
@@ -171,3 +171,103 @@ def test_relevant_nodes(spark):
     got = {r.id: (r.score, r.why) for r in search.relevant_nodes(graph(spark, nodes, edges), ["HIT", "none"]).collect()}
     expected = {f"hit{i}": (1, "match") for i in range(30)} | {"hit_class": (1, "match"), "beside": (0, "same_file")}
     assert got == expected | {k: (0, "inheritance") for k in ("parent", "by_parent", "child")} | {k: (0, "import") for k in ("imported", "hi")}
+
+
+def partitions(n):
+    """All ways to group 0..n-1, as module lists."""
+    if n == 0:
+        yield []
+        return
+    for rest in partitions(n - 1):
+        for m in range(max(rest, default=-1) + 2):
+            yield [*rest, m]
+
+
+def test_map_equation_finds_the_shortest_code():
+    import random
+
+    rng = random.Random(3)
+    best = 0
+    for trial in range(12):
+        links = [(a, b, rng.choice((0.2, 1.0, 3.0))) for a in range(7) for b in range(7) if a != b and rng.random() < (0.7 if (a < 4) == (b < 4) else 0.15)]
+        p, flow = community.flows(7, links, 0.05)
+        module, bits = community.optimise(7, links)
+        assert abs(bits - community.codelength(p, flow, module)) < 1e-9
+        shortest = min(community.codelength(p, flow, m) for m in partitions(7))
+        assert bits >= shortest - 1e-9
+        best += bits <= shortest + 1e-9
+    assert best >= 10
+
+
+def test_large_communities_are_split():
+    clique = lambda at, n: [(a, b, 1.0) for a in range(at, at + n) for b in range(at, at + n) if a != b]
+    links = clique(0, 10) + clique(10, 10) + clique(20, 4) + [(0, 10, 1.0)]
+    parts = community.split_large([list(range(20)), list(range(20, 24))], links, 15, 0.05)
+    assert sorted(map(sorted, parts)) == [list(range(10)), list(range(10, 20)), list(range(20, 24))]
+    assert community.split_large([list(range(10))], links, 5, 0.05) == [list(range(10))]  # whole stays whole
+    assert [community.most_members(n) for n in (1, 50, 100, 500, 5000, 10**6)] == [15, 24, 28, 38, 52, 60]
+
+
+def test_orphans_join_clusters(spark):
+    members = [("file:a/x", 0), ("file:a/y", 0), ("file:b/x", 1), ("file:b/y", 1), ("file:c/o1", 2), ("file:c/o2", 3), ("file:d/p", 4), ("file:d/q", 5), ("file:a/z/r", 6), ("file:zz/alone", 7)]
+    edges = [("file:c/o1", "file:a/x", 1.0), ("file:b/x", "file:c/o1", 0.6), ("file:b/y", "file:c/o1", 0.6), ("file:c/o2", "file:c/o1", 0.1)]
+    net = spark.createDataFrame(edges, "a string, b string, weight double")
+    got = {r.file: r.cluster for r in components.reassign_orphans(spark.createDataFrame(members, "file string, cluster long"), net, 2).collect()}
+    assert got["file:c/o1"] == got["file:c/o2"] == 1  # the sum of both edges wins; the second follows in the next round
+    assert got["file:d/p"] == got["file:d/q"] not in (0, 1) and got["file:a/z/r"] == 0
+    assert len([f for f, c in got.items() if c == got["file:zz/alone"]]) == 1 and len(got) == len(members)
+
+
+def test_calls_by_language(spark):
+    files = {
+        "p/a.py": "from q.b import far\nclass Base:\n    def go(self):\n        return self.help()\n    def help(self):\n        return 1\nclass Sub(Base):\n    def __init__(self):\n        self.x = 1\n    def run(self):\n        self.go()\n        far()\n        thing.rare()\n        near()\ndef make():\n    return Sub()\n",
+        "p/c.py": "def near():\n    return 1\n",
+        "q/b.py": "def far():\n    return 1\ndef rare():\n    return 2\n",
+        "r/l.rs": "pub trait Shape {\n    fn area(&self) -> f64;\n}\npub struct Sq;\nimpl Shape for Sq {\n    fn area(&self) -> f64 {\n        self.side() * one()\n    }\n}\nimpl Sq {\n    fn side(&self) -> f64 { 2.0 }\n}\nfn one() -> f64 {\n    Sq::area(&Sq)\n}\n",
+        "t/m.ts": "export class Box {\n  open(k: number): void {\n    this.shut();\n    helper(k);\n  }\n  shut() {\n    return 1;\n  }\n}\nfunction helper(k) {\n  return k;\n}\nclass Crate extends Box {\n}\n",
+    }
+    nodes, edges = extract.extract(spark.createDataFrame(list(files.items()), "path string, content string"))
+    calls = {(r.src.split(":")[-1], r.dst.split(":")[-1], round(r.confidence, 2)) for r in edges.where("relation = 'calls'").collect()}
+    assert calls == {
+        ("Base.go", "Base.help", 0.9), ("Sub.run", "Base.go", 0.9), ("Sub.run", "far", 0.75), ("Sub.run", "rare", 0.3), ("Sub.run", "near", 0.7), ("make", "Sub.__init__", 0.8),
+        ("Sq.area", "Sq.side", 0.9), ("Sq.area", "one", 0.9), ("one", "Sq.area", 0.95), ("Box.open", "Box.shut", 0.9), ("Box.open", "helper", 0.9),
+    }
+    other = {(r.src, r.dst, r.relation) for r in edges.where("relation <> 'calls'").collect()}
+    assert ("class:r/l.rs:Sq", "trait:r/l.rs:Shape", "inherits") in other and ("method:r/l.rs:Shape.area", "method:r/l.rs:Sq.area", "overrides") in other
+    assert ("class:t/m.ts:Crate", "class:t/m.ts:Box", "inherits") in other and ("method:r/l.rs:Sq.side", "class:r/l.rs:Sq", "defined_in") in other
+
+
+def test_targets_are_never_cut(spark):
+    rows = [("t", 0, "implements", "target", 1.0, 500, 0)] + [(f"c{i:03d}", 1, "calls", "caller", 0.9, 1, i + 1) for i in range(400)]
+    found = spark.createDataFrame(rows, "id string, hop int, relation string, category string, score double, tokens int, ord long")
+    states = {r.id: r.state for r in context.fit_budget(found, 100).collect()}
+    assert states["t"] == "included" and len(states) == 401 and set(states.values()) == {"included", "dropped"}
+    states = {r.id: r.state for r in context.fit_budget(found, 650).collect()}
+    assert sum(v == "included" for v in states.values()) == 151
+
+
+def test_features_get_free_ids(spark):
+    g = graph(spark, ["feat-log-in", "task-log-in-a"], [])
+    made = mutate.add_feature(mutate.add_feature(g, "Log in", [{"title": "A"}, {"title": "B", "deps": ["A", "C"]}]), "Log in", [{"title": "A"}])
+    assert ids(made.nodes) == {"feat-log-in", "feat-log-in-2", "feat-log-in-3", "task-log-in-a", "task-log-in-a-2", "task-log-in-a-3", "task-log-in-b"}
+    assert {tuple(r) for r in made.edges.select("src", "dst", "relation").collect()} == {
+        ("task-log-in-a-2", "feat-log-in-2", "implements"), ("task-log-in-b", "feat-log-in-2", "implements"), ("task-log-in-b", "task-log-in-a-2", "depends_on"), ("task-log-in-a-3", "feat-log-in-3", "implements"),
+    }
+
+
+def test_pairs_in_blocks(spark):
+    rows = [(k, f"m{i}") for k, n in (("a", 23), ("b", 1), ("c", 5)) for i in range(n)]
+    one, two = spark.createDataFrame(rows, "k string, a string"), spark.createDataFrame(rows, "k string, b string")
+    got = {tuple(r) for r in projection.in_blocks(one, two, "k", "a", "b", block=4).select("k", "a", "b").collect()}
+    assert got == {(k, x, y) for k, x in rows for j, y in rows if j == k and x < y}
+
+
+def test_layers_convert_there_and_back(spark):
+    nodes = spark.createDataFrame([("f:a", "a", "Function", "x.rs", "pub", ["inline"], True, 7), ("c:b", "b", "Class", "x.rs", None, [], False, 0)], "id string, name string, kind string, file_path string, visibility string, decorators array<string>, is_test boolean, line_count long")
+    edges = spark.createDataFrame([("f:a", "c:b", "calls", 0.5, 0.9, 3, True), ("f:a", "c:b", "depends_on", 0.5, 0.9, 1, False)], "src string, dst string, relation string, weight double, confidence double, call_count int, in_error_path boolean")
+    g = setops.code_to_graph(nodes, edges)
+    a = g.nodes.where("id = 'f:a'").first()
+    assert (a.status, a.node_type, a.node_kind, a.is_public, a.metadata) == ("done", "code", "Function", True, {"is_test": "true", "line_count": "7", "decorators": '["inline"]'})
+    assert [r.metadata for r in g.edges.where("relation = 'calls'").collect()] == ['{"source":"extract","call_count":3,"in_error_path":true}']
+    back, kept = setops.graph_to_code(g)
+    assert {(r.id, r.kind, r.is_test) for r in back.collect()} == {("f:a", "Function", True), ("c:b", "Class", False)} and [r.relation for r in kept.collect()] == ["calls"]
