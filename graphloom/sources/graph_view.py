@@ -12,7 +12,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 NODES = """
 SELECT base.*,
 CASE WHEN id LIKE 'region:%' OR id LIKE 'nation:1%' OR id = 'feat:auth' THEN 'About ' || title END AS description,
-CASE id WHEN 'lay:mixed' THEN '{"layer":"infrastructure"}' WHEN 'lay:late' THEN '{"layer":"data"}' WHEN 'feat:auth' THEN '{"code_paths":["src/db/pool.rs","src/none.rs"]}' END AS metadata,
+CASE id WHEN 'lay:mixed' THEN '{"layer":"infrastructure"}' WHEN 'lay:late' THEN '{"layer":"data"}' WHEN 'feat:auth' THEN '{"code_paths":["src/db/pool.rs","src/none.rs"],"design_doc":"auth"}' WHEN 'task:login' THEN '{"design_ref":"3.2","satisfies":["GOAL-1.1","GOAL-9","GOAL-2"],"verify":"make test","estimated_turns":7}' WHEN 'task:y2' THEN '{"design_ref":"1","satisfies":["GOAL-7"]}' END AS metadata,
 CASE id WHEN 'func:src/db/pool.rs:open' THEN 'pub fn open()' WHEN 'class:src/auth/session.rs:Base' THEN 'trait Base' WHEN 'func:src/auth/login.rs:check' THEN 'fn check()' END AS signature
 FROM (
 SELECT 'region:' || r_regionkey AS id, r_name AS title, 'todo' AS status, 'component' AS node_type, 'Module' AS node_kind, CAST(NULL AS VARCHAR(10)) AS source, CAST(NULL AS VARCHAR(10)) AS file_path, CAST(r_regionkey AS BIGINT) AS ord FROM region
@@ -104,7 +104,9 @@ UNION ALL SELECT * FROM (VALUES
 ('file:src/auth/session.rs', 'file:src/auth/login.rs', 'imports', 1.0, NULL, 'extract', 1, false, 9000000122),
 ('file:src/db/pool.rs', 'file:src/db/query.rs', 'imports', 1.0, NULL, 'extract', 1, false, 9000000123),
 ('file:src/db/query.rs', 'file:src/db/pool.rs', 'imports', 1.0, NULL, 'extract', 1, false, 9000000124),
-('file:tests/test_login.py', 'file:src/auth/login.rs', 'tests_for', 1.0, NULL, 'extract', 1, false, 9000000125)
+('file:tests/test_login.py', 'file:src/auth/login.rs', 'tests_for', 1.0, NULL, 'extract', 1, false, 9000000125),
+('task:login', 'feat:auth', 'depends_on', 1.0, NULL, NULL, 1, false, 9000000126),
+('task:login', 'lay:late', 'depends_on', 1.0, NULL, NULL, 1, false, 9000000127)
 ) AS fixed(src, dst, relation, weight, confidence, edge_source, call_count, in_error_path, ord)
 """
 #: Prefix of every oracle.
