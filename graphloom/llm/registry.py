@@ -6,15 +6,14 @@ from graphloom.llm.bpe import op7_bpe
 from graphloom.llm.jaccard import op2_jaccard_join
 from graphloom.llm.licences import op5_licence_scan
 from graphloom.llm.neighbours import op10_embedding_dedup
-from graphloom.llm.pages import op1_html_extraction
+from graphloom.llm.oracles import SQL
 from graphloom.llm.packing import op3_packing
+from graphloom.llm.pages import op1_html_extraction
 from graphloom.llm.pii import op6_pii
 from graphloom.llm.quality import op8_quality_rules
 from graphloom.llm.sharding import op4_sharding
 from graphloom.llm.suffixes import op9_suffix_dedup
 
-SQL: dict[str, str] = {}
-
 
 def _pipeline(spark, sf_dir):
     import corpus_pipeline  # it imports this subpackage
