@@ -613,13 +613,69 @@ def test_empty_tables(spark, kind):
 
 
 def test_pipeline(spark, rows, tmp_path):
+    """Every stage against brute force on its own input, and run() against the stages one after another."""
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    more = [(700 + i, f"Contact me at user{i}@example.org or +1 555 123 45{i:02d} about the plan for page {i} and all of its many parts in the year to come") for i in range(8)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in [*rows, *more]], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    stage = docs
-    for name, f in corpus_pipeline.STAGES[:-1]:
-        stage = f(spark, stage, str(tmp_path))
-        assert stage.columns == docs.columns, name
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "suffix-array dedup", "personal data", "best-fit packing"]
+
+    def step(name, df):
+        out = stages[name](spark, df, str(tmp_path))
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        assert name == "best-fit packing" or out.columns == docs.columns
+        return spark.read.parquet(path)
+
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    good = step("quality rules", docs)
+    scored = {(r.doc_id, r.n_words, r.word_chars): r for r in quality.score(docs).collect()}
+    model = quality.fit(list(Counter(tuple(getattr(r, f"vote_{k}") for k in quality.RULES) for r in quality.score(docs).collect()).items()))
+    keep = Counter()
+    for d, t in [*rows, *more]:
+        w = WORD.findall(t or "")
+        r = scored[(d, len(w), sum(map(len, w)))]
+        if not r.base_failed and quality.posterior(tuple(getattr(r, f"vote_{k}") for k in quality.RULES), model["good"], model["bad"], model["prior"]) >= quality.KEEP_AT:
+            keep[(d, t)] += 1
+    assert pairs(good) == keep and all(r.n_chars == len(r.text) for r in good.collect())
+
+    held = sorted(pairs(good).elements(), key=str)
+    sets = [shingles(t) for _, t in held]
+    comps = components([d for d, _ in held], lambda i, j: bool(sets[i] and sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    single = step("n-gram Jaccard join", good)
+    want = {(d, t) for (d, t), c in zip(held, comps) if d is not None and d == c}
+    assert Counter({k: n for k, n in pairs(single).items() if k[0] is not None}) == Counter(want)
+
+    cutted = step("suffix-array dedup", single)
+    order, seen, left = sorted(want, key=lambda r: (r[0], zlib.crc32(r[1].encode()))), set(), {}
+    for d, t in sorted([*order, *(k for k in pairs(single) if k[0] is None)], key=lambda r: (-(1 << 63) if r[0] is None else r[0], zlib.crc32(r[1].encode()))):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        left[(d, t)] = bytes(x for x, g in zip(b, gone) if not g).decode(errors="ignore")
+    assert Counter((r.doc_id, r.text) for r in cutted.collect()) == Counter((d, x) for (d, t), x in left.items() for _ in range(pairs(single)[(d, t)]))
+
+    safe = step("personal data", cutted)
+    assert safe.count() == cutted.count() and all(r.n_chars == len(r.text) for r in safe.collect())
+    before = {r.doc_id: r.text for r in cutted.collect()}
+    for r in safe.collect():
+        assert not any(ok(m[0]) for p, ok in PII.values() for m in re.finditer(p, r.text))
+        if not re.search("[0-9@]", before[r.doc_id]):
+            assert r.text == before[r.doc_id]
+    assert sum("[EMAIL]" in r.text and "[PHONE]" in r.text for r in safe.collect() if r.doc_id and r.doc_id >= 700) >= 1
+
+    tk = bpe.open_tokenizer(bpe.default_tokenizer())
+    packed = step("best-fit packing", safe)
+    want_pieces = Counter()
+    for r in safe.collect():
+        ids = np.array([*tk.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, i in enumerate(range(0, len(ids), 2048)):
+            want_pieces[(r.doc_id, k, i, len(ids[i : i + 2048]), zlib.crc32(ids[i : i + 2048].tobytes()))] += 1
+    digest = lambda df: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert digest(packed) == want_pieces
+    assert digest(corpus_pipeline.run(spark, str(tmp_path))) == want_pieces
