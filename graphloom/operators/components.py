@@ -11,7 +11,8 @@ from graphloom.functions.text import common_prefix_len, parent_dir
 from graphloom.graph import EDGE, NODE, Graph, fill
 from graphloom.lineage import Rounds, cut
 from graphloom.operators import projection as P
-from graphloom.operators.community import bounded_network, most_members, name_communities, optimise, split_large
+from graphloom.operators.community import auto_config, bounded_network, most_members, name_communities, optimise, split_large
+from graphloom.operators.setops import merge_inference
 
 
 @dataclass(frozen=True)
@@ -140,3 +141,27 @@ def cluster(g: Graph, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
 def component_sizes(edges: DataFrame) -> DataFrame:
     """(component, n): how many files each inferred component contains."""
     return edges.where("relation = 'contains' and src like 'infer:component:%'").groupBy(F.col("src").alias("component")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def infer(g: Graph, batch: str, config: Config | None = None) -> Graph:
+    """The graph with inferred components in place of those that were inferred before, stamped with a batch. Without a config,
+    the smallest size and the teleportation follow the size and the density of the file network."""
+    if config is None:
+        net, files, _ = network(g)
+        n, links = files.count(), net.count()
+        auto = auto_config(n, links / n if n else 0.0)
+        config = Config(tau=auto["tau"], min_size=auto["min_size"])
+    nodes, edges = cluster(g, config)
+    return merge_inference(g, _like(nodes, g.nodes), _like(edges, g.edges), batch)
+
+
+def _like(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df in the columns of another frame; a map that is text there becomes JSON."""
+    types = dict(df.dtypes)
+
+    def column(name: str, kind: str):
+        if name not in types:
+            return F.lit(None)
+        return F.to_json(name) if types[name].startswith("map") and kind == "string" else F.col(name)
+
+    return df.select(*[column(n, k).cast(k).alias(n) for n, k in like.dtypes])

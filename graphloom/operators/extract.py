@@ -363,3 +363,16 @@ def extract_incremental(old_nodes: DataFrame, old_edges: DataFrame, old_files: D
     fresh = sources.join(delta.where("change in ('modified', 'added')").select("path"), "path", "left_semi")
     nodes, new_edges = extract(fresh)
     return kept.unionByName(nodes, allowMissingColumns=True).dropDuplicates(["id"]), edges.unionByName(new_edges, allowMissingColumns=True)
+
+
+def grep_identifiers(sources: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(name, path, line, kind) of lines that define one of some names that no node of the graph has."""
+    known = {r["title"] for r in nodes.where(F.col("title").isin(names)).select("title").distinct().collect()}  # among the names asked for
+    wanted = [n for n in names if n not in known]
+    if not wanted:
+        return sources.sparkSession.createDataFrame([], "name string, path string, line int, kind string")
+    pattern = r"^\s*(?:export\s+|pub(?:\([^)]*\))?\s+|async\s+|abstract\s+|default\s+)*(def|class|fn|function|struct|trait|enum|interface)\s+(" + "|".join(map(re.escape, wanted)) + r")\b"
+    lines = sources.where(F.col("content").rlike("(?m)" + pattern)).select("path", F.posexplode(F.split("content", "\n")).alias("k", "text"))
+    kind = F.regexp_extract("text", pattern, 1)
+    hit = lines.where(F.col("text").rlike(pattern))
+    return hit.select(F.regexp_extract("text", pattern, 2).alias("name"), "path", (F.col("k") + 1).alias("line"), F.when(kind.isin("def", "fn", "function"), "function").otherwise("class").alias("kind"))

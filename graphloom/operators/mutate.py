@@ -147,3 +147,12 @@ def _rows(df: DataFrame, rows: list[dict]) -> DataFrame:
     for values in rows:
         out = out.unionByName(df.sparkSession.range(1).select(*[(F.array(*map(F.lit, v)) if isinstance(v := values.get(f.name), list) else F.lit(v)).cast(f.dataType).alias(f.name) for f in df.schema]))
     return out
+
+
+def rename_preview(g: Graph, old: str, new: str) -> DataFrame:
+    """(what, id, was, becomes): what a rename would change, without changing it."""
+    node = g.nodes.where(F.col("id") == old).select(F.lit("node").alias("what"), "id", F.col("id").alias("was"), F.lit(new).alias("becomes"))
+    edge = F.concat_ws(" ", "src", "relation", "dst")
+    swap = lambda c: F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c))
+    edges = g.edges.where((F.col("src") == old) | (F.col("dst") == old)).select(F.lit("edge").alias("what"), edge.alias("id"), edge.alias("was"), F.concat_ws(" ", swap("src"), "relation", swap("dst")).alias("becomes"))
+    return node.unionByName(edges)

@@ -44,6 +44,15 @@ def drift_order(found: DataFrame) -> DataFrame:
     return found.orderBy(rank, F.col("severity") != "error", F.asc_nulls_first("node_id"), "path")
 
 
+def drift_places(found: DataFrame) -> DataFrame:
+    """Findings with their place in that order, from 0: a place within each category and how many come in categories before."""
+    rank = F.array_position(F.array(*map(F.lit, CATEGORY_ORDER)), F.col("category"))
+    own = F.row_number().over(Window.partitionBy("category").orderBy(F.col("severity") != "error", F.asc_nulls_first("node_id"), "path")) - 1
+    sizes = found.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("rank", (F.sum("n").over(Window.orderBy("rank")) - F.col("n")).alias("before"))  # a row for each category
+    return found.withColumn("rank", rank).withColumn("own", own).join(F.broadcast(before), "rank").withColumn("place", (F.col("before") + F.col("own")).cast("long")).drop("rank", "own", "before")
+
+
 def drift_summary(found: DataFrame) -> DataFrame:
     """(category, severity, n, any_error)."""
     counts = found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))

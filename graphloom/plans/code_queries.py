@@ -117,6 +117,12 @@ query("i06_components", f", {_MEMBERS} SELECT 'infer:component:' || cluster AS i
 query("d30_infrastructure", f", {_MEMBERS} SELECT 'infer:component:infrastructure' AS src, file AS dst, 'contains' AS relation FROM m WHERE cluster = 1")(
     lambda g: N.to_components(_members(g).where("cluster <> 1").withColumn("community", F.col("cluster").cast("int")), _members(g).where("cluster = 1").select("file"))[1].where("src = 'infer:component:infrastructure'").select("src", "dst", "relation")
 )
+query("i13_infer", "SELECT CASE WHEN source = 'infer' THEN 'infer' ELSE 'other' END AS layer, count(*) AS n FROM n WHERE source IS DISTINCT FROM 'infer' GROUP BY 1 UNION ALL SELECT 'infer', 2")(
+    lambda g: N.infer(g, "b7").nodes.groupBy(F.when(F.col("source") == "infer", "infer").otherwise("other").alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+)
+query("d19_rename_preview", "SELECT 'node' AS what, 'nation:3' AS id, 'nation:3' AS was, 'nation:three' AS becomes UNION ALL SELECT 'edge', src || ' ' || relation || ' ' || dst, src || ' ' || relation || ' ' || dst, replace(src || ' ' || relation || ' ' || dst || ' ', 'nation:3 ', 'nation:three ')[:-2] FROM e WHERE 'nation:3' IN (src, dst)")(
+    lambda g: M.rename_preview(g, "nation:3", "nation:three")
+)
 query(
     "t03_low_risk",
     ", f AS (SELECT n.id, n.ord, (SELECT count(*) FROM e WHERE e.dst = n.id AND relation = 'calls' AND edge_source = 'extract') AS callers, (SELECT count(*) FROM e WHERE e.src = n.id AND relation = 'calls' AND edge_source = 'extract') AS callees FROM n WHERE source = 'extract' AND node_kind = 'Function' AND (file_path LIKE 'src/auth%' OR file_path LIKE 'src/db%') AND file_path NOT IN ('src/auth/session.rs', 'src/db/none.rs')) SELECT id, callers, callees FROM f WHERE callers <= 1 ORDER BY callers, ord LIMIT 5",
@@ -230,6 +236,9 @@ plain(
     f"SELECT 'method:' || {_AT} || 'S' || p_partkey || '.go_' || p_partkey AS src, 'method:' || {_AT} || 'S' || p_partkey || '.help' AS dst, 0.9::DOUBLE AS confidence FROM part WHERE p_partkey > 0 UNION ALL SELECT 'method:' || {_AT} || 'S' || p_partkey || '.go_' || p_partkey, 'func:' || {_AT} || 'lone_' || p_partkey, 0.9 FROM part WHERE p_partkey > 0 "
     f"UNION ALL SELECT 'func:' || {_AT} || 'lone_' || p_partkey, 'method:' || {_AT} || 'S' || p_partkey || '.go_' || p_partkey, 0.95 FROM part WHERE p_partkey > 0 UNION ALL SELECT 'func:' || {_AT} || 'lone_' || p_partkey, 'func:src/m' || (p_partkey - 1) % 5 || '/f' || (p_partkey - 1) || '.rs:run_' || (p_partkey - 1), 0.8 FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part WHERE p_partkey > 0)",
 )(lambda spark, d: X.extract(_rust_sources(spark, d))[1].where("relation = 'calls'").select("src", "dst", F.col("confidence").cast("double").alias("confidence")))
+plain("x12_grep", "SELECT 'helper_' || p_partkey AS name, 'src/m' || p_partkey % 5 || '/f' || p_partkey || '.py' AS path, 7 AS line, 'function' AS kind FROM part WHERE p_partkey IN (3, 8) UNION ALL SELECT 'C5', 'src/m0/f5.py', 3, 'class'")(
+    lambda spark, d: X.grep_identifiers(_sources(spark, d), build_graph(spark, d).nodes, ["helper_3", "helper_8", "C5", "nowhere", "Login"])
+)
 plain("x07_module_nodes", "SELECT 'module:src' AS id UNION ALL SELECT 'module:src/m' || k FROM range(5) t(k)")(lambda spark, d: X.extract(_sources(spark, d))[0].where("node_type = 'module'").select("id"))
 plain("x02_incremental", "SELECT change, n FROM (SELECT 'unchanged' AS change, (SELECT count(*) FROM part WHERE p_partkey % 10 > 1) AS n UNION ALL SELECT 'modified', (SELECT count(*) FROM part WHERE p_partkey % 10 = 1) UNION ALL SELECT 'deleted', (SELECT count(*) FROM part WHERE p_partkey > 0 AND p_partkey % 10 = 0)) WHERE n > 0")(
     lambda spark, d: file_delta(_sources(spark, d).select("path", F.sha2("content", 256).alias("content_hash")), _sources(spark, d).where("not path like '%0.py'").select("path", F.when(F.col("path").like("%1.py"), F.lit("new")).otherwise(F.sha2("content", 256)).alias("content_hash"))).groupBy("change").agg(F.count(F.lit(1)).alias("n"))

@@ -40,6 +40,9 @@ d AS (SELECT 'missing_node' AS category, 'warning' AS severity, CAST(NULL AS VAR
 UNION ALL SELECT 'dangling_doc_pointer', 'error', id, path, false FROM n WHERE path NOT IN (SELECT path FROM a)
 UNION ALL SELECT 'status_drift', 'warning', id, n.path, a.status <> 'unknown' FROM n JOIN a ON a.path = n.path WHERE a.status <> n.status)"""
 on("orders", "j17_drift", f"{_DRIFT} SELECT * FROM d")(lambda d: R.drift(_nodes(d), _files(d)))
+on("orders", "t06_drift_order", f"{_DRIFT} SELECT node_id, path, row_number() OVER (ORDER BY CASE category WHEN 'missing_node' THEN 1 WHEN 'dangling_doc_pointer' THEN 2 ELSE 3 END, severity <> 'error', node_id NULLS FIRST, path) - 1 AS place FROM d")(
+    lambda d: R.drift_places(R.drift(_nodes(d), _files(d))).select("node_id", "path", "place")
+)
 on("orders", "a24_drift_summary", f"{_DRIFT} SELECT category, severity, count(*) AS n, true AS any_error FROM d GROUP BY 1, 2")(lambda d: R.drift_summary(R.drift(_nodes(d), _files(d))))
 
 
