@@ -60,18 +60,21 @@ OUTSIDE = frozenset("nav footer aside form menu button select option label field
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-#: Words of class names, ids and roles that declare something else than an article.
+#: Words of class names and ids that declare something else than an article, whatever stands beside them in a name.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist complementary "
-    "consent contentinfo cookie cookies cta dfp dialog discussion disqus footer gdpr masthead menu menus meta modal nav navbar navi navigation newsletter notice notices outbrain overlay "
-    "pager pagination paywall popup promo promos promoted promotion recommendation recommendations recommended related replies reply respond search share sharebar sharing sidebar sidenav "
-    "signup social sponsor sponsored sponsors subscribe subscription taboola tags toc toolbar widget widgets".split()
+    "ad ads adbox adsense adslot adv advert advertisement advertisements adverts breadcrumb breadcrumbs commentlist comments complementary consent contentinfo cookie cookies dfp disqus footer "
+    "gdpr masthead modal nav navbar navi navigation newsletter outbrain pager pagination paywall popup promo promos sharebar sidebar sidenav signup sponsor sponsored sponsors subscribe taboola "
+    "widget widgets".split()
+)
+#: Words that do so only among such words and those of BESIDE: "share-buttons" declares something, "share-prices" nothing.
+MAYBE = frozenset(
+    "advertising alert alerts banner banners comment cta dialog discussion menu menus meta notice notices overlay promoted promotion recommendation recommendations recommended related replies "
+    "reply respond search share sharing social subscription tags toc toolbar".split()
 )
-#: Words that may stand beside them in one name; with any other word ("share-prices") a name declares nothing.
 BESIDE = frozenset(
     "a an and area article articles bar block body bottom box btn button buttons by center col column container content count desktop email entries entry feed field fixed floating for form "
     "global group head header heading holder icon icons id in inner input item items js label large latest left link links list local main me media middle mobile module more now number of on "
-    "outer page panel popular post posts primary recent right row secondary section site slot small sticky stories story strip text the title to top unit us wide with wrap wrapper your zone".split()
+    "outer page panel popular post posts primary recent right row secondary section site slot small sticky stories story strip text the title to top unit us wide with wrap wrapper x your zone".split()
 )
 #: Elements in which a header belongs to what they hold, not to the site.
 HOLDERS = frozenset("article main section".split())
@@ -86,7 +89,9 @@ PART = re.compile(r"[A-Za-z]+|[0-9]+")
 def _names_chrome(name: str) -> bool:
     """Whether a class name or id says that its element is no part of an article."""
     parts = [p.lower() for p in PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-    return any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE or p.isdigit() for p in parts)
+    if any(p in NAMES for p in parts):
+        return True
+    return any(p in MAYBE for p in parts) and all(p in MAYBE or p in BESIDE or p.isdigit() for p in parts)
 
 
 def _declared(tag: str, attributes: str, held: bool) -> int | None:

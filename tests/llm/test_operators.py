@@ -457,7 +457,7 @@ def test_pages(spark):
 
 def test_pages_keep_what_names_only_resemble(spark):
     rows = [
-        (1, "http://e.org/1", '<article><div class="search-tips">tips</div><p class="share-prices">Share prices rose.</p><div class="share-buttons">no</div><div id="commentList-2">no</div><header><h2>sub</h2></header><p>end</p></article>'),
+        (1, "http://e.org/1", '<article><div class="search-tips">tips</div><p class="share-prices">Share prices rose.</p><div class="share-buttons">no</div><div id="commentList-2">no</div><div class="ad-inline--wide">no</div><section class="post-comments">no</section><header><h2>sub</h2></header><p>end</p></article>'),
         (2, "http://f.org/2", "<body><header><h1>My Site Name</h1></header><section><header>head</header><p>Body of it</section><p>more</body>"),
         (3, "http://g.org/3", "<article>" + "<p>" + "<b><i><u><s>" * 30 + "one<p>two" + "</q></em>" * 50 + "</article>"),
         (4, "http://h.org/4", "<ul><li><span><span><span><span><span><span><span>a<li>b</ul>"),
