@@ -84,7 +84,11 @@ query("p06_type_filter_on_result", f", r AS (SELECT 'nation:3' AS id UNION SELEC
 )
 query("g02_deps_transitive", f", r AS (SELECT 'order:50' AS id UNION SELECT e.dst FROM r JOIN e ON e.src = r.id WHERE e.confidence IS NULL OR e.confidence >= 0.8) {_REACH} AND id <> 'order:50'")(lambda g: G.deps(g, "order:50").select(ID))
 query("g02_deps_direct", "SELECT DISTINCT id, title, status, node_type FROM n WHERE id IN (SELECT dst FROM e WHERE src = 'task:x1' AND (confidence IS NULL OR confidence >= 0.8))")(lambda g: G.deps(g, "task:x1", transitive=False).select(ID))
-query("g03_path")(lambda g: G.path(g, "part:3", "region:1"))
+query(
+    "g03_path",
+    ", x AS (SELECT src AS a, dst AS b, ord FROM e UNION ALL SELECT dst, src, ord FROM e), r(id, hop) AS (SELECT 'part:3', 0 UNION SELECT x.b, r.hop + 1 FROM r JOIN x ON x.a = r.id WHERE r.hop < 4), d AS (SELECT id, min(hop) AS hop FROM r GROUP BY id), "
+    "up AS (SELECT c.id, arg_min(p.id, x.ord) AS parent FROM d c JOIN x ON x.b = c.id JOIN d p ON p.id = x.a AND p.hop = c.hop - 1 GROUP BY c.id), w(position, id) AS (SELECT hop, id FROM d WHERE id = 'region:1' UNION ALL SELECT w.position - 1, up.parent FROM w JOIN up ON up.id = w.id) SELECT CAST(position AS INT) AS position, id FROM w",
+)(lambda g: G.path(g, "part:3", "region:1"))
 query("g06_would_create_cycle", "SELECT 'task:x1' AS src, 'task:x3' AS dst, true AS cycle UNION ALL SELECT 'cust:1', 'cust:2', false")(
     lambda g: g.nodes.sparkSession.createDataFrame([(a, b, G.would_create_cycle(g, a, b)) for a, b in (("task:x1", "task:x3"), ("cust:1", "cust:2"))], "src string, dst string, cycle boolean")
 )
@@ -139,7 +143,13 @@ query(
     "bad(id) AS (SELECT a FROM cy WHERE a = b UNION SELECT src FROM d WHERE dst NOT IN (SELECT id FROM t) UNION SELECT d.src FROM bad JOIN d ON d.dst = bad.id), "
     "r(id, k) AS (SELECT id, 0 FROM z UNION SELECT d.src, r.k + 1 FROM r JOIN d ON d.dst = r.id WHERE d.src NOT IN (SELECT id FROM bad)) SELECT t.id, CAST(max(r.k) AS INT) AS layer FROM t LEFT JOIN r ON r.id = t.id GROUP BY t.id",
 )(H.execution_layers)
-query("g23_critical_path")(H.critical_path)
+query(
+    "g23_critical_path",
+    ", t AS (SELECT DISTINCT id FROM n WHERE node_type = 'task' AND status NOT IN ('done', 'cancelled')), d AS (SELECT DISTINCT src, dst FROM e WHERE relation = 'depends_on' AND src <> dst AND src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)), "
+    f"{_CLOSED}, bad(id) AS (SELECT a FROM cy WHERE a = b UNION SELECT d.src FROM bad JOIN d ON d.dst = bad.id), r(id, k) AS (SELECT id, 0 FROM t WHERE id NOT IN (SELECT src FROM d) UNION SELECT d.src, r.k + 1 FROM r JOIN d ON d.dst = r.id WHERE d.src NOT IN (SELECT id FROM bad)), "
+    "k AS (SELECT id, max(k) AS k FROM r GROUP BY id), nx AS (SELECT d.src, min(d.dst) AS dst FROM d JOIN k a ON a.id = d.src JOIN k b ON b.id = d.dst AND b.k = a.k - 1 GROUP BY d.src), "
+    "w(position, id) AS (SELECT * FROM (SELECT k, id FROM k ORDER BY k DESC, id LIMIT 1) UNION ALL SELECT w.position - 1, nx.dst FROM w JOIN nx ON nx.src = w.id) SELECT CAST(position AS INT) AS position, id FROM w",
+)(H.critical_path)
 
 query("a01_summary", f"SELECT (SELECT count(*) FROM n WHERE {_LAYER} = 'project') AS total_nodes, " + ", ".join(f"(SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = '{s}') AS {s}" for s in A.STATUS_COLUMNS) + f", (SELECT count(*) FROM e) AS total_edges, (SELECT count(*) FROM ({_READY})) AS ready")(A.summary)
 query("a02_health", f", s AS (SELECT CAST((SELECT count(*) FROM n) AS DOUBLE) AS a, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'in_progress') AS i, CAST((SELECT count(*) FROM n WHERE {_LAYER} = 'project') AS DOUBLE) AS t, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'done') AS d, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'todo') AS o, (SELECT count(*) FROM n WHERE {_LAYER} = 'project' AND status = 'blocked') AS b, (SELECT count(*) FROM e) AS m, (SELECT count(*) FROM ({_READY})) AS k) SELECT round(0.4 * d / t + 0.3 * CASE WHEN o + i = 0 THEN 1.0 WHEN k = 0 AND o > 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / (o + i) END + 0.1 * least(1.0, m / (a * (a - 1))) + 0.2 * (1 - b / t), 9) AS health FROM s")(
