@@ -9,7 +9,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("g01_impact_filtered", "g26_ready_tasks", "a06_fold_call_edges", "a10_co_citation", "u02_snapshot_diff", "j01_missing_refs", "m09_rename", "f01_slugify", "x06_call_edges", "j17_drift", "st_daily_counts")
+SOME = ("g01_impact_filtered", "g26_ready_tasks", "a06_fold_call_edges", "a10_co_citation", "u02_snapshot_diff", "j01_missing_refs", "m09_rename", "f01_slugify", "x06_call_edges", "j17_drift", "st_daily_counts",
+        "a02_health", "a19_complexity", "g29_layer_violations", "m17_dead_code", "j12_bridge_edges", "p09_resolve_node", "m13_backfill", "g04_topological_ranks", "g22_execution_layers", "x06_rust_calls", "r07_task_context", "f04_classify_error")
 
 
 def value(v):
