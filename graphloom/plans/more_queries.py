@@ -139,7 +139,22 @@ on("documents", "r01_search", "WITH w AS (SELECT doc_id AS key, list_filter(stri
     lambda d: R.search(d, "doc_id", "and the", "text").select("key", "hits", F.round("score", 4).alias("score"))
 )
 on("documents", "r01_postings", "SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY term")(lambda d: R.postings(d, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-query("g17_relevant_nodes")(lambda g: R.relevant_nodes(g, ["order 1", "cycle"]))
+_WORDS = ("order 1", "cycle", "login", "querying")
+_HAS = [f"(contains(lower(id), '{w}') OR contains(t, '{w}') OR contains(lower(coalesce(file_path, '')), '{w}') OR (length(t) >= 5 AND contains('{w}', regexp_replace(t, '^_+', ''))))" for w in _WORDS]
+_LIKE = " OR ".join(f"contains(t, '{w}') OR contains('{w}', t)" for w in _WORDS)
+query(
+    "g17_relevant_nodes",
+    f""", v AS (SELECT *, lower(coalesce(title, '')) AS t FROM n), m AS (SELECT id, ({' + '.join(f'{h}::INT' for h in _HAS)})::INT AS score FROM v WHERE {' OR '.join(_HAS)}),
+f1 AS (SELECT DISTINCT file_path AS p FROM n WHERE id IN (SELECT id FROM m) AND file_path IS NOT NULL), a1 AS (SELECT DISTINCT id FROM n WHERE file_path IN (SELECT p FROM f1) AND id NOT IN (SELECT id FROM m)),
+s1 AS (SELECT id FROM m UNION SELECT id FROM a1), cl AS (SELECT DISTINCT id FROM n WHERE id IN (SELECT id FROM s1) AND (coalesce(lower(node_kind) = 'class', false) OR coalesce(node_type = 'class', false))),
+up AS (SELECT src, arg_min(dst, ord) AS dst FROM e WHERE relation = 'inherits' GROUP BY src), ab(id, hop) AS (SELECT id, 0 FROM cl UNION SELECT up.dst, ab.hop + 1 FROM ab JOIN up ON up.src = ab.id WHERE ab.hop < 10),
+kin AS (SELECT id FROM (SELECT id FROM ab UNION SELECT src FROM e WHERE relation = 'inherits' AND dst IN (SELECT id FROM cl)) WHERE id NOT IN (SELECT id FROM s1)),
+a2 AS (SELECT DISTINCT id FROM n WHERE id NOT IN (SELECT id FROM s1) AND (id IN (SELECT id FROM kin) OR file_path IN (SELECT file_path FROM n WHERE id IN (SELECT id FROM kin)))), s2 AS (SELECT id FROM s1 UNION SELECT id FROM a2),
+fl AS (SELECT id, file_path FROM n WHERE coalesce(lower(node_kind) = 'file', false) OR coalesce(node_type = 'file', false)),
+im AS (SELECT id, file_path FROM fl WHERE id IN (SELECT dst FROM e WHERE relation = 'imports' AND src IN (SELECT id FROM fl WHERE id IN (SELECT id FROM s2))) AND id NOT IN (SELECT id FROM s2) AND file_path IN (SELECT file_path FROM v WHERE id NOT IN (SELECT id FROM fl) AND ({_LIKE}))),
+a3 AS (SELECT DISTINCT id FROM n WHERE id NOT IN (SELECT id FROM s2) AND (id IN (SELECT id FROM im) OR file_path IN (SELECT file_path FROM im)))
+SELECT id, score, 'match' AS why FROM m UNION ALL SELECT id, 0, 'same_file' FROM a1 UNION ALL SELECT id, 0, 'inheritance' FROM a2 UNION ALL SELECT id, 0, 'import' FROM a3""",
+)(lambda g: R.relevant_nodes(g, list(_WORDS)))
 
 on("part", "f01_slugify", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")(lambda d: d.select("p_partkey", X.slugify(F.concat_ws(" ", "p_name", "p_type")).alias("slug")))
 on("part", "f02_parent_dir", "SELECT p_partkey, lower(p_type) || '/' || p_brand AS dir FROM part")(lambda d: d.select("p_partkey", X.parent_dir(F.concat(F.lit("file:"), F.lower("p_type"), F.lit("/"), "p_brand", F.lit("/"), "p_name")).alias("dir")))
