@@ -278,18 +278,21 @@ def sort_runs(texts: DataFrame, ranges: np.ndarray, n_parts: int) -> DataFrame:
     """(part, kind, blob): kind 0 is a front-coded run of a range, kind 1 spans that are settled."""
 
     def run(batches):
-        writer, spans, turn = RunWriter(ranges), [], 0
+        writer, spans = RunWriter(ranges), []
 
         def flush():
-            nonlocal spans, turn
+            nonlocal spans
             runs, settled = writer.runs()
             if len(settled):
                 spans.append(settled)
             rows = [(p, 0, b) for p, b in runs]
+            spans = [x for x in spans if len(x[0])]
             if spans:
-                spans_ = [np.concatenate(x) for x in zip(*spans)]
-                turn += 1
-                rows.append((turn % n_parts, 1, pack(spans_[0].astype(np.int64), *(x.astype(np.uint32) for x in spans_[1:]))))
+                doc, tag, low, high = (np.concatenate(x).astype(t) for x, t in zip(zip(*spans), SPAN))
+                # each task deals its own another way, so that no range has the spans of all
+                part = mix64(np.array([doc[0], len(doc)], np.int64).view(np.uint64)).sum(dtype=np.uint64) % np.uint64(n_parts)
+                order = np.lexsort((low, tag, doc))  # like numbers side by side compress
+                rows.append((int(part), 1, writer.squeeze.compress(pack(doc[order], tag[order], low[order], high[order]))))
                 spans = []
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"]
@@ -500,10 +503,11 @@ def merge_ranges(runs: DataFrame, n_parts: int) -> DataFrame:
                         for spans in merge_one(held):
                             yield deal(spans)
                     now, held = part, []
+                blob = unsqueeze.decompress(blob)
                 if kind:
                     yield deal(gather([blob], *SPAN))
                 else:
-                    held.append(unsqueeze.decompress(blob))
+                    held.append(blob)
         if held:
             for spans in merge_one(held):
                 yield deal(spans)
