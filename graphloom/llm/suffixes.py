@@ -193,7 +193,7 @@ def choose_ranges(docs: DataFrame, n_parts: int) -> np.ndarray:
     wanted = n_parts * HEADS_A_RANGE
     share = min(1.0, wanted * (PLACES + 1) / 2 / max(1, total))  # one anchor in (PLACES + 1) / 2 bytes
     rows = min(1.0, 16 * share)  # of each row some anchors, so that a long text weighs what it holds
-    least = int(share / rows * (2**64 - 1))
+    least = min(2**64 - 1, int(share / rows * 2**64))
 
     def run(batches):
         for batch in batches:

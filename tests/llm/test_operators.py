@@ -196,6 +196,16 @@ def test_suffix_dedup_trusts_no_hash(spark, monkeypatch):
     assert Counter(map(tuple, suffixes.dedup_digests(frame(spark, some)).collect())) == want
 
 
+def test_suffix_dedup_with_nothing_settled(spark):
+    # two texts in two tasks: each task's run settles nothing, all is found in the merge
+    rng = random.Random(12)
+    shared = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    some = [(i, "".join(rng.choice("klmnopqrst ") for _ in range(300)) + shared) for i in range(2)]
+    expected = brute_suffixes(some)
+    want = Counter((d, *expected[(d, zlib.crc32(t.encode()))]) for d, t in some)
+    assert Counter(map(tuple, suffixes.dedup_digests(frame(spark, some).repartition(2, "doc_id")).collect())) == want
+
+
 def test_suffix_ranges(spark):
     rng = random.Random(6)
     rows_ = [(i, "Chapter " + "".join(rng.choice("abcdefgh ") for _ in range(1500))) for i in range(120)]
