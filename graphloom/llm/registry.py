@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.audit import op13_filter_audit
 from graphloom.llm.bpe import op7_bpe
 from graphloom.llm.jaccard import op2_jaccard_join
 from graphloom.llm.licences import op5_licence_scan
@@ -11,8 +12,10 @@ from graphloom.llm.packing import op3_packing
 from graphloom.llm.pages import op1_html_extraction
 from graphloom.llm.pii import op6_pii
 from graphloom.llm.quality import op8_quality_rules
+from graphloom.llm.resampling import op11_importance_resampling
 from graphloom.llm.sharding import op4_sharding
 from graphloom.llm.suffixes import op9_suffix_dedup
+from graphloom.llm.url_filters import op12_url_filters
 
 
 def _pipeline(spark, sf_dir):
@@ -33,6 +36,9 @@ def queries() -> dict:
         op8_quality_rules,
         op9_suffix_dedup,
         op10_embedding_dedup,
+        op11_importance_resampling,
+        op12_url_filters,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 
