@@ -65,8 +65,8 @@ def classify_error(c: Column) -> Column:
 
 
 def to_snake_case(c: Column) -> Column:
-    split = F.regexp_replace(F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(split, "[\\s-]+", "_"))
+    """Lower case with an underscore before each capital that follows none, and one for each blank or hyphen."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, "(?s)(?<=\\P{IsUppercase})(?=\\p{IsUppercase})", "_"), "[- ]", "_"))
 
 
 def split_camel_case(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, layer_of
+from graphloom.graph import Graph, layer_of, metadata_of
 from graphloom.operators.schedule import ready_tasks
 
 STATUS_COLUMNS = ("todo", "in_progress", "done", "blocked", "cancelled", "failed", "needs_resolution")
@@ -94,8 +94,11 @@ def high_risk_change(total: Column, most: Column) -> Column:
 
 
 def touch_summary(g: Graph, nodes: DataFrame, top: int = 10, hub: int = 10) -> DataFrame:
-    """Most and all callers over some nodes (all summed before cutting), the top ones, and the hubs among those."""
-    found = caller_counts(g).join(nodes.select("id"), "id", "left_semi").where(F.col("node_kind").isin("Function", "Method", "Class"))
+    """Most and all callers over some functions, methods and classes of the code layer that are no tests (all summed before
+    cutting), the top ones, and the hubs among those. Only calls of the code layer count."""
+    is_test = F.coalesce(metadata_of(g.nodes, "is_test") == "true", F.lit(False))
+    code = Graph(g.nodes.where((F.col("source") == "extract") & ~is_test), g.edges.where("edge_source = 'extract'"), g.project)
+    found = caller_counts(code).join(nodes.select("id").distinct(), "id", "left_semi").where(F.col("node_kind").isin("Function", "Method", "Class"))
     whole = found.agg(F.max("callers").alias("max_callers"), F.sum("callers").alias("total_callers"), F.count(F.lit(1)).alias("n_nodes"))
     best = found.orderBy(F.desc("callers"), "id").limit(top).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("top_nodes"), F.count_if(F.col("callers") >= hub).alias("hubs"))
     return whole.join(F.broadcast(best)).withColumn("risk", risk_level(F.coalesce("total_callers", F.lit(0))))

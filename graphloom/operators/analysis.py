@@ -60,22 +60,62 @@ def causal_chains(g: Graph, symptoms: list[str], depth: int = 4, most: int = 10)
     return ends.withColumn("rank", rank).where(F.col("rank") <= most).select("symptom", F.array_join("chain", " > ").alias("chain"), F.round("weight", 6).alias("weight"))
 
 
-def failure_analysis(g: Graph, changed: list[str], tests: list[str]) -> DataFrame:
-    """(test, changed, link): how a failing test is linked to what changed: direct, over one node, by its file, or not."""
+def _by_suffix(names: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """names joined with wanted where the column ends with the key, by equality of suffixes of the lengths that keys have."""
+    lengths = wanted.agg(F.collect_set(F.length(key)).alias("lengths"))  # one row; as many as keys have lengths
+    ends = names.join(F.broadcast(lengths)).withColumn("length", F.explode(F.filter("lengths", lambda n: (n > 0) & (n <= F.length(column)))))
+    return ends.withColumn(key, F.substring(F.col(column), F.length(column) - F.col("length") + 1, F.col("length"))).drop("lengths", "length").join(wanted, key)
+
+
+def resolve_tests(g: Graph, tests: list[str] | DataFrame) -> DataFrame:
+    """(test, id, rule): the node of each test identifier (file::class::name, or a name alone) .
+
+    Rules in order: 1 the name and a path that ends with the file, 2 the end of a name and the file, 3 the name anywhere, 4 the
+    end of a name anywhere, 5 any test node of the file; within a rule the first node. Tests without a node are left out.
+    """
+    tests = g.nodes.sparkSession.createDataFrame([(t,) for t in tests], "test string") if isinstance(tests, list) else tests
+    t = tests.select("test", F.element_at(F.split("test", "::"), -1).alias("short"), F.when(F.contains("test", F.lit("::")), F.split("test", "::")[0]).otherwise("").alias("file")).distinct()
+    is_test = F.coalesce(metadata_of(g.nodes, "is_test") == "true", F.lit(False))
+    n = g.nodes.select("id", "title", F.coalesce("file_path", F.lit("")).alias("file_path"), "ord", is_test.alias("is_test"))
+    in_file = (F.col("file") != "") & F.endswith("file_path", F.col("file"))
+    exact = F.col("title") == F.col("short")
+    by_name = _by_suffix(n, "title", t, "short").withColumn("rule", F.when(in_file & exact, 1).when(in_file, 2).when(exact, 3).otherwise(4))
+    by_file = _by_suffix(n.where("is_test"), "file_path", t.where("file <> ''"), "file").withColumn("rule", F.lit(5))
+    met = by_name.select("test", "rule", "ord", "id").unionByName(by_file.select("test", "rule", "ord", "id"))
+    return met.groupBy("test").agg(F.min(F.struct("rule", "ord", "id")).alias("x")).select("test", "x.id", "x.rule")
+
+
+def failure_analysis(g: Graph, changed: list[str], tests: list[str] | DataFrame) -> DataFrame:
+    """(test, node, via, changed, link): how each failing test is linked to what changed.
+
+    link is direct (the test calls a changed node, or one of a changed name; a row for each), indirect (one node between, the
+    first that leads there), file (the test's file tests the file of a changed node), none, or unknown for tests without a
+    node. Only calls count, and a weaker link only where there is no stronger one.
+    """
     spark = g.nodes.sparkSession
-    t = spark.createDataFrame([(x,) for x in tests], "test string")
-    c = spark.createDataFrame([(x,) for x in changed], "changed string")
-    e = g.edges.where("relation in ('calls', 'imports', 'uses', 'depends_on')").select("src", "dst")
-    direct = t.join(e, F.col("test") == F.col("src")).join(c, F.col("dst") == F.col("changed")).select("test", "changed", F.lit(1).alias("rank"))
-    e2 = e.select(F.col("src").alias("dst"), F.col("dst").alias("dst2"))
-    second = t.join(e, F.col("test") == F.col("src")).join(e2, "dst").join(c, F.col("dst2") == F.col("changed")).select("test", "changed", F.lit(2).alias("rank"))
-    files = g.nodes.select("id", F.concat(F.lit("file:"), "file_path").alias("file"))
-    f = g.edges.where("relation = 'tests_for'").select(F.col("src").alias("test_file"), F.col("dst").alias("code_file"))
-    by_file = t.join(files, F.col("test") == F.col("id")).select("test", F.col("file").alias("test_file")).join(f, "test_file").join(files.join(c, F.col("id") == F.col("changed")).select("changed", F.col("file").alias("code_file")), "code_file").select("test", "changed", F.lit(3).alias("rank"))
-    best = direct.unionByName(second).unionByName(by_file).groupBy("test", "changed").agg(F.min("rank").alias("rank"))
-    name = F.when(F.col("rank") == 1, "direct").when(F.col("rank") == 2, "two_hops").otherwise("file")
-    linked = best.select("test", "changed", name.alias("link"))
-    return linked.unionByName(t.join(best, "test", "left_anti").select("test", F.lit(None).cast("string").alias("changed"), F.lit("none").alias("link")))
+    t = spark.createDataFrame([(x,) for x in tests], "test string") if isinstance(tests, list) else tests.select("test").distinct()
+    known = cut(resolve_tests(g, t).select("test", F.col("id").alias("node")), "tests")
+    c = g.nodes.where(F.col("id").isin(changed))
+    names = c.select("title").distinct()
+    hit = cut(g.nodes.join(names, "title", "left_semi").select("id").unionByName(c.select("id")).distinct(), "changed")
+    there = g.nodes.select("id").distinct()
+    calls = g.edges.where("relation = 'calls'").join(there.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "ord")
+    first = known.join(calls, known["node"] == calls["src"]).select("test", "node", F.col("dst").alias("via"), F.col("ord").alias("first"))
+    first = cut(first, "callees")
+    direct = first.join(hit.withColumnRenamed("id", "via"), "via", "left_semi").select("test", "node", F.lit(None).cast("string").alias("via"), F.col("via").alias("changed"), F.lit("direct").alias("link")).distinct()
+    into = calls.join(hit.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("via"), F.col("dst").alias("changed"), F.col("ord").alias("second"))
+    second = first.join(direct.select("test"), "test", "left_anti").join(into, "via").groupBy("test", "node").agg(F.min(F.struct("first", "second", "via", "changed")).alias("x"))
+    second = second.select("test", "node", "x.via", "x.changed", F.lit("indirect").alias("link"))
+    done = cut(direct.unionByName(second), "links")
+    paths = g.nodes.select(F.col("id").alias("node"), "file_path")
+    left = known.join(done.select("test"), "test", "left_anti").join(paths, "node").select("test", "node", F.concat(F.lit("file:"), "file_path").alias("src"))
+    files = g.nodes.join(c.select("file_path").distinct(), "file_path", "left_semi").select(F.col("id").alias("dst"))
+    tested = g.edges.where("relation = 'tests_for'").join(files, "dst", "left_semi").select("src", "dst", "ord")
+    by_file = left.join(tested, "src").groupBy("test", "node").agg(F.min(F.struct("ord", "dst")).alias("x")).select("test", "node", F.lit(None).cast("string").alias("via"), F.col("x.dst").alias("changed"), F.lit("file").alias("link"))
+    linked = done.unionByName(by_file)
+    rest = t.join(linked.select("test"), "test", "left_anti").join(known, "test", "left")
+    nothing = F.lit(None).cast("string")
+    return linked.unionByName(rest.select("test", "node", nothing.alias("via"), nothing.alias("changed"), F.when(F.col("node").isNull(), "unknown").otherwise("none").alias("link")))
 
 
 def failure_trace(g: Graph, changed: str, test: str, most: int = 5) -> DataFrame:
@@ -126,25 +166,6 @@ def file_impact(g: Graph, files: list[str], relations=None, minimum: float | Non
     return found.join(F.broadcast(risk)).join(F.broadcast(hidden))  # frames of one row
 
 
-def resolve_tests(g: Graph, tests: list[str]) -> DataFrame:
-    """(test, id, rule): the node that a test name file::...::name means, by the first rule that any node meets, the first
-    node of that rule: name in the file; end of a name in the file; name; end of a name; any test node of the file."""
-    parts = [(t, t.split("::")[0] if "::" in t else "", t.rpartition("::")[2]) for t in tests]
-    wanted = F.broadcast(g.nodes.sparkSession.createDataFrame(parts, "test string, file string, name string"))  # the names asked for
-    title, path = F.col("title"), F.coalesce("file_path", F.lit(""))
-    here = (F.col("file") != "") & F.endswith(path, F.col("file"))
-    is_test = F.coalesce(metadata_of(g.nodes, "is_test"), F.lit("false")) == "true"
-    rule = (
-        F.when((title == F.col("name")) & here, 1)
-        .when(F.endswith(title, F.col("name")) & here, 2)
-        .when(title == F.col("name"), 3)
-        .when(F.endswith(title, F.col("name")), 4)
-        .when(is_test & here, 5)
-    )
-    met = g.nodes.join(wanted, rule.isNotNull()).withColumn("rule", rule)
-    return met.groupBy("test").agg(F.min(F.struct("rule", "ord", "id")).alias("x")).select("test", F.col("x.id").alias("id"), F.col("x.rule").alias("rule"))
-
-
 def _short_name(test: str) -> str:
     return test.rpartition("::")[2] if "::" in test else test.split(" (")[0].strip()
 

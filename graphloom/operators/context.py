@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import estimate_tokens
 from graphloom.graph import Graph
-from graphloom.operators.traverse import reach, seed_frame, steps_of
+from graphloom.lineage import Rounds, cut
 
 # How relevant what is reached over a relation is, and the order of categories.
 RELATION_SCORES = {
@@ -30,11 +30,23 @@ def candidate_score(relation: Column, hop: Column) -> Column:
 
 
 def gather_dependencies(g: Graph, targets: list[str], depth: int = 2) -> DataFrame:
-    """(id, hop, relation): existing nodes that the targets lead to; a missing node ends its branch; the first relation counts."""
-    steps = steps_of(g.edges, "out").join(g.nodes.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
-    met = reach(steps, seed_frame(g, *targets), most=depth).where("hop > 0")
-    best = met.groupBy("id").agg(F.min(F.struct("hop", "via")).alias("x"))
-    return best.select("id", F.col("x.hop").alias("hop"), F.col("x.via").alias("relation")).where(~F.col("id").isin(targets))
+    """(id, hop, relation): existing nodes that the targets lead to; a missing node ends its branch.
+
+    A node's relation is that of the edge that discovers it first: targets in their order, edges in theirs, hop by hop. The
+    orders along a way make its key, so that of all ways of one length the smallest key is the first discovery.
+    """
+    spark = g.nodes.sparkSession
+    steps = cut(g.edges.join(g.nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "relation", "ord"), "steps")
+    seen = spark.createDataFrame([(t, 0, None, [k]) for k, t in enumerate(targets)], "id string, hop int, relation string, key array<long>")
+    frontier, found = seen, Rounds(spark, "id string, hop int, relation string, key array<long>")
+    found.add(seen)
+    for hop in range(1, depth + 1):
+        met = frontier.select(F.col("id").alias("src"), "key").join(steps, "src").groupBy(F.col("dst").alias("id"))
+        met = met.agg(F.min(F.struct(F.concat("key", F.array("ord")).alias("key"), "relation")).alias("x")).join(found.all().select("id"), "id", "left_anti")
+        if not found.add(met.select("id", F.lit(hop).alias("hop"), F.col("x.relation").alias("relation"), F.col("x.key").alias("key"))):
+            break
+        frontier = found.last()
+    return found.all().where("hop > 0").select("id", "hop", "relation")
 
 
 def gather_callers(g: Graph, targets: list[str]) -> DataFrame:

@@ -71,18 +71,34 @@ def _retarget(edges: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def merge(g: Graph, a: str, b: str, new_id: str) -> Graph:
-    """Two nodes as one: titles joined, the better status, edges moved; as in the original, an id in use makes the node vanish."""
-    pair = g.nodes.where(F.col("id").isin(a, b))
-    rank = F.array_position(F.array(*map(F.lit, STATUS_RANK)), F.col("status"))
-    one = pair.groupBy().agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("id") != a).alias("k"), "title"))), lambda x: x["title"]), " + ").alias("title"),
-        F.max_by("status", rank).alias("status"), F.min("ord").alias("ord"), F.first("node_type").alias("node_type"), F.first("source").alias("source"),
-    )
-    made = one.select(*[F.lit(new_id).alias("id") if f.name == "id" else F.col(f.name) if f.name in one.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in g.nodes.schema])
-    rest = g.nodes.where(~F.col("id").isin(a, b))
-    nodes = rest if new_id in (a, b) else rest.unionByName(made)
+    """Two nodes as one: titles joined, descriptions as two paragraphs, tags united in order, the better status, edges moved.
+
+    All else of the new node has its default; its type is told by the id. The graph stays as it is if one of the two is not
+    there. As in the original, a new id that is one of the two makes the node vanish, and a node that has it already stays.
+    """
+    first = g.nodes.where(F.col("id").isin(a, b)).groupBy("id").agg(F.min_by(F.struct(*g.nodes.columns), "ord").alias("x")).select("x.*")
+    has = set(g.nodes.columns)
+    text = F.col("description") if "description" in has else F.lit(None).cast("string")
+    tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in has else F.array().cast("array<string>")
+    # two rows at most
+    pair = first.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct((F.col("id") != a).alias("k"), "title", text.alias("text"), "status", tags.alias("tags"), "ord"))).alias("p")).where("n = 2")
+    status = F.col("p")["status"]
+    made = pair.select(
+        F.concat_ws(" + ", F.col("p")["title"]).alias("title"),
+        F.when(F.size(F.filter(F.col("p")["text"], lambda x: x.isNotNull())) > 0, F.concat_ws("\n\n", F.col("p")["text"])).alias("description"),
+        F.array_sort(F.array_distinct(F.flatten(F.col("p")["tags"]))).alias("tags"),
+        F.when(F.array_contains(status, "done"), "done").when(F.array_contains(status, "in_progress"), "in_progress").otherwise(status[0]).alias("status"),
+        F.array_min(F.col("p")["ord"]).alias("ord"), F.lit(new_id).alias("id"),
+    ).withColumn("node_type", infer_node_type(F.col("id")))
+    made = made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in g.nodes.schema])
+    if first.count() < 2:
+        return g
+    taken = g.nodes.where(F.col("id") == new_id).select("id")
+    nodes = g.nodes.unionByName(made.join(taken, "id", "left_anti").select(g.nodes.columns))
     table = g.nodes.sparkSession.createDataFrame([(a, new_id), (b, new_id)], "old string, new string")
-    return Graph(nodes, _retarget(g.edges, table), g.project)
+    edges = _retarget(g.edges, table)
+    # as after a removal: rows of the two ids go, and edges that still lead to them
+    return Graph(nodes.where(~F.col("id").isin(a, b)), edges.where(~F.col("src").isin(a, b) & ~F.col("dst").isin(a, b)), g.project)
 
 
 def split(g: Graph, node_id: str, parts: list[str]) -> Graph:

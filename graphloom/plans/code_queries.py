@@ -198,9 +198,43 @@ query(
 )(lambda g: _refs(g).groupBy("dst", "relation").agg(F.count(F.lit(1)).alias("n")))
 query("g09_impact_report", ", r AS (SELECT 'supp:7' AS id UNION SELECT e.src FROM r JOIN e ON e.dst = r.id WHERE e.relation IN ('calls')) SELECT DISTINCT id, 'code' AS part FROM n WHERE id IN (SELECT id FROM r) AND id <> 'supp:7'")(lambda g: Y.impact_report(g, ["supp:7"], "calls"))
 query("g12_causal_chains")(lambda g: Y.causal_chains(g, ["part:7"], depth=3))
-query("g14_failure_analysis", "SELECT 'order:5' AS test, CASE WHEN EXISTS (SELECT 1 FROM e a JOIN e b ON b.src = a.dst WHERE a.src = 'order:5' AND a.relation = 'uses' AND b.relation = 'calls' AND b.dst = 'supp:1') THEN 'supp:1' END AS changed, CASE WHEN EXISTS (SELECT 1 FROM e a JOIN e b ON b.src = a.dst WHERE a.src = 'order:5' AND a.relation = 'uses' AND b.relation = 'calls' AND b.dst = 'supp:1') THEN 'two_hops' ELSE 'none' END AS link")(
-    lambda g: Y.failure_analysis(g, ["supp:1"], ["order:5"])
-)
+_FIRST = ["task:login", "order:5", "class:src/auth/login.rs:Login", "func:src/auth/session.rs:render"]
+query(
+    "g30_first_relation",
+    ", t AS (SELECT id, row_number() OVER () - 1 AS k FROM (VALUES " + ", ".join(f"('{x}')" for x in _FIRST) + ") AS t(id)), "
+    "a AS (SELECT e.dst AS id, min([t.k, e.ord]) AS key, arg_min(relation, [t.k, e.ord]) AS relation FROM t JOIN e ON e.src = t.id WHERE e.dst IN (SELECT id FROM n) AND e.dst NOT IN (SELECT id FROM t) GROUP BY 1), "
+    "b AS (SELECT e.dst AS id, arg_min(e.relation, list_append(a.key, e.ord)) AS relation FROM a JOIN e ON e.src = a.id WHERE e.dst IN (SELECT id FROM n) AND e.dst NOT IN (SELECT id FROM t) AND e.dst NOT IN (SELECT id FROM a) GROUP BY 1) "
+    "SELECT id, 1::INT AS hop, relation FROM a UNION ALL SELECT id, 2, relation FROM b",
+)(lambda g: C.gather_dependencies(g, _FIRST))
+
+
+def _calls_of_suppliers(g):
+    """The graph with suppliers calling their nations, so that calls have two hops."""
+    return g.with_edges(g.edges.withColumn("relation", F.when(F.col("src").startswith("supp:"), "calls").otherwise(F.col("relation"))))
+
+
+_CHANGED = ["supp:1", "supp:2", "nation:3", "func:src/auth/login.rs:check", "func:src/auth/session.rs:render"]
+_FAILED_TESTS = ["tests/test_login.py::test_check", "test_login.py::Suite::_check", "src/main.rs::helper", "test_check", "nowhere.py::zzz", "login.rs::unused"]
+query(
+    "g14_failure_analysis",
+    ", c AS (SELECT * FROM n WHERE id IN (" + ", ".join(f"'{x}'" for x in _CHANGED) + ")), x AS (SELECT src, dst, ord FROM (SELECT src, dst, ord, CASE WHEN src LIKE 'supp:%' THEN 'calls' ELSE relation END AS relation FROM e) WHERE relation = 'calls' AND dst IN (SELECT id FROM n)), "
+    "t AS (SELECT test, string_split(test, '::')[-1] AS short, CASE WHEN contains(test, '::') THEN string_split(test, '::')[1] ELSE '' END AS file FROM (SELECT DISTINCT p_brand || '/' || p_name || '::' || p_name AS test FROM part UNION SELECT unnest([" + ", ".join(f"'{x}'" for x in _FAILED_TESTS) + "]))), "
+    "m AS (SELECT test, id, ord, CASE WHEN file <> '' AND ends_with(coalesce(file_path, ''), file) THEN CASE WHEN title = short THEN 1 ELSE 2 END WHEN title = short THEN 3 ELSE 4 END AS rule FROM t JOIN n ON ends_with(title, short)), "
+    "k AS (SELECT test, arg_min(id, [rule, ord]) AS node FROM m GROUP BY test), h AS (SELECT id FROM n WHERE title IN (SELECT title FROM c) OR id IN (SELECT id FROM c)), "
+    "d AS (SELECT DISTINCT test, node, dst AS changed FROM k JOIN x ON x.src = node WHERE dst IN (SELECT id FROM h)), "
+    "i AS (SELECT test, arg_min(node, [a.ord, b.ord]) AS node, arg_min(b.src, [a.ord, b.ord]) AS via, arg_min(b.dst, [a.ord, b.ord]) AS changed FROM k JOIN x a ON a.src = node JOIN x b ON b.src = a.dst WHERE b.dst IN (SELECT id FROM h) AND test NOT IN (SELECT test FROM d) GROUP BY test), "
+    "f AS (SELECT test, arg_min(node, e.ord) AS node, arg_min(e.dst, e.ord) AS changed FROM k JOIN n w ON w.id = k.node JOIN e ON e.src = 'file:' || w.file_path AND e.relation = 'tests_for' JOIN n z ON z.id = e.dst WHERE z.file_path IN (SELECT file_path FROM c) AND test NOT IN (SELECT test FROM d UNION SELECT test FROM i) GROUP BY test) "
+    "SELECT test, node, CAST(NULL AS VARCHAR) AS via, changed, 'direct' AS link FROM d UNION ALL SELECT test, node, via, changed, 'indirect' FROM i UNION ALL SELECT test, node, NULL, changed, 'file' FROM f "
+    "UNION ALL SELECT test, node, NULL, NULL, CASE WHEN node IS NULL THEN 'unknown' ELSE 'none' END FROM t LEFT JOIN k USING (test) WHERE test NOT IN (SELECT test FROM d UNION SELECT test FROM i UNION SELECT test FROM f)",
+)(lambda g: Y.failure_analysis(_calls_of_suppliers(g), _CHANGED, _test_names(g)))
+
+
+def _test_names(g):
+    """A test identifier for each brand and name of a part, and a few of the fixed files."""
+    parts = g.nodes.where("id like 'part:%'").select(F.concat(F.element_at(F.split("file_path", "/"), -2), F.lit("/"), "title", F.lit("::"), "title").alias("test"))
+    return parts.unionByName(g.nodes.sparkSession.createDataFrame([(x,) for x in _FAILED_TESTS], "test string"))
+
+
 
 
 def _sources(spark, sf_dir):

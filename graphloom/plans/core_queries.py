@@ -175,8 +175,17 @@ query("a17_caller_counts", "SELECT n.id, n.ord, (SELECT count(*) FROM e WHERE e.
     lambda g: A.caller_counts(g).where("node_kind IN ('Class', 'Function')").select("id", "ord", "callers", "callees")
 )
 _CALLERS = "SELECT n.id, (SELECT count(*) FROM e WHERE e.dst = n.id AND relation = 'calls') AS callers FROM n WHERE id LIKE 'supp:%'"
-query("a18_touch_summary", f", c AS ({_CALLERS}), t AS (SELECT * FROM c ORDER BY callers DESC, id LIMIT 10) SELECT (SELECT max(callers) FROM c) AS max_callers, (SELECT CAST(sum(callers) AS BIGINT) FROM c) AS total_callers, (SELECT count(*) FROM c) AS n_nodes, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS top_nodes, (SELECT count(*) FROM t WHERE callers >= 10) AS hubs, 'critical' AS risk")(
-    lambda g: A.touch_summary(g, g.nodes.where("id LIKE 'supp:%'"))
+_TOUCHED = "SELECT n.id, (SELECT count(*) FROM e WHERE e.dst = n.id AND relation = 'calls' AND edge_source = 'extract' AND NOT in_error_path) AS callers FROM n WHERE id LIKE 'supp:%' AND id NOT LIKE '%3'"
+
+
+def _marked_tests(g):
+    """The graph with every tenth supplier marked as a test and calls in error paths taken out of the code layer."""
+    nodes = g.nodes.withColumn("metadata", F.when(F.col("id").rlike("^supp:.*3$"), '{"is_test":true}').otherwise(F.col("metadata")))
+    return g.with_nodes(nodes).with_edges(g.edges.withColumn("edge_source", F.when(~F.col("in_error_path"), F.col("edge_source"))))
+
+
+query("a18_touch_summary", f", c AS ({_TOUCHED}), t AS (SELECT * FROM c ORDER BY callers DESC, id LIMIT 10) SELECT (SELECT max(callers) FROM c) AS max_callers, (SELECT CAST(sum(callers) AS BIGINT) FROM c) AS total_callers, (SELECT count(*) FROM c) AS n_nodes, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS top_nodes, (SELECT count(*) FROM t WHERE callers >= 10) AS hubs, 'critical' AS risk")(
+    lambda g: A.touch_summary(_marked_tests(g), g.nodes.where("id LIKE 'supp:%'"))
 )
 query("a20_risk_level", f", c AS ({_CALLERS}) SELECT CASE WHEN callers <= 5 THEN 'low' WHEN callers <= 20 THEN 'medium' WHEN callers <= 50 THEN 'high' ELSE 'critical' END AS risk, count(*) AS n FROM c GROUP BY 1")(
     lambda g: A.caller_counts(g).where("id LIKE 'supp:%'").groupBy(A.risk_level(F.col("callers")).alias("risk")).agg(F.count(F.lit(1)).alias("n"))

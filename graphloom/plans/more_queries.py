@@ -98,6 +98,11 @@ query("m09_rename", "SELECT src, CASE WHEN dst = 'nation:3' THEN 'nation:three'
 query("m10_merge", ", t AS (SELECT CASE WHEN src IN ('nation:4', 'nation:5') THEN 'nation:45' ELSE src END AS src, CASE WHEN dst IN ('nation:4', 'nation:5') THEN 'nation:45' ELSE dst END AS dst, relation FROM e) SELECT DISTINCT src, dst, relation FROM t WHERE src <> dst AND 'nation:45' IN (src, dst)")(
     lambda g: M.merge(g, "nation:4", "nation:5", "nation:45").edges.where("src = 'nation:45' or dst = 'nation:45'").select(_E3)
 )
+query("m10_merged_node", ", p AS (SELECT n.*, (s_suppkey % 2)::INT AS second, s_suppkey // 2 AS pair FROM n JOIN supplier ON id = 'supp:' || s_suppkey WHERE s_suppkey IN (6, 7)) SELECT 'task-both' AS id, string_agg(title, ' + ' ORDER BY second) AS title, string_agg('On ' || title, chr(10) || chr(10) ORDER BY second) AS description, 'in_progress' AS status, array_to_string(list_sort(list_distinct(['b', 'z'] || list(title))), ',') AS tags, CAST(NULL AS VARCHAR) AS file_path FROM p")(
+    lambda g: M.merge(g.with_nodes(g.nodes.withColumns({"description": F.concat(F.lit("On "), "title"), "tags": F.array(F.lit("z"), "title", F.lit("b")), "status": F.when(F.col("id") == "supp:7", "in_progress").otherwise(F.col("status"))})), "supp:6", "supp:7", "task-both")
+    .nodes.where("id = 'task-both'")
+    .select("id", "title", "description", "status", F.array_join("tags", ",").alias("tags"), "file_path")
+)
 query("m11_split", "SELECT 'region:1a' AS id, title FROM n WHERE id = 'region:1' UNION ALL SELECT 'region:1b', title FROM n WHERE id = 'region:1'")(lambda g: M.split(g, "region:1", ["region:1a", "region:1b"]).nodes.where("id like 'region:1_'").select("id", "title"))
 query("m12_extract_parent", "SELECT 'mod:top' AS src, 'region:0' AS dst, 'contains' AS relation UNION ALL SELECT 'mod:top', 'region:1', 'contains'")(lambda g: M.extract_parent(g, "mod:top", "Top", ["region:0", "region:1"]).edges.where("relation = 'contains'").select(_E3))
 query("m06_batch_edit", "SELECT status, count(*) AS n FROM n WHERE id <> 'region:0' GROUP BY status UNION ALL SELECT 'blocked!', 1")(
@@ -161,7 +166,10 @@ on("part", "f02_parent_dir", "SELECT p_partkey, lower(p_type) || '/' || p_brand
 on("part", "f03_common_prefix", "SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN strlen('x/') + strlen(p_brand) + 1 ELSE 2 END::INT AS n FROM part")(
     lambda d: d.select("p_partkey", X.common_prefix_len(F.concat(F.lit("x/"), "p_brand", F.lit("/a")), F.lit("x/Brand#1/b")).cast("int").alias("n"))
 )
-on("events", "f11_snake_case", "SELECT event_type, 'event_type_' || event_type AS name, count(*) AS n FROM events GROUP BY 1")(lambda d: d.groupBy("event_type", X.to_snake_case(F.concat(F.lit("EventType-"), "event_type")).alias("name")).agg(F.count(F.lit(1)).alias("n")))
+_SNAKE = "array_to_string(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN x[i] BETWEEN 'A' AND 'Z' THEN CASE WHEN i > 1 AND NOT x[i - 1] BETWEEN 'A' AND 'Z' THEN '_' ELSE '' END || lower(x[i]) WHEN x[i] IN ('-', ' ') THEN '_' ELSE x[i] END), '')"
+on("part", "f11_snake_case", f"SELECT p_partkey, {_SNAKE} AS name FROM (SELECT p_partkey, p_brand || '  ' || p_type || 'Server-' || p_name || '-My' || p_type AS x FROM part)")(
+    lambda d: d.select("p_partkey", X.to_snake_case(F.concat("p_brand", F.lit("  "), "p_type", F.lit("Server-"), "p_name", F.lit("-My"), "p_type")).alias("name"))
+)
 on("documents", "f20_hashes", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")(lambda d: d.select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md")))
 on("events", "f21_dates", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")(lambda d: d.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n")))
 on("events", "f22_json_metadata", "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1")(lambda d: d.groupBy(X.metadata_value(F.col("props"), "k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")))

@@ -118,14 +118,27 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-_BUILT: dict[tuple[str, str], Graph] = {}
+_BUILT: dict[tuple[str, str], tuple[tuple, Graph]] = {}
+
+
+def _stamp(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, size and time of every file below some paths, on whatever file system they are."""
+    found = []
+    for path in paths:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def build_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder's tables, written to the shared folder once for each application, so that no traversal works out
-    its edges anew in every hop."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        views(spark, sf_dir, "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-        _BUILT[key] = Graph(cut(spark.sql(NODES), "nodes"), cut(spark.sql(EDGES), "edges"))
-    return _BUILT[key]
+    its edges anew in every hop; anew if a file of the tables has changed since."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    key, stamp = (spark.sparkContext.applicationId, sf_dir), _stamp(spark, [f"{sf_dir}/{t}.parquet" for t in names])
+    if key not in _BUILT or _BUILT[key][0] != stamp:
+        views(spark, sf_dir, *names)
+        _BUILT[key] = stamp, Graph(cut(spark.sql(NODES), "nodes"), cut(spark.sql(EDGES), "edges"))
+    return _BUILT[key][1]
