@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import language_of
+from graphloom.lineage import cut
 
 # Executors need no copy of this package: the parsers travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,6 +40,8 @@ MEMBER = re.compile(r"^\s*(?:(?:public|private|protected|static|readonly|async|o
 CALL = re.compile(r"(?<![\w.])((?:\w+(?:\.|::))*)(\w+)\s*\(")
 STRINGS = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|`[^`]*`")
 KEYWORDS = frozenset("if for while match return fn let function switch catch class new await async loop else super typeof instanceof".split())
+#: Raise with every change of what the parsers find: facts kept by content are those of one version.
+PARSERS = 1
 CONTAINERS = ("class", "trait", "interface", "impl", "enum")
 
 
@@ -288,33 +291,40 @@ def remap_impls(edges: DataFrame, defs: DataFrame) -> DataFrame:
     return e.withColumn("dst", F.coalesce("real", "dst")).select(edges.columns)
 
 
-def structure_edges(found: DataFrame, defs: DataFrame) -> DataFrame:
-    """(src, dst, relation, confidence): defined_in, inherits, imports, overrides; names that resolve to nothing are dropped."""
-    inside = defs.where("node_type <> 'file'").select(F.col("id").alias("src"), "file_path", F.regexp_replace("scope", "\\.?[^.]*$", "").alias("outer"))
-    scopes = defs.where("node_type <> 'file'").select(F.col("id").alias("parent"), "file_path", F.col("scope").alias("outer"))
-    # members of a type that another file defines belong to the first type of that name
-    elsewhere = defs.where("node_type = 'class'").groupBy(F.col("title").alias("outer")).agg(F.min("id").alias("far"))
-    up = inside.join(scopes, ["file_path", "outer"], "left").join(elsewhere, "outer", "left")
-    placed = up.select("src", F.coalesce("parent", "far", F.concat(F.lit("file:"), "file_path")).alias("dst"), F.lit("defined_in").alias("relation"), F.lit(1.0).alias("confidence"))
+def text_edges(found: DataFrame, defs: DataFrame) -> DataFrame:
+    """(src, dst, relation, confidence, made_by): inherits and imports, with the path of the file that says so; names that
+    resolve to nothing are dropped."""
     classes = defs.where("node_type in ('class', 'interface', 'trait')").select(F.col("id").alias("dst"), F.col("title").alias("name"), F.col("file_path").alias("there"))
     kinds = ("class", "interface", "enum")
     own = defs.where(F.col("node_type").isin(*kinds)).select(F.col("id").alias("own"), F.col("file_path").alias("path"), "scope")
     far = defs.where(F.col("node_type").isin(*kinds)).groupBy("scope").agg(F.min("id").alias("far"))
     bases = found.where("kind = 'inherits'").join(own, ["path", "scope"], "left").join(far, "scope", "left").withColumn("src", F.coalesce("own", "far")).where("src is not null").join(classes, "name")
-    near = bases.withColumn("rank", F.row_number().over(Window.partitionBy("src", "name").orderBy((F.col("path") != F.col("there")), "dst"))).where("rank = 1")
-    inherits = near.where("src <> dst").select("src", "dst", F.lit("inherits").alias("relation"), F.lit(0.9).alias("confidence"))
+    near = bases.withColumn("rank", F.row_number().over(Window.partitionBy("path", "src", "name").orderBy((F.col("path") != F.col("there")), "dst"))).where("rank = 1")
+    inherits = near.where("src <> dst").select("src", "dst", F.lit("inherits").alias("relation"), F.lit(0.9).alias("confidence"), F.col("path").alias("made_by")).distinct()
     stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), "\\.[a-z]+$", "")
     files = defs.where("node_type = 'file'").select(F.col("id").alias("dst"), stem.alias("stem"))
-    imports = found.where("kind = 'import'").select(F.concat(F.lit("file:"), "path").alias("src"), F.explode(F.array_distinct(F.array(F.element_at(F.split(F.regexp_replace("target", "^\\.+", ""), "[./:]+"), -1), F.col("name")))).alias("stem"))
-    imports = imports.join(files, "stem").where("src <> dst").select("src", "dst", F.lit("imports").alias("relation"), F.lit(0.9).alias("confidence")).distinct()
+    imports = found.where("kind = 'import'").select(F.concat(F.lit("file:"), "path").alias("src"), F.col("path").alias("made_by"), F.explode(F.array_distinct(F.array(F.element_at(F.split(F.regexp_replace("target", "^\\.+", ""), "[./:]+"), -1), F.col("name")))).alias("stem"))
+    imports = imports.join(files, "stem").where("src <> dst").select("src", "dst", F.lit("imports").alias("relation"), F.lit(0.9).alias("confidence"), "made_by").distinct()
+    return inherits.unionByName(imports)
+
+
+def place_edges(defs: DataFrame, inherits: DataFrame) -> DataFrame:
+    """(src, dst, relation, confidence): defined_in, and overrides along inherits edges; both follow from the definitions."""
+    inside = defs.where("node_type <> 'file'").select(F.col("id").alias("src"), "file_path", F.regexp_replace("scope", "\\.?[^.]*$", "").alias("outer"))
+    scopes = defs.where("node_type <> 'file'").select(F.col("id").alias("parent"), "file_path", F.col("scope").alias("outer"))
+    # members of a type that another file defines belong to the first type of that name
+    elsewhere = defs.where("node_type = 'class'").groupBy(F.col("title").alias("outer")).agg(F.min("id").alias("far"))
+    up = inside.join(scopes, ["file_path", "outer"], "left").join(elsewhere, "outer", "left")
+    placed = up.select("src", F.coalesce("parent", "far", F.concat(F.lit("file:"), "file_path")).alias("dst"), F.lit("defined_in").alias("relation"), F.lit(1.0).alias("confidence"))
     method = defs.where("node_type = 'method'").select("id", "title", "file_path", F.regexp_replace("scope", "\\.[^.]*$", "").alias("scope"))
     class_ = defs.where("node_type in ('class', 'trait', 'interface')").select(F.col("id").alias("class"), "file_path", "scope")
     by_name = defs.where("node_type = 'class'").groupBy("scope").agg(F.min("id").alias("far"))
     members = method.join(class_, ["file_path", "scope"], "left").join(by_name, "scope", "left").select("id", "title", F.coalesce("class", "far").alias("class")).where("class is not null")
     sub = members.select(F.col("id").alias("dst"), "title", F.col("class").alias("sub"))
     base = members.select(F.col("id").alias("src"), "title", F.col("class").alias("base"))
-    overrides = inherits.select(F.col("src").alias("sub"), F.col("dst").alias("base")).join(sub, "sub").join(base, ["base", "title"]).select("src", "dst", F.lit("overrides").alias("relation"), F.lit(0.6).alias("confidence"))
-    return placed.unionByName(inherits).unionByName(imports).unionByName(overrides)
+    pairs = inherits.select(F.col("src").alias("sub"), F.col("dst").alias("base")).distinct()
+    overrides = pairs.join(sub, "sub").join(base, ["base", "title"]).select("src", "dst", F.lit("overrides").alias("relation"), F.lit(0.6).alias("confidence"))
+    return placed.unionByName(overrides)
 
 
 def module_nodes(defs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,32 +347,58 @@ def test_edges(defs: DataFrame) -> DataFrame:
     return tests.join(code, "stem").select("src", "dst", F.lit("tests_for").alias("relation"), F.lit(0.8).alias("confidence"))
 
 
-def extract(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of sources(path, content)."""
-    found = facts(sources)
-    defs = definitions(found)
-    modules, belongs = module_nodes(defs)
-    edges = structure_edges(found, defs).unionByName(test_edges(defs)).unionByName(belongs.withColumn("confidence", F.lit(1.0)))
+def folded_calls(found: DataFrame, defs: DataFrame) -> DataFrame:
+    """Call edges of one caller and callee as one, with their number and the caller's file."""
+    files = defs.select(F.col("id").alias("src"), F.col("file_path").alias("made_by"))
     calls = call_edges(found, defs).groupBy("src", "dst", "relation").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).cast("int").alias("call_count"), F.bool_or("in_error_path").alias("in_error_path"))
-    edges = edges.withColumn("call_count", F.lit(1)).withColumn("in_error_path", F.lit(False)).unionByName(calls)
+    return calls.join(files, "src")
+
+
+def _assembled(defs: DataFrame, text: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from definitions, what files say of bases and imports, and calls."""
+    modules, belongs = module_nodes(defs)
+    derived = place_edges(defs, text.where("relation = 'inherits'")).unionByName(test_edges(defs)).unionByName(belongs.withColumn("confidence", F.lit(1.0)))
+    edges = derived.withColumn("made_by", F.lit(None).cast("string")).unionByName(text.select("src", "dst", "relation", "confidence", "made_by"))
+    edges = edges.withColumn("call_count", F.lit(1)).withColumn("in_error_path", F.lit(False)).unionByName(calls.select("src", "dst", "relation", "confidence", "made_by", "call_count", "in_error_path"))
     return defs.drop("scope").unionByName(modules, allowMissingColumns=True), edges
 
 
-def extract_incremental(old_nodes: DataFrame, old_edges: DataFrame, old_files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after a change: rows of changed and deleted files go, changed and new files are parsed anew.
+def extract(sources: DataFrame, store=None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of sources(path, content). Each file is parsed once; with a store of facts, each content once ever.
+
+    made_by is the file whose text makes an edge, null for edges that follow from the definitions alone.
+    """
+    found = store.facts(sources) if store else cut(facts(sources), "facts")
+    defs = cut(definitions(found), "definitions")
+    return _assembled(defs, cut(text_edges(found, defs), "text"), folded_calls(found, defs))
+
+
+def extract_incremental(old_nodes: DataFrame, old_edges: DataFrame, old_files: DataFrame, sources: DataFrame, store=None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a change, from those that extract() gave before: only changed and new files are parsed.
 
-    As in a rebuild by file, edges from unchanged files into changed ones are lost until they are parsed again.
+    Names in them are resolved against all definitions, those of unchanged files being the old nodes. Calls, bases and
+    imports that unchanged files say stay while both ends are there; what follows from definitions alone is worked out anew.
+    So the result is that of extract() on all sources if the names that are defined, and where, stay what they were, but
+    for files that are new or gone; names that come up elsewhere change calls of unchanged files only once these are parsed
+    again. extract() with a store of facts parses as little and has no such limit.
     """
     from graphloom.operators.setops import file_delta
 
-    delta = file_delta(old_files, sources)
-    stale = delta.where("change in ('modified', 'deleted')").select(F.col("path").alias("file_path"))
-    kept = old_nodes.join(stale, "file_path", "left_anti").select(old_nodes.columns)
-    ids = kept.select("id")
-    edges = old_edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(old_edges.columns)
+    delta = cut(file_delta(old_files, sources), "delta")
+    stale = delta.where("change in ('modified', 'deleted')").select("path")
     fresh = sources.join(delta.where("change in ('modified', 'added')").select("path"), "path", "left_semi")
-    nodes, new_edges = extract(fresh)
-    return kept.unionByName(nodes, allowMissingColumns=True).dropDuplicates(["id"]), edges.unionByName(new_edges, allowMissingColumns=True)
+    found = store.facts(fresh) if store else cut(facts(fresh), "facts")
+    folder = (F.col("node_type") == "module") & (F.col("id") == F.concat(F.lit("module:"), "file_path"))
+    kept = old_nodes.where(~folder).join(stale.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
+    scope = F.when(F.col("node_type") == "file", "").otherwise(F.substring(F.col("id"), F.instr("id", ":") + F.length("file_path") + 2, F.length("id")))
+    made = definitions(found)
+    defs = cut(made.unionByName(kept.withColumn("scope", scope).select(made.columns)).dropDuplicates(["id"]), "definitions")
+    ids = defs.select("id")
+    said = old_edges.where("made_by is not null").join(stale.withColumnRenamed("path", "made_by"), "made_by", "left_anti")
+    said = cut(said.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(old_edges.columns), "said")
+    text = text_edges(found, defs).unionByName(said.where("relation <> 'calls'").select("src", "dst", "relation", "confidence", "made_by"))
+    calls = folded_calls(found, defs)
+    return _assembled(defs, cut(text, "text"), calls.unionByName(said.where("relation = 'calls'").select(calls.columns)))
 
 
 def grep_identifiers(sources: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:

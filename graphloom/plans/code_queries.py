@@ -274,7 +274,7 @@ plain("x12_grep", "SELECT 'helper_' || p_partkey AS name, 'src/m' || p_partkey %
     lambda spark, d: X.grep_identifiers(_sources(spark, d), build_graph(spark, d).nodes, ["helper_3", "helper_8", "C5", "nowhere", "Login"])
 )
 plain("x07_module_nodes", "SELECT 'module:src' AS id UNION ALL SELECT 'module:src/m' || k FROM range(5) t(k)")(lambda spark, d: X.extract(_sources(spark, d))[0].where("node_type = 'module'").select("id"))
-plain("x02_incremental", "SELECT change, n FROM (SELECT 'unchanged' AS change, (SELECT count(*) FROM part WHERE p_partkey % 10 > 1) AS n UNION ALL SELECT 'modified', (SELECT count(*) FROM part WHERE p_partkey % 10 = 1) UNION ALL SELECT 'deleted', (SELECT count(*) FROM part WHERE p_partkey > 0 AND p_partkey % 10 = 0)) WHERE n > 0")(
+plain("x02_file_delta", "SELECT change, n FROM (SELECT 'unchanged' AS change, (SELECT count(*) FROM part WHERE p_partkey % 10 > 1) AS n UNION ALL SELECT 'modified', (SELECT count(*) FROM part WHERE p_partkey % 10 = 1) UNION ALL SELECT 'deleted', (SELECT count(*) FROM part WHERE p_partkey > 0 AND p_partkey % 10 = 0)) WHERE n > 0")(
     lambda spark, d: file_delta(_sources(spark, d).select("path", F.sha2("content", 256).alias("content_hash")), _sources(spark, d).where("not path like '%0.py'").select("path", F.when(F.col("path").like("%1.py"), F.lit("new")).otherwise(F.sha2("content", 256)).alias("content_hash"))).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 )
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import code_queries, core_queries, more_queries, report_queries
+from graphloom.plans import code_queries, core_queries, more_queries, report_queries, store_queries
 
-MODULES = (core_queries, more_queries, code_queries, report_queries)
+MODULES = (core_queries, more_queries, code_queries, report_queries, store_queries)
 
 
 def queries() -> dict:
