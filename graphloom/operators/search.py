@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import let
 from graphloom.graph import Graph
 from graphloom.lineage import cut
 from graphloom.operators.traverse import reach
@@ -21,24 +22,73 @@ def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     return words
 
 
-def search(docs: DataFrame, key: str, phrase: str, *columns: str) -> DataFrame:
-    """(key, hits, score) of documents that hold the words of the phrase in a row in one field, by BM25 over the phrase."""
+def _terms(phrase: str) -> list[str]:
+    """The words of a phrase; none if one of them can be no word of a text."""
     terms = [t for t in phrase.lower().replace("-", " ").split() if t]
-    words = F.array_remove(F.split(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])), WORD_BREAK), "")
-    n = len(terms)
+    return terms if all(re.fullmatch("[a-z0-9]+", t) for t in terms) else []
 
-    def hits(body: Column) -> Column:
-        def count(w: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.slice(w, i, n) == F.array(*map(F.lit, terms)))
-            return F.when(F.size(w) < n, 0).otherwise(F.size(starts))
 
-        return let(F.array_remove(F.split(F.lower(F.coalesce(body, F.lit(""))), WORD_BREAK), ""), count)
-
-    per_doc = docs.select(F.col(key).alias("key"), F.size(words).alias("length"), sum((hits(F.col(c)) for c in columns), F.lit(0)).alias("hits"))
-    whole = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"), F.count_if(F.col("hits") > 0).alias("df"))
+def _ranked(found: DataFrame, whole: DataFrame) -> DataFrame:
+    """(key, hits, score) of found(key, length, hits), by BM25 over the phrase; whole: n_docs, mean, df (one row)."""
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return per_doc.where("hits > 0").join(F.broadcast(whole)).select("key", F.col("hits").cast("long").alias("hits"), score.alias("score"))
+    return found.join(F.broadcast(whole)).select("key", F.col("hits").cast("long").alias("hits"), score.alias("score"))
+
+
+def search(docs: DataFrame, key: str, phrase: str, *columns: str) -> DataFrame:
+    """(key, hits, score) of documents that hold the words of the phrase in a row in one field, by BM25 over the phrase.
+
+    One pass over all texts; build_index() and search_index() answer many phrases. A phrase without words meets nothing.
+    """
+    terms = _terms(phrase)
+    bodies = [F.lower(F.coalesce(c, F.lit(""))) for c in columns]
+    # places where the first word begins and the others follow, so that phrases that overlap themselves are all counted
+    pattern = F.lit(f"(?<![a-z0-9]){'[^a-z0-9]+'.join(terms[:1])}(?=" + "".join(f"[^a-z0-9]+{t}" for t in terms[1:]) + "(?![a-z0-9]))") if terms else None
+    hits = [F.regexp_count(b, pattern) if terms else F.lit(0) for b in bodies]
+    per_doc = docs.select(F.col(key).alias("key"), sum((F.regexp_count(b, F.lit("[a-z0-9]+")) for b in bodies), F.lit(0)).alias("length"), sum(hits, F.lit(0)).alias("hits"))
+    whole = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"), F.count_if(F.col("hits") > 0).alias("df"))
+    return _ranked(per_doc.where("hits > 0"), whole)
+
+
+def build_index(docs: DataFrame, key: str, path: str, *columns: str, buckets: int = 256, shares: int = 16) -> None:
+    """Writes a positional inverted index of the text columns to a folder.
+
+    Postings (term, key, field, places, length of the whole document) lie in `buckets` folders by the hash of the term, sorted by
+    term; `shares` of the documents of a term go to different tasks and files, so that a term of every document is no task's alone.
+    """
+    spark, field = docs.sparkSession, [F.struct(F.lit(k).alias("field"), F.col(c).alias("body")) for k, c in enumerate(columns)]
+    length = sum((F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+")) for c in columns), F.lit(0))
+    docs = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), length.alias("length"), *columns)
+    fields = docs.select("key", "row", "length", F.explode(F.array(*field)).alias("x")).select("key", "row", "length", "x.field", F.lower(F.coalesce("x.body", F.lit(""))).alias("body"))
+    words = fields.select("key", "row", "length", "field", F.posexplode(F.array_remove(F.split("body", WORD_BREAK), "")).alias("place", "term"))
+    words = words.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "share": F.pmod(F.xxhash64("row"), F.lit(shares)).cast("int")})
+    dealt = words.repartition("bucket", "share").groupBy("bucket", "share", "term", "key", "row", "field").agg(F.array_sort(F.collect_list("place")).alias("places"), F.first("length").alias("length"))
+    dealt.drop("share").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets"), F.lit(docs.schema["key"].dataType.simpleString()).alias("kind")).write.mode("overwrite").parquet(f"{path}/whole")
+
+
+def search_index(spark: SparkSession, path: str, phrase: str) -> DataFrame:
+    """What search() gives, from an index; only the buckets of the phrase's words are read.
+
+    The rarest word decides where the phrase can be; the places of the others, shifted by their distance to it, are
+    intersected with its places.
+    """
+    terms = _terms(phrase)
+    whole = spark.read.parquet(f"{path}/whole")
+    buckets, kind = whole.select("buckets", "kind").first()
+    postings_ = spark.read.schema(f"term string, key {kind}, row long, field int, places array<int>, length int, bucket int").parquet(f"{path}/postings")
+    where = {r["t"]: r["b"] for r in spark.createDataFrame([(t,) for t in {*terms, "a"}], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int").alias("b")).collect()}
+    held = {t: postings_.where((F.col("bucket") == where[t]) & (F.col("term") == t)).drop("bucket", "term") for t in terms}
+    counts = {t: df.count() for t, df in held.items()}
+    if not terms or not all(counts.values()):
+        return spark.createDataFrame([], f"key {kind}, hits long, score double")
+    rare = min(range(len(terms)), key=lambda k: counts[terms[k]])
+    found = held[terms[rare]]
+    for k in sorted((k for k in range(len(terms)) if k != rare), key=lambda k: counts[terms[k]]):
+        other = held[terms[k]].select("row", "field", F.transform("places", lambda x: x - (k - rare)).alias("also"))
+        found = found.join(other, ["row", "field"]).withColumn("places", F.array_intersect("places", "also")).drop("also").where(F.size("places") > 0)
+    per_doc = found.groupBy("row", "key").agg(F.sum(F.size("places")).alias("hits"), F.first("length").alias("length"))
+    return _ranked(per_doc, whole.join(F.broadcast(per_doc.agg(F.count(F.lit(1)).alias("df")))))
 
 
 def relevant_nodes(g: Graph, words: list[str]) -> DataFrame:
