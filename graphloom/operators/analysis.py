@@ -35,29 +35,69 @@ def related_tests(g: Graph, seeds: list[str]) -> DataFrame:
     return tests.unionByName(inside).unionByName(callers).distinct()
 
 
+# How a chain names its links, forwards and backwards.
+LINKS = {"f": {"calls": "calls", "inherits": "inherits", "imports": "imports", "overrides": "overrides", "tests_for": "tests"}, "b": {"calls": "called_by", "imports": "imported_by", "overrides": "overridden_by"}}
+CHAINS = "symptom string, way string, id string, chain array<string>, links array<string>, weight double, sources int, place struct<k:int,back:boolean,weight:double,length:int,parent:string,ord:long>"
+
+
+def best_first(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """The chains (see CHAINS) by which a best-first search from each start meets nodes, of `depth` nodes at most.
+
+    The search visits nodes by the product of weights along their chains, heaviest first (then short chains, then by id), and a
+    node belongs to the first visited one that has a step to it, even where another step would be heavier. So the chain of a
+    node follows from those of the nodes before it: each round gives every node the chain that the heaviest of its
+    neighbours in the round before yields, and as chains are paths of bounded length, rounds come to rest.
+    """
+    now = cut(start, "chains")
+    while True:
+        ways = now.where(F.size("chain") < depth).select("symptom", "way", F.col("id").alias("at"), "chain", "links", "weight", "sources", F.col("place.k").alias("k"))
+        met = ways.join(steps, ["way", "at"]).where(~F.array_contains("chain", F.col("to")))
+        first = F.struct((-F.col("weight")).alias("heavy"), F.size("chain").alias("length"), "at", "ord", "chain", "links", "weight", "w", "link", "sources", "source", "k")
+        best = met.groupBy("symptom", "way", F.col("to").alias("id")).agg(F.min(first).alias("x"))
+        x = F.col("x")
+        place = F.struct(x["k"].alias("k"), (F.col("way") == "b").alias("back"), x["heavy"].alias("weight"), x["length"].alias("length"), x["at"].alias("parent"), x["ord"].alias("ord"))
+        new = start.unionByName(
+            best.select(
+                "symptom", "way", "id", F.concat(x["chain"], F.array("id")).alias("chain"), F.concat(x["links"], F.array(x["link"])).alias("links"),
+                (x["weight"] * x["w"]).alias("weight"), (x["sources"] + x["source"]).alias("sources"), place.alias("place"),
+            )
+        )
+        new, before = cut(new, "chains"), now
+        now, key = new, ["symptom", "way", "chain"]
+        if new.join(before, key, "left_anti").isEmpty() and before.join(new, key, "left_anti").isEmpty():
+            return now
+
+
 def causal_chains(g: Graph, symptoms: list[str], depth: int = 4, most: int = 10) -> DataFrame:
-    """(symptom, chain, weight): paths by product of edge weights, forwards and backwards, each node by its heaviest way;
-    chains that only begin another are left out; short ones first, then heavy ones."""
-    w = F.coalesce("weight", F.lit(0.7))
-    out = g.edges.where(F.col("relation").isin(list(FORWARD))).select(F.col("src").alias("at"), F.col("dst").alias("to"), w.alias("w"), F.lit("f").alias("way"))
-    back = g.edges.where(F.col("relation").isin(list(BACKWARD))).select(F.col("dst").alias("at"), F.col("src").alias("to"), w.alias("w"), F.lit("b").alias("way"))
-    tests = g.nodes.where(F.col("file_path").rlike(TEST_PATH)).select(F.col("id").alias("to"))
-    steps = cut(out.unionByName(back.join(tests, "to", "left_anti").select("at", "to", "w", "way")), "steps")
-    seeds = g.nodes.sparkSession.createDataFrame([(s, d) for s in symptoms for d in "fb"], "symptom string, way string")
-    seen = cut(seeds.select("symptom", "way", F.col("symptom").alias("id"), F.array("symptom").alias("chain"), F.lit(1.0).alias("weight")), "seen")
-    frontier = seen
-    for k in range(depth - 1):
-        met = frontier.select("symptom", "way", F.col("id").alias("at"), "chain", "weight").join(steps, ["at", "way"])
-        met = met.groupBy("symptom", "way", F.col("to").alias("id")).agg(F.max(F.struct((F.col("weight") * F.col("w")).alias("weight"), F.concat("chain", F.array("to")).alias("chain"))).alias("x"))
-        frontier = cut(met.join(seen.select("symptom", "way", "id"), ["symptom", "way", "id"], "left_anti").select("symptom", "way", "id", F.col("x.chain").alias("chain"), F.col("x.weight").alias("weight")), f"level-{k}")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    chains = seen.where(F.size("chain") > 1)
-    begun = chains.where(F.size("chain") > 2).select(F.slice("chain", 1, F.size("chain") - 1).alias("chain"), "symptom").distinct()
-    ends = chains.join(begun, ["symptom", "chain"], "left_anti").withColumn("length", F.size("chain"))
-    rank = F.row_number().over(Window.partitionBy("symptom").orderBy("length", F.desc("weight"), "chain"))
-    return ends.withColumn("rank", rank).where(F.col("rank") <= most).select("symptom", F.array_join("chain", " > ").alias("chain"), F.round("weight", 6).alias("weight"))
+    """(symptom, chain, links, weight, rank): best-first chains of at most `depth` nodes from each symptom, along calls, bases,
+    imports, overrides and tests, and backwards along calls, imports and overrides, where tests are passed over.
+
+    Chains that only begin another are left out; of the rest the `most` first ones of all symptoms stay: short ones first, then
+    those with more nodes that are no tests, then in the order of the search.
+    """
+    spark = g.nodes.sparkSession
+    path = F.coalesce("file_path", F.lit(""))
+    is_test = F.contains(path, F.lit("/tests/")) | F.contains(path, F.lit("/test_"))
+    there = cut(g.nodes.groupBy("id").agg(F.min_by((~is_test).cast("int"), "ord").alias("source")), "sources")
+    w = F.coalesce(F.col("weight").cast("double"), F.lit(0.7))
+    steps = None
+    for way, at, to in (("f", "src", "dst"), ("b", "dst", "src")):
+        link = F.create_map(*[F.lit(v) for kv in LINKS[way].items() for v in kv])[F.col("relation")]
+        one = g.edges.where(F.col("relation").isin(*LINKS[way])).select(F.lit(way).alias("way"), F.col(at).alias("at"), F.col(to).alias("to"), "ord", w.alias("w"), link.alias("link"))
+        steps = one if steps is None else steps.unionByName(one)
+    steps = steps.groupBy("way", "at", "to").agg(F.min(F.struct("ord", "w", "link")).alias("x")).select("way", "at", "to", "x.ord", "x.w", "x.link")
+    steps = cut(steps.join(there.withColumnRenamed("id", "to"), "to").where("way = 'f' or source = 1"), "steps")
+    named = spark.createDataFrame([(s, k) for k, s in enumerate(dict.fromkeys(symptoms))], "id string, k int")
+    seeds = there.join(named, "id").withColumn("way", F.explode(F.array(F.lit("f"), F.lit("b"))))
+    place = F.struct(F.col("k").alias("k"), (F.col("way") == "b").alias("back"), F.lit(-1.0).alias("weight"), F.lit(0).alias("length"), F.lit("").alias("parent"), F.lit(0).cast("long").alias("ord"))
+    start = seeds.select(F.col("id").alias("symptom"), "way", "id", F.array("id").alias("chain"), F.array().cast("array<string>").alias("links"), F.lit(1.0).alias("weight"), F.col("source").alias("sources"), place.alias("place"))
+    chains = best_first(steps, cut(start, "symptoms"), depth).where(F.size("chain") > 1)
+    # a chain that another begins with is the chain of that one's parent, in the same way or in the other
+    longer = chains.where(F.size("chain") > 2).select("symptom", F.explode(F.transform(F.sequence(F.lit(2), F.size("chain") - 1), lambda n: F.slice("chain", 1, n))).alias("chain")).distinct()
+    order = [F.size("chain"), F.desc("sources"), "place", "id"]
+    ends = chains.join(longer, ["symptom", "chain"], "left_anti").orderBy(*order).limit(most)
+    rank = F.row_number().over(Window.orderBy(*order))  # at most `most` rows
+    return ends.select("symptom", F.array_join("chain", " > ").alias("chain"), F.array_join("links", " > ").alias("links"), F.round("weight", 6).alias("weight"), rank.alias("rank"))
 
 
 def _by_suffix(names: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:

@@ -197,7 +197,24 @@ query(
     ", p AS (SELECT id, CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS k FROM n WHERE id LIKE 'part:%') SELECT dst, relation, count(*) AS n FROM (SELECT CASE WHEN k % 4 = 0 AND k % 7 < 5 THEN 'class:b:Class' || k % 7 WHEN k % 4 = 1 AND k % 7 < 4 THEN 'func:a:fn' || k % 7 WHEN k % 4 = 2 AND k % 7 < 6 THEN 'file:m' || k % 7 WHEN k % 4 = 3 THEN 'class:a:Class2' END AS dst, CASE WHEN k % 4 = 3 THEN 'defined_in' ELSE 'uses' END AS relation FROM p) WHERE dst IS NOT NULL GROUP BY 1, 2",
 )(lambda g: _refs(g).groupBy("dst", "relation").agg(F.count(F.lit(1)).alias("n")))
 query("g09_impact_report", ", r AS (SELECT 'supp:7' AS id UNION SELECT e.src FROM r JOIN e ON e.dst = r.id WHERE e.relation IN ('calls')) SELECT DISTINCT id, 'code' AS part FROM n WHERE id IN (SELECT id FROM r) AND id <> 'supp:7'")(lambda g: Y.impact_report(g, ["supp:7"], "calls"))
-query("g12_causal_chains")(lambda g: Y.causal_chains(g, ["part:7"], depth=3))
+
+
+def _weighted_uses(g):
+    """The graph with orders calling their parts and weights in eighths."""
+    e = g.edges.withColumn("relation", F.when(F.col("relation") == "uses", "calls").otherwise(F.col("relation"))).withColumn("weight", (F.col("ord") % 8 + 1) / F.lit(8.0))
+    return g.with_edges(e)
+
+
+query(
+    "g12_causal_chains",
+    ", x AS (SELECT src, dst, ord, (ord % 8 + 1) / 8.0::DOUBLE AS w FROM e WHERE relation IN ('calls', 'uses')), s(id, k) AS (VALUES ('supp:3', 0), ('supp:5', 1)), "
+    "a AS (SELECT s.id AS symptom, s.k, x.src AS id, arg_min(w, ord) AS w, min(ord) AS ord FROM s JOIN x ON x.dst = s.id WHERE x.src IN (SELECT id FROM n) GROUP BY 1, 2, 3), "
+    "y AS (SELECT src, dst, arg_min(w, ord) AS w, min(ord) AS ord FROM x GROUP BY 1, 2), "
+    "b AS (SELECT symptom, k, y.src AS id, arg_min(a.id, {'w': -a.w, 'id': a.id}) AS up, arg_min(a.w * y.w, {'w': -a.w, 'id': a.id}) AS w, arg_min({'w': -a.w, 'id': a.id, 'ord': y.ord}, {'w': -a.w, 'id': a.id}) AS place FROM a JOIN y ON y.dst = a.id WHERE y.src IN (SELECT id FROM n) GROUP BY 1, 2, 3), "
+    "c AS (SELECT symptom, symptom || ' > ' || id AS chain, 'called_by' AS links, w AS weight, 2 AS length, k, -1.0::DOUBLE AS pw, '' AS pid, ord, id FROM a WHERE (symptom, id) NOT IN (SELECT (symptom, up) FROM b) "
+    "UNION ALL SELECT symptom, symptom || ' > ' || up || ' > ' || id, 'called_by > called_by', w, 3, k, place.w, place.id, place.ord, id FROM b) "
+    "SELECT symptom, chain, links, round(weight, 6) AS weight, (row_number() OVER (ORDER BY length, k, pw, pid, ord, id))::INT AS rank FROM c",
+)(lambda g: Y.causal_chains(_weighted_uses(g), ["supp:3", "supp:5"], depth=3, most=1_000_000))
 _FIRST = ["task:login", "order:5", "class:src/auth/login.rs:Login", "func:src/auth/session.rs:render"]
 query(
     "g30_first_relation",
