@@ -56,25 +56,26 @@ CONTENT, OPEN, CHROME = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 #: Elements that never belong to an article.
-OUTSIDE = frozenset("nav footer aside form menu button select option label fieldset dialog svg canvas object audio video math".split())
+OUTSIDE = frozenset("nav footer aside form menu button select option fieldset dialog svg canvas audio video".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "label object math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle".split()
 )
-#: Words of class names and ids that declare something else than an article, whatever stands beside them in a name.
+#: Words of class names and ids that declare something else than an article, and words that do so in some names ("share-buttons").
+#: A name declares it only if all its words are such or are of BESIDE: "ad-box" does, "ad-hoc" and "cookie-recipe" do not.
 NAMES = frozenset(
     "ad ads adbox adsense adslot adv advert advertisement advertisements adverts breadcrumb breadcrumbs commentlist comments complementary consent contentinfo cookie cookies dfp disqus footer "
     "gdpr masthead modal nav navbar navi navigation newsletter outbrain pager pagination paywall popup promo promos sharebar sidebar sidenav signup sponsor sponsored sponsors subscribe taboola "
     "widget widgets".split()
 )
-#: Words that do so only among such words and those of BESIDE: "share-buttons" declares something, "share-prices" nothing.
 MAYBE = frozenset(
     "advertising alert alerts banner banners comment cta dialog discussion menu menus meta notice notices overlay promoted promotion recommendation recommendations recommended related replies "
     "reply respond search share sharing social subscription tags toc toolbar".split()
 )
 BESIDE = frozenset(
-    "a an and area article articles bar block body bottom box btn button buttons by center col column container content count desktop email entries entry feed field fixed floating for form "
+    "a an area article articles bar block body bottom box btn button buttons by center col column container content count desktop email entries entry feed field fixed floating for form "
     "global group head header heading holder icon icons id in inner input item items js label large latest left link links list local main me media middle mobile module more now number of on "
-    "outer page panel popular post posts primary recent right row secondary section site slot small sticky stories story strip text the title to top unit us wide with wrap wrapper x your zone".split()
+    "outer page panel popular post posts primary recent right row secondary section site slot small sticky stories story strip text the title to top unit wide wrap wrapper x zone".split()
 )
 #: Elements in which a header belongs to what they hold, not to the site.
 HOLDERS = frozenset("article main section".split())
@@ -83,15 +84,15 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BLOCKS_THAT_END_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MARK = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|([!?][^>]*)>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-PART = re.compile(r"[A-Za-z]+|[0-9]+")
+PART = re.compile(r"[^\W\d_]+|[0-9]+")
+YEAR = re.compile("(?:19|20)[0-9][0-9]")
 
 
 def _names_chrome(name: str) -> bool:
-    """Whether a class name or id says that its element is no part of an article."""
+    """Whether a class name or id says that its element is no part of an article. Numbers say nothing, but years do."""
     parts = [p.lower() for p in PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-    if any(p in NAMES for p in parts):
-        return True
-    return any(p in MAYBE for p in parts) and all(p in MAYBE or p in BESIDE or p.isdigit() for p in parts)
+    told = [p in NAMES or p in MAYBE for p in parts]
+    return any(told) and all(t or p in BESIDE or (p.isdigit() and not YEAR.fullmatch(p)) for t, p in zip(told, parts))
 
 
 def _declared(tag: str, attributes: str, held: bool) -> int | None:

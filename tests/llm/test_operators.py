@@ -534,6 +534,28 @@ def test_repeated_runs_of_articles(spark, monkeypatch, sent, parts):
     assert sum(expected[i] != " ".join(t) for i, _, t in rows) > 30
 
 
+#: Class names and ids that only resemble those of adverts, menus and notices.
+RESEMBLING = (
+    "ad-hoc cookie-recipe signup-2019 widget-review promo-codes-explained navigation-history modal-verbs footer-notes-on-kant comments-on-policy popup-books pagination-algorithms search-for-life "
+    "share-of-market sponsors-of-1924 newsletter-history sidebars-in-print adverts-of-the-1950s ad-astra banner-years tagsort consent-in-law cookies-and-milk subscribe-pattern masthead-ships promote "
+    "promotion-rules nav-mesh dialogue breadcrumb-chicken pager-device navy header-files related-rates response-1999 noticeable with-sidebar has-nav"
+).split()
+
+
+def test_pages_names_need_all_their_words(spark):
+    say = lambda name: f"Text under {name.replace('-', ' ')} stays."
+    rows = [(k, f"https://n{k}.example.org/a", f'<article><p>Start here.</p><p {("class", "id")[k % 2]}="{name}">{say(name)}</p></article>') for k, name in enumerate(RESEMBLING)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(RESEMBLING) >= 30 and got == {k: f"Start here. {say(name)}" for k, name in enumerate(RESEMBLING)}
+    for name in [*pages.NAMES, *pages.MAYBE, "ad_300x250", "adSlot", "right-sidebar", "cookieNotice", "newsletter-signup", "share-buttons", "social-share", "related-posts", "site-footer", "main-nav", "nav-menu-2", "comment-list"]:
+        blocks = pages.blocks_of(f'<article><p>Start.</p><div class="{name}">Gone.</div><p>End.</p></article>')
+        assert [t for t, kind, _ in blocks if kind == pages.CONTENT] == ["Start.", "End."], name
+    html = '<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, <label>so</label> <object data="a">it is</object>.</p></article>'
+    assert [b[0] for b in pages.blocks_of(html)] == ["Let x=1, so it is."]
+    wrapped = '<div class="with-sidebar"><article><p>Kept.</p></article><div class="sidebar">Gone.</div></div>'
+    assert [t for t, kind, _ in pages.blocks_of(wrapped) if kind == pages.CONTENT] == ["Kept."]
+
+
 def test_pages_keep_unique_runs(spark):
     boiler = " ".join(f"menu{i}" for i in range(12))
     mixed = [(i, f"http://m.org/{i}", f"<nav>{boiler}</nav><div>own{i} start{i} {boiler} own{i} end</div>") for i in range(3)]
