@@ -73,9 +73,11 @@ MAYBE = frozenset(
     "reply respond search share sharing social subscription tags toc toolbar".split()
 )
 BESIDE = frozenset(
-    "a an area article articles bar block body bottom box btn button buttons by center col column container content count desktop email entries entry feed field fixed floating for form "
-    "global group head header heading holder icon icons id in inner input item items js label large latest left link links list local main me media middle mobile module more now number of on "
-    "outer page panel popular post posts primary recent right row secondary section site slot small sticky stories story strip text the title to top unit wide wrap wrapper x zone".split()
+    "a an active area article articles auto bar bars big block blocks body bottom box boxes btn button buttons by center centre closed col collapsed column container content count dark default "
+    "desktop dynamic email end entries entry expanded feed field first fixed floating for form full global group head header heading hidden holder horizontal icon icons id in inline inner input "
+    "inserted item items js label large last latest lazy leaderboard left light link links list loaded local main me media mid middle mini mobile module more mpu native now number of on open outer "
+    "page panel placeholder popular post posts primary rail recent responsive right row second secondary section site skyscraper slot slots small static sticky stories story strip tall text the "
+    "third tile tiles title to top unit units vertical visible wide wrap wrapper x zone".split()
 )
 #: Elements in which a header belongs to what they hold, not to the site.
 HOLDERS = frozenset("article main section".split())
