@@ -10,7 +10,7 @@ from graphloom.lineage import cut
 from graphloom.operators import integrity as V
 from graphloom.operators import schedule as H
 from graphloom.operators.aggregates import fan_metrics
-from graphloom.operators.traverse import impact_of_many
+from graphloom.operators.traverse import closure, impact_of_many, steps_of
 
 # Layers from low to high, each with its other name; thresholds; types of code nodes; weights of findings.
 LAYERS = (("infrastructure", "data"), ("domain", "business"), ("application", "service"), ("interface", "presentation"))
@@ -59,6 +59,15 @@ def blocked_chains(g: Graph) -> DataFrame:
     return met.join(g.nodes.where("status in ('todo', 'in_progress')").select("id").distinct(), "id").select(F.col("seed").alias("blocked"), F.col("id").alias("waiting"))
 
 
+def blocking(g: Graph) -> DataFrame:
+    """(blocked): the nodes that blocked_chains() names, without whom they hold up: blocked nodes that open ones lead to."""
+    open_ = g.nodes.where("status in ('todo', 'in_progress')").select("id").distinct()
+    blocked = g.nodes.where("status = 'blocked'").select("id").distinct()
+    # one that is open too, in another row of its id, holds itself up only over a way back to it
+    starts = steps_of(g.edges, "out").join(open_.withColumnRenamed("id", "at"), "at", "left_semi").where("at <> to").select(F.col("to").alias("id"))
+    return closure(steps_of(g.edges, "out"), starts).join(blocked, "id", "left_semi").select(F.col("id").alias("blocked"))
+
+
 def entry_point(name: Column, path: Column, signature: Column) -> Column:
     return _any(
         [name.isin(ENTRY_NAMES), *[path.endswith(x) for x in ENTRY_FILES], *[name.startswith(x) for x in ENTRY_PREFIXES], *[name.endswith(x) for x in ENTRY_SUFFIXES], *[signature.contains(x) for x in ENTRY_MARKS]]
@@ -166,8 +175,10 @@ def findings(g: Graph, modules: bool = True) -> DataFrame:
     orphans = V.orphan_nodes(g).select("id").join(types, "id").where(~code_like(F.col("id"), F.col("node_type")))
     described = F.col("description").isNull() if "description" in g.nodes.columns else F.lit(True)
     depths = cut(H.chain_depths(g), "depths")
+    # cycles lie among the nodes that have no depth
+    knots = Graph(*(cut(df, "knots") for df in (lambda k: (k.nodes, k.edges))(g.with_edges(g.edges.where("relation = 'depends_on'")).induced(g.nodes.join(depths.where("depth is null").select("id"), "id", "left_semi")))))
     kinds = [
-        rows(V.cycles(g).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")).where("instr(ids, ',') > 0"), "cycle", "error", F.col("ids")),
+        rows(V.cycles(knots).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids")).where("instr(ids, ',') > 0"), "cycle", "error", F.col("ids")),
         rows(V.missing_refs(g), "missing_reference", "error", F.concat_ws(" ", "src", "relation", "dst")),
         rows(V.duplicate_nodes(g), "duplicate_node", "error", F.col("id")),
         rows(orphans, "orphan", "warning", F.col("id")),
@@ -176,7 +187,7 @@ def findings(g: Graph, modules: bool = True) -> DataFrame:
         rows(g.nodes.where(described & ~code_like(F.col("id"), F.col("node_type"))), "missing_description", "info", F.col("id")),
         rows(depths.where(F.col("depth") >= DEEP_CHAIN), "deep_chain", "info", F.col("id")),
         rows(layer_violations(g), "layer_violation", "warning", F.concat_ws(" ", "src", "dst")),
-        rows(blocked_chains(g).select("blocked").distinct(), "blocked_chain", "warning", F.col("blocked")),
+        rows(blocking(g), "blocked_chain", "warning", F.col("blocked")),
         rows(suggested_order(g, depths), "suggested_order", "info", F.col("ids")),
         rows(dead_code_by_file(g), "dead_code", "info", F.col("file")),
     ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import parent_dir, symbol_tokens
 from graphloom.graph import Graph
+from graphloom.lineage import cut
 from graphloom.operators.aggregates import relation_weight
 
 
@@ -45,11 +46,19 @@ def co_citation(edges: DataFrame, owners: DataFrame | None = None, weight: float
     Both directions get the weight. A file that cites many is a hub: its pairs are made block of cited files by block, so
     that no task makes all pairs of a hub. owners: (id, file) of the ends; without, the ends themselves are the files.
     """
-    between = on_files(edges, owners)
-    cited = between.where(F.col("relation").isin(*CITING) & (F.col("c") >= minimum)).groupBy(F.col("a").alias("citer"), F.col("b").alias("to")).agg(F.max("c").alias("c"))
+    def surest(relations):
+        return F.max(F.when(F.col("relation").isin(*relations), F.col("c")))
+
+    # one row for each two files, read for both questions
+    between = cut(on_files(edges, owners).groupBy("a", "b").agg(surest(CITING).alias("cites"), surest(COUPLING).alias("couples")), "between")
+    cited = between.where(F.col("cites") >= minimum).select(F.col("a").alias("citer"), F.col("b").alias("to"), F.col("cites").alias("c"))
+    # only files that enough others cite can be in a pair, and only what cites two of them makes one
+    often = cited.groupBy("to").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("to")
+    cited = cited.join(often, "to", "left_semi")
+    cited = cut(cited.join(cited.groupBy("citer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("citer"), "citer", "left_semi").select("citer", "to", "c"), "cited")
     a, b = cited.select("citer", F.col("to").alias("a"), F.col("c").alias("ca")), cited.select("citer", F.col("to").alias("b"), F.col("c").alias("cb"))
     pairs = in_blocks(a, b, "citer", "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("citers"), F.avg(F.sqrt(F.col("ca") * F.col("cb"))).alias("trust")).where(F.col("citers") >= least)
-    coupled = between.where(F.col("relation").isin(*COUPLING) & (F.col("c") >= direct)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    coupled = between.where(F.col("couples") >= direct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(coupled, ["a", "b"], "left_anti").select("a", "b", "citers", F.least(F.lit(most), weight * F.col("citers") * F.col("trust")).alias("weight"))
 
 

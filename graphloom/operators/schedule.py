@@ -30,25 +30,48 @@ def newly_ready(g: Graph, completed: str) -> DataFrame:
 
 def topological_ranks(g: Graph) -> DataFrame:
     """(id, rank) by depends_on, dependencies first; rank null where a cycle, a self-loop or a missing end keeps a node back."""
-    edges = cut(depends_on(g).select("src", "dst"), "edges")
-    nodes = cut(g.nodes.select("id").distinct(), "nodes")
-    return _ranked(nodes, edges, edges, "rank")
+    return levels(g.nodes.select("id"), depends_on(g)).withColumnRenamed("level", "rank")
 
 
-def _ranked(nodes: DataFrame, first: DataFrame, later: DataFrame, name: str) -> DataFrame:
-    """(id, name): round by round the nodes none of whose edges (src, dst) leads to one that has no round yet; `first` are the
-    edges that count in the first round, `later` in all others. A round is one write, and only ids are carried on."""
-    found, k = Rounds(nodes.sparkSession, f"id string, {name} int"), 0
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level) of nodes(id): 0 without edges (src, dst), else one more than the highest level that its edges lead to; null
+    where they lead into a cycle, a self-loop or an end that is no node.
+
+    A node with one edge follows from the end of the way that such nodes make: pointers double, so ways of n nodes
+    take log n rounds. Nodes with more edges are then placed round by round among themselves alone.
+    """
+    nodes, edges = cut(nodes.select("id").distinct(), "nodes"), cut(edges.select("src", "dst").distinct(), "edges")
+    out = cut(nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to")), "id", "left").fillna(0, ["n"]), "out")
+    single = out.where("n = 1").select("id").withColumn("single", F.lit(True))
+    # (id, to, far, done): the place `far` edges on; done where that is no node with one edge
+    ways = cut(out.where("n = 1").select("id", "to").join(single.withColumnRenamed("id", "to"), "to", "left").select("id", "to", F.lit(1).alias("far"), F.col("single").isNull().alias("done")), "ways")
+    n_done = ways.where("done").count()
+    while True:
+        on = ways.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        moved = ways.where("not done").join(on, "to").select("id", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"))
+        ways, before = cut(ways.where("done").unionByName(moved), "ways"), n_done
+        n_done = ways.where("done").count()
+        if n_done == before:  # the others go round in circles
+            break
+    # edges of nodes with several, led to where ways end: a node with none, one with several, or nothing (null)
+    ends = out.where("n <> 1").select(F.col("id").alias("end"), (F.col("n") > 0).alias("inner"))
+    jump = ways.select(F.col("id").alias("dst"), F.when(F.col("done"), F.col("to")).alias("to"), "far")
+    several = edges.join(out.where("n > 1").select(F.col("id").alias("src")), "src", "left_semi").join(jump, "dst", "left")
+    several = several.select("src", F.when(F.col("far").isNull(), F.col("dst")).otherwise(F.col("to")).alias("end"), (F.coalesce("far", F.lit(0)) + 1).alias("far")).join(ends, "end", "left")
+    several = cut(several.groupBy("src", "end", "inner").agg(F.max("far").alias("far")), "several")
+    held = several.groupBy("src").agg(F.max(F.when(~F.col("inner"), F.col("far"))).alias("least"), F.bool_or(F.col("inner").isNull()).alias("never"), F.bool_or(F.coalesce("inner", F.lit(False))).alias("waits"))
+    held = cut(held.where("not never").select(F.col("src").alias("id"), F.coalesce("least", F.lit(0)).alias("least"), "waits"), "held")
+    placed = Rounds(nodes.sparkSession, "id string, level int")
+    left = cut(several.where("inner").join(held.where("waits").select(F.col("id").alias("src"), "least"), "src").select("src", "end", "far", "least"), "left")
+    placed.add(held.where("not waits").select("id", F.col("least").alias("level")))
     while True:
-        placed = found.all().select("id")
-        edges = first if k == 0 else later
-        held = edges.join(placed.withColumnRenamed("id", "dst"), "dst", "left_anti") if k else edges
-        free = nodes.join(placed, "id", "left_anti") if k else nodes
-        free = free.join(held.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        if not found.add(free.select("id", F.lit(k).alias(name))):
+        done = placed.all().withColumnRenamed("id", "end")
+        ready = left.join(done, "end", "left").groupBy("src").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.greatest("least", F.col("level") + F.col("far"))).alias("level")).where("open = 0")
+        if not placed.add(ready.select(F.col("src").alias("id"), "level").join(placed.all(), "id", "left_anti").select("id", F.col("level").cast("int").alias("level"))):
             break
-        k += 1
-    return nodes.join(found.all(), "id", "left").select("id", name)
+    known = out.where("n = 0").select("id", F.lit(0).alias("level")).unionByName(placed.all())
+    known = known.unionByName(ways.where("done").select("id", F.col("to").alias("end"), "far").join(known.withColumnRenamed("id", "end"), "end").select("id", (F.col("level") + F.col("far")).alias("level")))
+    return nodes.join(known, "id", "left").select("id", F.col("level").cast("int").alias("level"))
 
 
 def open_tasks(g: Graph) -> DataFrame:
@@ -64,19 +87,20 @@ def execution_layers(g: Graph, strict: bool = False) -> DataFrame:
     tasks = cut(open_tasks(g).select("id").distinct(), "tasks")
     deps = depends_on(g).select("src", "dst").join(tasks.select(F.col("id").alias("src")), "src", "left_semi")
     inside = cut(deps.join(tasks.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "inside")
+    if strict:
+        return levels(tasks, inside).withColumnRenamed("level", "layer")
     unfinished = g.nodes.where("status <> 'done'").select(F.col("id").alias("dst")).distinct()
-    strictly = inside if strict else cut(deps.join(unfinished, "dst", "left_semi").select("src", "dst"), "waiting")
-    return _ranked(tasks, inside, strictly, "layer")
+    # a task without dependencies among the open tasks is in the first layer whatever else it waits for
+    waiting = deps.join(unfinished, "dst", "left_semi").join(inside.select("src"), "src", "left_semi").select("src", "dst")
+    return levels(tasks, waiting).withColumnRenamed("level", "layer")
 
 
 def chain_depths(g: Graph) -> DataFrame:
     """(id, depth): the longest chain of depends_on edges below each node; null for nodes that lead into a cycle."""
-    nodes = cut(g.nodes.select("id").distinct(), "nodes")
+    nodes = g.nodes.select("id").distinct()
     edges = cut(depends_on(g).where("src <> dst").select("src", "dst").distinct(), "edges")
-    ends = edges.select(F.col("dst").alias("id")).join(nodes, "id", "left_anti")
-    every = cut(nodes.unionByName(ends.distinct()), "every")
-    # in the round in which the last of a node's dependencies is placed, the longest chain below it has that many edges
-    return nodes.join(_ranked(every, edges, edges, "depth"), "id", "left").select("id", "depth")
+    every = nodes.unionByName(edges.select(F.col("dst").alias("id"))).distinct()  # ends that are no nodes have depth 0
+    return levels(every, edges).withColumnRenamed("level", "depth").join(nodes, "id", "left_semi")
 
 
 def critical_path(g: Graph) -> DataFrame:

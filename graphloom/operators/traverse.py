@@ -36,6 +36,18 @@ def reach(steps: DataFrame, seeds: DataFrame, most: int | None = None, stop_at:
     return found.all()
 
 
+def closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id) of all that steps(at, to) lead to from any of the starts, these included. Each id is walked from once, however many
+    starts lead to it."""
+    found = Rounds(steps.sparkSession, "id string")
+    steps = cut(steps.select("at", "to").distinct(), "steps")
+    found.add(starts.select("id").distinct())
+    while True:
+        met = steps.join(found.last().select(F.col("id").alias("at")), "at", "left_semi").select(F.col("to").alias("id")).distinct()
+        if not found.add(met.join(found.all(), "id", "left_anti")):
+            return found.all()
+
+
 def walk_back(met: DataFrame, end: str) -> DataFrame:
     """(position, id) from the seed of what reach() found to end; empty if end was not reached. One join for each hop, on the
     driver's side of it nothing but the hop of end."""
