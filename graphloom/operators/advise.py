@@ -140,9 +140,12 @@ def code_like(node_id: Column, node_type: Column, prefixes=("code_", "const_", "
 
 
 def module_suggestions(g: Graph, least_files: int = 4) -> DataFrame:
-    """(what): communities of files that span directories; without such, one row if there are two communities at least."""
+    """(what): communities of files that span directories; without such, one row if there are two communities at least.
+
+    A network of more links than the optimiser takes gives one row that says so, and the rest of the advice stands.
+    """
     from graphloom.functions.text import parent_dir
-    from graphloom.operators.community import communities
+    from graphloom.operators import community
     from graphloom.operators.projection import entity_files
 
     files = g.nodes.where("node_type = 'file'").select("id", F.coalesce(_column(g.nodes, "file_path"), F.col("title")).alias("path"))
@@ -153,7 +156,10 @@ def module_suggestions(g: Graph, least_files: int = 4) -> DataFrame:
     owners = entity_files(g).join(files.select(F.col("id").alias("file")), "file", "left_semi").select("id", "file")
     e = g.edges.where("relation in ('calls', 'imports', 'depends_on', 'inherits', 'implements')").select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     e = e.join(owners.withColumnsRenamed({"id": "src", "file": "a"}), "src").join(owners.withColumnsRenamed({"id": "dst", "file": "b"}), "dst").where("a <> b")
-    found = communities(e.groupBy("a", "b").agg(F.sum("weight").alias("weight")), trials=5)
+    network = cut(e.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "network")
+    if network.limit(community.MOST_EDGES + 1).count() > community.MOST_EDGES:
+        return spark.createDataFrame([(f"not looked at: more than {community.MOST_EDGES} links between files, see label_propagation",)], "what string")
+    found = community.communities(network, trials=5)
     members = found.join(files, found["file"] == files["id"]).select("community", "path", parent_dir(F.col("path")).alias("dir"))
     groups = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dir").alias("n_dirs"), F.array_join(F.slice(F.array_sort(F.collect_list("path")), 1, 8), ", ").alias("files")).where("n > 1")
     counts = groups.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_dirs") > 1).alias("spread")).first()

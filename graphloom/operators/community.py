@@ -188,18 +188,20 @@ def split_large(members: list[list[int]], links: list[tuple[int, int, float]], m
 
 
 def label_propagation(network: DataFrame, rounds: int = 20) -> DataFrame:
-    """(file, community): every node takes the heaviest label around it, ties to the smallest, for a number of rounds."""
+    """(file, community, settled): every node takes the heaviest label around it, ties to the smallest, for a number of rounds.
+
+    Labels of some networks swing for ever; settled tells whether a file's label stayed in the last round.
+    """
     both = network.select("a", "b", "weight").unionByName(network.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    label = both.select(F.col("a").alias("file")).distinct().withColumn("label", F.col("file"))
+    both = cut(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "links")
+    label = both.select(F.col("a").alias("file")).distinct().select("file", F.col("file").alias("label"), F.lit(True).alias("settled"))
     for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("file", "b"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy(F.col("a").alias("file")).agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("x")).select("file", F.col("x.label").alias("label"))
-        new = cut(best, "labels")
-        moved = new.join(label.withColumnRenamed("label", "old"), "file").where("label <> old")
-        label = new
-        if moved.isEmpty():
+        votes = both.join(label.select(F.col("file").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
+        best = votes.groupBy(F.col("a").alias("file")).agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("x"))
+        label = cut(best.join(label.select("file", F.col("label").alias("old")), "file").select("file", F.col("x.label").alias("label"), (F.col("x.label") == F.col("old")).alias("settled")), "labels")
+        if label.where("not settled").isEmpty():
             break
-    return label.select("file", F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int").alias("community"))
+    return label.select("file", F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int").alias("community"), "settled")
 
 
 def auto_config(n_files: int, mean_degree: float) -> dict:

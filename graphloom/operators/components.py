@@ -165,3 +165,40 @@ def _like(df: DataFrame, like: DataFrame) -> DataFrame:
         return F.to_json(name) if types[name].startswith("map") and kind == "string" else F.col(name)
 
     return df.select(*[column(n, k).cast(k).alias(n) for n, k in like.dtypes])
+
+
+def hierarchy(contains: DataFrame) -> DataFrame:
+    """(id, path, depth, children, descendants) of a forest of contains(parent, child, ord): dotted places like 0.1.3, roots
+    numbered from 0 by id, children within their parent by ord and id.
+
+    Each id is led to its root by doubling pointers, which gather the places on the way, so a forest of depth d takes log d
+    rounds. A child of two parents belongs to the first; a ring has no root and its nodes have no place. An id's descendants are
+    counted from the places that begin with its own.
+    """
+    first = contains.where("parent <> child").groupBy(F.col("child").alias("id")).agg(F.min(F.struct("ord", "parent")).alias("x")).select("id", F.col("x.parent").alias("parent"), F.col("x.ord").alias("ord"))
+    first = cut(first, "parents")
+    number = F.row_number().over(Window.partitionBy("parent").orderBy("ord", "id")) - 1
+    roots = contains.select(F.col("parent").alias("id")).distinct().join(first.select("id"), "id", "left_anti")
+    # the places of roots: sorted ranges, each row numbered within, and the sizes of the ranges before
+    ranges = cut(roots.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "roots")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    bases = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    root = ranges.join(F.broadcast(bases), "part").select("id", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).cast("int").alias("place"))
+    root = cut(root, "places")
+    # (id, up, places): the places from below `up` down to id
+    ways = cut(first.select("id", F.col("parent").alias("up"), F.array(number).alias("places")), "ways")
+    is_root = root.select(F.col("id").alias("up"), F.lit(True).alias("done"))
+    while True:
+        marked = ways.join(is_root, "up", "left")
+        on = ways.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("places").alias("more"))
+        moved = marked.where("done is null").join(on, "up").select("id", F.col("up2").alias("up"), F.concat("more", "places").alias("places"))
+        moved = cut(moved.join(is_root, "up", "left").select("id", "up", "places", "done"), "moved")
+        ready = moved.where("done").count()
+        ways = cut(marked.where("done").select("id", "up", "places").unionByName(moved.select("id", "up", "places")), "ways")
+        if not ready:  # what is left goes round in rings
+            break
+    whole = ways.join(root.select(F.col("id").alias("up"), "place"), "up").select("id", F.concat(F.array("place"), "places").alias("places")).unionByName(root.select("id", F.array("place").alias("places")))
+    whole = cut(whole, "whole")
+    above = whole.where(F.size("places") > 1).select(F.size("places").alias("own"), F.explode(F.transform(F.sequence(F.lit(1), F.size("places") - 1), lambda n: F.slice("places", 1, n))).alias("places"))
+    counts = above.groupBy("places").agg(F.count(F.lit(1)).alias("descendants"), F.count_if(F.col("own") == F.size("places") + 1).alias("children"))
+    return whole.join(counts, "places", "left").select("id", F.array_join("places", ".").alias("path"), F.size("places").alias("depth"), F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("descendants", F.lit(0)).alias("descendants"))

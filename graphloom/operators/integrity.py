@@ -41,6 +41,27 @@ def self_edges(g: Graph) -> DataFrame:
     return g.edges.where("src = dst")
 
 
+def back_edges(g: Graph, relations=("depends_on",)) -> DataFrame:
+    """(component, src, dst, relation): edges without which there are no cycles, self-loops included; each is on a cycle.
+
+    Of each strongly connected component the nodes are ordered by their distance from the smallest id within it, then by id;
+    the edges inside that do not lead forward in this order are listed.
+    """
+    from graphloom.operators.traverse import reach
+
+    e = cut(g.edges.where(F.col("relation").isin(*relations)).select("src", "dst", "relation", "ord"), "edges")
+    members = cut(cycles(g, relations).select("component", "id"), "members")
+    first = members.groupBy("component").agg(F.min("id").alias("seed"))
+    at = members.join(first, "component").select("component", "seed", "id")
+    inside = e.where("src <> dst").join(at.select("component", F.col("seed").alias("from"), F.col("id").alias("src")), "src").join(at.select(F.col("seed").alias("from"), F.col("id").alias("dst")), ["from", "dst"])
+    inside = cut(inside.select("component", "from", "src", "dst", "relation", "ord"), "inside")
+    hops = reach(inside.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("relation").alias("via"), "ord"), first.select("seed")).select(F.col("seed").alias("from"), "id", "hop")
+    hops = cut(hops, "hops")
+    placed = inside.join(hops.withColumnsRenamed({"id": "src", "hop": "a"}), ["from", "src"]).join(hops.withColumnsRenamed({"id": "dst", "hop": "b"}), ["from", "dst"])
+    back = placed.where((F.col("b") < F.col("a")) | ((F.col("b") == F.col("a")) & (F.col("dst") <= F.col("src")))).select(F.col("from").alias("component"), "src", "dst", "relation")
+    return back.unionByName(e.where("src = dst").select(F.col("src").alias("component"), "src", "dst", "relation")).distinct()
+
+
 def cycles(g: Graph, relations=("depends_on",)) -> DataFrame:
     """(component, id) of strongly connected components of two nodes or more; self-loops alone are none.
 

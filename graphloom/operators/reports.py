@@ -123,11 +123,12 @@ def key_traceback(text: Column, most: int = 600) -> Column:
 
 
 def tool_history(g: Graph, node: str) -> DataFrame:
-    """(hop, ord, tool_name): tool records of a node and of all that lead to it, the farthest first."""
-    from graphloom.operators.traverse import reach, seed_frame, steps_of
+    """(hop, ord, tool_name, times): tool records of a node and of all that lead to it, the farthest first. times is how often a
+    record comes up when every way is told, as one that leads there on two ways is told twice; null behind a cycle."""
+    from graphloom.operators.traverse import path_counts, reach, seed_frame, steps_of
 
-    met = reach(steps_of(g.edges, "in"), seed_frame(g, node)).select("id", "hop")
-    return g.nodes.join(met, "id").select("hop", "ord", F.explode("knowledge.tool_history").alias("t")).select("hop", "ord", "t.tool_name").orderBy(F.desc("hop"), "ord")
+    met = reach(steps_of(g.edges, "in"), seed_frame(g, node)).select("id", "hop").join(path_counts(g, node), "id")
+    return g.nodes.join(met, "id").select("hop", "ord", "times", F.explode("knowledge.tool_history").alias("t")).select("hop", "ord", "t.tool_name", "times").orderBy(F.desc("hop"), "ord")
 
 
 def should_sync(path: Column, ignore: list[str]) -> Column:

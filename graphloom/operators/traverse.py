@@ -169,3 +169,34 @@ def inheritance_chain(g: Graph, node: str, most: int = 10) -> DataFrame:
         if not rows.add(first.join(F.broadcast(last), "at").select(F.lit(k + 1).alias("position"), "id")):  # one row
             break
     return rows.all().where("position > 0")
+
+
+def dependents(g: Graph, node: str, relations=None) -> DataFrame:
+    """(id, times): existing nodes that lead to node over existing ones, and how often: once for each edge of theirs into what
+    was walked, node itself included, so one of a cycle is its own dependent. Ends that are no nodes are not walked on from."""
+    e = g.edges.where(related(relations)).join(g.nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+    e = cut(e, "edges")
+    walked = closure(e.select(F.col("dst").alias("at"), F.col("src").alias("to")), seed_frame(g, node).select(F.col("seed").alias("id")))
+    return e.join(walked.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def path_counts(g: Graph, node: str) -> DataFrame:
+    """(id, times): of every node that leads to node, the number of ways there, parallel edges counted each; node itself once.
+
+    Nodes on a cycle, and those that lead to node only over one or also over one, have no finite number: times is null. The
+    ways are summed level by level from node on, not walked one by one.
+    """
+    from graphloom.operators.schedule import levels
+
+    e = g.edges.where(F.col("src") != node).select("src", "dst")
+    ids = cut(closure(e.select(F.col("dst").alias("at"), F.col("src").alias("to")), seed_frame(g, node).select(F.col("seed").alias("id"))), "upstream")
+    inside = cut(e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "inside")
+    level = cut(levels(ids, inside), "levels")
+    placed = cut(inside.join(level.where("level is not null").withColumnRenamed("id", "src"), "src"), "placed")
+    found, k = Rounds(g.nodes.sparkSession, "id string, times decimal(38,0)"), 1
+    found.add(seed_frame(g, node).select(F.col("seed").alias("id"), F.lit(1).cast("decimal(38,0)").alias("times")))
+    while found.add(
+        placed.where(F.col("level") == k).join(found.all().withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("times") * F.col("n")).cast("decimal(38,0)").alias("times"))
+    ):
+        k += 1
+    return ids.join(found.all(), "id", "left").select("id", "times")
