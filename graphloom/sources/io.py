@@ -73,8 +73,19 @@ def save_parquet(g: Graph, path: str) -> None:
     g.edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+# The tables of a SQLite graph. Tags, metadata and knowledge have tables of their own; edges carry, beside the
+# columns that others read, those that only this library has.
+SQLITE_NODE = (
+    "id TEXT NOT NULL, title TEXT, status TEXT, description TEXT, node_type TEXT, file_path TEXT, lang TEXT, start_line INTEGER, end_line INTEGER, signature TEXT, visibility TEXT, doc_comment TEXT, "
+    "body_hash TEXT, node_kind TEXT, owner TEXT, source TEXT, repo TEXT, priority INTEGER, assigned_to TEXT, parent_id TEXT, depth INTEGER, complexity REAL, is_public INTEGER, body TEXT, created_at TEXT, "
+    "updated_at TEXT, doc_path TEXT"
+)
+SQLITE_EDGE = "from_node TEXT NOT NULL, to_node TEXT NOT NULL, relation TEXT NOT NULL, weight REAL, confidence REAL, metadata TEXT, edge_source TEXT, call_count INTEGER, in_error_path INTEGER"
+KNOWLEDGE = ("findings", "file_cache", "tool_history")
+
+
 def load_sqlite(spark: SparkSession, path: str) -> Graph:
-    """A graph from a SQLite file with tables nodes, edges and, where present, node_tags and node_metadata."""
+    """A graph from a SQLite file with tables nodes, edges and, where present, node_tags, node_metadata, knowledge and config."""
     con = sqlite3.connect(path)
     con.row_factory = sqlite3.Row
     tables = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
@@ -87,27 +98,63 @@ def load_sqlite(spark: SparkSession, path: str) -> Graph:
     if "node_metadata" in tables:
         for r in con.execute("SELECT node_id, key, value FROM node_metadata ORDER BY rowid"):
             by_id[r[0]].setdefault("metadata", {})[r[1]] = r[2]
+    if "knowledge" in tables:
+        for r in con.execute("SELECT * FROM knowledge"):
+            by_id[r["node_id"]]["knowledge"] = {k: json.loads(r[k]) for k in KNOWLEDGE if r[k]}
+    project = dict(con.execute("SELECT key, value FROM config")).get("project") if "config" in tables else None
     con.close()
+    for n in nodes:
+        if "is_public" in n:
+            n["is_public"] = bool(n["is_public"])
     for e in edges:
         for a, b in (("from_node", "from"), ("to_node", "to")):
             if a in e:
                 e[b] = e.pop(a)
         if isinstance(e.get("metadata"), str):
             e["metadata"] = json.loads(e["metadata"])
-    return _from_rows(spark, nodes, edges)
+        if "in_error_path" in e:
+            e["in_error_path"] = bool(e["in_error_path"])
+    return _from_rows(spark, nodes, edges, project)
 
 
 def save_sqlite(g: Graph, path: str) -> None:
-    """Replaces the tables of a SQLite file in one transaction; rows come partition by partition."""
-    con = sqlite3.connect(path)
-    with con:
-        con.execute("DROP TABLE IF EXISTS nodes")
-        con.execute("DROP TABLE IF EXISTS edges")
-        con.execute("CREATE TABLE nodes (id TEXT, title TEXT, status TEXT, node_type TEXT, node_kind TEXT, source TEXT, file_path TEXT)")
-        con.execute('CREATE TABLE edges ("from" TEXT, "to" TEXT, relation TEXT, weight REAL DEFAULT 1.0, confidence REAL)')
-        con.executemany("INSERT INTO nodes VALUES (?,?,?,?,?,?,?)", (tuple(r) for r in g.nodes.orderBy("ord").select("id", "title", "status", "node_type", "node_kind", "source", "file_path").toLocalIterator()))
-        con.executemany("INSERT INTO edges VALUES (?,?,?,?,?)", (tuple(r) for r in g.edges.orderBy("ord").select("src", "dst", "relation", "weight", "confidence").toLocalIterator()))
-    con.close()
+    """A graph as a SQLite file with all that nodes and edges have; it takes its name once it is whole. Rows come partition by
+    partition, in order, so the driver holds one partition at a time."""
+
+    def rows(df: DataFrame, ddl: str, *names: str):
+        """The columns of a frame, those that it lacks as nulls."""
+        whole = fill(df, ddl)
+        return (tuple(r) for r in whole.orderBy("ord").select(*names).toLocalIterator())
+
+    def insert(table: str, n: int, values) -> None:
+        con.executemany(f"INSERT INTO {table} VALUES ({','.join('?' * n)})", values)
+
+    aside = f"{path}.{uuid.uuid4().hex}"
+    con = sqlite3.connect(aside)
+    try:
+        with con:
+            con.execute(f"CREATE TABLE nodes ({SQLITE_NODE})")
+            con.execute(f"CREATE TABLE edges ({SQLITE_EDGE})")
+            con.execute("CREATE TABLE node_tags (node_id TEXT NOT NULL, tag TEXT NOT NULL)")
+            con.execute("CREATE TABLE node_metadata (node_id TEXT NOT NULL, key TEXT NOT NULL, value TEXT)")
+            con.execute("CREATE TABLE knowledge (node_id TEXT NOT NULL, findings TEXT, file_cache TEXT, tool_history TEXT)")
+            con.execute("CREATE TABLE config (key TEXT PRIMARY KEY NOT NULL, value TEXT NOT NULL)")
+            plain = [c.split()[0] for c in SQLITE_NODE.split(", ")]
+            insert("nodes", len(plain), rows(g.nodes, NODE, *plain))
+            insert("node_tags", 2, ((i, t) for i, tags in rows(g.nodes, NODE, "id", "tags") for t in tags))
+            insert("node_metadata", 3, ((i, k, v) for i, m in rows(g.nodes, NODE, "id", "metadata") for k, v in (m or {}).items()))
+            known = ((i, k.asDict(True)) for i, k in rows(g.nodes, NODE, "id", "knowledge") if k is not None)
+            insert("knowledge", 4, ((i, *(None if k[c] is None else json.dumps(k[c]) for c in KNOWLEDGE)) for i, k in known))
+            ends = ["src", "dst", *(c.split()[0] for c in SQLITE_EDGE.split(", ")[2:])]
+            insert("edges", len(ends), rows(g.edges, EDGE, *ends))
+            if g.project:
+                con.execute("INSERT INTO config VALUES ('project', ?)", (g.project,))
+        con.close()
+        os.replace(aside, path)
+    finally:
+        con.close()
+        if os.path.exists(aside):
+            os.remove(aside)
 
 
 def detect_backend(folder: str) -> str:
