@@ -202,3 +202,66 @@ def hierarchy(contains: DataFrame) -> DataFrame:
     above = whole.where(F.size("places") > 1).select(F.size("places").alias("own"), F.explode(F.transform(F.sequence(F.lit(1), F.size("places") - 1), lambda n: F.slice("places", 1, n))).alias("places"))
     counts = above.groupBy("places").agg(F.count(F.lit(1)).alias("descendants"), F.count_if(F.col("own") == F.size("places") + 1).alias("children"))
     return whole.join(counts, "places", "left").select("id", F.array_join("places", ".").alias("path"), F.size("places").alias("depth"), F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
+
+
+# Kinds of code nodes that a label's context names, and how much of a file's comment it quotes.
+CLASS_KINDS = ("struct", "enum", "trait", "class", "interface", "type", "typedef", "impl", "impl_block")
+FUNCTION_KINDS = ("function", "method", "fn", "async_fn")
+CLASS_TYPES = ("class", "struct", "enum", "trait")
+FUNCTION_TYPES = ("function", "method")
+BRIEF = 200
+
+
+def label_contexts(g: Graph, inferred: Graph, functions: int = 20, briefs: int = 10, names: int = 1000) -> DataFrame:
+    """(id, title, n_files, n_classes, files, classes, functions, briefs, children) of each node of inferred, whose contains edges
+    say its members in g: what a name for it can be drawn from.
+
+    Of signatures (titles without one) and comments of files the first few count, by the order of the contains edges and, in a
+    file, of the edges of what it holds; of paths and class names the first `names` by name, and how many there are. A component
+    without files names the components that it contains. Ranks are cut before rows come together, so a component of any size
+    is a few lists.
+    """
+    first = g.nodes.groupBy("id").agg(F.min_by(F.struct("title", "node_type", F.lower("node_kind").alias("kind"), "file_path", _text(g.nodes, "signature").alias("signature"), _text(g.nodes, "doc_comment").alias("doc")), "ord").alias("x")).select("id", "x.*")
+    first = cut(first, "nodes")
+    held = inferred.edges.where("relation = 'contains'").join(inferred.nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("component"), F.col("dst").alias("id"), "ord")
+    members = cut(held.join(first, "id"), "members")
+    path = F.coalesce("file_path", F.when(F.col("id").startswith("file:"), F.substring("id", 6, 1 << 30)))
+    inside = g.edges.where("relation = 'defined_in'").select(F.col("dst").alias("file"), F.col("src").alias("id"), F.col("ord").alias("at"))
+    below = g.edges.where("relation = 'contains'").join(first.where("node_type = 'file'").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("file"), F.col("dst").alias("id"), F.col("ord").alias("at"))
+    is_file = F.coalesce(F.col("node_type") == "file", F.lit(False))
+    children = members.where(is_file).select("component", "ord", F.col("id").alias("file")).join(inside.unionByName(below), "file").join(first, "id")
+    code = members.where(~is_file).withColumn("at", F.lit(0).cast("long")).unionByName(children, allowMissingColumns=True).select("component", "ord", "at", "title", "kind", F.coalesce("signature", "title").alias("signature"), "node_type", F.col("signature").isNotNull().alias("signed"))
+    known = F.coalesce(F.col("kind").isin(*CLASS_KINDS, *FUNCTION_KINDS), F.lit(False))
+    role = F.when(F.col("kind").isin(*CLASS_KINDS) | (~known & F.col("node_type").isin(*CLASS_TYPES)), "class").when(F.col("kind").isin(*FUNCTION_KINDS) | (~known & F.col("node_type").isin(*FUNCTION_TYPES)), "function").when(~known & F.col("signed"), "function")
+    code = cut(code.withColumn("role", role), "code")
+
+    def ranked(df: DataFrame, what: str, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("component").orderBy("key", "value"))
+        return df.withColumn("rank", rank).where(F.col("rank") <= most).select("component", F.lit(what).alias("what"), "value")
+
+    files = members.withColumn("value", path).where("value is not null").select("component", "value", F.lit(0).alias("key"))
+    classes = code.where("role = 'class'").select("component", F.col("title").alias("value"), F.lit(0).alias("key")).distinct()
+    found = code.where("role = 'function'").groupBy("component", F.col("signature").alias("value")).agg(F.min(F.struct("ord", "at")).alias("key"))
+    brief = F.trim("doc")
+    said = members.where(is_file & (brief != "")).select("component", F.concat(F.coalesce(path, "id"), F.lit(": "), brief_of(F.col("doc"))).alias("value"), F.col("ord").alias("key"))
+    titles = inferred.nodes.groupBy("id").agg(F.min_by("title", "ord").alias("title"))
+    lists = ranked(files, "files", names).unionByName(ranked(classes, "classes", names)).unionByName(ranked(found, "functions", functions)).unionByName(ranked(said, "briefs", briefs))
+    parts = held.where(F.col("id").startswith("infer:component:")).join(titles, "id").select("component", F.col("title").alias("value"), F.lit(0).alias("key"))
+    lists = lists.unionByName(ranked(parts.join(files.select("component"), "component", "left_anti"), "children", names))
+    kinds = ("files", "classes", "functions", "briefs", "children")
+    told = lists.groupBy("component").agg(*[F.sort_array(F.collect_list(F.when(F.col("what") == k, F.col("value")))).alias(k) for k in kinds])
+    counts = files.groupBy("component").agg(F.count(F.lit(1)).alias("n_files")).join(classes.groupBy("component").agg(F.count(F.lit(1)).alias("n_classes")), "component", "full")
+    none = F.array().cast("array<string>")
+    out = titles.withColumnRenamed("id", "component").join(counts, "component", "left").join(told, "component", "left")
+    return out.select(F.col("component").alias("id"), "title", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_files", "n_classes")], *[F.coalesce(k, none).alias(k) for k in kinds])
+
+
+def _text(nodes: DataFrame, name: str):
+    return F.col(name) if name in nodes.columns else F.lit(None).cast("string")
+
+
+def brief_of(doc):
+    """A comment of at most BRIEF characters; a longer one up to its last white space among these and one more, and an ellipsis."""
+    head = F.substring(doc, 1, BRIEF + 1)
+    cut_ = F.when(head.rlike("[ \\n\\t]"), F.regexp_replace(head, "(?s)[ \\n\\t][^ \\n\\t]*$", "")).otherwise(F.substring(doc, 1, BRIEF))
+    return F.when(F.length(doc) > BRIEF, F.concat(F.rtrim(cut_), F.lit("\u2026"))).otherwise(doc)

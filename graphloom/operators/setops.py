@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import EDGE, NODE, Graph, fill, layer_of, metadata_of
+from graphloom.lineage import cut
 from graphloom.operators.scans import first_by_order
 
 
@@ -170,3 +171,41 @@ def graph_to_code(g: Graph) -> tuple[DataFrame, DataFrame]:
     nodes = g.nodes.where("source = 'extract'").select("id", F.col("title").alias("name"), kind.alias("kind"), F.coalesce("file_path", F.lit("")).alias("file_path"), is_test.alias("is_test"), "ord")
     edges = g.edges.where((F.col("edge_source") == "extract") & F.col("relation").isin(*CODE_RELATIONS))
     return nodes, edges.select("src", "dst", "relation", F.coalesce("weight", F.lit(0.5)).alias("weight"), F.coalesce("call_count", F.lit(1)).alias("call_count"), F.coalesce("in_error_path", F.lit(False)).alias("in_error_path"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "ord")
+
+
+#: Characters by which texts and names are brought together.
+GRAM = 4
+
+
+def mentioned(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, name) of texts(key, text) that contain a name of names(name) anywhere, upper and lower case told apart.
+
+    Each name waits at one of its grams of GRAM characters, the one that fewest names have; a text meets the names that wait at
+    its grams, and the text itself decides. Shorter names wait at grams of their own length. Empty names are contained in nothing.
+    """
+
+    def grams(c, n: int):
+        return F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n))
+
+    names = cut(names.select("name").where("name <> ''").distinct(), "names")
+    found = None
+    for n in range(1, GRAM + 1):
+        size = F.length("name")
+        own = names.where(size >= n if n == GRAM else size == n)
+        each = own.select("name", F.explode(F.array_distinct(grams(F.col("name"), n))).alias("gram"))
+        common = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        waiting = each.join(common, "gram").groupBy("name").agg(F.min(F.struct("n", "gram")).alias("x")).select("name", "x.gram")
+        has = texts.where(F.length("text") >= n).select("key", F.explode(F.array_distinct(grams(F.col("text"), n))).alias("gram"))
+        met = has.join(waiting, "gram").select("key", "name").distinct()
+        found = met if found is None else found.unionByName(met)
+    own = texts.select(F.col("key").alias("own"), "text")
+    return found.join(own, F.col("key").eqNullSafe(F.col("own"))).where(F.contains("text", F.col("name"))).select("key", "name").distinct()
+
+
+def link_tasks_to_code(tasks: Graph, files: DataFrame) -> DataFrame:
+    """(src, dst, relation) of the edges that tasks lack to files(file_path) whose name their title or description mentions."""
+    text = F.concat("title", F.lit(" "), F.coalesce("description", F.lit("")) if "description" in tasks.nodes.columns else F.lit(""))
+    named = files.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("name")).distinct()
+    met = mentioned(tasks.nodes.select(F.col("id").alias("key"), text.alias("text")), named).join(named, "name")
+    dst = F.regexp_replace(F.concat(F.lit("code:"), "file_path"), "[/:]", "_")
+    return met.select(F.col("key").alias("src"), dst.alias("dst"), F.lit("relates_to").alias("relation")).distinct().join(tasks.edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "relation")
