@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.lineage import shared_folder
+from graphloom.lineage import forget, shared_folder
 from graphloom.operators import advise as A
 from graphloom.operators import analysis as Y
 from graphloom.operators import community as I
@@ -298,6 +299,7 @@ plain("x02_file_delta", "SELECT change, n FROM (SELECT 'unchanged' AS change, (S
 
 def _streamed(spark, sf_dir, make, mode):
     folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex[:8]}"
+    atexit.register(forget, spark, folder)
     return E.run_to_table(make(E.table_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/state", mode)
 
 

@@ -28,7 +28,7 @@ EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py")
 
 def _from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict], project=None) -> Graph:
     def frame(rows: list[dict], names: dict[str, str], schema: str) -> DataFrame:
-        lines = [json.dumps({names.get(k, k): (json.dumps(v) if k == "metadata" and schema is EDGE else v) for k, v in r.items()} | {"ord": i}) for i, r in enumerate(rows)]
+        lines = [json.dumps({names.get(k, k): (json.dumps(v) if k == "metadata" and schema is EDGE and not isinstance(v, str) else v) for k, v in r.items()} | {"ord": i}) for i, r in enumerate(rows)]
         raw = spark.createDataFrame([(x,) for x in lines], "line string")
         return fill(raw.select(F.from_json("line", schema).alias("x")).select("x.*"), schema)
 

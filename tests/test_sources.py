@@ -30,3 +30,30 @@ def test_sqlite_keeps_every_column(spark, tmp_path):
     assert [r.asDict(True) for r in back.nodes.orderBy("ord").collect()] == [r.asDict(True) for r in g.nodes.orderBy("ord").collect()]
     assert [r.asDict(True) for r in back.edges.orderBy("ord").collect()] == [r.asDict(True) for r in g.edges.orderBy("ord").collect()]
     assert sqlite3.connect(path).execute("SELECT count(*) FROM node_tags").fetchone() == (2,) and len(list(tmp_path.iterdir())) == 1
+
+
+def test_a_folder_of_yaml_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphloom.sources.yaml_source import load_yaml_folder, read_yaml
+
+    g = graph(spark)
+    io.save_yaml(g, f"{tmp_path}/one/graph.yml")
+    (tmp_path / "many" / "sub").mkdir(parents=True)
+    for k in range(300):
+        name = f"{tmp_path}/many/{'sub/' if k % 2 else ''}g{k:03}.{'yml' if k % 3 else 'yaml'}"
+        with open(name, "w") as f:
+            f.write(f"project: {{name: p{k}}}\nnodes:\n- {{id: n{k}, title: {k}, type: task, tags: [a, b], metadata: {{x: 1, y: s}}}}\n- {{id: same}}\nedges:\n- {{from: n{k}, to: same}}\n- {{from: n{k}, to: same, metadata: {{source: extract}}}}\n")
+    (tmp_path / "many" / "empty.yml").write_text("")
+    (tmp_path / "many" / "other.txt").write_text("nodes: [{id: no}]")
+    one, alone = load_yaml_folder(spark, f"{tmp_path}/one"), io.load_yaml(spark, f"{tmp_path}/one/graph.yml")
+    for a, b in ((one.nodes, alone.nodes), (one.edges, alone.edges)):
+        assert a.columns == b.columns and [r.asDict(True) for r in a.orderBy("ord").collect()] == [r.asDict(True) for r in b.orderBy("ord").collect()]
+    nodes = read_yaml(spark, f"file://{tmp_path}/many", "nodes")
+    assert nodes.rdd.getNumPartitions() == 301 and nodes.count() == 600
+    row = nodes.where("id = 'n7'").first()
+    assert (row.title, row.node_type, row.tags, row.metadata, row.project, row.status) == ("7", "task", ["a", "b"], {"x": "1", "y": "s"}, "p7", "todo")
+    only = nodes.where(F.col("file") == row.file)
+    assert only.rdd.getNumPartitions() == 1 and only.count() == 2
+    whole = load_yaml_folder(spark, f"{tmp_path}/many")
+    assert whole.edges.count() == 300 and whole.edges.where("edge_source is null").count() == 300
