@@ -16,7 +16,8 @@ hold a candidate group's sets are compared in a task of their own.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component; repeated rows
 link like copies; a null doc_id takes part and cannot be a component's name unless its whole component has none; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; very long texts are sets of all their shingles; a similarity
+of exactly 0.8 links, in whole numbers.
 """
 
 from __future__ import annotations

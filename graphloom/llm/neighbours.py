@@ -14,7 +14,7 @@ vectors is cut into tiles, and every two tiles are a unit of work of their own,
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
 their own component; vectors of another length than the usual one are compared among themselves; repeated rows link
 like copies; a null vec_id is kept, and names a component only if the component has no other; an empty table gives an
-empty result; extra columns are ignored. Vectors have 64-bit names: among 2 ** 32 of them two unequal ones share a name
+empty result; extra columns are ignored; a cosine of exactly 0.95, as doubles give it, links. Vectors have 64-bit names: among 2 ** 32 of them two unequal ones share a name
 with even odds.
 """
 

@@ -6,7 +6,8 @@ at most 3 ** len(RULES) rows whatever the input.
 
 Defined results: a null or empty text has no words, all counts 0 and fails the base; a doc_id may be null or repeat,
 each row is judged by itself; an empty table gives an empty result; extra columns are kept by filter_documents()
-and ignored by score(); very long texts are judged whole (work grows as words times their logarithm).
+and ignored by score(); very long texts are judged whole (work grows as words times their logarithm); a posterior of exactly
+KEEP_AT keeps, ten words and a fifth of repeated words pass the base.
 """
 
 from __future__ import annotations

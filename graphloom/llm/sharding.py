@@ -5,7 +5,7 @@ the few totals is each range's base, and a running sum inside a range gives ever
 The row belongs to the shard in whose equal share of all bytes the middle of the row lies. Only DataFrame
 functions run, and only three numbers a row are shuffled, never the text.
 
-Defined results: a null text has size 1 and the checksum of the empty text; rows of equal doc_id and text are
+Defined results: a null text has size 1 and the checksum of the empty text, as an empty one has; very long texts count whole; rows of equal doc_id and text are
 interchangeable and each gets its own slot; a null doc_id sorts first; an empty table gives an empty result;
 extra columns of the input are ignored; one row larger than a share makes that shard longer, never lost.
 """

@@ -11,7 +11,8 @@ those, the earliest start of every string through the anchor stays and the other
 
 Defined results: a null or empty text has 0 bytes and the hash of the empty string; documents are ordered by doc_id
 (null first), then by a checksum of the text where a doc_id has several texts; rows equal in both are one document and
-get the same answer; an empty table gives an empty result; extra columns are ignored; matches never cross documents.
+get the same answer; an empty table gives an empty result; extra columns are ignored; matches never cross documents; very
+long texts are read whole, and a repeat within one counts.
 """
 
 from __future__ import annotations
