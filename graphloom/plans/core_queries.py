@@ -184,7 +184,10 @@ def _marked_tests(g):
     return g.with_nodes(nodes).with_edges(g.edges.withColumn("edge_source", F.when(~F.col("in_error_path"), F.col("edge_source"))))
 
 
-query("a18_touch_summary", f", c AS ({_TOUCHED}), t AS (SELECT * FROM c ORDER BY callers DESC, id LIMIT 10) SELECT (SELECT max(callers) FROM c) AS max_callers, (SELECT CAST(sum(callers) AS BIGINT) FROM c) AS total_callers, (SELECT count(*) FROM c) AS n_nodes, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS top_nodes, (SELECT count(*) FROM t WHERE callers >= 10) AS hubs, 'critical' AS risk")(
+query("a18_touch_summary", f", c AS ({_CALLERS}), t AS (SELECT * FROM c ORDER BY callers DESC, id LIMIT 10) SELECT (SELECT max(callers) FROM c) AS max_callers, (SELECT CAST(sum(callers) AS BIGINT) FROM c) AS total_callers, (SELECT count(*) FROM c) AS n_nodes, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS top_nodes, (SELECT count(*) FROM t WHERE callers >= 10) AS hubs, 'critical' AS risk")(
+    lambda g: A.touch_summary(g, g.nodes.where("id LIKE 'supp:%'"))
+)
+query("a18_touch_summary_marked", f", c AS ({_TOUCHED}), t AS (SELECT * FROM c ORDER BY callers DESC, id LIMIT 10) SELECT (SELECT max(callers) FROM c) AS max_callers, (SELECT CAST(sum(callers) AS BIGINT) FROM c) AS total_callers, (SELECT count(*) FROM c) AS n_nodes, (SELECT string_agg(id, ',' ORDER BY id) FROM t) AS top_nodes, (SELECT count(*) FROM t WHERE callers >= 10) AS hubs, 'critical' AS risk")(
     lambda g: A.touch_summary(_marked_tests(g), g.nodes.where("id LIKE 'supp:%'"))
 )
 query("a20_risk_level", f", c AS ({_CALLERS}) SELECT CASE WHEN callers <= 5 THEN 'low' WHEN callers <= 20 THEN 'medium' WHEN callers <= 50 THEN 'high' ELSE 'critical' END AS risk, count(*) AS n FROM c GROUP BY 1")(
