@@ -43,4 +43,4 @@ def test_names_in_a_long_text_are_found_in_one_pass(spark):
     began = time.time()
     got = {tuple(r) for r in mentioned(texts, names).collect()}
     assert got == {(1, "needle.rs"), (1, "😀y"), (1, "n"), (None, "needle.rs"), (None, "n"), (2, "n")}
-    assert time.time() - began < 40  # some two minutes when each substring was counted from the start
+    assert time.time() - began < 40  # time grows with the length, not with its square
