@@ -44,3 +44,16 @@ def test_names_in_a_long_text_are_found_in_one_pass(spark):
     got = {tuple(r) for r in mentioned(texts, names).collect()}
     assert got == {(1, "needle.rs"), (1, "😀y"), (1, "n"), (None, "needle.rs"), (None, "n"), (2, "n")}
     assert time.time() - began < 40  # time grows with the length, not with its square
+
+
+def test_a_task_reads_few_rows_of_what_is_written_between_steps(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.lineage import SHUFFLE_PARTS, cut
+    from graphloom.sources.graph_view import build_graph
+
+    build_graph(spark, SF)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8MB"
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= SHUFFLE_PARTS
+    ids = cut(spark.range(5_000_000, numPartitions=1).selectExpr("concat('order:', id) AS id"))
+    assert ids.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2_000_000
