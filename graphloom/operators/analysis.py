@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, metadata_of, related, trusted
-from graphloom.lineage import cut
+from graphloom.lineage import Rounds, cut
 from graphloom.operators.aggregates import caller_counts, risk_level
 from graphloom.operators.traverse import bounded_path, impact_of_many, reach, steps_of
 
@@ -68,6 +68,22 @@ def best_first(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             return now
 
 
+def _steps_near(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """The steps(at, to, ...) that chains of `depth` nodes from the starts can take: those from what is at most depth - 2 steps off.
+    All other steps are only read, never written or shuffled where what is near has few rows."""
+    near = Rounds(steps.sparkSession, "at string")
+    near.add(starts.select(F.col("id").alias("at")).distinct())
+    taken = []
+    for hop in range(max(0, depth - 1)):
+        taken.append(cut(steps.join(near.last(), "at"), "taken"))
+        if hop < depth - 2 and not near.add(taken[-1].select(F.col("to").alias("at")).distinct().join(near.all(), "at", "left_anti")):
+            break
+    out = taken[0] if taken else steps.limit(0)
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out.select(steps.columns)
+
+
 def causal_chains(g: Graph, symptoms: list[str], depth: int = 4, most: int = 10) -> DataFrame:
     """(symptom, chain, links, weight, rank): best-first chains of at most `depth` nodes from each symptom, along calls, bases,
     imports, overrides and tests, and backwards along calls, imports and overrides, where tests are passed over.
@@ -78,16 +94,18 @@ def causal_chains(g: Graph, symptoms: list[str], depth: int = 4, most: int = 10)
     spark = g.nodes.sparkSession
     path = F.coalesce("file_path", F.lit(""))
     is_test = F.contains(path, F.lit("/tests/")) | F.contains(path, F.lit("/test_"))
-    there = cut(g.nodes.groupBy("id").agg(F.min_by((~is_test).cast("int"), "ord").alias("source")), "sources")
     w = F.coalesce(F.col("weight").cast("double"), F.lit(0.7))
+    named = spark.createDataFrame([(s, k) for k, s in enumerate(dict.fromkeys(symptoms))], "id string, k int")
     steps = None
     for way, at, to in (("f", "src", "dst"), ("b", "dst", "src")):
         link = F.create_map(*[F.lit(v) for kv in LINKS[way].items() for v in kv])[F.col("relation")]
         one = g.edges.where(F.col("relation").isin(*LINKS[way])).select(F.lit(way).alias("way"), F.col(at).alias("at"), F.col(to).alias("to"), "ord", w.alias("w"), link.alias("link"))
+        one = _steps_near(one, named.select("id"), depth)
         steps = one if steps is None else steps.unionByName(one)
-    steps = steps.groupBy("way", "at", "to").agg(F.min(F.struct("ord", "w", "link")).alias("x")).select("way", "at", "to", "x.ord", "x.w", "x.link")
+    steps = cut(steps.groupBy("way", "at", "to").agg(F.min(F.struct("ord", "w", "link")).alias("x")).select("way", "at", "to", "x.ord", "x.w", "x.link"), "near")
+    asked = steps.select(F.col("to").alias("id")).unionByName(named.select("id")).distinct()
+    there = cut(g.nodes.join(asked, "id", "left_semi").groupBy("id").agg(F.min_by((~is_test).cast("int"), "ord").alias("source")), "sources")
     steps = cut(steps.join(there.withColumnRenamed("id", "to"), "to").where("way = 'f' or source = 1"), "steps")
-    named = spark.createDataFrame([(s, k) for k, s in enumerate(dict.fromkeys(symptoms))], "id string, k int")
     seeds = there.join(named, "id").withColumn("way", F.explode(F.array(F.lit("f"), F.lit("b"))))
     place = F.struct(F.col("k").alias("k"), (F.col("way") == "b").alias("back"), F.lit(-1.0).alias("weight"), F.lit(0).alias("length"), F.lit("").alias("parent"), F.lit(0).cast("long").alias("ord"))
     start = seeds.select(F.col("id").alias("symptom"), "way", "id", F.array("id").alias("chain"), F.array().cast("array<string>").alias("links"), F.lit(1.0).alias("weight"), F.col("source").alias("sources"), place.alias("place"))

@@ -58,3 +58,14 @@ def test_chains_equal_a_search_with_a_heap(spark, seed):
     want = brute(nodes, edges, symptoms, depth, 10_000)
     assert sorted(chains(spark, nodes, edges, symptoms, depth, 10_000)) == sorted(want)
     assert chains(spark, nodes, edges, symptoms, depth, 7) == want[:7]
+
+
+def test_steps_that_no_chain_can_take_are_not_written(spark):
+    from graphloom.lineage import paths_made
+
+    nodes = [(i, "src/x.py") for i in "sabcd"] + [(f"far{k}", "src/y.py") for k in range(500)]
+    edges = [("s", "a", "calls", 0.5), ("a", "b", "calls", 0.5), ("b", "c", "calls", 0.5), ("c", "d", "calls", 0.5)] + [(f"far{k}", f"far{k + 1}", "calls", 0.5) for k in range(499)]
+    with paths_made() as made:
+        assert [c[1] for c in chains(spark, nodes, edges, ["s"], 3, 10)] == ["s > a > b"]
+    sizes = [spark.read.parquet(p).count() for p in made if not p.rpartition("/")[2].startswith("cut-")]
+    assert sizes and max(sizes) < 20
