@@ -271,3 +271,16 @@ def test_layers_convert_there_and_back(spark):
     assert [r.metadata for r in g.edges.where("relation = 'calls'").collect()] == ['{"source":"extract","call_count":3,"in_error_path":true}']
     back, kept = setops.graph_to_code(g)
     assert {(r.id, r.kind, r.is_test) for r in back.collect()} == {("f:a", "Function", True), ("c:b", "Class", False)} and [r.relation for r in kept.collect()] == ["calls"]
+
+
+def test_co_citation_of_hubs_equals_that_of_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = list({(f"c{rng.randrange(9)}", f"f{rng.randrange(30)}é") for _ in range(200)})
+    edges = spark.createDataFrame([(a, b, "imports", rng.uniform(0.6, 0.89)) for a, b in rows], "src string, dst string, relation string, confidence double")
+    one = {(r.a, r.b): (r.citers, round(r.weight, 9)) for r in projection.co_citation(edges, hub=10**9).collect()}
+    assert one == {(r.a, r.b): (r.citers, round(r.weight, 9)) for r in projection.co_citation(edges, hub=12).collect()} != {}
+    cited = edges.selectExpr("src AS citer", "dst AS to", "confidence AS c")
+    whole, parts = (projection.pairs_of_hubs(cited, *most).groupBy("a", "b").agg(F.sum("n").alias("n"), F.round(F.sum("trust"), 9).alias("t")) for most in ((100, 100), (4, 2)))
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in parts.collect()} and whole.where("a >= b").isEmpty()
