@@ -337,6 +337,24 @@ def test_pii_secrets(spark):
     assert sum(bool(got[i]) for i, _ in hidden) >= 54 and sum(bool(got[i]) for i, _ in clean) <= 1
 
 
+def test_pii_trains_on_all_texts(spark):
+    # each text has one number that the base kinds judge: all are training rows, copies once
+    docs = spark.createDataFrame([(i, f"the row {i} has +49 {1000000 + i // 2 * 7} in it") for i in range(3000)], "doc_id long, text string")
+    rows = lambda d: pii.training_rows(d).selectExpr("sum(n)").first()[0]
+    assert rows(docs.unionByName(docs)) - rows(docs.limit(0)) == 3000
+
+
+def test_pii_trees_of_weighted_rows(spark):
+    rng = random.Random(3)
+    x = [[float(rng.randrange(6)) for _ in pii.FEATURES] for _ in range(400)]
+    rows = [(v, float(v[1] > 2 and v[4] < 3), 1 + k % 3) for k, v in enumerate(x)]
+    one = pii.fit_trees(spark.createDataFrame(rows, "x array<double>, y double, n long"))
+    many = pii.fit_trees(spark.createDataFrame([(v, y, 1) for v, y, n in rows for _ in range(n)], "x array<double>, y double, n long").repartition(5))
+    assert one == many and {one[1][0][0], one[1][0][3][0], one[1][0][2] if not isinstance(one[1][0][2], tuple) else one[1][0][2][0]} >= {1, 4}
+    score = lambda v: one[0] + sum(pii.tree_value(t, v) for t in one[1])
+    assert all((score(v) > 0) == bool(y) for v, y, _ in rows)
+
+
 def test_bpe(spark, rows):
     path = bpe.default_tokenizer()
     tk = bpe.open_tokenizer(path)
