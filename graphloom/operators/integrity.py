@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.lineage import cut
+from graphloom.lineage import Rounds, cut
 from graphloom.operators.scans import first_by_order
 
 CODE_LIKE = ("file", "function", "class", "module", "method", "trait", "enum", "constant", "test", "impl", "code")
@@ -47,28 +47,64 @@ def back_edges(g: Graph, relations=("depends_on",)) -> DataFrame:
     Of each strongly connected component the nodes are ordered by their distance from the smallest id within it, then by id;
     the edges inside that do not lead forward in this order are listed.
     """
-    from graphloom.operators.traverse import reach
-
-    e = cut(g.edges.where(F.col("relation").isin(*relations)).select("src", "dst", "relation", "ord"), "edges")
-    members = cut(cycles(g, relations).select("component", "id"), "members")
-    first = members.groupBy("component").agg(F.min("id").alias("seed"))
-    at = members.join(first, "component").select("component", "seed", "id")
-    inside = e.where("src <> dst").join(at.select("component", F.col("seed").alias("from"), F.col("id").alias("src")), "src").join(at.select(F.col("seed").alias("from"), F.col("id").alias("dst")), ["from", "dst"])
-    inside = cut(inside.select("component", "from", "src", "dst", "relation", "ord"), "inside")
-    hops = reach(inside.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("relation").alias("via"), "ord"), first.select("seed")).select(F.col("seed").alias("from"), "id", "hop")
-    hops = cut(hops, "hops")
-    placed = inside.join(hops.withColumnsRenamed({"id": "src", "hop": "a"}), ["from", "src"]).join(hops.withColumnsRenamed({"id": "dst", "hop": "b"}), ["from", "dst"])
+    e = cut(g.edges.where(F.col("relation").isin(*relations)).select("src", "dst", "relation"), "edges")
+    members = cut(_components_of(e).select("component", "id"), "members")
+    # a component is named after its smallest id
+    inside = e.where("src <> dst").join(members.select(F.col("component").alias("from"), F.col("id").alias("src")), "src").join(members.select(F.col("component").alias("from"), F.col("id").alias("dst")), ["from", "dst"])
+    inside = cut(inside.select("from", "src", "dst", "relation"), "inside")
+    # a node is in one component alone, so edges that lead to what was met are dropped, and each round has fewer
+    hops, hop = Rounds(g.nodes.sparkSession, "id string, hop int"), 0
+    hops.add(members.select(F.col("component").alias("id"), F.lit(0).alias("hop")).distinct())
+    left = inside.select("src", "dst").distinct()
+    while hops.rows:
+        left, hop = cut(left.join(hops.last().select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "left"), hop + 1
+        hops.add(left.join(hops.last().select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), F.lit(hop).alias("hop")).distinct())
+    hops = hops.all()
+    placed = inside.join(hops.withColumnsRenamed({"id": "src", "hop": "a"}), "src").join(hops.withColumnsRenamed({"id": "dst", "hop": "b"}), "dst")
     back = placed.where((F.col("b") < F.col("a")) | ((F.col("b") == F.col("a")) & (F.col("dst") <= F.col("src")))).select(F.col("from").alias("component"), "src", "dst", "relation")
     return back.unionByName(e.where("src = dst").select(F.col("src").alias("component"), "src", "dst", "relation")).distinct()
 
 
 def cycles(g: Graph, relations=("depends_on",)) -> DataFrame:
-    """(component, id) of strongly connected components of two nodes or more; self-loops alone are none.
+    """(component, id) of strongly connected components of two nodes or more; self-loops alone are none."""
+    return _components_of(g.edges.where(F.col("relation").isin(list(relations))))
 
-    Nodes without a predecessor or successor left are trimmed until none is left; then every node takes the largest
-    node that reaches it as its colour, and the nodes of a colour that its root can be reached from are a component.
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(id, group) of the ends of pairs(a, b), there in both directions: the smallest id that they lead to.
+
+    Each id points to the smallest id around it and pointers double to their ends; then the groups so made point to the smallest
+    group around them, and so on. A way of n nodes takes some log n rounds.
+    """
+    group = cut(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("group")), "groups")
+    while True:
+        while True:
+            on = group.select(F.col("id").alias("group"), F.col("group").alias("next"))
+            moved = cut(group.join(on, "group").select("id", "next", F.col("group").alias("old")), "moved")
+            group = moved.select("id", F.col("next").alias("group"))
+            if moved.where("next <> old").isEmpty():
+                break
+        ends = pairs.join(group.select(F.col("id").alias("a"), F.col("group").alias("mine")), "a").join(group.select(F.col("id").alias("b"), F.col("group").alias("other")), "b")
+        lower = cut(ends.where("other < mine").groupBy(F.col("mine").alias("id")).agg(F.min("other").alias("low")), "lower")
+        if lower.isEmpty():
+            return group
+        group = cut(group.join(lower, "id", "left").select("id", F.coalesce("low", "group").alias("group")), "groups")
+
+
+def _components_of(every: DataFrame) -> DataFrame:
+    """(component, id) of the strongly connected components of every(src, dst), the component being its smallest id.
+
+    Nodes that lead to each other directly are one from the start. Of these, nodes without a predecessor or successor left are
+    trimmed until none is left; then every node takes the largest node that reaches it as its colour, and the nodes of a colour that
+    its root can be reached from are a component. No component has two colours, so edges between colours go.
     """
-    edges = cut(g.edges.where(F.col("relation").isin(list(relations)) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct(), "edges")
+    whole = cut(every.where("src <> dst").select("src", "dst").distinct(), "edges")
+    # ends that nothing leads to, or that lead nowhere, are on no cycle
+    whole = cut(whole.join(whole.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(whole.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+    back = whole.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    group = _joined(cut(whole.join(back, ["src", "dst"], "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b")), "mutual"))
+    edges = whole.join(group.select(F.col("id").alias("src"), F.col("group").alias("a")), "src", "left").join(group.select(F.col("id").alias("dst"), F.col("group").alias("b")), "dst", "left")
+    edges = cut(edges.select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct(), "edges")
     found = None
 
     def trim(e: DataFrame) -> DataFrame:
@@ -103,11 +139,14 @@ def cycles(g: Graph, relations=("depends_on",)) -> DataFrame:
             member = cut(member.unionByName(frontier), "member")
         found = member if found is None else found.unionByName(member)
         done = member.select("id")
-        edges = trim(cut(edges.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "rest"))
-    if found is None:
-        return g.nodes.sparkSession.createDataFrame([], "component string, id string")
-    sizes = found.groupBy("colour").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).where("n > 1")
-    return found.join(sizes, "colour").select("component", "id")
+        edges = trim(cut(inner.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "rest"))
+    members = group.select("id", F.col("group").alias("colour"))
+    if found is not None:
+        found = found.select("id", "colour")
+        alone = found.join(group.select(F.col("group").alias("id")), "id", "left_anti")  # in no group
+        members = members.join(found.select(F.col("id").alias("colour"), F.col("colour").alias("over")), "colour", "left").select("id", F.coalesce("over", "colour").alias("colour")).unionByName(alone)
+    sizes = members.groupBy("colour").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).where("n > 1")
+    return members.join(sizes, "colour").select("component", "id")
 
 
 def repair(g: Graph, orphans: bool = True) -> tuple[Graph, DataFrame]:
