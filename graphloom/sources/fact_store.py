@@ -14,10 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.lineage import cut
+from graphloom.lineage import cut, measured_joins, small_tasks
 from graphloom.operators import extract
 
 FILES = "key string, prefix string, batch string"
+#: Contents of a batch whose facts one task writes.
+WRITTEN = 20_000
 
 
 class FactStore:
@@ -37,6 +39,8 @@ class FactStore:
 
     def facts(self, sources: DataFrame) -> DataFrame:
         """What extract.facts() finds in sources(path, content); contents that the store lacks are parsed and kept."""
+        measured_joins(self.spark)
+        small_tasks(self.spark)
         kind = F.lower(F.substring_index("path", ".", -1))
         keyed = sources.select("path", "content", kind.alias("kind"), F.sha2(F.concat_ws("\0", F.lit(str(extract.PARSERS)), kind, F.coalesce("content", F.lit(""))), 256).alias("key"))
         index = cut(keyed.select("path", "kind", "key", F.substring("key", 1, self.digits).alias("prefix")), "index")
@@ -61,8 +65,10 @@ class FactStore:
         columns = [c.split()[0] for c in extract.FACT.split(", ")][1:]
         found = extract.facts(named).withColumn("key", F.substring_index("path", ".", 1))
         tables = {"facts": found.select(*columns, "key", prefix), "files": missing.select("key", prefix)}
+        # a prefix is no task's alone: with few digits each has a large part of the batch
+        share = F.pmod(F.xxhash64("key"), F.lit(self.parsed // (WRITTEN * 16**self.digits) + 1))
         for table, df in tables.items():
-            df.repartition("prefix").write.partitionBy("prefix").parquet(f"{self.root}/.{batch}/{table}")
+            df.repartition("prefix", share).write.partitionBy("prefix").parquet(f"{self.root}/.{batch}/{table}")
         for table in tables:
             self._fs.mkdirs(self._path(f"{self.root}/{table}"))
             if not self._fs.rename(self._path(f"{self.root}/.{batch}/{table}"), self._path(f"{self.root}/{table}/batch={batch}")):

@@ -59,3 +59,31 @@ def test_store_parses_each_content_once(spark, tmp_path, monkeypatch):
     again.facts(files(spark, OLD))
     assert again.parsed == 7
     assert again.facts(files(spark, OLD).limit(0)).count() == 0
+
+
+def test_texts_of_one_file_are_parsed_by_many_tasks(spark):
+    one = files(spark, {f"src/f{k}.py": f"def f{k}():\n    return 1\n" for k in range(400)}).coalesce(1)
+    found = extract.facts(one)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 100 and found.count() == 400
+
+
+def test_nodes_alone_are_those_of_an_extraction(spark, monkeypatch):
+    want = rows(*extract.extract(files(spark, OLD)))[0]
+    monkeypatch.setattr(extract, "call_edges", None)  # calls are not resolved for nodes
+    nodes = extract.extract_nodes(files(spark, OLD))
+    assert {(r.id, r.title, r.node_type, r.file_path, r.start_line, r.end_line) for r in nodes.collect()} == want
+
+
+def test_a_prefix_of_the_store_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from graphloom.sources import fact_store
+
+    monkeypatch.setattr(fact_store, "WRITTEN", 2)
+    texts = files(spark, {f"src/f{k}.py": f"def f{k}():\n    return 1\n" for k in range(200)})
+    store = FactStore(spark, f"file://{tmp_path}/facts", digits=1)
+    assert store.facts(texts).count() == 200 and FactStore(spark, f"file://{tmp_path}/facts", digits=1).facts(texts).count() == 200
+    seen = []
+    real = type(texts).repartition
+    monkeypatch.setattr(type(texts), "repartition", lambda self, *a: seen.append(a) or real(self, *a))
+    FactStore(spark, f"file://{tmp_path}/other", digits=1).facts(texts)
+    assert sum(a[0] == "prefix" and len(a) == 2 for a in seen) == 2
